@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, piece_queries, secrets, source_mix, token_file, toxicity
 
 
 def queries() -> dict:
-    return {"op2_exact_dedup": exact_dedup.op2_exact_dedup}
+    return {
+        "op1_token_file": token_file.op1_token_file,
+        "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_sentencepiece_prefix": piece_queries.op5_sentencepiece_prefix,
+        "op6_secret_scan": secrets.op6_secret_scan,
+        "op8_token_counts": piece_queries.op8_token_counts,
+        "op10_source_mix": source_mix.op10_source_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
