@@ -28,6 +28,7 @@ def normalised(text: Column) -> Column:
 
 
 def _blocks(docs: DataFrame, text_col: str, block_bytes: int) -> DataFrame:
+    """Adds _data, _n and _cut. Explode _cut with the outer form: it is never empty, and the inner form computes it twice."""
     data = normalised(F.col(text_col)).cast("binary")
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("_data") / block_bytes).cast("int"))
     cut = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.substring(F.col("_data"), i * block_bytes + 1, F.lit(block_bytes)))
@@ -46,13 +47,13 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = scratch or Scratch(spark, "exact")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     cut = _blocks(base.withColumn("row", F.monotonically_increasing_id()), "_text", block_bytes)
-    rows = cut.select("row", "id", F.sha2("_data", 256).alias("sha"), "_n", F.posexplode("_cut").alias("pos", "block"))
+    rows = cut.select("row", "id", F.sha2("_data", 256).alias("sha"), "_n", F.posexplode_outer("_cut").alias("pos", "block"))
     h1, h2 = _hashes(F.col("block"), hash_bits)
     first = F.when(F.col("pos") == 0, F.col("sha"))
     rows = scratch.stage(rows.select("row", "id", first.alias("sha"), F.col("_n").alias("n"), "pos", h1.alias("h1"), h2.alias("h2")), "blocks")
 
     def contents() -> DataFrame:
-        return _blocks(base, "_text", block_bytes).select(F.explode("_cut").alias("block")).select(h1.alias("h1"), h2.alias("h2"), "block")
+        return _blocks(base, "_text", block_bytes).select(F.explode_outer("_cut").alias("block")).select(h1.alias("h1"), h2.alias("h2"), "block")
 
     variants = contents().distinct().groupBy("h1", "h2").agg(F.count("*").alias("variants"))
     variants = scratch.stage(variants, "variants")
@@ -67,7 +68,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         names = scratch.stage(ranked(spark, alone.unionByName(alike), ["h1", "h2", "block"], "name"), "names")
         plain = rows.join(names.where("block is null").select("h1", "h2", "name"), ["h1", "h2"])
         again = _blocks(base.withColumn("row", F.monotonically_increasing_id()), "_text", block_bytes)
-        again = again.select("row", F.posexplode("_cut").alias("pos", "block")).withColumn("h1", h1).withColumn("h2", h2)
+        again = again.select("row", F.posexplode_outer("_cut").alias("pos", "block")).withColumn("h1", h1).withColumn("h2", h2)
         again = again.join(names.where("block is not null"), ["h1", "h2", "block"]).select("row", "pos", "name")
         level = plain.unionByName(rows.join(again, ["row", "pos"]).select(*plain.columns))
     level = scratch.stage(level.select("row", "id", "sha", "n", "pos", "name"), "level")
