@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, piece_queries, secrets, source_mix, token_file, toxicity
+from . import exact_dedup, near_dup, piece_queries, secrets, source_mix, token_file, toxicity
 
 
 def queries() -> dict:
@@ -13,9 +13,10 @@ def queries() -> dict:
         "op5_sentencepiece_prefix": piece_queries.op5_sentencepiece_prefix,
         "op6_secret_scan": secrets.op6_secret_scan,
         "op8_token_counts": piece_queries.op8_token_counts,
+        "op9_minhash_bayes": near_dup.op9_minhash_bayes,
         "op10_source_mix": source_mix.op10_source_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op9_minhash_bayes": near_dup.OP9_SQL}
