@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dup, piece_queries, secrets, source_mix, token_file, toxicity
+from . import exact_dedup, near_dup, piece_queries, secrets, source_mix, token_file, toxicity, vector_links
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_sentencepiece_prefix": piece_queries.op5_sentencepiece_prefix,
         "op6_secret_scan": secrets.op6_secret_scan,
+        "op7_pivot_links": vector_links.op7_pivot_links,
         "op8_token_counts": piece_queries.op8_token_counts,
         "op9_minhash_bayes": near_dup.op9_minhash_bayes,
         "op10_source_mix": source_mix.op10_source_mix,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op9_minhash_bayes": near_dup.OP9_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op7_pivot_links": vector_links.OP7_SQL, "op9_minhash_bayes": near_dup.OP9_SQL}
