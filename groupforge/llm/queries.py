@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dup, piece_queries, secrets, source_mix, token_file, toxicity, vector_links
+from . import exact_dedup, line_dedup, near_dup, piece_queries, secrets, source_mix, token_file, toxicity, vector_links
 
 
 def queries() -> dict:
     return {
         "op1_token_file": token_file.op1_token_file,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_sentencepiece_prefix": piece_queries.op5_sentencepiece_prefix,
         "op6_secret_scan": secrets.op6_secret_scan,
@@ -20,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op7_pivot_links": vector_links.OP7_SQL, "op9_minhash_bayes": near_dup.OP9_SQL}
+    return {
+        "op2_exact_dedup": exact_dedup.OP2_SQL,
+        "op3_line_dedup": line_dedup.OP3_SQL,
+        "op7_pivot_links": vector_links.OP7_SQL,
+        "op9_minhash_bayes": near_dup.OP9_SQL,
+    }
