@@ -35,9 +35,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes each document: doc_id, source, lang, n_tokens, ids_sha256, decoded_sha256."""
-    meta = docs.select(F.monotonically_increasing_id().alias("doc_row"), "doc_id", "lang", "source")
-    coded = docs.select(F.monotonically_increasing_id().alias("doc_row"), "text")
-    return piece_queries.round_trips(coded, "doc_row").join(meta, F.col("id") == F.col("doc_row")).select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+    coded = docs.select(F.struct("doc_id", "lang", "source").alias("of"), "text")
+    return piece_queries.round_trips(coded, "of").select("id.doc_id", "id.lang", "id.source", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
