@@ -1,11 +1,504 @@
-"""Queries over the company register and their SQL."""
+"""Queries over the company register, each beside SQL for the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from groupforge.functions import names
+from groupforge.operators import assign, changes, closure, match, rules, serve, tree
+from groupforge.plans import register_sql as sql
+from groupforge.plans.storage import cut
+from groupforge.sources import html, register
+from groupforge.streaming import deliveries
+
+HEAD, DAY, LOW_DEGREE = "000000000", "2026-01-15", 15
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(text: str | None):
+    def add(f):
+        QUERIES[f.__name__] = (lambda spark, sf_dir: f(spark, lambda *n: _tables(spark, sf_dir, *n)), text)
+        return f
+
+    return add
+
+
+def _tables(spark: SparkSession, sf_dir: str, *wanted: str):
+    found = register.load(spark, sf_dir, tuple(n for n in wanted if n in register.VIEWS))
+    out = [found[n] if n in found else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in wanted]
+    return out if len(out) > 1 else out[0]
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for name, (_, text) in QUERIES.items() if text}
+
+
+def ultimate_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, offices, companies = _tables(spark, sf_dir, "links", "offices", "companies")
+    return tree.tree(links, LOW_DEGREE).join(rules.targetable(offices, companies).withColumnRenamed("siren", "child"), "child", "left")
+
+
+def _group(links: DataFrame) -> DataFrame:
+    """siren of the group below HEAD by open strong mandates."""
+    strong = tree.open_links(links).where(F.col("role").isin(list(rules.STRONG)))
+    seeds = links.sparkSession.createDataFrame([(HEAD, HEAD)], "start string, node string")
+    return closure.closure(strong.select("parent", "child").distinct(), seeds).select(F.col("node").alias("siren"))
+
+
+# --- register
+
+
+@query(sql.LATEST)
+def reg_latest_record(spark, t):
+    return changes.latest(t("records"), "siren", "updated", "denomination").select("siren", "denomination", "commercial", "staff")
+
+
+@query(sql.LOAD_LINKS)
+def reg_load_links(spark, t):
+    return t("links").select("parent", "child", "role", F.col("closed").isNull().alias("is_open"))
+
+
+@query(sql.LEGAL_UNITS)
+def reg_legal_units(spark, t):
+    return t("legal_units").where("cj is not null and cj not between 1000 and 1999").select("siren", "denomination", "cj", "state")
+
+
+@query(sql.OFFICE_ADDRESS)
+def reg_office_address(spark, t):
+    offices, units = t("offices", "legal_units")
+    met = offices.join(units.select("siren", "denomination"), "siren")
+    key = names.address_key(F.col("address_key"), names.unmasked(F.col("postcode")), F.col("town"))
+    return met.select("siren", key.alias("address"), names.department(F.col("postcode")).alias("department"), names.unmasked(F.col("address_key")).alias("known"))
+
+
+@query(sql.ENRICH)
+def reg_company_enrichment(spark, t):
+    companies, units = t("companies", "legal_units")
+    met = companies.join(units.select("siren", F.col("denomination").alias("legal_name"), "cj"), "siren", "left")
+    return met.select("siren", F.coalesce("legal_name", "denomination").alias("name"), "cj", (~F.col("commercial")).alias("opposed"))
+
+
+@query(sql.COUNTS)
+def reg_load_counts(spark, t):
+    links, companies, persons, units, offices = t("links", "companies", "persons", "legal_units", "offices")
+    a = links.agg(F.count("*").alias("links"), F.count_if(F.col("closed").isNull()).alias("open_links"))
+    b = companies.agg(F.count("*").alias("companies"), F.count_if("hidden").alias("hidden"))
+    c = persons.agg(F.count("*").alias("seats"), F.count_distinct("person").alias("persons"))
+    d = units.agg(F.count("*").alias("units"), F.count_if(F.col("state") == "A").alias("active_units"))
+    e = offices.agg(F.count("*").alias("offices"))
+    metrics = [x.unpivot([], [F.col(k).cast("long").alias(k) for k in x.columns], "metric", "value") for x in (a, b, c, d, e)]
+    out = metrics[0]
+    for m in metrics[1:]:
+        out = out.unionByName(m)
+    return out
+
+
+@query(sql.DATA_DATE)
+def reg_data_date(spark, t):
+    return changes.data_date(*t("links", "companies")).select(F.col("data_date").cast("string").alias("data_date"))
+
+
+# --- trees
+
+
+@query(sql.BEST_MOTHER)
+def tree_best_mother(spark, t):
+    return tree.best_mothers(t("links"), LOW_DEGREE)
+
+
+@query(sql.ROOTS)
+def tree_roots(spark, t):
+    return tree.tree(t("links"), LOW_DEGREE).select("child", "root", "depth", "loop")
+
+
+@query(sql.ROOTS)
+def tree_roots_by_doubling(spark, t):
+    return tree.tree(t("links"), LOW_DEGREE, one_task=0).select("child", "root", "depth", "loop")
+
+
+@query(sql.SIZES)
+def tree_sizes(spark, t):
+    return tree.sizes(tree.tree(t("links"), LOW_DEGREE))
+
+
+@query(sql.ROOT_CHANGES)
+def tree_root_changes(spark, t):
+    links = t("links")
+    after = tree.tree(links, LOW_DEGREE)
+    before = tree.tree(links.withColumn("closed", F.lit(None).cast("date")), 4 * LOW_DEGREE)
+    return tree.root_changes(before, after)
+
+
+# --- rules
+
+
+@query(sql.TARGETABLE)
+def rule_targetable(spark, t):
+    return rules.targetable(*t("offices", "companies"))
+
+
+@query(sql.SHARED_ADDRESS)
+def rule_shared_address(spark, t):
+    links, offices = t("links", "offices")
+    alike = tree.open_links(links).where(F.col("role") == "73").select(F.col("child").alias("siren"))
+    return rules.shared_addresses(offices, _group(links), alike)
+
+
+@query(sql.COMMON_DIRECTORS)
+def rule_common_directors(spark, t):
+    links, persons = t("links", "persons")
+    return rules.common_directors(persons, _group(links))
+
+
+def _brands(t) -> DataFrame:
+    found = t("brands").select(names.norm(F.col("brand")).alias("brand"), "kind", F.col("brand").alias("seq"))
+    return found.groupBy("brand").agg(F.min("kind").alias("kind"), F.min("seq").alias("seq"))
+
+
+def _hits(t) -> DataFrame:
+    return match.brand_hits(t("offices").select("siren", names.norm(F.col("name")).alias("name")), _brands(t))
+
+
+def _listed(t) -> DataFrame:
+    lines = t("doc_lines").where(F.col("doc") == HEAD)
+    return lines.select(F.lpad((F.col("line") * 3).cast("string"), 9, "0").alias("siren"), match.controlled().alias("controlled"))
+
+
+@query(sql.ENTRY_REASON)
+def rule_entry_reason(spark, t):
+    offices, companies, links, persons = t("offices", "companies", "links", "persons")
+    wide = rules.evidence_rows(offices, companies, links, persons, _group(links), _hits(t), _listed(t))
+    return wide.select("siren", rules.entry_reason().alias("reason"))
+
+
+@query(sql.IN_FORCE)
+def decisions_in_force(spark, t):
+    return rules.in_force(t("decisions"))
+
+
+@query(None)
+def group_fixpoint(spark, t):
+    offices, companies, links, persons = t("offices", "companies", "links", "persons")
+    return rules.expand(offices, companies, links, persons, HEAD, cut(_hits(t)), _listed(t), rules.in_force(t("decisions")))
+
+
+def _reasoned(links: DataFrame) -> DataFrame:
+    return _group(links).withColumn("reason", F.lit("mandat fort au registre"))
+
+
+@query(sql.PARENT_CHOICE)
+def group_parent_choice(spark, t):
+    links = t("links")
+    return rules.parent_choice(links, _reasoned(links), HEAD)
+
+
+@query(sql.CASES)
+def group_cases(spark, t):
+    links = t("links")
+    kept = cut(_reasoned(links))
+    return rules.doubtful(links, kept, rules.parent_choice(links, kept, HEAD))
+
+
+@query(sql.EFFECT)
+def group_effect(spark, t):
+    links, decisions = t("links", "decisions")
+    plain = _group(links)
+    force = rules.in_force(decisions)
+    corrected = plain.join(force.where("decision = 'ecarter'"), "siren", "left_anti").unionByName(force.where("decision = 'retenir'").select("siren")).distinct()
+    added, removed = corrected.join(plain, "siren", "left_anti"), plain.join(corrected, "siren", "left_anti")
+    return added.select("siren", F.lit("added").alias("effect")).unionByName(removed.select("siren", F.lit("removed").alias("effect")))
+
+
+# --- names
+
+
+@query(sql.NORM_KEY)
+def name_norm_key(spark, t):
+    n = F.col("name")
+    return t("offices").select("siren", names.norm(n).alias("norm"), names.key(n).alias("key"), names.compact(names.key(n)).alias("compact"))
+
+
+@query(sql.NORM_TEXT)
+def name_norm_udf(spark, t):
+    return t("documents").select("doc_id", names.norm_udf(F.col("text")).alias("norm"))
+
+
+@query(sql.NORM_TEXT)
+def name_norm_documents(spark, t):
+    return t("documents").select("doc_id", names.norm(F.col("text")).alias("norm"))
+
+
+@query(sql.BRAND_SEARCH)
+def brand_prefix_search(spark, t):
+    return _hits(t)
+
+
+@query(sql.BRAND_HOMONYMS)
+def brand_homonyms(spark, t):
+    inside = _group(t("links")).withColumn("inside", F.lit(True))
+    met = _hits(t).join(inside, "siren", "left")
+    return met.groupBy("brand").agg(F.count_if("inside").alias("in_group"), F.count_if(F.col("inside").isNull()).alias("outside"))
+
+
+@query(sql.TEXT_FUNCTIONS)
+def name_text_functions(spark, t):
+    rate = F.col("rate") + F.lit(0.5)
+    cell = F.concat(F.when(F.col("line") % 3 == 0, "=").otherwise(""), F.col("name"))
+    return t("doc_lines").select(
+        "doc", "line", names.rate_text(rate).alias("rate_text"), names.percentage(names.rate_text(rate)).alias("rate"), names.grouped_siren(F.col("doc")).alias("shown"),
+        names.safe_cell(cell).alias("cell"), names.unmasked(F.when(F.col("line") % 4 == 0, "[ND]").otherwise(F.col("town"))).alias("town"),
+    )
+
+
+# --- matching
+
+
+def _lines(t) -> DataFrame:
+    lines = t("doc_lines")
+    full = lines.select("doc", "line", F.lit(0).alias("position"), "name", "town", "needs_town", F.lit(False).alias("fallback"), F.lit(False).alias("acronym"), "method", "rate")
+    short = lines.select("doc", "line", F.lit(1).alias("position"), F.concat(F.col("name"), F.lit(" SAS")).alias("name"), "town", F.lit(False).alias("needs_town"), F.lit(True).alias("fallback"), F.lit(False).alias("acronym"), "method", "rate")
+    return full.unionByName(short.join(lines.where("fallback").select("doc", "line"), ["doc", "line"], "left_semi"))
+
+
+def _named(t):
+    units, offices = t("legal_units", "offices")
+    table = cut(match.carriers(units, offices))
+    lines = cut(_lines(t))
+    return lines, table, cut(match.by_name(lines, table))
+
+
+@query(sql.CARRIERS)
+def match_carriers(spark, t):
+    return match.carriers(*t("legal_units", "offices"))
+
+
+@query(sql.MATCH_NAME)
+def match_unique_name(spark, t):
+    return _named(t)[2].select("doc", "line", "reason", "siren", "carriers")
+
+
+@query(sql.MATCH_CONFLICT)
+def match_conflict(spark, t):
+    return match.conflicts(_named(t)[2]).select("doc", "line", "reason", "siren")
+
+
+@query(sql.MATCH_REGISTER)
+def match_register(spark, t):
+    lines, table, found = _named(t)
+    return match.by_register(lines, cut(match.conflicts(found)), table, t("links")).select("doc", "line", "reason", "siren")
+
+
+@query(None)
+def match_last_resort(spark, t):
+    lines, table, found = _named(t)
+    found = cut(match.by_register(lines, cut(match.conflicts(found)), table, t("links")))
+    return match.last_resort(lines, found, table, t("links"), t("legal_units")).select("doc", "line", "reason", "siren")
+
+
+@query(sql.REASONS)
+def match_reasons(spark, t):
+    found = match.conflicts(_named(t)[2])
+    return found.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+# --- graphs
+
+
+@query(sql.CLOSURE)
+def graph_closure(spark, t):
+    links, lines = t("links", "doc_lines")
+    edges = tree.open_links(links).where(F.col("role").isin(match.DESCENT_ROLES)).select("parent", "child").distinct()
+    return closure.closure(edges, lines.select(F.col("doc").alias("start"), F.col("doc").alias("node")).distinct())
+
+
+@query(sql.DESCENT)
+def graph_descent(spark, t):
+    links, lines = t("links", "doc_lines")
+    edges = tree.open_links(links).where("role = '73'").select("parent", "child").distinct()
+    return closure.descent(edges, lines.select(F.col("doc").alias("start"), F.col("doc").alias("node")).distinct(), 200).select("start", "node", F.col("level").cast("long").alias("level"))
+
+
+def _forest(t) -> DataFrame:
+    """node, parent over companies, without loops: a child is above its mother's number, so the edges that go down are dropped."""
+    mothers = tree.best_mothers(t("links"), LOW_DEGREE).where("mother < child")
+    return t("companies").select(F.col("siren").alias("child")).join(mothers, "child", "left").select(F.col("child").alias("node"), F.col("mother").alias("parent"))
+
+
+@query(sql.ASCENT)
+def graph_ascent(spark, t):
+    return closure.ascent(_forest(t)).select("node", "top", F.col("steps").cast("long").alias("steps"))
+
+
+@query(sql.GROUP_SIZE)
+def graph_group_size(spark, t):
+    forest = cut(_forest(t))
+    return closure.nested_sizes(forest, t("companies").select(F.col("siren").alias("node"), F.coalesce("staff", F.lit(0)).alias("size")))
+
+
+@query(sql.NEAREST)
+def graph_nearest_targetable(spark, t):
+    good = rules.targetable(*t("offices", "companies")).where("targetable").select(F.col("siren").alias("node"))
+    return closure.nearest(_forest(t), good)
+
+
+# --- changes
+
+
+@query(sql.MERGE)
+def cdc_company_merge(spark, t):
+    out = changes.merge_companies(*t("companies", "batch_companies"), DAY)
+    return out.select("siren", "denomination", "commercial", "staff", F.col("opened").cast("string").alias("opened"), F.col("closed").cast("string").alias("closed"), "change")
+
+
+@query(sql.LINK_DIFF)
+def cdc_link_diff(spark, t):
+    links, batch = t("links", "batch_links")
+    out = changes.merge_edges(links, batch, batch.where("role = '73'"), DAY)
+    return out.select("parent", "child", "role", F.col("closed").cast("string").alias("closed"), "change")
+
+
+@query(sql.MASKED)
+def cdc_masked_policy(spark, t):
+    units, companies = t("legal_units", "companies")
+    batch = companies.select("siren", F.coalesce("hidden", F.lit(False)).alias("hidden"), F.when(F.col("staff") > 6, F.lit("XX")).alias("acronym"), F.when(F.col("staff") > 12, F.lit("Nouvelle")).alias("usual_name"), F.when(F.col("staff") > 9, F.col("denomination")).alias("denomination"))
+    return changes.masked(units.select("siren", "acronym", "usual_name", "denomination"), batch, ("acronym", "usual_name"), ("denomination",))
+
+
+@query(sql.DRY_RUN)
+def cdc_dry_run(spark, t):
+    return changes.tally(changes.merge_companies(*t("companies", "batch_companies"), DAY))
+
+
+@query(sql.STREAM)
+def cdc_stream_batches(spark, t):
+    out = deliveries.replayed(spark, *t("companies", "batch_companies"), DAY)
+    return out.select("siren", "denomination", "commercial", "staff", F.col("closed").cast("string").alias("closed"))
+
+
+# --- assignment
+
+
+def _claims(t):
+    lines, links = t("doc_lines", "links")
+    listed = lines.select(F.col("doc").alias("head"), F.lpad((F.col("line") * 7 % 40).cast("string"), 9, "0").alias("siren"), F.lit("inscription").alias("manner"), "rate", F.lit(None).cast("int").alias("level"))
+    edges = tree.open_links(links).where("role = '73'").select("parent", "child").distinct()
+    down = closure.descent(edges, lines.select(F.col("doc").alias("start"), F.col("doc").alias("node")).distinct())
+    down = down.select(F.col("start").alias("head"), F.col("node").alias("siren"), F.lit("descente").alias("manner"), F.lit(None).cast("double").alias("rate"), "level")
+    trees = tree.best_mothers(links, LOW_DEGREE).select(F.col("mother").alias("head"), F.col("child").alias("siren"), F.lit("arbre").alias("manner"), F.lit(None).cast("double").alias("rate"), F.lit(None).cast("int").alias("level"))
+    claims = cut(listed.unionByName(down).unionByName(trees))
+    sizes = claims.groupBy("head").agg(F.count_distinct("siren").alias("size"))
+    nested = F.when(F.col("head") == "000000001", "000000000").when(F.col("head") == "000000003", "000000001")
+    return claims, cut(sizes.select("head", nested.alias("parent"), "size"))
+
+
+@query(sql.ARBITRATION)
+def assign_arbitration(spark, t):
+    return assign.arbitrate(*_claims(t))
+
+
+@query(sql.GROUP_PARENTS)
+def assign_group_parents(spark, t):
+    lines = t("doc_lines")
+    pairs = lines.select(F.col("doc").alias("a"), F.lpad((F.col("line") * 3 % 5).cast("string"), 9, "0").alias("b"), "method").where("method = 'MEE'")
+    return assign.group_parents(pairs.select("a", "b").distinct())
+
+
+@query(sql.BANKS)
+def assign_mutual_banks(spark, t):
+    offices, links = t("offices", "links")
+    return assign.mutual_banks(offices, links, "000000001", "S%", least=2, refused=("17", "85"))
+
+
+def _tree_groups(t) -> DataFrame:
+    links, offices, companies = t("links", "offices", "companies")
+    taken = t("doc_lines").select(F.lpad(F.col("line").cast("string"), 9, "0").alias("siren"))
+    return assign.tree_groups(tree.best_mothers(links, LOW_DEGREE), offices, companies, taken, tree.roots)
+
+
+@query(sql.TREE_GROUPS)
+def assign_tree_groups(spark, t):
+    return _tree_groups(t)
+
+
+@query(sql.GROUP_SIZES)
+def assign_group_sizes(spark, t):
+    return _tree_groups(t).groupBy("head").agg(F.count("*").alias("size"))
+
+
+@query(sql.COVERAGE)
+def assign_coverage(spark, t):
+    return assign.coverage(_tree_groups(t), t("legal_units").where("cj is not null"))
+
+
+# --- serving
+
+
+@query(sql.SEARCH)
+def search_ranked(spark, t):
+    companies, units, offices = t("companies", "legal_units", "offices")
+    return serve.search(companies, units, offices, "SOCIETE A")
+
+
+@query(sql.EXPORT_COMPANIES)
+def export_companies(spark, t):
+    return serve.export_companies(_tree_groups(t), t("offices"))
+
+
+@query(sql.EXPORT_LINKS)
+def export_relationships(spark, t):
+    return serve.export_links(_tree_groups(t), t("links"))
+
+
+@query(sql.EXPORT_COVERAGE)
+def export_coverage(spark, t):
+    return serve.export_coverage(_tree_groups(t), t("links"), t("offices"))
+
+
+@query(sql.VALIDATION)
+def export_validation(spark, t):
+    links, companies = t("links", "companies")
+    relations = links.select("parent", "child", F.when(F.col("role") != "71", rules.label(F.col("role"))).alias("proof"))
+    return serve.validate(companies.where("closed is null"), relations)
+
+
+@query(sql.PRIMARY)
+def crm_primary_parent(spark, t):
+    links = tree.open_links(t("links")).groupBy("child", "parent").agg(F.count("*").alias("n"), F.max("opened").alias("opened"))
+    holdings = links.select("child", "parent", F.when(F.col("n") > 1, F.col("n") * 26.0).alias("control"), (F.day("opened") * 3.0).alias("owned"))
+    return serve.primary_parents(holdings)
+
+
+@query(sql.LEVELS)
+def crm_levels(spark, t):
+    return serve.import_levels(tree.open_links(t("links")).where("role = '73'"))
+
+
+# --- documents
+
+
+@query(None)
+def html_text_blocks(spark, t):
+    return html.text_blocks(t("pages"))
+
+
+def _document_lines(t) -> DataFrame:
+    method = F.create_map(*[F.lit(x) for k, v in html.METHODS.items() for x in (v, k)])[F.col("method")]
+    rate = F.regexp_replace(F.format_string("%.2f", F.col("rate") + F.lit(0.25)), r"\.", ",")
+    return t("doc_lines").select("doc", "line", F.concat_ws(" ", "name", F.lit("France"), rate, F.coalesce(method, F.lit("?"))).alias("text"), F.concat_ws(" | ", "name", F.lit("France"), F.concat(rate, F.lit(" %"))).alias("row"))
+
+
+@query(sql.RATE_LINES)
+def doc_line_rates(spark, t):
+    return _document_lines(t).select("doc", "line", *[v.alias(k) for k, v in html.rate_line(F.col("text")).items()])
+
+
+@query(sql.TABLE_LINES)
+def doc_line_table(spark, t):
+    return _document_lines(t).select("doc", "line", *[v.alias(k) for k, v in html.table_line(F.col("row")).items()])
