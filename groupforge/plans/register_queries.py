@@ -413,7 +413,7 @@ def assign_group_parents(spark, t):
 @query(sql.BANKS)
 def assign_mutual_banks(spark, t):
     offices, links = t("offices", "links")
-    return assign.mutual_banks(offices, links, "000000001", "S%", least=2, refused=("17", "85"))
+    return assign.mutual_banks(offices, links, "000000022", "S%", least=1, refused=("17", "85"))
 
 
 def _tree_groups(t) -> DataFrame:
@@ -443,7 +443,7 @@ def assign_coverage(spark, t):
 @query(sql.SEARCH)
 def search_ranked(spark, t):
     companies, units, offices = t("companies", "legal_units", "offices")
-    return serve.search(companies, units, offices, "SOCIETE A")
+    return serve.search(companies, units, offices, "SOCIETE COLD")
 
 
 @query(sql.EXPORT_COMPANIES)
