@@ -80,7 +80,7 @@ def text_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
 #: Methods of consolidation as documents write them.
 METHODS = {"Intégration globale": "IG", "Mise en équivalence": "MEE", "Non consolidée": "NC"}
-RATE_LINE = r"^(.+?) (\p{Lu}[\p{L}' -]*?) (\d{1,3}(?:,\d+)?) (Intégration globale|Mise en équivalence|Non consolidée)$"
+RATE_LINE = r"^(.+) (\p{Lu}[\p{L}'-]*) (\d{1,3}(?:,\d+)?) (Intégration globale|Mise en équivalence|Non consolidée)$"
 
 
 def rate_line(line: Column) -> dict[str, Column]:
