@@ -30,7 +30,7 @@ from .blocks import connect, dealt, whole_units
 from .common import Scratch, components, documents, ship, small_batches
 
 WORDS, PERCENT = 5, 80
-BANDS, ROWS, BATCH, MISS = 40, 6, 16, 1e-5
+BANDS, ROWS, BATCH, MISS = 40, 6, 16, 1e-7
 #: Signature bytes that travel with each band's group, and members of a block in steps 2 and 3.
 FIRST_BYTES, GROUP_BLOCK, CLUSTER_BLOCK = 64, 2000, 400
 

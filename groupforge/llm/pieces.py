@@ -221,7 +221,10 @@ class Encoder:
                 parts.append(self.shown[i])
             parts.append(_from_bytes(bytes(run)))
             out = "".join(parts)
-        return out[1:] if self.m.dummy and out[:1] == " " else out
+        if self.m.dummy and out[:1] == " ":  # the space that encoding put first, if it comes from a piece
+            first = next(i for i in ids if i not in self.m.silent)
+            return out[1:] if self.piece[first][:1] == "▁" else out
+        return out
 
 
 def _from_bytes(data: bytes) -> str:
