@@ -65,6 +65,15 @@ def clear_scratch(spark: SparkSession) -> None:
     s.drop(scratch_dir(spark))
 
 
+#: Rows of a few numbers each that a broadcast may hold (tens of MB); larger sides are shuffled.
+SMALL_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 _SHIPPED: set[str] = set()
 
 

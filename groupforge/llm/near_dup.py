@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import connect, dealt, whole_units
-from .common import Scratch, components, documents, ship, small_batches
+from .common import Scratch, components, documents, if_small, ship, small_batches
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS, BATCH, MISS = 40, 6, 16, 1e-7
@@ -154,8 +154,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     likely = components(scratch, met.mapInArrow(compare, "a long, b long"))
     likely = scratch.stage(likely.withColumnRenamed("component", "cluster"), "clusters")
     sizes = likely.groupBy("cluster").agg(F.count("*").alias("members"))
+    likely = scratch.stage(likely.join(sizes, "cluster").withColumnRenamed("node", "row"), "members")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(likely.join(sizes, "cluster").withColumnRenamed("node", "row"), "row")
+    texts = texts.join(if_small(likely), "row")
     texts = texts.join(marks.select("row", "n", "bytes"), "row")
     units_ = dealt(texts, ["cluster"], "members", "row", cluster_block).select("cluster", "low", "high", "block", "row", "n", "bytes", "text")
 
@@ -192,7 +193,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     away = near_groups(docs, id_col, text_col, **more).where("not kept").select(F.col("row").alias("__groupforge_row"))
     away = Scratch(docs.sparkSession, "near-away").stage(away, "away")
     numbered = docs.withColumn("__groupforge_row", F.monotonically_increasing_id())
-    return numbered.join(away, "__groupforge_row", "left_anti").drop("__groupforge_row")
+    return numbered.join(if_small(away), "__groupforge_row", "left_anti").drop("__groupforge_row")
 
 
 def op9_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
