@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, ranked
+from .common import Scratch, documents, if_small, ranked
 
 BLOCK_BYTES = 4096
 
@@ -109,7 +109,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     away = exact_groups(docs, id_col, text_col, **more).where("not kept").select(F.col("row").alias("__groupforge_row"))
     away = Scratch(docs.sparkSession, "exact-away").stage(away, "away")
     numbered = docs.withColumn("__groupforge_row", F.monotonically_increasing_id())
-    return numbered.join(away, "__groupforge_row", "left_anti").drop("__groupforge_row")
+    return numbered.join(if_small(away), "__groupforge_row", "left_anti").drop("__groupforge_row")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

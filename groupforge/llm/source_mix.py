@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, if_small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST, SEED = 1.5, 2.0, 20
@@ -135,7 +135,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     found = mixture(docs, id_col, text_col, source_col, **more)
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies").cast("int")).alias("__groupforge_times")
     found = Scratch(docs.sparkSession, "mix-copies").stage(found.select(F.col("row").alias("__groupforge_row"), times).where("__groupforge_times > 0"), "copies")
-    numbered = docs.withColumn("__groupforge_row", F.monotonically_increasing_id()).join(found, "__groupforge_row")
+    numbered = docs.withColumn("__groupforge_row", F.monotonically_increasing_id()).join(if_small(found), "__groupforge_row")
     again = numbered.withColumn("__groupforge_copy", F.explode(F.sequence(F.lit(1), F.col("__groupforge_times"))))
     return again.select(*[docs[c] for c in docs.columns])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Recent, Scratch, documents, ship, small_batches
+from .common import Recent, Scratch, documents, if_small, ship, small_batches
 
 SAMPLE, FEATURES, SEED, FOLDS = 12_000, 4_000, 4, 5
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -183,7 +183,7 @@ def not_toxic(docs: DataFrame, model: Classifier, limit: float = 0.5, id_col: st
     away = scored(docs, model, id_col, text_col).where(F.col("score") >= limit).select(F.col("row").alias("__groupforge_row"))
     away = Scratch(docs.sparkSession, "toxic-away").stage(away, "away")
     numbered = docs.withColumn("__groupforge_row", F.monotonically_increasing_id())
-    return numbered.join(away, "__groupforge_row", "left_anti").drop("__groupforge_row")
+    return numbered.join(if_small(away), "__groupforge_row", "left_anti").drop("__groupforge_row")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
