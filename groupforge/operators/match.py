@@ -142,9 +142,9 @@ def brand_hits(named: DataFrame, brands: DataFrame) -> DataFrame:
     words = named.withColumn("words", F.split("name", " "))
     skips = F.aggregate("words", F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, w: F.struct((s["n"] + (s["on"] & F.array_contains(prefix, w)).cast("int")).alias("n"), (s["on"] & F.array_contains(prefix, w)).alias("on")))
     words = words.withColumn("skip", F.explode(F.sequence(F.lit(0), skips["n"])))
-    longest = brands.select(F.max(F.size(F.split("brand", " "))).alias("most"))
-    lengths = F.sequence(F.lit(1), F.least(F.size("words") - F.col("skip"), F.col("most")))
-    begun = words.join(F.broadcast(longest)).where(F.col("skip") < F.size("words")).withColumn("k", F.explode(lengths))
+    most = brands.agg(F.max(F.size(F.split("brand", " ")))).first()[0] or 1
+    lengths = F.sequence(F.lit(1), F.least(F.size("words") - F.col("skip"), F.lit(most)))
+    begun = words.where(F.col("skip") < F.size("words")).withColumn("k", F.explode(lengths))
     begun = begun.select("siren", F.array_join(F.slice("words", F.col("skip") + 1, F.col("k")), " ").alias("brand")).distinct()
     met = begun.join(brands, "brand")
     best = met.groupBy("siren").agg(F.min(F.struct((-F.length("brand")).alias("len"), "seq", "brand", "kind")).alias("b"))

@@ -160,6 +160,87 @@ def expand(offices: DataFrame, companies: DataFrame, links: DataFrame, persons:
     return kept
 
 
+def _in_turn(frame, kept: set[str]):
+    """Reasons of one round's candidates, each seeing those that entered before it in the same round."""
+    import pandas as pd
+
+    out = []
+    for r in frame.sort_values(["seen", "kind", "place", "siren"]).itertuples():
+        roles = [(p, c) for p, c in zip(r.parents, r.roles, strict=True)]
+        inside = [c for p, c in roles if p in kept]
+        strong, medium, weak = (any(c in x for c in inside) for x in (STRONG, MEDIUM, WEAK))
+        members = [p for p, c in roles if c == "11"]
+        cj = "" if pd.isna(r.cj) else str(int(r.cj))
+        is_civil, is_grouping = cj[:1] == "6" and cj[:2] != "62", cj[:2] == "62"
+        reason = None
+        if r.refused or cj[:1] in ("9", "3") or r.controlled is False:
+            pass
+        elif r.controlled is True:
+            reason = "inscrite au périmètre publié du groupe"
+        elif strong:
+            reason = "mandat fort au registre"
+        elif is_grouping and len(members) >= 2 and kept.issuperset(members):
+            reason = "GIE dont tous les membres sont du groupe"
+        elif medium:
+            shared = any(p not in kept and c in STRONG for p, c in roles)
+            if not shared and ((r.people and r.directing) or r.brand or r.at_group):
+                reason = "mandat au registre et indice indépendant"
+        elif weak and r.brand + r.at_group + r.people >= 2:
+            reason = "mandat 'Autre' et deux indices"
+        elif r.sure and not is_civil and not r.tiny_bare:
+            reason = "nom de marque propre au groupe"
+        elif r.brand and (r.people or r.at_group):
+            reason = "nom de marque et second indice"
+        elif r.at_group and (r.people or (r.common >= 1 and not is_civil)):
+            reason = "adresse du groupe et second indice"
+        if r.decision == "ecarter":
+            reason = None
+        elif r.decision == "retenir" and reason is None:
+            reason = "retenue par décision du consultant"
+        if reason:
+            kept.add(r.siren)
+            out.append((r.siren, reason))
+    return pd.DataFrame(out, columns=["siren", "reason"])
+
+
+def expand_in_turn(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, head: str, brands: DataFrame, listed: DataFrame, decisions: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """expand(), but within a round each candidate sees those that entered before it: the register's own order of judgement.
+
+    The rules aren't monotone (a medium mandate of a new member refuses a company that an outside company holds strongly), so the two
+    ways can differ. The order: candidates by the round that first saw them; in it brands (longest first), the published list, links,
+    then addresses; then by id. The joins that gather evidence run in the cluster; one group's candidates of a round are judged in
+    one task, which its pool bounds.
+    """
+    spark = offices.sparkSession
+    kept = cut(spark.createDataFrame([(head, "tête du groupe", 0)], "siren string, reason string, round int"))
+    if decisions is None:
+        decisions = spark.createDataFrame([], "siren string, decision string")
+    edges = open_links(links).groupBy(F.col("child").alias("siren")).agg(F.sort_array(F.collect_list(F.struct("parent", "role"))).alias("edges"))
+    seen = cut(spark.createDataFrame([], "siren string, seen int, kind int, place int"))
+    for n in range(1, max_rounds + 1):
+        wide = cut(evidence_rows(offices, companies, links, persons, kept, brands, listed))
+        kind = F.when(F.col("brand"), 0).when(F.col("controlled"), 1).when(~F.col("controlled"), 2).when(F.col("linked"), 3).otherwise(4)
+        place = F.when(F.col("brand"), -F.coalesce("brand_length", F.lit(0))).otherwise(0)
+        lengths = brands.groupBy("siren").agg(F.max(F.length("brand")).alias("brand_length"))
+        new = wide.join(lengths, "siren", "left").join(seen.select("siren"), "siren", "left_anti")
+        seen = cut(seen.unionByName(new.select("siren", F.lit(n).alias("seen"), kind.alias("kind"), place.cast("int").alias("place"))))
+        words = F.size(F.split(names.norm(F.col("name")), " "))
+        people = ((F.col("common") >= 2) | ((F.col("common") >= 1) & F.col("manager"))) & ~(civil(F.col("cj")) & ~F.col("sure"))
+        tiny_bare = F.coalesce(F.col("band"), F.lit("")).isin("", "NN", "00") & (F.coalesce(F.col("staff"), F.lit(0)) == 0) & (words <= F.col("sure_words_most") + 1)
+        rows = wide.join(seen, "siren").join(edges, "siren", "left").join(decisions, "siren", "left").select(
+            "siren", "cj", "seen", "kind", "place", "controlled", "brand", "sure", "at_group", "common", "directing", "decision", people.alias("people"), F.coalesce(tiny_bare, F.lit(False)).alias("tiny_bare"),
+            names.norm(F.col("name")).rlike(r"^(CSE|COMITE|AMICALE|ASSOCIATION)\b").alias("refused"),
+            F.coalesce(F.transform("edges", lambda e: e["parent"]), F.array().cast("array<string>")).alias("parents"), F.coalesce(F.transform("edges", lambda e: e["role"]), F.array().cast("array<string>")).alias("roles"),
+        )
+        inside = [r[0] for r in kept.select("siren").collect()]  # one group's companies
+        judged = rows.withColumn("group", F.lit(0)).groupBy("group").applyInPandas(lambda frame, known=inside: _in_turn(frame, set(known)), "siren string, reason string")
+        added = cut(judged.select("siren", "reason", F.lit(n).alias("round")))
+        if added.isEmpty():
+            break
+        kept = cut(kept.unionByName(added))
+    return kept
+
+
 def parent_choice(links: DataFrame, retained: DataFrame, head: str) -> DataFrame:
     """siren, mother, proof, confidence: the strongest mandate inside the group, else the head."""
     rank = F.when(F.col("role").isin(list(STRONG)), 0).when(F.col("role").isin(list(WEAK)), 1).otherwise(2)

@@ -189,6 +189,12 @@ def group_fixpoint(spark, t):
     return rules.expand(offices, companies, links, persons, HEAD, cut(_hits(t)), _listed(t), rules.in_force(t("decisions")))
 
 
+@query(None)
+def group_fixpoint_in_turn(spark, t):
+    offices, companies, links, persons = t("offices", "companies", "links", "persons")
+    return rules.expand_in_turn(offices, companies, links, persons, HEAD, cut(_hits(t)), _listed(t), rules.in_force(t("decisions")))
+
+
 def _reasoned(links: DataFrame) -> DataFrame:
     return _group(links).withColumn("reason", F.lit("mandat fort au registre"))
 

@@ -166,6 +166,29 @@ def test_unknown_decision_hides_nothing(spark):
     assert as_dict(rules.in_force(df)) == {"A": ("retenir",), "B": ("ecarter",)}
 
 
+def small_register(spark, offices, edges, brands=()):
+    o = spark.createDataFrame([(x, 5710, f"NAME {x} LONG", "11", f"ADDRESS {a}", "70.22Z") for x, a in offices], "siren string, cj long, name string, band string, address_key string, naf string")
+    c = spark.createDataFrame([(x, 50) for x, _ in offices], "siren string, staff long")
+    p = spark.createDataFrame([], "siren string, person string, role string, closed date")
+    b = spark.createDataFrame(list(brands), "siren string, brand string, kind string")
+    listed = spark.createDataFrame([], "siren string, controlled boolean")
+    return o, c, links(spark, *edges), p, "H", b, listed
+
+
+def test_order_of_judgement_can_matter(spark):
+    """M enters by a strong mandate; X has two hints, a medium mandate of M, and a strong one of an outside company."""
+    given = small_register(spark, [("H", 1), ("M", 1), ("X", 1), ("O", 9)], [("H", "M", "73"), ("M", "X", "65"), ("O", "X", "73")], [("M", "LONGER BRAND", "sure"), ("X", "BRAND", "ambigue")])
+    at_once = as_dict(rules.expand(*given).select("siren", "round"))
+    in_turn = as_dict(rules.expand_in_turn(*given).select("siren", "round"))
+    assert set(in_turn) == {"H", "M"}
+    assert set(at_once) >= {"H", "M"}
+
+
+def test_both_ways_agree_on_chains(spark):
+    given = small_register(spark, [(x, i) for i, x in enumerate("HABCD")], [("H", "A", "73"), ("A", "B", "73"), ("B", "C", "30"), ("H", "D", "65")])
+    assert set(as_dict(rules.expand(*given).select("siren"))) == set(as_dict(rules.expand_in_turn(*given).select("siren"))) == set("HABC")
+
+
 # --- arbitration
 
 
