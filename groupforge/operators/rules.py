@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,11 +163,9 @@ def expand(offices: DataFrame, companies: DataFrame, links: DataFrame, persons:
     return kept
 
 
-def _in_turn(frame, kept: set[str]):
+def _in_turn(frame, kept: frozenset[str]):
     """Reasons of one round's candidates, each seeing those that entered before it in the same round."""
-    import pandas as pd
-
-    out = []
+    out, kept = [], set(kept)
     for r in frame.sort_values(["seen", "kind", "place", "siren"]).itertuples():
         roles = [(p, c) for p, c in zip(r.parents, r.roles, strict=True)]
         inside = [c for p, c in roles if p in kept]
@@ -233,7 +234,7 @@ def expand_in_turn(offices: DataFrame, companies: DataFrame, links: DataFrame, p
             F.coalesce(F.transform("edges", lambda e: e["parent"]), F.array().cast("array<string>")).alias("parents"), F.coalesce(F.transform("edges", lambda e: e["role"]), F.array().cast("array<string>")).alias("roles"),
         )
         inside = [r[0] for r in kept.select("siren").collect()]  # one group's companies
-        judged = rows.withColumn("group", F.lit(0)).groupBy("group").applyInPandas(lambda frame, known=inside: _in_turn(frame, set(known)), "siren string, reason string")
+        judged = rows.withColumn("group", F.lit(0)).groupBy("group").applyInPandas(partial(_in_turn, kept=frozenset(inside)), "siren string, reason string")
         added = cut(judged.select("siren", "reason", F.lit(n).alias("round")))
         if added.isEmpty():
             break
