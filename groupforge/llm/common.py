@@ -65,13 +65,15 @@ def clear_scratch(spark: SparkSession) -> None:
     s.drop(scratch_dir(spark))
 
 
-#: Rows of a few numbers each that a broadcast may hold (tens of MB); larger sides are shuffled.
-SMALL_ROWS = 1_000_000
+#: Numbers that a broadcast may hold, three more counted for each row (tens of MB); larger sides are shuffled.
+SMALL_CELLS = 3_000_000
 
 
-def if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """A written table of narrow rows, marked for broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= rows else df
+def if_small(df: DataFrame, cells: Column | None = None) -> DataFrame:
+    """A written table of numbers, marked for broadcast if it is counted to be small; cells: numbers in a row's arrays."""
+    row = F.lit(len(df.columns) + 3)
+    total = df.agg(F.sum(row if cells is None else row + cells)).first()[0] or 0
+    return F.broadcast(df) if total <= SMALL_CELLS else df
 
 
 _SHIPPED: set[str] = set()

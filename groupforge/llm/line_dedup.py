@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, documents
+from .common import SPACES, Scratch, documents, if_small
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 BATCHES, FAN = 4, 2
@@ -37,13 +37,12 @@ def key(line: Column) -> Column:
 
 
 def _hashed(text: Column, least_chars: int) -> Column:
-    """Places and hashes of a text's lines whose keys are long enough."""
+    """Places and hashes of a text's lines whose keys are long enough; each key is made once."""
 
-    def one(line: Column, place: Column) -> Column:
-        k = key(line)
+    def one(k: Column, place: Column) -> Column:
         return F.struct(place.alias("place"), F.length(k).alias("chars"), F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2"))
 
-    return F.filter(F.transform(lines(text), one), lambda x: x["chars"] >= least_chars)
+    return F.filter(F.transform(F.transform(lines(text), key), one), lambda x: x["chars"] >= least_chars)
 
 
 class Runs:
@@ -133,7 +132,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     places = base.select("row", "id", F.explode_outer(_hashed(F.col("text"), least_chars)).alias("k")).where("k is not null")
     places = places.select("row", "id", "k.place", "k.h1", "k.h2").join(hot, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
     away = scratch.stage(places.groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("away")), "places")
-    met = base.join(away, "row", "left").withColumn("away", F.coalesce("away", F.array().cast("array<int>")))
+    met = base.join(if_small(away, F.size("away")), "row", "left").withColumn("away", F.coalesce("away", F.array().cast("array<int>")))
     met = met.withColumn("all", lines(F.col("text")))
     ends = F.concat(F.array(F.lit(-1)), F.col("away"), F.array(F.size("all")))
     gaps = F.transform(F.sequence(F.lit(0), F.size("away")), lambda i: F.slice(F.col("all"), F.col("ends")[i] + 2, F.col("ends")[i + 1] - F.col("ends")[i] - 1))
