@@ -100,6 +100,9 @@ def last_resort(lines: DataFrame, found: DataFrame, table: DataFrame, links: Dat
     """Step 6 for lines not found: closed companies, compact keys, usual names, then a name that begins a group company's name."""
     inside = group_of(links, found, lines)
     todo = found.where("reason = 'introuvable'").select("doc", "line")
+    first = lines.join(todo, ["doc", "line"], "left_semi").groupBy("doc", "line").agg(F.min_by("name", "position").alias("name"))
+    funds = first.where(F.col("name").rlike(names.FUNDS)).select("doc", "line")
+    todo = todo.join(funds, ["doc", "line"], "left_anti")
     sure = lines.where("not needs_town and not fallback and not acronym").join(todo, ["doc", "line"], "left_semi")
     sure = sure.select("doc", "line", "position", "name", names.key(F.col("name")).alias("key"), names.norm(F.col("town")).alias("city")).where("key <> ''")
     shut = sure.join(table.where("kind = 'closed'").select("key"), "key", "left_semi").select("doc", "line").distinct()
@@ -128,7 +131,9 @@ def last_resort(lines: DataFrame, found: DataFrame, table: DataFrame, links: Dat
     best = best.join(before, (best["doc"] == before["doc"]) & (best["p.siren"] == before["taken"]), "left_anti")
     reasons = F.create_map(F.lit(1), F.lit("compacte"), F.lit(2), F.lit("usuelle"), F.lit(3), F.lit("debut"))
     fresh = conflicts(best.select("doc", "line", "p.name", "p.key", reasons[F.col("p.step")].alias("reason"), "p.siren", "p.carriers"))
-    fresh = fresh.unionByName(shut.select("doc", "line", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("key"), F.lit("fermee").alias("reason"), F.lit(None).cast("string").alias("siren"), F.lit(0).cast("long").alias("carriers")))
+    none = F.lit(None).cast("string")
+    for rows, reason in ((shut, "fermee"), (funds, "fonds")):
+        fresh = fresh.unionByName(rows.select("doc", "line", none.alias("name"), none.alias("key"), F.lit(reason).alias("reason"), none.alias("siren"), F.lit(0).cast("long").alias("carriers")))
     return found.join(fresh.select("doc", "line"), ["doc", "line"], "left_anti").unionByName(fresh)
 
 
@@ -138,13 +143,13 @@ def brand_hits(named: DataFrame, brands: DataFrame) -> DataFrame:
     named: siren, name (normalised). brands: brand (normalised), kind, seq. Beginnings of names are generated up to the longest brand's
     number of words, so the match is an equal join.
     """
-    prefix = F.array(*[F.lit(x) for x in names.PREFIXES])
     words = named.withColumn("words", F.split("name", " "))
-    skips = F.aggregate("words", F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, w: F.struct((s["n"] + (s["on"] & F.array_contains(prefix, w)).cast("int")).alias("n"), (s["on"] & F.array_contains(prefix, w)).alias("on")))
-    words = words.withColumn("skip", F.explode(F.sequence(F.lit(0), skips["n"])))
+    skipped = "^(?:(?:" + "|".join(names.PREFIXES) + ") )*$"
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: (k == 0) | F.concat(F.array_join(F.slice("words", 1, k), " "), F.lit(" ")).rlike(skipped))
+    words = words.withColumn("skip", F.explode(starts))
     most = brands.agg(F.max(F.size(F.split("brand", " ")))).first()[0] or 1
     lengths = F.sequence(F.lit(1), F.least(F.size("words") - F.col("skip"), F.lit(most)))
-    begun = words.where(F.col("skip") < F.size("words")).withColumn("k", F.explode(lengths))
+    begun = words.withColumn("k", F.explode(lengths))
     begun = begun.select("siren", F.array_join(F.slice("words", F.col("skip") + 1, F.col("k")), " ").alias("brand")).distinct()
     met = begun.join(brands, "brand")
     best = met.groupBy("siren").agg(F.min(F.struct((-F.length("brand")).alias("len"), "seq", "brand", "kind")).alias("b"))

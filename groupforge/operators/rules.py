@@ -143,6 +143,12 @@ def entry_reason() -> Column:
     )
 
 
+def _fixed(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, brands: DataFrame) -> tuple[DataFrame, ...]:
+    """What stays the same from round to round, written once."""
+    seats = persons.where("closed is null").select("siren", "person", "role", "closed").distinct()
+    return cut(offices), cut(companies.select("siren", "staff")), cut(open_links(links)), cut(seats), cut(brands)
+
+
 def expand(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, head: str, brands: DataFrame, listed: DataFrame, decisions: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """siren, reason, round: the group of head, grown until a round adds nothing.
 
@@ -150,6 +156,7 @@ def expand(offices: DataFrame, companies: DataFrame, links: DataFrame, persons:
     company out, `retenir` lets a candidate in.
     """
     spark = offices.sparkSession
+    offices, companies, links, persons, brands = _fixed(offices, companies, links, persons, brands)
     kept = cut(spark.createDataFrame([(head, "tête du groupe", 0)], "siren string, reason string, round int"))
     for n in range(1, max_rounds + 1):
         wide = evidence_rows(offices, companies, links, persons, kept, brands, listed).withColumn("reason", entry_reason())
@@ -213,6 +220,7 @@ def expand_in_turn(offices: DataFrame, companies: DataFrame, links: DataFrame, p
     one task, which its pool bounds.
     """
     spark = offices.sparkSession
+    offices, companies, links, persons, brands = _fixed(offices, companies, links, persons, brands)
     kept = cut(spark.createDataFrame([(head, "tête du groupe", 0)], "siren string, reason string, round int"))
     if decisions is None:
         decisions = spark.createDataFrame([], "siren string, decision string")

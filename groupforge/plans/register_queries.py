@@ -11,7 +11,7 @@ from groupforge.functions import names
 from groupforge.operators import assign, changes, closure, match, rules, serve, tree
 from groupforge.plans import register_sql as sql
 from groupforge.plans.storage import cut
-from groupforge.sources import html, register
+from groupforge.sources import html, lists, register
 from groupforge.streaming import deliveries
 
 HEAD, DAY, LOW_DEGREE = "000000000", "2026-01-15", 15
@@ -186,13 +186,13 @@ def decisions_in_force(spark, t):
 @query(None)
 def group_fixpoint(spark, t):
     offices, companies, links, persons = t("offices", "companies", "links", "persons")
-    return rules.expand(offices, companies, links, persons, HEAD, cut(_hits(t)), _listed(t), rules.in_force(t("decisions")))
+    return rules.expand(offices, companies, links, persons, HEAD, _hits(t), _listed(t), rules.in_force(t("decisions")))
 
 
 @query(None)
 def group_fixpoint_in_turn(spark, t):
     offices, companies, links, persons = t("offices", "companies", "links", "persons")
-    return rules.expand_in_turn(offices, companies, links, persons, HEAD, cut(_hits(t)), _listed(t), rules.in_force(t("decisions")))
+    return rules.expand_in_turn(offices, companies, links, persons, HEAD, _hits(t), _listed(t), rules.in_force(t("decisions")))
 
 
 def _reasoned(links: DataFrame) -> DataFrame:
@@ -495,16 +495,48 @@ def html_text_blocks(spark, t):
 
 
 def _document_lines(t) -> DataFrame:
-    method = F.create_map(*[F.lit(x) for k, v in html.METHODS.items() for x in (v, k)])[F.col("method")]
+    """The published lines in each of the formats; methods that a format can't write make no line of it."""
+    words = F.create_map(*[F.lit(x) for k, v in (("IG", "Intégration globale"), ("MEE", "Mise en équivalence"), ("NC", "Opération conjointe")) for x in (k, v)])[F.col("method")]
+    short = F.when(F.col("method") == "NC", "JV").when(F.col("method") != "inconnue", F.col("method"))
     rate = F.regexp_replace(F.format_string("%.2f", F.col("rate") + F.lit(0.25)), r"\.", ",")
-    return t("doc_lines").select("doc", "line", F.concat_ws(" ", "name", F.lit("France"), rate, F.coalesce(method, F.lit("?"))).alias("text"), F.concat_ws(" | ", "name", F.lit("France"), F.concat(rate, F.lit(" %"))).alias("row"))
+    return t("doc_lines").select(
+        "doc", "line", F.concat_ws(" ", "name", F.lit("France"), rate, F.coalesce(words, F.lit("?"))).alias("text"), F.concat_ws(" | ", "name", F.lit("France"), F.concat(rate, F.lit(" %"))).alias("row"),
+        F.concat("name", F.lit(" "), "town", F.lit(", France "), F.coalesce(short, F.lit("?")), F.lit(" "), rate, F.lit(" %")).alias("towned"), F.concat("name", F.lit(", France "), rate, F.lit(" %")).alias("bare"),
+        F.concat_ws(" | ", "name", F.lit("France"), F.lit("99"), rate, F.coalesce(short, F.lit("?")), F.lit("98")).alias("report"),
+    )
 
 
 @query(sql.RATE_LINES)
 def doc_line_rates(spark, t):
-    return _document_lines(t).select("doc", "line", *[v.alias(k) for k, v in html.rate_line(F.col("text")).items()])
+    return _document_lines(t).select("doc", "line", *[v.alias(k) for k, v in lists.rate_line(F.col("text")).items()])
+
+
+@query(sql.TOWN_LINES)
+def doc_line_towns(spark, t):
+    return _document_lines(t).select("doc", "line", *[v.alias(k) for k, v in lists.town_line(lists.clean(F.col("towned"))).items()])
+
+
+@query(sql.BARE_LINES)
+def doc_line_unconsolidated(spark, t):
+    return _document_lines(t).select("doc", "line", *[v.alias(k) for k, v in lists.bare_line(F.col("bare")).items()])
+
+
+@query(sql.REPORT_ROWS)
+def doc_line_report(spark, t):
+    return _document_lines(t).select("doc", "line", *[v.alias(k) for k, v in lists.report_row(F.col("report")).items()])
 
 
 @query(sql.TABLE_LINES)
 def doc_line_table(spark, t):
-    return _document_lines(t).select("doc", "line", *[v.alias(k) for k, v in html.table_line(F.col("row")).items()])
+    return _document_lines(t).select("doc", "line", *[v.alias(k) for k, v in lists.table_line(F.col("row")).items()])
+
+
+@query(sql.DOCUMENTS)
+def doc_whole_lists(spark, t):
+    texts = _document_lines(t).groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return lists.documents(texts).groupBy("doc", "method").agg(F.count("*").alias("n"), F.round(F.sum("rate"), 4).alias("rates"))
+
+
+@query(sql.CONTROLLED)
+def doc_controlled(spark, t):
+    return t("doc_lines").select("doc", "line", match.controlled().alias("controlled"), F.col("name").rlike(names.FUNDS).alias("fund"))

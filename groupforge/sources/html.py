@@ -1,4 +1,4 @@
-"""Text of HTML pages and of published lists."""
+"""Text of HTML pages, a line for each block."""
 
 from __future__ import annotations
 
@@ -76,23 +76,3 @@ def html_lines(html: Column) -> Column:
 def text_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, line, text: the lines of each page."""
     return pages.select(id_col, F.posexplode(html_lines(F.col(html_col))).alias("line", "text"))
-
-
-#: Methods of consolidation as documents write them.
-METHODS = {"Intégration globale": "IG", "Mise en équivalence": "MEE", "Non consolidée": "NC"}
-RATE_LINE = r"^(.+) (\p{Lu}[\p{L}'-]*) (\d{1,3}(?:,\d+)?) (Intégration globale|Mise en équivalence|Non consolidée)$"
-
-
-def rate_line(line: Column) -> dict[str, Column]:
-    """name, country, rate, method of a line `name country rate method`; null if it has another form."""
-    part = lambda i: F.nullif(F.regexp_extract(line, RATE_LINE, i), F.lit(""))
-    method = F.create_map(*[F.lit(x) for p in METHODS.items() for x in p])[part(4)]
-    return {"name": part(1), "country": part(2), "rate": F.regexp_replace(part(3), ",", ".").try_cast("double"), "method": method}
-
-
-def table_line(line: Column) -> dict[str, Column]:
-    """name, country, rate of a table row `name | country | rate`; rows whose rate is no share up to 100 are none."""
-    cells = F.transform(F.split(line, r" \| "), lambda x: F.trim(x))
-    rate = F.regexp_replace(F.regexp_replace(F.get(cells, F.size(cells) - 1), "[% ]", ""), ",", ".").try_cast("double")
-    good = (F.size(cells) >= 3) & (rate >= 0) & (rate <= 100)
-    return {"name": F.when(good, F.get(cells, F.lit(0))), "country": F.when(good, F.get(cells, F.lit(1))), "rate": F.when(good, rate)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groupforge.functions import names
 from groupforge.operators import assign, changes, closure, match, rules, serve, tree
 from groupforge.plans.storage import Versions
-from groupforge.sources import html
+from groupforge.sources import html, lists
 
 LINK = "parent string, child string, role string, opened date, closed date"
 
@@ -254,7 +254,40 @@ def test_html_blocks_and_tables():
 
 def test_rate_and_table_lines(spark):
     df = spark.createDataFrame([("Alphamark Services France 100,00 Intégration globale",), ("nothing here",)], "t string")
-    got = [tuple(r) for r in df.select(*html.rate_line(F.col("t")).values()).collect()]
+    got = [tuple(r) for r in df.select(*lists.rate_line(F.col("t")).values()).collect()]
     assert got == [("Alphamark Services", "France", 100.0, "IG"), (None, None, None, None)]
     rows_ = spark.createDataFrame([("Alpha | France | 51,5 %",), ("Alpha | France | 151",), ("Alpha | 3",)], "t string")
-    assert [tuple(r) for r in rows_.select(*html.table_line(F.col("t")).values()).collect()] == [("Alpha", "France", 51.5), (None, None, None), (None, None, None)]
+    assert [tuple(r) for r in rows_.select(*lists.table_line(F.col("t")).values()).collect()] == [("Alpha", "France", 51.5), (None, None, None), (None, None, None)]
+
+
+def test_whole_documents():
+    text = """Périmètre
+Alpha Services France 100,00 Intégration globale
+Beta Très Longue
+Raison Sociale France 51,5 Mise en équivalence
+Gamma | France | 60 | 55,5 | IG | 60 | 55,5
+Delta Paris, France JV 50 %
+Epsilon Lyon, France 10 %
+
+Sociétés non consolidées
+Zeta Nice, France 12,5 %
+"""
+    assert list(lists.document_rows(text)) == [
+        ("Alpha Services", "France", 100.0, "IG"), ("Beta Très Longue Raison Sociale", "France", 51.5, "MEE"), ("Gamma", "France", 55.5, "IG"), ("Delta Paris", "France", 50.0, "autre"), ("Zeta Nice", "France", 12.5, "NC"),
+    ]
+    assert list(lists.document_rows(None)) == []
+
+
+def test_line_formats(spark):
+    df = spark.createDataFrame([("Moët\u200b Inventé  Épernay,\u00a0France IG 66,5 %",), ("Alpha | France | 60 | 55,5 | ME | x",), ("Zeta Nice, France 12.5%",)], "t string")
+    line = lists.clean(F.col("t"))
+    got = df.select(*[F.struct(*f(line).values()).alias(f.__name__) for f in (lists.town_line, lists.report_row, lists.bare_line)]).collect()
+    assert tuple(got[0].town_line) == ("Moët Inventé Épernay", "France", 66.5, "IG")
+    assert tuple(got[1].report_row) == ("Alpha", "France", 55.5, "MEE")
+    assert tuple(got[2].bare_line) == ("Zeta Nice", "France", 12.5, "NC") and got[2].town_line[0] is None
+
+
+def test_prefix_phrases(spark):
+    named = spark.createDataFrame([("1", "SOCIETE CIVILE IMMOBILIERE ALPHA"), ("2", "CIVILE ALPHA"), ("3", "STE CIVILE SCI ALPHA X")], "siren string, name string")
+    brands = spark.createDataFrame([("ALPHA", "sure", 0)], "brand string, kind string, seq int")
+    assert set(as_dict(match.brand_hits(named, brands))) == {"1", "3"}
