@@ -117,3 +117,14 @@ def same_town(town: Column, city: Column) -> Column:
     """The city itself or one of its numbered districts."""
     rest = F.substring_index(F.substring(town, F.length(city) + 2, F.lit(10_000)), " ", 1)
     return (F.length(city) > 0) & ((town == city) | (F.startswith(town, F.concat(city, F.lit(" "))) & rest.rlike("^[0-9]+$")))
+
+
+def fingerprint(c: Column, secret: bytes) -> Column:
+    """HMAC-SHA-256 of the trimmed upper-case name, in hex. The secret travels in the function, never in the plan's text."""
+    import hashlib
+    import hmac
+
+    def hexed(name: str | None) -> str | None:
+        return None if name is None else hmac.new(secret, name.strip().upper().encode(), hashlib.sha256).hexdigest()
+
+    return F.pandas_udf(lambda names: names.map(hexed), "string")(c)

@@ -80,3 +80,29 @@ def data_date(links: DataFrame, companies: DataFrame) -> DataFrame:
     """The latest date that the register carries."""
     dates = links.select("opened", "closed").unionByName(companies.select("opened", "closed"))
     return dates.agg(F.max(F.greatest("opened", F.coalesce("closed", "opened"))).alias("data_date"))
+
+
+def deposit(registry: DataFrame, new: DataFrame, when: str) -> DataFrame:
+    """head, sha256, since, until, change: one document in force for each head. The same content again changes nothing; another closes the one
+    in force and opens. registry: head, sha256, since, until; new: head, sha256."""
+    now = F.lit(when).cast("timestamp")
+    fresh = new.select("head", "sha256").distinct()
+    in_force = registry.where("until is null").select("head", "sha256")
+    opens = fresh.join(in_force, ["head", "sha256"], "left_anti")
+    closing = opens.select("head").distinct().withColumn("closing", F.lit(True))
+    met = registry.join(closing, "head", "left").withColumn("closes", F.col("until").isNull() & F.coalesce("closing", F.lit(False)))
+    kept = met.select("head", "sha256", "since", F.when(F.col("closes"), now).otherwise(F.col("until")).alias("until"), F.when(F.col("closes"), "closed").otherwise("none").alias("change"))
+    return kept.unionByName(opens.select("head", "sha256", now.alias("since"), F.lit(None).cast("timestamp").alias("until"), F.lit("opened").alias("change")))
+
+
+def days_to_read(last: str, today: str, spark, most: int = 7) -> DataFrame:
+    """day: the days after `last` up to yesterday, at most `most` of the latest."""
+    days = f"select explode(sequence(greatest(date_add(date'{last}', 1), date_add(date'{today}', -{int(most)})), date_add(date'{today}', -1))) as day"
+    return spark.sql(days if last < today else "select date'1970-01-01' as day").where(F.col("day").between(F.lit(last).cast("date") + F.expr("interval 1 day"), F.lit(today).cast("date") - F.expr("interval 1 day")))
+
+
+def fresh(sources: DataFrame, today: str, most: int = 7) -> DataFrame:
+    """source, day, age, fresh: the latest whole day of each source; a date in the future is stale."""
+    last = sources.groupBy("source").agg(F.max("day").alias("day"))
+    age = F.datediff(F.lit(today).cast("date"), F.col("day"))
+    return last.select("source", "day", age.cast("long").alias("age"), age.between(0, most).alias("fresh"))

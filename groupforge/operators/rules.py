@@ -286,3 +286,30 @@ def in_force(decisions: DataFrame) -> DataFrame:
     """siren, decision: the latest by date, then number; unknown values don't hide older ones."""
     known = decisions.where(F.col("decision").isin("retenir", "ecarter"))
     return known.groupBy("siren").agg(F.max_by("decision", F.struct("taken", "number")).alias("decision"))
+
+
+#: Words that may stand before a house's name in an organisation chart.
+HOUSE_WORDS = "SOC|STE|SOCIETE|LES|LE|LA|L"
+
+
+def chart_heads(offices: DataFrame, houses: DataFrame) -> DataFrame:
+    """house, siren: the largest eligible company whose name is a house's or begins with it. houses: house (normalised).
+
+    Beginnings of names are generated, so the match is an equal join. Civil companies, associations and foreign ones don't count.
+    """
+    cj = F.coalesce(F.col("cj").cast("string"), F.lit(""))
+    usable = offices.where(F.col("cj").isNotNull() & ~civil(F.col("cj")) & ~cj.startswith("9") & ~cj.startswith("3"))
+    words = usable.select("siren", F.when(F.col("band") == "NN", F.lit(-1)).otherwise(F.col("band").try_cast("int")).alias("size"), F.split(names.norm(F.col("name")), " ").alias("words"))
+    most = houses.agg(F.max(F.size(F.split("house", " ")))).first()[0] or 1
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: (k == 0) | F.concat(F.array_join(F.slice("words", 1, k), " "), F.lit(" ")).rlike(f"^(({HOUSE_WORDS}) )*$"))
+    begun = words.withColumn("skip", F.explode(starts)).withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.size("words") - F.col("skip"), F.lit(most)))))
+    begun = begun.select("siren", "size", F.array_join(F.slice("words", F.col("skip") + 1, F.col("k")), " ").alias("house")).distinct()
+    best = begun.join(houses.select("house").distinct(), "house").groupBy("house").agg(F.min(F.struct(F.col("size").isNull().alias("none"), (-F.col("size")).alias("size"), "siren")).alias("b"))
+    return best.select("house", F.col("b.siren").alias("siren"))
+
+
+def listed(matched: DataFrame) -> DataFrame:
+    """siren, method, rate: of a company's lines the most controlled one, the first of equals. matched: siren, line, method, rate."""
+    rank = F.when(F.col("method") == "IG", 2).when(F.col("method").isin("NC", "inconnue") & (F.col("rate") > 50), 1).otherwise(0)
+    best = matched.where("siren is not null").groupBy("siren").agg(F.min(F.struct((-rank).alias("rank"), "line", "method", "rate")).alias("b"))
+    return best.select("siren", F.col("b.method").alias("method"), F.col("b.rate").alias("rate"))

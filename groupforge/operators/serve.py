@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groupforge.functions import names
@@ -99,3 +100,58 @@ def import_levels(edges: DataFrame, max_depth: int = 200) -> DataFrame:
         level += 1
     rest = left.withColumn("level", F.lit(None).cast("long"))
     return rest if done is None else done.unionByName(rest)
+
+
+def outline(group: DataFrame, max_depth: int = 200) -> DataFrame:
+    """siren, head, place, below: companies in the order of an outline (a company, then what is below it, by id), with the number below.
+
+    group: siren, head, mother. A company whose mother is not in its group hangs below the head.
+    """
+    inside = group.select(F.col("siren").alias("mother"), F.col("head").alias("mother_head"))
+    rows = group.select("siren", "head", "mother").join(inside, "mother", "left")
+    up = F.when(F.col("siren") == F.col("head"), F.lit(None)).when(F.col("mother_head") == F.col("head"), F.col("mother")).otherwise(F.col("head"))
+    rows = cut(rows.select("siren", "head", up.alias("mother")))
+    done = front = cut(rows.where("mother is null").select("siren", "head", F.col("siren").alias("path")))
+    for _ in range(max_depth):
+        front = cut(rows.join(front.select(F.col("siren").alias("mother"), "path"), "mother").select("siren", "head", F.concat("path", F.lit("/"), "siren").alias("path")))
+        if front.isEmpty():
+            break
+        done = done.unionByName(front)
+    done = cut(done)
+    above = done.select("head", F.explode(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)).alias("siren"))
+    below = above.groupBy("head", "siren").agg(F.count("*").alias("below"))
+    place = F.row_number().over(W.partitionBy("head").orderBy("path"))
+    return done.withColumn("place", place.cast("long")).join(below, ["head", "siren"], "left").select("siren", "head", "place", F.coalesce("below", F.lit(0)).alias("below"))
+
+
+def lifted_parents(edges: DataFrame, imported: DataFrame, max_depth: int = 50) -> DataFrame:
+    """child, parent, share, skipped: of each imported company the nearest imported companies above it, with the share of the first step and the
+    companies that were skipped on the way. edges: parent, child, share. A way that comes back to itself ends."""
+    keep = imported.select(F.col("siren").alias("at")).distinct().withColumn("kept", F.lit(True))
+    up = edges.select(F.col("child").alias("at"), F.col("parent").alias("next"), "share")
+    front = imported.select(F.col("siren").alias("child"), F.col("siren").alias("at"), F.lit(None).cast("double").alias("first"), F.array().cast("array<string>").alias("skipped"))
+    found = None
+    for _ in range(max_depth):
+        step = front.join(up, "at").where((F.col("next") != F.col("child")) & ~F.array_contains("skipped", F.col("next")))
+        step = step.select("child", F.col("next").alias("at"), F.coalesce("first", "share").alias("first"), "skipped").join(keep, "at", "left")
+        step = cut(step)
+        hits = step.where("kept").select("child", F.col("at").alias("parent"), F.col("first").alias("share"), F.array_join("skipped", ">").alias("skipped"))
+        found = hits if found is None else found.unionByName(hits)
+        front = step.where("kept is null").select("child", "at", "first", F.concat("skipped", F.array("at")).alias("skipped"))
+        if front.isEmpty():
+            break
+    return found.distinct()
+
+
+def compare(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """metric, value: companies found, extra and missed against a reference list, and how many have the same mother. Both: siren, mother."""
+    a, b = ours.select("siren", F.col("mother").alias("ours"), F.lit(True).alias("a")), theirs.select("siren", F.col("mother").alias("theirs"), F.lit(True).alias("b"))
+    met = a.join(b, "siren", "full_outer")
+    both = F.col("a") & F.col("b")
+    out = met.agg(F.count_if(both).alias("found"), F.count_if(F.col("b").isNull()).alias("extra"), F.count_if(F.col("a").isNull()).alias("missed"), F.count_if(both & F.col("ours").eqNullSafe(F.col("theirs"))).alias("same_mother"))
+    return out.unpivot([], [F.col(c).cast("long").alias(c) for c in out.columns], "metric", "value")
+
+
+def record_key(siret: Column, siren: Column, own: Column) -> Column:
+    """The first valid of office id, company id and own id."""
+    return F.coalesce(F.when(siret.rlike("^[0-9]{14}$"), siret), F.when(siren.rlike("^[0-9]{9}$"), siren), own)

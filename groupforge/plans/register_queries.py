@@ -11,7 +11,7 @@ from groupforge.functions import names
 from groupforge.operators import assign, changes, closure, match, rules, serve, tree
 from groupforge.plans import register_sql as sql
 from groupforge.plans.storage import cut
-from groupforge.sources import html, lists, register
+from groupforge.sources import html, lists, records, register
 from groupforge.streaming import deliveries
 
 HEAD, DAY, LOW_DEGREE = "000000000", "2026-01-15", 15
@@ -486,6 +486,77 @@ def crm_levels(spark, t):
     return serve.import_levels(tree.open_links(t("links")).where("role = '73'"))
 
 
+@query(sql.OUTLINE)
+def tree_outline(spark, t):
+    return serve.outline(_tree_groups(t))
+
+
+@query(sql.LIFTED)
+def crm_lifted_parents(spark, t):
+    edges = tree.open_links(t("links")).where("role = '73'").groupBy("parent", "child").agg(F.max(F.day("opened") * F.lit(2.0)).alias("share"))
+    return serve.lifted_parents(edges.where("parent < child"), t("offices").where("cj is not null").select("siren"))
+
+
+@query(sql.COMPARE)
+def group_recall(spark, t):
+    links = t("links")
+    return serve.compare(tree.best_mothers(links, LOW_DEGREE).select(F.col("child").alias("siren"), "mother"), tree.best_mothers(links, 4 * LOW_DEGREE).select(F.col("child").alias("siren"), "mother").where("siren <> mother"))
+
+
+@query(sql.RECORD_KEY)
+def crm_record_key(spark, t):
+    siret = F.when(F.col("naf") != "64.20Z", F.col("siret"))
+    return t("offices").select("siren", serve.record_key(siret, F.when(F.col("cj").isNotNull(), F.col("siren")), F.concat(F.lit("own-"), "siren")).alias("record_key"))
+
+
+@query(sql.CHART_HEADS)
+def rule_chart_heads(spark, t):
+    return rules.chart_heads(t("offices"), _brands(t).select(F.col("brand").alias("house")))
+
+
+@query(sql.LISTED)
+def match_listed(spark, t):
+    return rules.listed(_named(t)[2].join(t("doc_lines").select("doc", "line", "method", "rate"), ["doc", "line"]))
+
+
+@query(sql.DEPOSIT)
+def cdc_deposit(spark, t):
+    lines = t("doc_lines")
+    registry = lines.groupBy(F.col("doc").alias("head")).agg(F.sha2(F.max("name"), 256).alias("sha256")).select("head", "sha256", F.lit("2025-01-01").cast("timestamp").alias("since"), F.lit(None).cast("timestamp").alias("until"))
+    new = lines.groupBy(F.col("doc").alias("head")).agg(F.sha2(F.max(F.when(F.col("doc") < "000000002", F.concat("name", F.lit("!"))).otherwise(F.col("name"))), 256).alias("sha256"))
+    out = changes.deposit(registry, new, "2026-01-15 00:00:00")
+    return out.select("head", "sha256", F.col("since").cast("date").cast("string").alias("since"), F.col("until").cast("date").cast("string").alias("until"), "change")
+
+
+@query(sql.FRESH)
+def cdc_freshness(spark, t):
+    sources = t("links").select(F.col("role").alias("source"), F.col("opened").alias("day")).unionByName(t("companies").select(F.col("state").alias("source"), F.col("opened").alias("day")))
+    return changes.fresh(sources, "1998-08-05").select("source", F.col("day").cast("string").alias("day"), "age", "fresh")
+
+
+def _formality_json(t) -> DataFrame:
+    """Records as the feed brings them, from the register's own tables."""
+    powers = tree.open_links(t("links")).groupBy(F.col("child").alias("siren")).agg(F.sort_array(F.collect_list(F.struct(F.lit("ENTREPRISE").alias("typeDePersonne"), F.col("role").alias("roleEntreprise"), F.struct(F.col("parent").alias("siren")).alias("entreprise")))).alias("pouvoirs"))
+    met = t("companies").join(powers, "siren", "left")
+    legal = F.struct(F.struct(F.struct("siren", "denomination", F.col("staff").alias("nombreSalarie")).alias("entreprise")).alias("identite"), F.when(F.col("closed").isNotNull(), F.struct(F.col("closed").alias("dateRadiation"))).alias("detailCessationEntreprise"), F.struct("pouvoirs").alias("composition"))
+    formality = F.struct("siren", F.col("commercial").alias("diffusionCommerciale"), F.struct(legal.alias("personneMorale")).alias("content"))
+    text = F.to_json(F.struct("siren", formality.alias("formality")))
+    return met.select(F.when(F.col("state") == "C", F.substring(text, 1, 40)).otherwise(text).alias("json"))
+
+
+@query(sql.FORMALITY)
+def reg_formalities(spark, t):
+    found = records.formalities(_formality_json(t)).where("valid")
+    return found.select("siren", "denomination", "commercial", "staff", "struck", F.size("edges").cast("long").alias("edges"))
+
+
+@query(sql.PERIODS)
+def reg_current_period(spark, t):
+    periods = t("links").groupBy(F.col("child").alias("siren")).agg(F.sort_array(F.collect_list(F.struct(F.col("opened").alias("began"), F.col("closed").alias("ended"), "role", "parent"))).alias("periods"))
+    now = records.current_period(F.col("periods"))
+    return periods.select("siren", now["began"].cast("string").alias("began"), now["ended"].cast("string").alias("ended"), now["role"].alias("role"))
+
+
 # --- documents
 
 

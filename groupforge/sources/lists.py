@@ -70,48 +70,63 @@ def clean(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(line, "[‐‑]", "-"), "[\\s\u00a0\u202f\u2009]+", " "))
 
 
-_COUNTRY = r"([A-ZÀ-Ý][\w'’-]*)"
-_PATTERNS = [
-    (re.compile(TABLE_ROW), lambda m: (m[1], m[2], m[3], (SHORT | {"NC": "NC"})[m[4]])),
-    (re.compile(rf"^(.+) {_COUNTRY} ({RATE}) ({'|'.join(LONG)})$"), lambda m: (m[1], m[2], m[3], LONG[m[4]])),
-    (re.compile(TOWN_LINE), lambda m: (m[1], m[2], m[4], SHORT[m[3]])),
-]
-_BARE, _TITLE, _ENDS = re.compile(BARE_LINE), re.compile(BARE_TITLE), re.compile(rf"(?:%|{'|'.join(LONG)}|\|.*)$")
-
-
-def document_rows(text: str | None) -> Iterator[tuple[str, str, float, str]]:
-    """name, country, rate, method of each company line. A line that ends in no format is held back and put before the next, up to two
-    lines; the list after its title has no methods."""
-    held: list[str] = []
-    bare = False
-    for raw in (text or "").splitlines():
-        line = " ".join(raw.split())
-        if not line:
-            held = []
-            continue
-        if _TITLE.search(line):
-            bare, held = True, []
-            continue
-        for k in range(len(held) + 1):  # alone first, then with one and two lines before it
-            joined = " ".join([*held[len(held) - k :], line])
-            row = next((make(m) for p, make in _PATTERNS if (m := p.match(joined))), None)
-            if row is None and bare and (m := _BARE.match(joined)):
-                row = (m[1], m[2], m[3], "NC")
-            if row:
-                yield row[0].strip(), row[1].strip(), float(row[2].replace(",", ".")), row[3]
-                held = []
-                break
+_ROW = re.compile(TABLE_ROW)
+_WORDS = re.compile(rf"^(.+) ([A-ZÀ-Ý][\w'’-]*) ({RATE}) ({'|'.join(LONG)})$")
+_TOWN, _BARE, _TITLE = re.compile(TOWN_LINE), re.compile(BARE_LINE), re.compile(BARE_TITLE)
+_FOREIGN = re.compile(rf" {RATE} (?:{'|'.join(LONG)})$")
+
+
+def _company(line: str, bare: bool) -> tuple[str, str, str, str] | None:
+    """name, country, rate, method of one line that is no table row."""
+    if m := _WORDS.match(line):
+        return m[1], m[2], m[3], LONG[m[4]]
+    if m := _TOWN.match(line):
+        return m[1], m[2], m[4], SHORT[m[3]]
+    if bare and (m := _BARE.match(line)):
+        return m[1], m[2], m[3], "NC"
+    return None
+
+
+def document_rows(text: str | None) -> Iterator[tuple[list[str], str, float, str]]:
+    """names, country, rate, method of each company line.
+
+    A name may be broken over lines: names are the line's own, then with one and with two lines of plain text right before it. A line that
+    ends in a comma may go on in the next one or two. Rows of tables stand alone. Lines without methods count after their title only.
+    """
+    lines = [x for raw in (text or "").splitlines() if (x := " ".join(raw.split())) and not x.isdigit()]
+    before: list[str] = []
+    bare, at = False, 0
+    while at < len(lines):
+        line, used = lines[at], 1
+        if m := _ROW.match(line):
+            found, before = (m[1], m[2], m[3], (SHORT | {"NC": "NC"})[m[4]]), []
         else:
-            held = [] if _ENDS.search(line) else [*held, line][-LOOK_BACK:]
+            line = " ".join(c.strip() for c in line.split("|") if c.strip())
+            bare = bare or bool(_TITLE.search(line))
+            found = _company(line, bare)
+            for more in range(2, LOOK_BACK + 2) if line.endswith(",") else ():
+                joined = _TOWN.match(" ".join([line, *lines[at + 1 : at + more]]))
+                if joined and joined[1] == line[:-1]:
+                    found, used = (joined[1], joined[2], joined[4], SHORT[joined[3]]), more
+                    break
+        if found:
+            name, country, rate, method = found
+            yield [name.strip(), *(" ".join([*before[-k:], name.strip()]) for k in range(1, len(before) + 1))], country.strip(), float(rate.replace(",", ".")), method
+            before = []
+        elif _FOREIGN.search(line):
+            before = []
+        else:
+            before = [*before, line][-LOOK_BACK:]
+        at += used
 
 
 def documents(docs: DataFrame, id_col: str = "doc", text_col: str = "text") -> DataFrame:
-    """id, line, name, country, rate, method of each document; a document is read as a whole in one task."""
+    """id, line, names, country, rate, method of each document; a document is read as a whole in one task."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = [(i, n, *r) for i, t in zip(f[id_col], f[text_col], strict=True) for n, r in enumerate(document_rows(t))]
-            yield pd.DataFrame(rows, columns=[id_col, "line", "name", "country", "rate", "method"])
+            yield pd.DataFrame(rows, columns=[id_col, "line", "names", "country", "rate", "method"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(read, f"{id_col} {kind}, line int, name string, country string, rate double, method string")
+    return docs.select(id_col, text_col).mapInPandas(read, f"{id_col} {kind}, line int, names array<string>, country string, rate double, method string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groupforge.functions import names
 from groupforge.operators import assign, changes, closure, match, rules, serve, tree
 from groupforge.plans.storage import Versions
-from groupforge.sources import html, lists
+from groupforge.sources import exports, html, lists, records
 
 LINK = "parent string, child string, role string, opened date, closed date"
 
@@ -267,13 +267,19 @@ Beta Très Longue
 Raison Sociale France 51,5 Mise en équivalence
 Gamma | France | 60 | 55,5 | IG | 60 | 55,5
 Delta Paris, France JV 50 %
+Eta Vannes,
+France MEE
+40 %
+12
 Epsilon Lyon, France 10 %
 
 Sociétés non consolidées
 Zeta Nice, France 12,5 %
 """
     assert list(lists.document_rows(text)) == [
-        ("Alpha Services", "France", 100.0, "IG"), ("Beta Très Longue Raison Sociale", "France", 51.5, "MEE"), ("Gamma", "France", 55.5, "IG"), ("Delta Paris", "France", 50.0, "autre"), ("Zeta Nice", "France", 12.5, "NC"),
+        (["Alpha Services", "Périmètre Alpha Services"], "France", 100.0, "IG"), (["Raison Sociale", "Beta Très Longue Raison Sociale"], "France", 51.5, "MEE"), (["Gamma"], "France", 55.5, "IG"),
+        (["Delta Paris"], "France", 50.0, "autre"), (["Eta Vannes"], "France", 40.0, "MEE"),
+        (["Zeta Nice", "Sociétés non consolidées Zeta Nice", "Epsilon Lyon, France 10 % Sociétés non consolidées Zeta Nice"], "France", 12.5, "NC"),
     ]
     assert list(lists.document_rows(None)) == []
 
@@ -291,3 +297,77 @@ def test_prefix_phrases(spark):
     named = spark.createDataFrame([("1", "SOCIETE CIVILE IMMOBILIERE ALPHA"), ("2", "CIVILE ALPHA"), ("3", "STE CIVILE SCI ALPHA X")], "siren string, name string")
     brands = spark.createDataFrame([("ALPHA", "sure", 0)], "brand string, kind string, seq int")
     assert set(as_dict(match.brand_hits(named, brands))) == {"1", "3"}
+
+
+# --- sources and sinks
+
+
+def test_page_feed_resumes(spark, tmp_path):
+    import json
+
+    pages, out = tmp_path / "pages", str(tmp_path / "out")
+    pages.mkdir()
+    for cursor, after in (("0", "a"), ("a", None)):
+        (pages / f"{cursor}.json").write_text(json.dumps({"next": after, "rows": [{"siren": f"{cursor}{k}"} for k in range(2)]}))
+    spark.dataSource.register(records.PageFeed)
+
+    def run():
+        stream = spark.readStream.format("pagefeed").option("path", str(pages)).load()
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-at").start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted(json.loads(r.row)["siren"] for r in spark.read.parquet(out).collect())
+
+    assert run() == ["00", "01", "a0", "a1"]
+    (pages / "a-end.json").write_text(json.dumps({"next": None, "rows": [{"siren": "z"}]}))
+    assert run() == ["00", "01", "a0", "a1", "z"]
+
+
+def test_csv_separators(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffSiren;Nom\n1;A, B\n", encoding="utf-8")
+    assert [tuple(r) for r in records.read_csv(spark, str(tmp_path / "a.csv"), ("siren",)).collect()] == [("1", "A, B")]
+    with pytest.raises(ValueError, match="pays"):
+        records.read_csv(spark, str(tmp_path / "a.csv"), ("pays",))
+
+
+def test_documents(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "plain.txt").write_text("Alpha France")
+    (tmp_path / "page.html").write_text("<p>One</p><p>Two</p>")
+    (tmp_path / "scan.pdf").write_bytes(b"%PDF-1.7 x")
+    with zipfile.ZipFile(tmp_path / "report.zip", "w") as z:
+        z.writestr("x/reports/r.xhtml", "<p>Zipped</p>")
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.problem is not None) for r in records.documents(spark, str(tmp_path)).collect()}
+    assert got == {"plain.txt": ("Alpha France", False), "page.html": ("One\nTwo", False), "scan.pdf": (None, True), "report.zip": ("Zipped", False)}
+
+
+def test_formalities(spark):
+    good = '{"siren":"1","formality":{"siren":"1","diffusionCommerciale":false,"content":{"personneMorale":{"identite":{"entreprise":{"denomination":"A","nombreSalarie":3}},"composition":{"pouvoirs":[{"typeDePersonne":"ENTREPRISE","roleEntreprise":"73","entreprise":{"siren":"9"}},{"typeDePersonne":"ENTREPRISE","actif":false,"roleEntreprise":"30","entreprise":{"siren":"8"}},{"typeDePersonne":"INDIVIDU","roleEntreprise":"30","individu":{"descriptionPersonne":{"nom":"Doe","prenoms":["Jo"],"dateDeNaissance":"1970-05-01"}}}]}}}}}'
+    rows = records.formalities(spark.createDataFrame([(good,), ("{broken",), ('{"siren":"2","formality":{"content":{}}}',), (None,)], "json string")).collect()
+    assert [r.valid for r in rows] == [True, False, False, False]
+    assert [tuple(e) for e in rows[0].edges] == [("9", "73")] and [tuple(e) for e in rows[0].seats] == [("DOE|JO|1970-05", "30")]
+
+
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([("=1+1", 2), (None, 3)], "a string, b long")
+    assert exports.zipped({"t": df}) == exports.zipped({"t": df.orderBy("b")})
+    exports.spreadsheet_csv(df.coalesce(1), str(tmp_path / "x"))
+    text = next((tmp_path / "x").glob("part-*")).read_bytes().decode()
+    assert text.startswith("\ufeffa;b\r\n") and "'=1+1;2\r\n" in text
+
+
+def test_fingerprint(spark):
+    import hashlib
+    import hmac
+
+    df = spark.createDataFrame([(" Doe ",), (None,)], "n string")
+    got = [r[0] for r in df.select(names.fingerprint(F.col("n"), b"key")).collect()]
+    assert got == [hmac.new(b"key", b"DOE", hashlib.sha256).hexdigest(), None]
+
+
+def test_days_to_read(spark):
+    days = [str(r[0]) for r in changes.days_to_read("2026-01-10", "2026-01-14", spark).collect()]
+    assert days == ["2026-01-11", "2026-01-12", "2026-01-13"]
+    assert changes.days_to_read("2026-01-13", "2026-01-14", spark).count() == 0
+    assert changes.days_to_read("2025-01-01", "2026-01-14", spark).count() == 7
