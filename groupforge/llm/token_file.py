@@ -39,8 +39,8 @@ END_ID, MAX_BITS, BLOCK_TOKENS, STEP = 2, 20, 1 << 17, 128
 class WordEncoder:
     """The tokenizers library behind caches of pre-tokens, for files whose texts split at white space; else the library alone.
 
-    Texts of plain characters (below U+0300, where lower-casing is by character and NFC changes nothing) are cut by the file's
-    own pattern; other texts are cut at white space, and each word goes through the whole library.
+    Texts are cut at white space. Words of plain texts (characters below U+0300, where lower-casing is by character and NFC changes
+    nothing) are cut by the file's own pattern, and each part is merged; words of other texts go through the whole library.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -57,12 +57,14 @@ class WordEncoder:
         if self.words:
             special = "|".join(re.escape(x["content"]) for x in data["added_tokens"]) or r"(?!)"
             self.odd = re.compile(rf"[\x1c-\x1f\u0130\u0300-\U0010ffff]|{special}").search
+            self.marks = ["\x1c", "\x1d", "\x1e", "\x1f", *(x["content"] for x in data["added_tokens"])]
             self.find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+").findall
             self.spaced = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
             printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
             rest = iter(range(256, 512))
             self.shown = [chr(b) if b in set(printable) else chr(next(rest)) for b in range(256)]
-            self.tokens = Recent(self._token, 300_000)
+            self.tokens = Recent(self._token, 200_000)
+            self.plain_words = Recent(lambda word: b"".join(map(self.tokens.__getitem__, self.find(word))), 300_000)
             self.any_words = Recent(self._word, 100_000)
 
     def _splits_at_spaces(self, data: dict) -> bool:
@@ -92,9 +94,16 @@ class WordEncoder:
             return b""
         if not self.words:
             return self._word(text)
-        if self.odd(text):
-            return b"".join(map(self.any_words.__getitem__, self.spaced(text)))
-        return b"".join(map(self.tokens.__getitem__, self.find(text.lower())))
+        if self._plain(text):
+            return b"".join(map(self.plain_words.__getitem__, text.lower().split()))
+        return b"".join(map(self.any_words.__getitem__, self.spaced(text)))
+
+    def _plain(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")  # far faster than a search, where it says yes
+        except UnicodeEncodeError:
+            return not self.odd(text)
+        return not any(x in text for x in self.marks)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
