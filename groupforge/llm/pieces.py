@@ -103,7 +103,7 @@ class Merger:
 class Encoder:
     """Encodes and decodes with the prefix table; one in each worker process."""
 
-    def __init__(self, model: PieceModel, cached: int = 200_000):
+    def __init__(self, model: PieceModel, cached: int = 150_000):
         self.m = model
         self.find = re.compile(model.pattern).findall
         self.merger = Merger(model)
@@ -139,7 +139,7 @@ class Encoder:
     def compatible(self, a: int, b: int) -> bool:
         key = a << 32 | b
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= 500_000:
+            if len(self.pairs) >= 300_000:
                 self.pairs.clear()
             known = self.pairs[key] = self._compatible(a, b)
         return known
@@ -244,7 +244,7 @@ def _from_bytes(data: bytes) -> str:
 class Counter:
     """Counts tokens: strings proved to encode alone as one token count at once, the rest is merged by the library."""
 
-    def __init__(self, model: PieceModel, whole: frozenset[str] | set[str], cached: int = 400_000):
+    def __init__(self, model: PieceModel, whole: frozenset[str] | set[str], cached: int = 250_000):
         self.m, self.cached = model, cached
         self.find = re.compile(model.pattern).findall
         self.whole = dict.fromkeys(whole, 1)

@@ -95,7 +95,7 @@ def log_ratio(a: Column, b: Column, na: float, nb: float) -> Column:
 class Classifier:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.known = Recent(lambda w: [x for x in parts(w) if x in weights or f"{x}*" in weights], 300_000)
+        self.known = Recent(lambda w: tuple(x for x in parts(w) if x in weights or f"{x}*" in weights), 100_000)
 
     def score(self, text: str | None) -> float:
         seen: dict[str, int] = {}
