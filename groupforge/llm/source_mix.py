@@ -3,8 +3,11 @@
 A document's size is its number of words. Each source gets a target: its weight's share of the whole budget, stopped at
 `most` times its size, the excess going to the other sources by weight until none is above. A source takes all its documents
 as often as the target holds them whole; the remaining budget is fitted over the counts of documents by exact length: a
-proportional part of every length, then longest first, then a bounded-knapsack table for the last words. Which documents of
-a length are taken follows a seeded hash of the id.
+proportional part of every length, then longest first, then a bounded-knapsack table for the last words. Where that misses
+the budget, a second table does not keep what was taken: up to SWAP_WORDS it holds every sum up to the budget, beyond that
+every sum that exchanges of documents make within half of SWAP_WORDS of it. The sum is the best reachable one for budgets
+up to SWAP_WORDS, and beyond them where w * (w + 1) for the longest document w is at most half of that (lengths and budgets
+divided by the lengths' common divisor). Which documents of a length are taken follows a seeded hash of the id.
 
 Nothing is ordered in one task: the hash is cut into ranges, whole ranges are taken by their counts, and only documents of
 the one range that a count cuts are numbered. On the driver: one row per source.
@@ -15,6 +18,7 @@ in order. Repeated rows are documents of their own. An empty table gives an empt
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST, SEED = 1.5, 2.0, 20
 #: Words that the knapsack table fits; what exceeds them is taken longest first.
 TABLE_WORDS = 1 << 16
+#: Sums that the table of exchanges holds, at five bytes each.
+SWAP_WORDS = 1 << 24
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -48,7 +54,50 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
     return out
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, table: int = TABLE_WORDS) -> list[int]:
+def exchanged(lengths: list[int], counts: list[int], take: list[int], budget: int, swap: int = SWAP_WORDS) -> list[int]:
+    """The counts whose words come closest to the budget from below, of all that the table reaches from `take`.
+
+    A closest solution that differs least from `take` differs by at most 2 * w documents (w: the longest length): in an order
+    whose partial sums stay within w (Steinitz) none repeats. So w * (w + 1) words either way hold one.
+    """
+    g = math.gcd(*lengths)
+    lengths, budget = [n // g for n in lengths], budget // g
+    if budget <= swap:
+        take, low, high = [0] * len(take), 0, budget
+        goal = budget
+    else:
+        goal = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
+        low, high = -(swap // 2), max(goal, swap // 2)
+    # first[s - low]: the step that made the sum s; a step adds or takes away some documents of one length
+    first = np.full(high - low + 1, -1, dtype=np.int32)
+    made = np.zeros(high - low + 1, dtype=bool)
+    made[-low], least, most = True, -low, -low
+    steps = []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        for sign, free in ((1, counts[i] - take[i]), (-1, take[i])):
+            free, part = min(free, (high - low) // lengths[i]), 1
+            while free and not made[goal - low]:
+                k = min(part, free)
+                by = sign * k * lengths[i]
+                a, b = max(least, -by, 0), min(most, high - low - by, high - low)
+                if a <= b:
+                    new = np.flatnonzero(made[a : b + 1] & ~made[a + by : b + by + 1]) + (a + by)
+                    if len(new):
+                        made[new], first[new] = True, len(steps)
+                        least, most = min(least, int(new[0])), max(most, int(new[-1]))
+                        steps.append((i, sign * k))
+                free -= k
+                part *= 2
+    at = int(np.flatnonzero(made[: goal - low + 1])[-1])
+    take = list(take)
+    while first[at] >= 0:
+        i, k = steps[first[at]]
+        take[i] += k
+        at -= k * lengths[i]
+    return take
+
+
+def fit(lengths: list[int], counts: list[int], budget: int, table: int = TABLE_WORDS, swap: int = SWAP_WORDS) -> list[int]:
     """How many documents of each length to take once, so that their words come to the budget or just below."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
@@ -81,6 +130,8 @@ def fit(lengths: list[int], counts: list[int], budget: int, table: int = TABLE_W
         if not before >> at & 1:
             take[i] += k
             at -= k * lengths[i]
+    if max(budget, 0) - sum(n * t for n, t in zip(lengths, take, strict=True)) >= math.gcd(*lengths):
+        take = exchanged(lengths, counts, take, budget, swap)
     return take
 
 

@@ -160,6 +160,29 @@ def test_fit_of_large_budgets_is_close():
         assert sum(a * b for a, b in zip(lengths, source_mix.fit(lengths, counts, budget), strict=True)) == budget
 
 
+def words_of(lengths, take):
+    return sum(a * b for a, b in zip(lengths, take, strict=True))
+
+
+def test_fit_with_a_document_that_holds_most_of_a_source():
+    for lengths, counts, budget in (([250, 200_000], [400, 1], 240_000), ([250, 60_000], [120, 1], 72_000), ([250, 130_000, 200_000], [10, 2, 1], 260_000)):
+        take = source_mix.fit(lengths, counts, budget)
+        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True)) and words_of(lengths, take) == budget
+
+
+@pytest.mark.parametrize("swap", [source_mix.SWAP_WORDS, 2 * 90 * 90])
+@pytest.mark.parametrize("seed", range(8))
+def test_fit_comes_to_the_best_reachable_sum(seed, swap):
+    rnd = random.Random(seed)
+    lengths = sorted(rnd.sample(range(7, 60), 3)) + [90]
+    counts = [rnd.randint(1, 12) for _ in lengths[:-1]] + [rnd.choice([1, 2, 400])]
+    sums = np.array(sorted({words_of(lengths, k) for k in itertools.product(*[range(c + 1) for c in counts])}))
+    for budget in range(0, int(sums[-1]) + 2, 7 if sums[-1] < 20_000 else 501):
+        take = source_mix.fit(lengths, counts, budget, table=64, swap=swap)
+        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+        assert words_of(lengths, take) == sums[np.searchsorted(sums, budget, "right") - 1]
+
+
 def test_mixture(spark, tmp_path):
     rnd = random.Random(4)
     rows = [(i, " ".join(["w"] * rnd.randint(0, 40)), rnd.choice(["a", "b", "hot", "hot", "hot", None]), 1) for i in range(600)] + [(700, None, "a", 1), (701, "", "empty", 1), (5, "x y", "hot", 1), (5, "x y", "hot", 1), (None, "x", "b", 1)]
