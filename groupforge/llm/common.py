@@ -59,6 +59,20 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A row's number, stored in a written table: two scans of the same files may number rows differently, as splits follow the live cores.
+ROW = "__groupforge_row"
+
+
+def row_number(docs: DataFrame) -> Column:
+    """The stored number where docs has one; else a number of this scan alone, to be written before it is met with anything."""
+    return F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+
+
+def numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """docs with a stored row number, written once, so that later scans give each row the same one."""
+    return docs if ROW in docs.columns else scratch.stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes every scratch table; results that still read one must have been written before."""
     s = Scratch(spark, "clear")

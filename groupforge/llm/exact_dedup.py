@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, if_small, ranked
+from .common import ROW, Scratch, documents, if_small, numbered, ranked, row_number
 
 BLOCK_BYTES = 4096
 
@@ -45,12 +45,16 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of docs: row (its place in the scan), id, text_sha256, depth and name: equal for equal texts only."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "exact")
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    cut = _blocks(base.withColumn("row", F.monotonically_increasing_id()), "_text", block_bytes)
-    rows = cut.select("row", "id", F.sha2("_data", 256).alias("sha"), "_n", F.posexplode_outer("_cut").alias("pos", "block"))
+    base = docs.select(row_number(docs).alias(ROW), F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     h1, h2 = _hashes(F.col("block"), hash_bits)
-    first = F.when(F.col("pos") == 0, F.col("sha"))
-    rows = scratch.stage(rows.select("row", "id", first.alias("sha"), F.col("_n").alias("n"), "pos", h1.alias("h1"), h2.alias("h2")), "blocks")
+
+    def places() -> DataFrame:
+        cut = _blocks(base.withColumnRenamed(ROW, "row"), "_text", block_bytes)
+        rows = cut.select("row", "id", F.sha2("_data", 256).alias("sha"), "_n", F.posexplode_outer("_cut").alias("pos", "block"))
+        first = F.when(F.col("pos") == 0, F.col("sha"))
+        return scratch.stage(rows.select("row", "id", first.alias("sha"), F.col("_n").alias("n"), "pos", h1.alias("h1"), h2.alias("h2")), "blocks")
+
+    rows = places()
 
     def contents() -> DataFrame:
         return _blocks(base, "_text", block_bytes).select(F.explode_outer("_cut").alias("block")).select(h1.alias("h1"), h2.alias("h2"), "block")
@@ -62,12 +66,15 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         names = variants.select("h1", "h2")
         names = ranked(spark, names, ["h1", "h2"], "name")
         level = rows.join(names, ["h1", "h2"])
-    else:  # named by content where a hash stands for several blocks
+    else:  # named by content where a hash stands for several blocks; texts meet their rows again, so the numbers are stored
+        if ROW not in docs.columns:
+            base = scratch.stage(base, "numbered")
+            rows = places()
         alike = contents().join(shared, ["h1", "h2"], "left_semi").distinct()
         alone = variants.where("variants = 1").select("h1", "h2", F.lit(None).cast("binary").alias("block"))
         names = scratch.stage(ranked(spark, alone.unionByName(alike), ["h1", "h2", "block"], "name"), "names")
         plain = rows.join(names.where("block is null").select("h1", "h2", "name"), ["h1", "h2"])
-        again = _blocks(base.withColumn("row", F.monotonically_increasing_id()), "_text", block_bytes)
+        again = _blocks(base.withColumnRenamed(ROW, "row"), "_text", block_bytes)
         again = again.select("row", F.posexplode_outer("_cut").alias("pos", "block")).withColumn("h1", h1).withColumn("h2", h2)
         again = again.join(names.where("block is not null"), ["h1", "h2", "block"]).select("row", "pos", "name")
         level = plain.unionByName(rows.join(again, ["row", "pos"]).select(*plain.columns))
@@ -105,11 +112,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs without its rows that repeat another's text; all columns stay. docs must be a scan of written files."""
-    away = exact_groups(docs, id_col, text_col, **more).where("not kept").select(F.col("row").alias("__groupforge_row"))
-    away = Scratch(docs.sparkSession, "exact-away").stage(away, "away")
-    numbered = docs.withColumn("__groupforge_row", F.monotonically_increasing_id())
-    return numbered.join(if_small(away), "__groupforge_row", "left_anti").drop("__groupforge_row")
+    """docs without its rows that repeat another's text; all columns stay."""
+    scratch = Scratch(docs.sparkSession, "exact-away")
+    docs = numbered(scratch, docs)
+    away = exact_groups(docs, id_col, text_col, **more).where("not kept").select(F.col("row").alias(ROW))
+    return docs.join(if_small(scratch.stage(away, "away")), ROW, "left_anti").drop(ROW)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, documents, if_small
+from .common import ROW, SPACES, Scratch, documents, if_small, numbered
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 BATCHES, FAN = 4, 2
@@ -128,7 +128,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     hot = frequent(docs, id_col, text_col, least_chars, scratch=scratch, **more)
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = numbered(scratch, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).withColumnRenamed(ROW, "row")
     places = base.select("row", "id", F.explode_outer(_hashed(F.col("text"), least_chars)).alias("k")).where("k is not null")
     places = places.select("row", "id", "k.place", "k.h1", "k.h2").join(hot, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
     away = scratch.stage(places.groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("away")), "places")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import connect, dealt, whole_units
-from .common import Scratch, components, documents, if_small, ship, small_batches
+from .common import ROW, Scratch, components, documents, if_small, numbered, row_number, ship, small_batches
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS, BATCH, MISS = 40, 6, 16, 1e-7
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "n", "one", "two", "bands", "bytes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(row_number(docs).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(run, f"row long, id {kind}, n long, one long, two long, bands array<long>, bytes binary")
 
 
@@ -133,7 +133,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of docs: row, id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    marks = scratch.stage(signatures(docs, id_col, text_col, words), "marks")
+    named = docs.select(*[ROW for c in docs.columns if c == ROW], F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = numbered(scratch, named)
+    marks = scratch.stage(signatures(docs, "id", "text", words), "marks")
     least = least_equal(BANDS * ROWS, similarity=percent / 100, miss=miss)
 
     classes = marks.where("n > 0").groupBy("one", "two", "n").agg(F.min("row").alias("row"))
@@ -155,7 +157,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     likely = scratch.stage(likely.withColumnRenamed("component", "cluster"), "clusters")
     sizes = likely.groupBy("cluster").agg(F.count("*").alias("members"))
     likely = scratch.stage(likely.join(sizes, "cluster").withColumnRenamed("node", "row"), "members")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(ROW).alias("row"), "text")
     texts = texts.join(if_small(likely), "row")
     texts = texts.join(marks.select("row", "n", "bytes"), "row")
     units_ = dealt(texts, ["cluster"], "members", "row", cluster_block).select("cluster", "low", "high", "block", "row", "n", "bytes", "text")
@@ -189,11 +191,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs with one row of each component; all columns stay. docs must be a scan of written files."""
-    away = near_groups(docs, id_col, text_col, **more).where("not kept").select(F.col("row").alias("__groupforge_row"))
-    away = Scratch(docs.sparkSession, "near-away").stage(away, "away")
-    numbered = docs.withColumn("__groupforge_row", F.monotonically_increasing_id())
-    return numbered.join(if_small(away), "__groupforge_row", "left_anti").drop("__groupforge_row")
+    """docs with one row of each component; all columns stay."""
+    scratch = Scratch(docs.sparkSession, "near-away")
+    docs = numbered(scratch, docs)
+    away = near_groups(docs, id_col, text_col, **more).where("not kept").select(F.col("row").alias(ROW))
+    return docs.join(if_small(scratch.stage(away, "away")), ROW, "left_anti").drop(ROW)
 
 
 def op9_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, if_small
+from .common import ROW, Scratch, documents, if_small, numbered, row_number
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST, SEED = 1.5, 2.0, 20
@@ -148,7 +148,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     scratch = Scratch(spark, "mix")
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     key = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), key.alias("key"), size.alias("size"))
+    base = docs.select(row_number(docs).alias("row"), F.col(id_col).alias("id"), key.alias("key"), size.alias("size"))
     base = base.withColumn("_r", F.xxhash64(F.lit(seed), "id")).withColumn("_range", F.shiftright("_r", 64 - range_bits))
     base = scratch.stage(base, "sizes")
 
@@ -183,12 +183,13 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
     """The mixture itself: rows of docs, as often as they are taken. Rows without words cost nothing and stay once."""
+    scratch, columns = Scratch(docs.sparkSession, "mix-copies"), docs.columns
+    docs = numbered(scratch, docs)
     found = mixture(docs, id_col, text_col, source_col, **more)
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies").cast("int")).alias("__groupforge_times")
-    found = Scratch(docs.sparkSession, "mix-copies").stage(found.select(F.col("row").alias("__groupforge_row"), times).where("__groupforge_times > 0"), "copies")
-    numbered = docs.withColumn("__groupforge_row", F.monotonically_increasing_id()).join(if_small(found), "__groupforge_row")
-    again = numbered.withColumn("__groupforge_copy", F.explode(F.sequence(F.lit(1), F.col("__groupforge_times"))))
-    return again.select(*[docs[c] for c in docs.columns])
+    found = scratch.stage(found.select(F.col("row").alias(ROW), times).where("__groupforge_times > 0"), "copies")
+    again = docs.join(if_small(found), ROW).withColumn("__groupforge_copy", F.explode(F.sequence(F.lit(1), F.col("__groupforge_times"))))
+    return again.select(*[docs[c] for c in columns])
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Recent, Scratch, documents, if_small, ship, small_batches
+from .common import ROW, Recent, Scratch, documents, if_small, numbered, row_number, ship, small_batches
 
 SAMPLE, FEATURES, SEED, FOLDS = 12_000, 4_000, 4, 5
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -174,16 +174,16 @@ def scored(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.score(t) for t in b.column(2).to_pylist()], pa.float64())], ["row", "id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(row_number(docs).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(run, f"row long, id {kind}, score double")
 
 
 def not_toxic(docs: DataFrame, model: Classifier, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that score at least `limit`; all columns stay."""
-    away = scored(docs, model, id_col, text_col).where(F.col("score") >= limit).select(F.col("row").alias("__groupforge_row"))
-    away = Scratch(docs.sparkSession, "toxic-away").stage(away, "away")
-    numbered = docs.withColumn("__groupforge_row", F.monotonically_increasing_id())
-    return numbered.join(if_small(away), "__groupforge_row", "left_anti").drop("__groupforge_row")
+    scratch = Scratch(docs.sparkSession, "toxic-away")
+    docs = numbered(scratch, docs)
+    away = scored(docs, model, id_col, text_col).where(F.col("score") >= limit).select(F.col("row").alias(ROW))
+    return docs.join(if_small(scratch.stage(away, "away")), ROW, "left_anti").drop(ROW)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

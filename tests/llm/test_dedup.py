@@ -50,6 +50,59 @@ def test_exact_dedup_keeps_columns_and_one_row(spark, tmp_path):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 5, 7, 8, 10, 11, 13, 14, 15, 16]
 
 
+@pytest.fixture
+def other_splits(spark, monkeypatch):
+    """From the first counted table on, scans are split in another way than before it, as when cores are lost."""
+    from groupforge.llm import source_mix, toxicity
+
+    setting = "spark.sql.files.minPartitionNum"
+    for module in (exact_dedup, line_dedup, near_dup, source_mix, toxicity):
+
+        def split(df, *cells, before=module.if_small):
+            spark.conf.set(setting, "1")
+            return before(df, *cells)
+
+        monkeypatch.setattr(module, "if_small", split)
+    spark.conf.set(setting, "64")
+    yield
+    spark.conf.unset(setting)
+
+
+WORDY = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(40)] + [(100 + i, " ".join(f"w{i}x{k}" for k in range(30)) + " more") for i in range(0, 40, 3)]
+
+
+def test_near_groups_when_splits_change(spark, tmp_path, other_splits):
+    got = near_dup.near_groups(frame(spark, WORDY, tmp_path)).collect()
+    assert sorted(r.id for r in got if not r.kept) == [i for i, _ in WORDY if i >= 100]
+
+
+def test_kept_rows_when_splits_change(spark, tmp_path, other_splits):
+    from groupforge.llm import source_mix, toxicity
+
+    docs = frame(spark, WORDY, tmp_path)
+    assert sorted(r.doc_id for r in near_dup.deduplicated(docs).collect()) == list(range(40))
+    spark.conf.set("spark.sql.files.minPartitionNum", "64")
+    twice = frame(spark, [(i, t.replace(" more", "")) for i, t in WORDY], tmp_path, "twice")
+    assert sorted(r.doc_id for r in exact_dedup.deduplicated(twice).collect()) == list(range(40))
+    spark.conf.set("spark.sql.files.minPartitionNum", "64")
+    left = toxicity.not_toxic(docs, toxicity.Classifier({"more": 9.0}, -4.0)).collect()
+    assert sorted(r.doc_id for r in left) == list(range(40))
+    spark.conf.set("spark.sql.files.minPartitionNum", "64")
+    empty = frame(spark, [(i, t if i >= 100 else "") for i, t in WORDY], tmp_path, "empty")
+    mixed = source_mix.mixed(empty, source_col="name", share=1.0).collect()
+    assert sorted(r.doc_id for r in mixed) == [i for i, _ in WORDY]
+    spark.conf.set("spark.sql.files.minPartitionNum", "64")
+    half = source_mix.mixed(empty, source_col="name", share=0.5).collect()
+    assert sum(len(r.text.split()) for r in half) == 7 * 31 and sum(r.text == "" for r in half) == 40
+
+
+def test_lines_when_splits_change(spark, tmp_path, other_splits):
+    common_line = "a line that many of the documents hold"
+    rows = [(i, f"own {i}\n{common_line}" if i % 4 == 0 else f"own {i}\nsecond {i}") for i in range(60)]
+    got = {r.id: r.text for r in line_dedup.dropped(frame(spark, rows, tmp_path)).collect()}
+    assert got == {i: f"own {i}" if i % 4 == 0 and i != 56 else t for i, t in rows}
+
+
 def test_empty_tables(spark, tmp_path):
     docs = frame(spark, [], tmp_path)
     assert exact_dedup.exact_groups(docs).count() == 0
