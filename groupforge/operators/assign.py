@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groupforge.operators import rules
+from groupforge.operators import rules, tree
 from groupforge.operators.closure import closure
 from groupforge.operators.tree import open_links
+from groupforge.plans.storage import cut
 
 MANNERS = {"inscription": 0, "descente": 1, "arbre": 2}
 BANK_GROUP = 20
@@ -82,12 +83,13 @@ def mutual_banks(offices: DataFrame, links: DataFrame, head: str, name_pattern:
     return out.select("siren", "grouping")
 
 
-def tree_groups(found: DataFrame, offices: DataFrame, companies: DataFrame, taken: DataFrame, roots) -> DataFrame:
+def tree_groups(found: DataFrame, offices: DataFrame, companies: DataFrame, taken: DataFrame) -> DataFrame:
     """siren, head, mother, level, targetable, proof: groups of trees between active companies that no document group took."""
     active = offices.select("siren")
     free = found.select("child", "mother", "role").join(active.withColumnRenamed("siren", "child"), "child", "left_semi").join(active.withColumnRenamed("siren", "mother"), "mother", "left_semi")
     free = free.join(taken.select(F.col("siren").alias("child")), "child", "left_anti").join(taken.select(F.col("siren").alias("mother")), "mother", "left_anti")
-    placed = free.join(roots(free), "child")
+    free = cut(free)
+    placed = cut(free.join(tree.roots(free), "child"))
     members = placed.select(F.col("child").alias("siren"), F.col("root").alias("head"), "mother", "role", F.col("depth").alias("level"))
     tops = placed.select(F.col("root").alias("siren")).distinct().join(members.select("siren"), "siren", "left_anti")
     tops = tops.select("siren", F.col("siren").alias("head"), F.lit(None).cast("string").alias("mother"), F.lit(None).cast("string").alias("role"), F.lit(0).cast("long").alias("level"))

@@ -20,13 +20,21 @@ def differs(pairs: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda a, b: a | b, [~x.eqNullSafe(y) for x, y in pairs])
 
 
+def last_of_batch(batch: DataFrame, key: str, columns: tuple[str, ...], place: str = "place") -> DataFrame:
+    """key and columns: one record of each key, the one that comes last in the delivery."""
+    order = F.struct(*([place] if place in batch.columns else []), *columns)
+    return batch.groupBy(key).agg(F.max(order).alias("r")).select(key, *[F.col("r")[c].alias(c) for c in columns])
+
+
 def merge_companies(companies: DataFrame, batch: DataFrame, day: str) -> DataFrame:
     """siren, denomination, commercial, staff, opened, closed, change: the table after the delivery.
 
     Names and consent keep their value where the delivery has none; staff follows it. Struck companies close, others reopen.
-    change: inserted, closed, reopened, updated or none.
+    change: inserted, closed, reopened, updated or none. Of several records of a company in one delivery the last one counts: the highest
+    `place` if the delivery has that column, else the greatest by value.
     """
-    b = batch.select("siren", *[F.col(c).alias(f"n_{c}") for c in ("denomination", "commercial", "staff", "struck")], F.lit(True).alias("has_new"))
+    b = last_of_batch(batch, "siren", ("denomination", "commercial", "staff", "struck"))
+    b = b.select("siren", *[F.col(c).alias(f"n_{c}") for c in ("denomination", "commercial", "staff", "struck")], F.lit(True).alias("has_new"))
     met = companies.select("siren", "denomination", "commercial", "staff", "opened", "closed").withColumn("has_old", F.lit(True)).join(b, "siren", "full_outer")
     name, consent = F.coalesce("n_denomination", "denomination"), F.coalesce("n_commercial", "commercial")
     staff = F.when(F.col("has_new"), F.col("n_staff")).otherwise(F.col("staff"))

@@ -13,13 +13,15 @@ MAX_DEPTH = 200
 def descent(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """start, node, level (the smallest) of all that edges (parent, child) reach from seeds (start, node); level 0: the seeds.
 
-    A frontier loop: only nodes that are new go on, so loops end and no path is walked twice.
+    A frontier loop: only nodes that are new go on, so loops end and no path is walked twice. The edges are written once, dealt by parent,
+    however they were made.
     """
+    edges = cut(edges.select(F.col("parent").alias("node"), F.col("child").alias("next")).repartition("node"))
     seen = cut(seeds.select("start", "node").distinct().withColumn("level", F.lit(0)))
     frontier, level = seen, 0
     while max_depth is None or level < max_depth:
         level += 1
-        ahead = frontier.join(edges.select(F.col("parent").alias("node"), F.col("child").alias("next")), "node")
+        ahead = frontier.join(edges, "node")
         ahead = ahead.select("start", F.col("next").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
         frontier = cut(ahead.withColumn("level", F.lit(level)))
         if frontier.isEmpty():
@@ -36,18 +38,19 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def ascent(parents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """node, top, steps: the last group met going up (node, parent); the walk ends at max_depth."""
+    """node, top, steps, whole: the last group met going up (node, parent). The walk ends at max_depth; whole is false where it was not at the top then."""
     at = cut(parents.select("node", F.col("node").alias("top"), F.lit(0).alias("steps")))
-    up = parents.where("parent is not null").select(F.col("node").alias("top"), F.col("parent").alias("next"))
+    up = cut(parents.where("parent is not null").select(F.col("node").alias("top"), F.col("parent").alias("next")).repartition("top"))
     done = []
-    for _ in range(max_depth):
+    for n in range(max_depth + 1):
         moved = cut(at.join(up, "top", "left"))
-        done.append(moved.where("next is null").select("node", "top", "steps"))
-        at = moved.where("next is not null").select("node", F.col("next").alias("top"), (F.col("steps") + 1).alias("steps"))
-        if at.isEmpty():
+        done.append(moved.where("next is null").select("node", "top", "steps", F.lit(True).alias("whole")))
+        left = moved.where("next is not null")
+        if left.isEmpty():
             break
-    else:
-        done.append(at)
+        if n == max_depth:
+            done.append(left.select("node", "top", "steps", F.lit(False).alias("whole")))
+        at = left.select("node", F.col("next").alias("top"), (F.col("steps") + 1).alias("steps"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -63,16 +66,19 @@ def nested_sizes(parents: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def nearest(parents: DataFrame, good: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """node, found: the node itself if good, else the nearest good ancestor, or null; parents is (node, parent)."""
+    """node, found, whole: the node itself if good, else the nearest good ancestor, or null; parents is (node, parent).
+
+    The walk ends at max_depth; whole is false where nothing was found by then though it goes on.
+    """
     good = good.select(F.col("node").alias("at")).distinct().withColumn("is_good", F.lit(True))
     at = cut(parents.select("node", F.col("node").alias("at")))
-    up = parents.where("parent is not null").select(F.col("node").alias("at"), F.col("parent").alias("next"))
+    up = cut(parents.where("parent is not null").select(F.col("node").alias("at"), F.col("parent").alias("next")).repartition("at"))
     out = None
-    for _ in range(max_depth):
+    for _ in range(max_depth + 1):
         met = cut(at.join(good, "at", "left").join(up, "at", "left"))
-        ended = met.where("is_good or next is null").select("node", F.when(F.col("is_good"), F.col("at")).alias("found"))
+        ended = met.where("is_good or next is null").select("node", F.when(F.col("is_good"), F.col("at")).alias("found"), F.lit(True).alias("whole"))
         out = ended if out is None else out.unionByName(ended)
         at = met.where("is_good is null and next is not null").select("node", F.col("next").alias("at"))
         if at.isEmpty():
             return out
-    return out.unionByName(at.select("node", F.lit(None).cast("string").alias("found")))
+    return out.unionByName(at.select("node", F.lit(None).cast("string").alias("found"), F.lit(False).alias("whole")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+import warnings
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from groupforge.functions import names
 from groupforge.operators.tree import open_links
-from groupforge.plans.storage import cut
+from groupforge.plans.storage import cut, ship
 
 #: Role codes and their labels.
 STRONG = {
@@ -165,19 +165,20 @@ def expand(offices: DataFrame, companies: DataFrame, links: DataFrame, persons:
             wide = wide.withColumn("reason", F.when(F.col("decision") == "ecarter", F.lit(None)).when((F.col("decision") == "retenir") & F.col("reason").isNull(), F.lit("retenue par décision du consultant")).otherwise(F.col("reason")))
         new = cut(wide.where("reason is not null").select("siren", "reason", F.lit(n).alias("round")))
         if new.isEmpty():
-            break
+            return kept
         kept = cut(kept.unionByName(new))
+    warnings.warn(f"the group of {head} still grew in round {max_rounds}", stacklevel=2)
     return kept
 
 
-def _in_turn(frame, kept: frozenset[str]):
+def _in_turn(frame: pd.DataFrame) -> pd.DataFrame:
     """Reasons of one round's candidates, each seeing those that entered before it in the same round."""
-    out, kept = [], set(kept)
+    out, new = [], set()
     for r in frame.sort_values(["seen", "kind", "place", "siren"]).itertuples():
-        roles = [(p, c) for p, c in zip(r.parents, r.roles, strict=True)]
-        inside = [c for p, c in roles if p in kept]
+        roles = [(held or p in new, c) for p, c, held in zip(r.parents, r.roles, r.held, strict=True)]
+        inside = [c for own, c in roles if own]
         strong, medium, weak = (any(c in x for c in inside) for x in (STRONG, MEDIUM, WEAK))
-        members = [p for p, c in roles if c == "11"]
+        members = [own for own, c in roles if c == "11"]
         cj = "" if pd.isna(r.cj) else str(int(r.cj))
         is_civil, is_grouping = cj[:1] == "6" and cj[:2] != "62", cj[:2] == "62"
         reason = None
@@ -187,10 +188,10 @@ def _in_turn(frame, kept: frozenset[str]):
             reason = "inscrite au périmètre publié du groupe"
         elif strong:
             reason = "mandat fort au registre"
-        elif is_grouping and len(members) >= 2 and kept.issuperset(members):
+        elif is_grouping and len(members) >= 2 and all(members):
             reason = "GIE dont tous les membres sont du groupe"
         elif medium:
-            shared = any(p not in kept and c in STRONG for p, c in roles)
+            shared = any(not own and c in STRONG for own, c in roles)
             if not shared and ((r.people and r.directing) or r.brand or r.at_group):
                 reason = "mandat au registre et indice indépendant"
         elif weak and r.brand + r.at_group + r.people >= 2:
@@ -206,7 +207,7 @@ def _in_turn(frame, kept: frozenset[str]):
         elif r.decision == "retenir" and reason is None:
             reason = "retenue par décision du consultant"
         if reason:
-            kept.add(r.siren)
+            new.add(r.siren)
             out.append((r.siren, reason))
     return pd.DataFrame(out, columns=["siren", "reason"])
 
@@ -220,11 +221,11 @@ def expand_in_turn(offices: DataFrame, companies: DataFrame, links: DataFrame, p
     one task, which its pool bounds.
     """
     spark = offices.sparkSession
+    ship(spark)
     offices, companies, links, persons, brands = _fixed(offices, companies, links, persons, brands)
     kept = cut(spark.createDataFrame([(head, "tête du groupe", 0)], "siren string, reason string, round int"))
     if decisions is None:
         decisions = spark.createDataFrame([], "siren string, decision string")
-    edges = open_links(links).groupBy(F.col("child").alias("siren")).agg(F.sort_array(F.collect_list(F.struct("parent", "role"))).alias("edges"))
     seen = cut(spark.createDataFrame([], "siren string, seen int, kind int, place int"))
     for n in range(1, max_rounds + 1):
         wide = cut(evidence_rows(offices, companies, links, persons, kept, brands, listed))
@@ -236,17 +237,20 @@ def expand_in_turn(offices: DataFrame, companies: DataFrame, links: DataFrame, p
         words = F.size(F.split(names.norm(F.col("name")), " "))
         people = ((F.col("common") >= 2) | ((F.col("common") >= 1) & F.col("manager"))) & ~(civil(F.col("cj")) & ~F.col("sure"))
         tiny_bare = F.coalesce(F.col("band"), F.lit("")).isin("", "NN", "00") & (F.coalesce(F.col("staff"), F.lit(0)) == 0) & (words <= F.col("sure_words_most") + 1)
+        own = links.join(wide.select(F.col("siren").alias("child")), "child", "left_semi").join(kept.select(F.col("siren").alias("parent"), F.lit(True).alias("held")), "parent", "left")
+        edges = own.groupBy(F.col("child").alias("siren")).agg(F.sort_array(F.collect_list(F.struct("parent", "role", F.coalesce("held", F.lit(False)).alias("held")))).alias("edges"))
         rows = wide.join(seen, "siren").join(edges, "siren", "left").join(decisions, "siren", "left").select(
             "siren", "cj", "seen", "kind", "place", "controlled", "brand", "sure", "at_group", "common", "directing", "decision", people.alias("people"), F.coalesce(tiny_bare, F.lit(False)).alias("tiny_bare"),
             names.norm(F.col("name")).rlike(r"^(CSE|COMITE|AMICALE|ASSOCIATION)\b").alias("refused"),
             F.coalesce(F.transform("edges", lambda e: e["parent"]), F.array().cast("array<string>")).alias("parents"), F.coalesce(F.transform("edges", lambda e: e["role"]), F.array().cast("array<string>")).alias("roles"),
+            F.coalesce(F.transform("edges", lambda e: e["held"]), F.array().cast("array<boolean>")).alias("held"),
         )
-        inside = [r[0] for r in kept.select("siren").collect()]  # one group's companies
-        judged = rows.withColumn("group", F.lit(0)).groupBy("group").applyInPandas(partial(_in_turn, kept=frozenset(inside)), "siren string, reason string")
+        judged = rows.withColumn("group", F.lit(0)).groupBy("group").applyInPandas(_in_turn, "siren string, reason string")
         added = cut(judged.select("siren", "reason", F.lit(n).alias("round")))
         if added.isEmpty():
-            break
+            return kept
         kept = cut(kept.unionByName(added))
+    warnings.warn(f"the group of {head} still grew in round {max_rounds}", stacklevel=2)
     return kept
 
 

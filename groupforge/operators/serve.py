@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from groupforge.functions import names
 from groupforge.operators.rules import LABELS, label
-from groupforge.operators.tree import open_links
+from groupforge.operators.tree import open_links, roots
 from groupforge.plans.storage import cut
 
 LIMIT = 20
@@ -47,7 +47,7 @@ def export_companies(group: DataFrame, offices: DataFrame) -> DataFrame:
 
 def export_links(group: DataFrame, links: DataFrame) -> DataFrame:
     """parent, child, role, proof of open links inside a group, in words."""
-    inside = group.select("siren", "head")
+    inside = cut(group.select("siren", "head"))
     met = open_links(links).where(F.col("role").isin(list(LABELS))).select("parent", "child", "role").distinct()
     met = met.join(inside.withColumnRenamed("siren", "parent"), "parent").join(inside.select(F.col("siren").alias("child"), F.col("head").alias("child_head")), "child").where("head = child_head")
     return met.select("parent", "child", label(F.col("role")).alias("role"), F.concat(F.lit("Mandat au registre : "), label(F.col("role"))).alias("proof"))
@@ -85,12 +85,12 @@ def primary_parents(holdings: DataFrame) -> DataFrame:
     return met.select("child", F.when(control, F.col("by_control")).when(owned, F.col("by_owned")).alias("parent"), F.when(control, "control").when(owned, "ownership").alias("basis"))
 
 
-def import_levels(edges: DataFrame, max_depth: int = 200) -> DataFrame:
+def import_levels(edges: DataFrame) -> DataFrame:
     """node, level: 1 + the largest level of a parent, 0 without parents. Nodes below or in a loop of holdings have level null."""
     edges = cut(edges.select("parent", "child").distinct())
     nodes = edges.select(F.col("parent").alias("node")).unionByName(edges.select(F.col("child").alias("node"))).distinct()
     left, done, level = cut(nodes), None, 0
-    while level <= max_depth:
+    while True:
         blocked = edges.join(left.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
         ready = cut(left.join(blocked, "node", "left_anti").withColumn("level", F.lit(level).cast("long")))
         if ready.isEmpty():
@@ -102,17 +102,20 @@ def import_levels(edges: DataFrame, max_depth: int = 200) -> DataFrame:
     return rest if done is None else done.unionByName(rest)
 
 
-def outline(group: DataFrame, max_depth: int = 200) -> DataFrame:
+def outline(group: DataFrame) -> DataFrame:
     """siren, head, place, below: companies in the order of an outline (a company, then what is below it, by id), with the number below.
 
-    group: siren, head, mother. A company whose mother is not in its group hangs below the head.
+    group: siren, head, mother. A company whose mother is not in its group hangs below the head, and so does the smallest company of a
+    loop of mothers, with the others of the loop below it.
     """
     inside = group.select(F.col("siren").alias("mother"), F.col("head").alias("mother_head"))
     rows = group.select("siren", "head", "mother").join(inside, "mother", "left")
     up = F.when(F.col("siren") == F.col("head"), F.lit(None)).when(F.col("mother_head") == F.col("head"), F.col("mother")).otherwise(F.col("head"))
     rows = cut(rows.select("siren", "head", up.alias("mother")))
+    loops = roots(rows.where("mother is not null").select(F.col("siren").alias("child"), "mother")).where("loop and depth = 0").select(F.col("child").alias("siren"), F.lit(True).alias("opens"))
+    rows = cut(rows.join(loops, "siren", "left").select("siren", "head", F.when(F.col("opens"), F.col("head")).otherwise(F.col("mother")).alias("mother")))
     done = front = cut(rows.where("mother is null").select("siren", "head", F.col("siren").alias("path")))
-    for _ in range(max_depth):
+    while True:
         front = cut(rows.join(front.select(F.col("siren").alias("mother"), "path"), "mother").select("siren", "head", F.concat("path", F.lit("/"), "siren").alias("path")))
         if front.isEmpty():
             break
@@ -124,14 +127,15 @@ def outline(group: DataFrame, max_depth: int = 200) -> DataFrame:
     return done.withColumn("place", place.cast("long")).join(below, ["head", "siren"], "left").select("siren", "head", "place", F.coalesce("below", F.lit(0)).alias("below"))
 
 
-def lifted_parents(edges: DataFrame, imported: DataFrame, max_depth: int = 50) -> DataFrame:
+def lifted_parents(edges: DataFrame, imported: DataFrame) -> DataFrame:
     """child, parent, share, skipped: of each imported company the nearest imported companies above it, with the share of the first step and the
-    companies that were skipped on the way. edges: parent, child, share. A way that comes back to itself ends."""
+    companies that were skipped on the way. edges: parent, child, share. A way that comes back to itself ends, so all ways end."""
+    edges = cut(edges.select("parent", "child", "share").repartition("child"))
     keep = imported.select(F.col("siren").alias("at")).distinct().withColumn("kept", F.lit(True))
     up = edges.select(F.col("child").alias("at"), F.col("parent").alias("next"), "share")
     front = imported.select(F.col("siren").alias("child"), F.col("siren").alias("at"), F.lit(None).cast("double").alias("first"), F.array().cast("array<string>").alias("skipped"))
     found = None
-    for _ in range(max_depth):
+    while True:
         step = front.join(up, "at").where((F.col("next") != F.col("child")) & ~F.array_contains("skipped", F.col("next")))
         step = step.select("child", F.col("next").alias("at"), F.coalesce("first", "share").alias("first"), "skipped").join(keep, "at", "left")
         step = cut(step)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +10,6 @@ from groupforge.plans.storage import cut
 #: Rank of each role, the smallest wins; other roles never make a mother.
 RANKS = {"73": 1, "51": 2, "30": 2, "28": 3, "29": 3, "131": 3, "74": 4, "75": 4, "53": 5, "65": 6, "64": 6, "11": 7, "99": 8}
 MAX_CHILDREN = 500
-#: Up to so many mothers are walked in one task; beyond, pointers are doubled in the cluster.
-ONE_TASK = 1_000_000
 
 
 def open_links(links: DataFrame) -> DataFrame:
@@ -29,67 +26,44 @@ def best_mothers(links: DataFrame, max_children: int = MAX_CHILDREN) -> DataFram
     return best.select("child", F.col("best.parent").alias("mother"), F.col("best.role").alias("role"))
 
 
-def _walk(frame: pd.DataFrame) -> pd.DataFrame:
-    mother = dict(zip(frame["child"], frame["mother"], strict=True))
-    found: dict[str, tuple[str, int, bool]] = {}
-    for start in mother:
-        path, place = [], {}
-        at = start
-        while at in mother and at not in found and at not in place:
-            place[at] = len(path)
-            path.append(at)
-            at = mother[at]
-        if at in place:
-            loop = path[place[at] :]
-            path = path[: place[at]]
-            top = min(loop)
-            at_top = loop.index(top)
-            for i, x in enumerate(loop):
-                found[x] = (top, (at_top - i) % len(loop), True)
-        for x in reversed(path):
-            root, depth, loop_ = found.get(mother[x], (mother[x], 0, False))
-            found[x] = (root, depth + 1, loop_)
-    rows = [(x, *found[x]) for x in mother]
-    return pd.DataFrame(rows, columns=["child", "root", "depth", "loop"])
-
-
 def _jumps(mothers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pointers doubled until nothing moves or all that moves runs in loops: (node, at, steps, ended) and its size."""
+    """Pointers doubled until all end or run in loops: (node, at, steps) of those that ended, (node, at) of those that run.
+
+    A doubling that ends nothing proves that nothing more will end; from then on the places pointed at are a shrinking set, and one that
+    no longer shrinks holds just the members of loops. So the rounds grow with the logarithm of the longest way.
+    """
     state = cut(mothers.select(F.col("child").alias("node"), F.col("mother").alias("at"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("ended")))
-    n, covered = state.count(), 1
-    while covered <= 2 * n:
+    before = None
+    while True:
+        running = state.where("not ended")
+        now = tuple(running.agg(F.count("*"), F.count_distinct("at")).first())
+        if now[0] == 0 or now == before:
+            return state.where("ended"), running
+        before = now
         ahead = state.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("ended").alias("over"))
-        moving = state.where(~F.col("ended")).join(ahead, "at", "left")
+        moving = running.join(ahead, "at", "left")
         moved = moving.select("node", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("next").isNull() | F.coalesce("over", F.lit(False))).alias("ended"))
         state = cut(state.where("ended").unionByName(moved))
-        covered *= 2
-        if state.where(~F.col("ended")).isEmpty():
-            break
-    return state.where("ended"), state.where(~F.col("ended"))
 
 
 def _loop_lows(mothers: DataFrame, members: DataFrame) -> DataFrame:
-    """Smallest node of each loop: (node, low)."""
+    """Smallest node of each loop: (node, low). Once a doubling lowers nothing, each window of the loop has seen its smallest node."""
     ring = mothers.withColumnRenamed("child", "node").join(members, "node", "left_semi")
     state = cut(ring.select("node", F.col("mother").alias("at"), "node").toDF("node", "at", "low"))
-    n, covered = state.count(), 1
-    while covered <= 2 * n:
+    while True:
         ahead = state.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("low").alias("lower"))
-        state = cut(state.join(ahead, "at").select("node", F.col("next").alias("at"), F.least("low", "lower").alias("low")))
-        covered *= 2
-    return state.select("node", "low")
+        state = cut(state.join(ahead, "at").select("node", F.col("next").alias("at"), F.least("low", "lower").alias("low"), (F.col("lower") < F.col("low")).alias("moved")))
+        if state.where("moved").isEmpty():
+            return state.select("node", "low")
+        state = state.drop("moved")
 
 
-def roots(mothers: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def roots(mothers: DataFrame) -> DataFrame:
     """child, root, depth, loop of each company with a mother.
 
-    A loop's root is its smallest company, at depth 0; it and all below it are flagged. Up to one_task rows (counted) are walked
-    in one task. Beyond, pointers are doubled: nodes that never end run into loops; where they point then are loop members;
-    each loop's smallest member loses its mother, and the doubling gives the depths.
+    A loop's root is its smallest company, at depth 0; it and all below it are flagged. Pointers are doubled: nodes that never end run
+    into loops; where they point then are loop members; each loop's smallest member loses its mother, and the doubling gives the depths.
     """
-    if mothers.count() <= one_task:
-        walked = mothers.select("child", "mother").coalesce(1).mapInPandas(lambda it: iter([_walk(pd.concat(list(it) or [pd.DataFrame({"child": [], "mother": []})]))]), "child string, root string, depth long, loop boolean")
-        return walked
     ended, running = _jumps(mothers)
     straight = ended.select(F.col("node").alias("child"), F.col("at").alias("root"), F.col("steps").alias("depth"), F.lit(False).alias("loop"))
     if running.isEmpty():
@@ -103,10 +77,16 @@ def roots(mothers: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     return straight.unionByName(below).unionByName(top)
 
 
-def tree(links: DataFrame, max_children: int = MAX_CHILDREN, one_task: int = ONE_TASK) -> DataFrame:
+def tree(links: DataFrame, max_children: int = MAX_CHILDREN) -> DataFrame:
     """child, mother, role, root, depth, loop."""
     mothers = cut(best_mothers(links, max_children))
-    return mothers.join(roots(mothers, one_task), "child")
+    return mothers.join(roots(mothers), "child")
+
+
+def opened(mothers: DataFrame) -> DataFrame:
+    """child, mother, role without the mother of each loop's smallest company: a forest."""
+    tops = roots(mothers).where("loop and depth = 0").select("child")
+    return mothers.join(tops, "child", "left_anti")
 
 
 def sizes(found: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from groupforge.functions import names
 from groupforge.operators import assign, changes, closure, match, rules, serve, tree
 from groupforge.plans import register_sql as sql
-from groupforge.plans.storage import cut
+from groupforge.plans.storage import cut, ship
 from groupforge.sources import html, lists, records, register
 from groupforge.streaming import deliveries
 
@@ -27,6 +27,7 @@ def query(text: str | None):
 
 
 def _tables(spark: SparkSession, sf_dir: str, *wanted: str):
+    ship(spark)
     found = register.load(spark, sf_dir, tuple(n for n in wanted if n in register.VIEWS))
     out = [found[n] if n in found else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in wanted]
     return out if len(out) > 1 else out[0]
@@ -118,11 +119,6 @@ def tree_roots(spark, t):
     return tree.tree(t("links"), LOW_DEGREE).select("child", "root", "depth", "loop")
 
 
-@query(sql.ROOTS)
-def tree_roots_by_doubling(spark, t):
-    return tree.tree(t("links"), LOW_DEGREE, one_task=0).select("child", "root", "depth", "loop")
-
-
 @query(sql.SIZES)
 def tree_sizes(spark, t):
     return tree.sizes(tree.tree(t("links"), LOW_DEGREE))
@@ -232,8 +228,8 @@ def name_norm_key(spark, t):
 
 
 @query(sql.NORM_TEXT)
-def name_norm_udf(spark, t):
-    return t("documents").select("doc_id", names.norm_udf(F.col("text")).alias("norm"))
+def name_norm_arrow(spark, t):
+    return t("documents").select("doc_id", names.norm_arrow(F.col("text")).alias("norm"))
 
 
 @query(sql.NORM_TEXT)
@@ -332,8 +328,8 @@ def graph_descent(spark, t):
 
 
 def _forest(t) -> DataFrame:
-    """node, parent over companies, without loops: a child is above its mother's number, so the edges that go down are dropped."""
-    mothers = tree.best_mothers(t("links"), LOW_DEGREE).where("mother < child")
+    """node, parent over companies, without loops: the smallest company of a loop loses its mother."""
+    mothers = tree.opened(cut(tree.best_mothers(t("links"), LOW_DEGREE)))
     return t("companies").select(F.col("siren").alias("child")).join(mothers, "child", "left").select(F.col("child").alias("node"), F.col("mother").alias("parent"))
 
 
@@ -351,7 +347,7 @@ def graph_group_size(spark, t):
 @query(sql.NEAREST)
 def graph_nearest_targetable(spark, t):
     good = rules.targetable(*t("offices", "companies")).where("targetable").select(F.col("siren").alias("node"))
-    return closure.nearest(_forest(t), good)
+    return closure.nearest(_forest(t), good).select("node", "found")
 
 
 # --- changes
@@ -425,7 +421,7 @@ def assign_mutual_banks(spark, t):
 def _tree_groups(t) -> DataFrame:
     links, offices, companies = t("links", "offices", "companies")
     taken = t("doc_lines").select(F.lpad(F.col("line").cast("string"), 9, "0").alias("siren"))
-    return assign.tree_groups(tree.best_mothers(links, LOW_DEGREE), offices, companies, taken, tree.roots)
+    return assign.tree_groups(tree.best_mothers(links, LOW_DEGREE), offices, companies, taken)
 
 
 @query(sql.TREE_GROUPS)
@@ -494,7 +490,7 @@ def tree_outline(spark, t):
 @query(sql.LIFTED)
 def crm_lifted_parents(spark, t):
     edges = tree.open_links(t("links")).where("role = '73'").groupBy("parent", "child").agg(F.max(F.day("opened") * F.lit(2.0)).alias("share"))
-    return serve.lifted_parents(edges.where("parent < child"), t("offices").where("cj is not null").select("siren"))
+    return serve.lifted_parents(edges, t("offices").where("cj is not null").select("siren"))
 
 
 @query(sql.COMPARE)

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one on a single machine, and an error on a cluster."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="groupforge-")
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="groupforge-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
-    return base
+    return base.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,6 +28,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, which need not have it installed; once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = os.path.join(tempfile.mkdtemp(prefix="groupforge-ship-"), "groupforge_code.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, files in sorted(os.walk(package)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
 class Versions:
     """A table as numbered folders; readers see the newest whose pointer file is there, so a write is all or nothing."""
 

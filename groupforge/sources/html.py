@@ -7,6 +7,8 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groupforge.plans.storage import ship
+
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
 HIDDEN = frozenset(("script", "style", "noscript", "template"))
 
@@ -75,4 +77,5 @@ def html_lines(html: Column) -> Column:
 
 def text_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, line, text: the lines of each page."""
+    ship(pages.sparkSession)
     return pages.select(id_col, F.posexplode(html_lines(F.col(html_col))).alias("line", "text"))

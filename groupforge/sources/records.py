@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
+from groupforge.plans.storage import ship
 from groupforge.sources.html import page_lines
 
 #: What is read of a company's formality; other fields are ignored, other types make the record invalid.
@@ -143,5 +144,6 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                     problems.append(str(e))
             yield pd.DataFrame({"path": f["path"], "sha256": f["sha256"], "text": texts, "problem": problems})
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "content")
     return files.mapInPandas(read, "path string, sha256 string, text string, problem string")
