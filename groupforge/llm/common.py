@@ -1,17 +1,18 @@
-"""What the training-data operators share: scratch tables, graph components, worker code shipping."""
+"""What the training-data operators share: scratch tables, joins of uneven groups, graph components, bounded caches."""
 
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 import uuid
-import zipfile
+from collections.abc import Iterator
+from itertools import islice
 
-from pyspark import SparkContext
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groupforge.plans.storage import shared_folder, ship  # noqa: F401  (ship is for the operators)
+
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -21,23 +22,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="groupforge-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/groupforge"
+    return f"{shared_folder(spark)}/groupforge"
 
 
 class Scratch:
-    """Tables written once and read again, so that lineage ends there and lost executors cost one table at most."""
+    """Tables written once and read again, so that lineage ends there and lost executors cost one table at most.
+
+    A result reads some of them when it runs, so an operator drops what it is done with, and `clear_scratch` the rest once results are written.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self._staged: dict[int, tuple[DataFrame, str]] = {}
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -50,13 +47,17 @@ class Scratch:
         return path
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
-        schema = df.schema
-        return self.spark.read.schema(schema).parquet(self.write(df, name))
+        path = self.write(df, name)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._staged[id(out)] = (out, path)
+        return out
 
-    def drop(self, path: str) -> None:
+    def drop(self, *tables: str | DataFrame) -> None:
+        """Deletes tables, by path or as stage() gave them."""
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        for t in tables:
+            p = jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else self._staged.pop(id(t))[1])
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: A row's number, stored in a written table: two scans of the same files may number rows differently, as splits follow the live cores.
@@ -75,44 +76,38 @@ def numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes every scratch table; results that still read one must have been written before."""
-    s = Scratch(spark, "clear")
-    s.drop(scratch_dir(spark))
-
+    Scratch(spark, "clear").drop(scratch_dir(spark))
 
-#: Numbers that a broadcast may hold, three more counted for each row (tens of MB); larger sides are shuffled.
-SMALL_CELLS = 3_000_000
 
+#: At most so many groups can each hold more than 1 / UNEVEN of all rows; their side of a join is broadcast.
+UNEVEN = 4096
 
-def if_small(df: DataFrame, cells: Column | None = None) -> DataFrame:
-    """A written table of numbers, marked for broadcast if it is counted to be small; cells: numbers in a row's arrays."""
-    row = F.lit(len(df.columns) + 3)
-    total = df.agg(F.sum(row if cells is None else row + cells)).first()[0] or 0
-    return F.broadcast(df) if total <= SMALL_CELLS else df
 
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with groups (one row each, both written tables), where a group may hold any part of the rows.
 
-_SHIPPED: set[str] = set()
+    size: the column of groups with the number of a group's rows; total: the number of all rows. Groups of more than total / UNEVEN rows
+    are at most UNEVEN, at any size of the data, so they are broadcast and their rows stay where they are. Of all other groups none is
+    larger than one of UNEVEN even shares, so they are met by a shuffle. Every row takes one of the two ways. how: inner or left.
+    """
+    large = F.col(size) > total / UNEVEN
+    few = groups.where(large)
+    columns = [c for c in groups.columns if c not in keys]
+    hot = rows.join(F.broadcast(few), keys)
+    cold = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(groups.where(~large).hint("merge"), keys, how)
+    return hot.unionByName(cold.select(*keys, *[c for c in rows.columns if c not in keys], *columns))
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this subpackage to the executors, which need not have it installed."""
-    sc: SparkContext = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    here = os.path.dirname(os.path.abspath(__file__))
-    package = os.path.dirname(here)
-    out = os.path.join(tempfile.mkdtemp(prefix="groupforge-ship-"), "groupforge_llm_code.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        z.write(os.path.join(package, "__init__.py"), "groupforge/__init__.py")
-        for name in sorted(os.listdir(here)):
-            if name.endswith(".py"):
-                z.write(os.path.join(here, name), f"groupforge/llm/{name}")
-    sc.addPyFile(out)
-    _SHIPPED.add(sc.applicationId)
+def by_row(rows: DataFrame, marks: DataFrame, key: str = ROW, how: str = "inner") -> DataFrame:
+    """rows joined with marks by a key that is unique in marks: always a shuffle, with the marks of a partition in a hash table."""
+    return rows.join(marks.hint("shuffle_hash"), key, how)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (which Spark bounds by bytes) in parts of few rows, as each becomes Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def file_bytes(spark: SparkSession, path: str) -> bytes:
@@ -129,34 +124,36 @@ def digest(data: bytes) -> str:
 
 
 class Recent(dict):
-    """Key to value with two generations of at most `limit` keys each; `make` gives what is missing.
+    """Key to value with at most `limit` keys; `make` gives what is missing. Long keys are not kept.
 
-    Memory stays bounded while frequent keys stay: a full generation becomes the old one, and keys found there return to the new one.
+    When full, the older half goes; keys in use come back with their next miss.
     """
 
+    __slots__ = ("limit", "make")
+
     def __init__(self, make, limit: int = 300_000):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit = make, limit
 
     def __missing__(self, key):
-        if (value := self.old.get(key)) is None:
-            value = self.make(key)
+        value = self.make(key)
         if len(key) <= 64:
             if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
+                for old in list(islice(self, (self.limit + 1) // 2)):
+                    del self[old]
             self[key] = value
         return value
 
 
-def ranked(spark: SparkSession, distinct: DataFrame, keys: list[str], name: str, bits: int = 12) -> DataFrame:
+def ranked(distinct: DataFrame, keys: list[str], name: str, most: int) -> DataFrame:
     """Adds `name`: 1, 2, ... in the order of (hash of keys, keys), without a global sort in one task.
 
-    Rows are sorted within 2**bits ranges of the hash; a range's start is the sum of the counts before it (a window over
-    2**bits rows at most). Distinct keys spread evenly over the ranges.
+    Rows are sorted within ranges of the hash, about 2**18 in each; a range's start is the sum of the counts before it (a window over
+    the ranges, one row each). Distinct keys spread evenly over the ranges. most: a number of rows that distinct doesn't exceed.
     """
     from pyspark.sql import Window as W
 
+    bits = max(8, (most >> 18).bit_length())
     keyed = distinct.withColumn("_h", F.xxhash64(*keys)).withColumn("_range", F.shiftright("_h", 64 - bits))
     starts = keyed.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
@@ -165,39 +162,31 @@ def ranked(spark: SparkSession, distinct: DataFrame, keys: list[str], name: str,
     return keyed.withColumn("_place", place).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_h", "_range", "_place", "_start")
 
 
-def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component) of every node of `edges` (a, b), both long; component: the smallest node that links reach.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014): every round is two shuffles of the links, written to
-    the shared folder, and the number of rounds grows with the logarithm of the longest path. Neighbour lists are never
-    gathered: the smallest neighbour comes from a partial aggregate that is joined back.
+    Alternating large-star and small-star rounds (Kiveris et al. 2014) until nothing changes: every round is written to the shared
+    folder, and the number of rounds grows with the logarithm of the longest path. Neighbour lists are never gathered: the smallest
+    neighbour comes from a partial aggregate that is joined back, so a hub's links stay spread.
     """
+    spark, shape = scratch.spark, "u long, v long"
     clean = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    path = scratch.write(clean, "links")
-    spark = scratch.spark
-    shape = "u long, v long"
-    current = spark.read.schema(shape).parquet(path)
-    total = None
-    for _ in range(rounds):
-        both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large_path = scratch.write(large, "large")
-        large = spark.read.schema(shape).parquet(large_path)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        small_path = scratch.write(small, "small")
-        scratch.drop(path)
-        scratch.drop(large_path)
-        path, current = small_path, spark.read.schema(shape).parquet(small_path)
-        seen = current.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first()
-        if seen == total:
+    path, seen = scratch.write(clean, "links"), None
+    while True:
+        current = spark.read.schema(shape).parquet(path)
+        now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.sum(F.xxhash64("v", "u") % (1 << 40))).first())
+        if now == seen or not now[0]:
             break
-        total = seen
+        seen, total = now, 2 * now[0]
+        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = scratch.stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "low")
+        large = meet(both.where("v > u"), low, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.stage(large, "large")
+        least = scratch.stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = meet(large, least, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        after = scratch.write(small, "small")
+        scratch.drop(path, low, large, least)
+        path = after
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)

@@ -6,10 +6,11 @@ get integers the same way, level by level, until one integer is left: texts are
 
 Blocks travel once, as distinct blocks, which are deduplicated before the shuffle; all else moves 128-bit hashes of blocks.
 Hashes are proved free of collisions over the blocks at hand: blocks whose hash another block shares are named by content.
+Blocks, pairs and texts that very many rows share are met by broadcast of a bounded number of them (common.meet).
 
 Defined results: a null text counts as empty. Of rows with equal texts the one with the smallest doc_id is kept (null last);
-of rows that repeat that doc_id, one. Other columns than the two named are not read, so their names can't clash.
-An empty table gives an empty result.
+of rows that repeat that doc_id, one. Very long texts are many blocks, each a row of its own. Other columns than the two named
+are not read, so their names can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, Scratch, documents, if_small, numbered, ranked, row_number
+from .common import ROW, Scratch, by_row, documents, meet, numbered, ranked, row_number
 
 BLOCK_BYTES = 4096
 
@@ -55,30 +56,31 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return scratch.stage(rows.select("row", "id", first.alias("sha"), F.col("_n").alias("n"), "pos", h1.alias("h1"), h2.alias("h2")), "blocks")
 
     rows = places()
+    total = rows.count()
 
     def contents() -> DataFrame:
         return _blocks(base, "_text", block_bytes).select(F.explode_outer("_cut").alias("block")).select(h1.alias("h1"), h2.alias("h2"), "block")
 
     variants = contents().distinct().groupBy("h1", "h2").agg(F.count("*").alias("variants"))
-    variants = scratch.stage(variants, "variants")
-    shared = variants.where("variants > 1").select("h1", "h2")
+    shared = scratch.stage(variants.where("variants > 1").select("h1", "h2"), "shared")
+    hashes = rows.groupBy("h1", "h2").agg(F.count("*").alias("uses"))
     if shared.isEmpty():
-        names = variants.select("h1", "h2")
-        names = ranked(spark, names, ["h1", "h2"], "name")
-        level = rows.join(names, ["h1", "h2"])
+        names = scratch.stage(ranked(hashes, ["h1", "h2"], "name", total), "names")
+        level = meet(rows, names, ["h1", "h2"], "uses", total)
     else:  # named by content where a hash stands for several blocks; texts meet their rows again, so the numbers are stored
         if ROW not in docs.columns:
             base = scratch.stage(base, "numbered")
             rows = places()
-        alike = contents().join(shared, ["h1", "h2"], "left_semi").distinct()
-        alone = variants.where("variants = 1").select("h1", "h2", F.lit(None).cast("binary").alias("block"))
-        names = scratch.stage(ranked(spark, alone.unionByName(alike), ["h1", "h2", "block"], "name"), "names")
-        plain = rows.join(names.where("block is null").select("h1", "h2", "name"), ["h1", "h2"])
+        alike = contents().join(shared, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "block").agg(F.count("*").alias("uses"))
+        alone = rows.groupBy("h1", "h2").agg(F.count("*").alias("uses")).join(shared, ["h1", "h2"], "left_anti").withColumn("block", F.lit(None).cast("binary"))
+        names = scratch.stage(ranked(alone.unionByName(alike), ["h1", "h2", "block"], "name", total), "names")
+        plain = meet(rows, names.where("block is null").drop("block"), ["h1", "h2"], "uses", total)
         again = _blocks(base.withColumnRenamed(ROW, "row"), "_text", block_bytes)
-        again = again.select("row", F.posexplode_outer("_cut").alias("pos", "block")).withColumn("h1", h1).withColumn("h2", h2)
-        again = again.join(names.where("block is not null"), ["h1", "h2", "block"]).select("row", "pos", "name")
-        level = plain.unionByName(rows.join(again, ["row", "pos"]).select(*plain.columns))
+        again = scratch.stage(again.select("row", F.posexplode_outer("_cut").alias("pos", "block")).withColumn("h1", h1).withColumn("h2", h2).join(shared, ["h1", "h2"], "left_semi"), "again")
+        again = meet(again, names.where("block is not null"), ["h1", "h2", "block"], "uses", total).select("row", "pos", "name")
+        level = plain.select(*rows.columns, "name").unionByName(rows.join(again, ["row", "pos"]).select(*rows.columns, "name"))
     level = scratch.stage(level.select("row", "id", "sha", "n", "pos", "name"), "level")
+    scratch.drop(rows, names)
     depth, done = 0, [level.where("n = 1").select("row", "id", "sha", F.lit(0).alias("depth"), "name")]
     most = level.agg(F.max("n")).first()[0] or 1
     level = level.where("n > 1")
@@ -90,9 +92,11 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.max(F.when(even, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(0)).alias("b"),
         )
         pairs = scratch.stage(pairs, f"pairs{depth}")
-        names = ranked(spark, pairs.select("a", "b").distinct(), ["a", "b"], "name")
+        total = pairs.count()
+        names = scratch.stage(ranked(pairs.groupBy("a", "b").agg(F.count("*").alias("uses")), ["a", "b"], "name", total), f"names{depth}")
         half = ((F.col("n") + 1) / 2).cast("int").alias("n")
-        level = scratch.stage(pairs.join(names, ["a", "b"]).select("row", "id", "sha", half, "pos", "name"), f"level{depth}")
+        level = scratch.stage(meet(pairs, names, ["a", "b"], "uses", total).select("row", "id", "sha", half, "pos", "name"), f"level{depth}")
+        scratch.drop(pairs, names)
         done.append(level.where("n = 1").select("row", "id", "sha", F.lit(depth).alias("depth"), "name"))
         level, most = level.where("n > 1"), (most + 1) // 2
     out = done[0]
@@ -103,20 +107,25 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """One row per row of docs: row, id, keep_id, group_size, kept, text_sha256."""
-    found = identities(docs, id_col, text_col, **more)
+    scratch = Scratch(docs.sparkSession, "exact")
+    found = identities(docs, id_col, text_col, scratch=scratch, **more)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    groups = found.groupBy("depth", "name").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
-    groups = groups.select("depth", "name", "group_size", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"))
-    joined = found.join(groups, ["depth", "name"])
-    return joined.select("row", "id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+    groups = found.groupBy("depth", "name").agg(F.min(order).alias("first"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = scratch.stage(groups.select("depth", "name", "group_size", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row")), "groups")
+    met = meet(found, groups, ["depth", "name"], "group_size", found.count(), "left")
+    alone = F.col("group_size").isNull()
+    return met.select(
+        "row", "id", F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"), "text_sha256",
+    )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """docs without its rows that repeat another's text; all columns stay."""
     scratch = Scratch(docs.sparkSession, "exact-away")
     docs = numbered(scratch, docs)
-    away = exact_groups(docs, id_col, text_col, **more).where("not kept").select(F.col("row").alias(ROW))
-    return docs.join(if_small(scratch.stage(away, "away")), ROW, "left_anti").drop(ROW)
+    away = scratch.stage(exact_groups(docs, id_col, text_col, **more).where("not kept").select(F.col("row").alias(ROW)), "away")
+    return by_row(docs, away, how="left_anti").drop(ROW)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +134,6 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
-SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """

@@ -6,23 +6,30 @@ sorted run of level 0, the others go to a log of repeats. FAN runs of a level ar
 meets few runs, and a key is rewritten once a level. At the end the runs and the log's sums give each key's number of documents
 and largest id.
 
-Keys travel as hashes, aggregated by batch before any shuffle; a line that every document holds is one row a task. Texts move
-once, to meet the places of their dropped lines; lines with a hot key are rows of a join that the engine can split.
-
-Defined results: a null or empty text is one empty line. Each row is a document; rows that repeat the largest id keep a line
-both. A null id is never the largest, unless all are null. Only the named columns are read. An empty table gives an empty
-result.
+Runs and batches are tables in hash buckets, one sorted file each, so merges read them in order: no run is shuffled or sorted
+again. Keys are made once and stored with the numbered rows, and travel as hashes, aggregated by batch before any shuffle; a line
+that every document holds is one row a task. Lines that very many documents hold are met by broadcast of a bounded number of
+them (common.meet). Texts are shuffled once, to meet the places of their dropped lines.
+
+Defined results: a null or empty text is one empty line, and a very long one any number of them. Each row is a document; rows that
+repeat the largest id keep a line both. A null id is never the largest, unless all are null. Only the named columns are read, so
+others can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACES, Scratch, documents, if_small, numbered
+from .common import ROW, SPACES, Scratch, by_row, documents, meet
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
-BATCHES, FAN = 4, 2
+#: A batch holds at most about BATCH_DOCS documents, and there are at least BATCHES.
+BATCHES, BATCH_DOCS, FAN = 4, 1 << 28, 2
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,94 +52,137 @@ def _hashed(text: Column, least_chars: int) -> Column:
     return F.filter(F.transform(F.transform(lines(text), key), one), lambda x: x["chars"] >= least_chars)
 
 
-class Runs:
-    """Sorted runs of disjoint keys, by level."""
+@contextmanager
+def ordered_buckets(spark: SparkSession) -> Iterator[None]:
+    """Within it, plans may rely on the order of buckets that are one sorted file each (Spark checks the number of files)."""
+    settings = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
-    SHAPE = "h1 long, h2 long, n long, last {id}"
 
-    def __init__(self, scratch: Scratch, id_type: str, fan: int = FAN):
-        self.scratch, self.fan, self.shape = scratch, fan, self.SHAPE.format(id=id_type)
+class Runs:
+    """Sorted runs of disjoint keys, by level; each is a table of hash buckets."""
+
+    def __init__(self, scratch: Scratch, fan: int = FAN):
+        self.scratch, self.fan, self.spark = scratch, fan, scratch.spark
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
-    def read(self, path: str) -> DataFrame:
-        return self.scratch.spark.read.schema(self.shape).parquet(path)
+    def write(self, rows: DataFrame, name: str, dealt: bool = False) -> str:
+        """A table of rows by h1, h2 in sorted buckets; dealt: each of rows' partitions already is a bucket in order."""
+        table = f"groupforge_{name}_{uuid.uuid4().hex}"
+        if not dealt:
+            rows = rows.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2")
+        writer = rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("compression", "zstd")
+        self.paths[table] = self.scratch.path(name)
+        writer.option("path", self.paths[table]).saveAsTable(table)
+        return table
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.table(table)
+
+    def drop(self, table: str) -> None:
+        self.spark.sql(f"drop table if exists {table}")
+        self.scratch.drop(self.paths.pop(table))
+
+    def close(self) -> None:
+        for table in list(self.paths):
+            self.drop(table)
 
     def all(self) -> list[DataFrame]:
-        return [self.read(p) for level in self.levels for p in level]
+        return [self.read(t) for level in self.levels for t in level]
+
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """The rows of a sorted batch whose keys no run holds: merges only."""
+        for run in self.all():
+            batch = batch.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return batch
 
-    def add(self, new: DataFrame) -> DataFrame:
-        """Writes a run of keys that no run holds yet, compacts full levels, and gives the run back."""
-        path = self.scratch.write(new.sortWithinPartitions("h1", "h2"), "run0")
-        self._put(0, path)
-        return self.read(path)
+    def add(self, new: DataFrame, dealt: bool = False) -> DataFrame:
+        """Writes a run of keys that no run holds yet and gives it back."""
+        table = self.write(new, "run0", dealt)
+        self._put(0, table)
+        return self.read(table)
 
-    def _put(self, level: int, path: str) -> None:
+    def _put(self, level: int, table: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(table)
 
     def compact(self) -> None:
+        """Merges the runs of each full level, bucket by bucket: an outer merge join of disjoint keys keeps their order."""
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fan:
-                paths, self.levels[level] = self.levels[level], []
-                merged = self.read(paths[0])
-                for p in paths[1:]:
-                    merged = merged.unionByName(self.read(p))
-                self._put(level + 1, self.scratch.write(merged.repartition("h1").sortWithinPartitions("h1", "h2"), f"run{level + 1}"))
-                for p in paths:
-                    self.scratch.drop(p)
-
-
-def frequent(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, scratch: Scratch | None = None) -> DataFrame:
-    """Keys of at least least_docs documents: h1, h2, last (the largest id that holds the key)."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "lines")
-    own = F.array_distinct(F.transform(_hashed(F.col("text"), least_chars), lambda x: F.struct(x["h1"], x["h2"])))
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = base.select("id", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"), F.explode_outer(own).alias("k"))
-    entries = rows.where("k is not null").groupBy("batch", "k.h1", "k.h2").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+                tables, self.levels[level] = self.levels[level], []
+                merged = self.read(tables[0])
+                for t in tables[1:]:
+                    other = self.read(t).toDF("h1", "h2", "n2", "last2").hint("merge")
+                    merged = merged.join(other, ["h1", "h2"], "full_outer").select("h1", "h2", F.coalesce("n", "n2").alias("n"), F.coalesce("last", "last2").alias("last"))
+                self._put(level + 1, self.write(merged, f"run{level + 1}", dealt=True))
+                for t in tables:
+                    self.drop(t)
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str, least_chars: int, scratch: Scratch) -> DataFrame:
+    """One written row per row of docs: its number, id, text, and the places and hashes of its longer lines."""
+    number = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(number.alias(ROW), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return scratch.stage(rows.withColumn("keys", F.transform(_hashed(F.col("text"), least_chars), lambda x: F.struct(x["place"].alias("place"), x["h1"].alias("h1"), x["h2"].alias("h2")))), "marked")
+
+
+def frequent(marks: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
+    """Keys of at least least_docs rows of marked(): h1, h2, n (those rows), last (the largest id that holds the key)."""
+    spark = scratch.spark
+    batches = max(batches, -(-marks.count() // BATCH_DOCS))
+    own = F.array_distinct(F.transform("keys", lambda x: F.struct(x["h1"], x["h2"])))
+    rows = marks.select("id", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"), F.explode(own).alias("k"))
+    entries = rows.groupBy("batch", "k.h1", "k.h2").agg(F.count("*").alias("n"), F.max("id").alias("last"))
     entries_path = scratch.write(entries, "entries", ["batch"])
-    id_type = docs.schema[id_col].dataType.simpleString()
-    runs = Runs(scratch, id_type)
-    entries = spark.read.schema(runs.shape + ", batch int").parquet(entries_path)
-    log = []
-    for b in range(batches):
-        batch = entries.where(F.col("batch") == b).drop("batch")
-        fresh = batch
-        for run in runs.all():
-            fresh = fresh.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        earlier = bool(runs.all())
-        new = runs.add(fresh)
-        if earlier:
-            log.append(scratch.stage(batch.join(new.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"), "repeats"))
-        runs.compact()
-    known = runs.all()
-    keys = known[0]
-    for run in known[1:]:
-        keys = keys.unionByName(run)
-    keys = keys.select("h1", "h2", "n", "last")
-    if log:
-        repeats = log[0]
-        for more in log[1:]:
-            repeats = repeats.unionByName(more)
-        repeats = repeats.groupBy("h1", "h2").agg(F.sum("n").alias("more"), F.max("last").alias("later"))
-        keys = keys.join(repeats, ["h1", "h2"], "left")
-        keys = keys.select("h1", "h2", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("last", "later").alias("last"))
-    found = scratch.stage(keys.where(F.col("n") >= least_docs).select("h1", "h2", "last"), "frequent")
-    scratch.drop(entries_path)
+    shape = f"h1 long, h2 long, n long, last {marks.schema['id'].dataType.simpleString()}"
+    entries = spark.read.schema(shape + ", batch int").parquet(entries_path)
+    runs, log = Runs(scratch), []
+    try:
+        with ordered_buckets(spark):
+            for b in range(batches):
+                coming = entries.where(F.col("batch") == b).drop("batch")
+                if not any(runs.levels):
+                    runs.add(coming)
+                    continue
+                batch = runs.write(coming, "batch")
+                new = runs.add(runs.fresh(runs.read(batch)), dealt=True)
+                log.append(scratch.stage(runs.read(batch).join(new.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"), "repeats"))
+                runs.drop(batch)
+                runs.compact()
+            keys = runs.all()[0]
+            for run in runs.all()[1:]:
+                keys = keys.unionByName(run)
+            for more in log:
+                keys = keys.unionByName(more)
+            keys = keys.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+            found = scratch.stage(keys.where(F.col("n") >= least_docs), "frequent")
+    finally:
+        runs.close()
+    scratch.drop(entries_path, *log)
     return found
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, **more) -> DataFrame:
     """One row per row of docs: row, id, n_lines, n_dropped, text (the lines that stay)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lines")
-    hot = frequent(docs, id_col, text_col, least_chars, scratch=scratch, **more)
-    base = numbered(scratch, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).withColumnRenamed(ROW, "row")
-    places = base.select("row", "id", F.explode_outer(_hashed(F.col("text"), least_chars)).alias("k")).where("k is not null")
-    places = places.select("row", "id", "k.place", "k.h1", "k.h2").join(hot, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
+    scratch = Scratch(docs.sparkSession, "lines")
+    marks = marked(docs, id_col, text_col, least_chars, scratch)
+    hot = frequent(marks, scratch, **more)
+    total = marks.agg(F.sum(F.size("keys"))).first()[0] or 0
+    places = marks.select(F.col(ROW).alias("row"), "id", F.explode("keys").alias("k")).select("row", "id", "k.place", "k.h1", "k.h2")
+    places = meet(places, hot, ["h1", "h2"], "n", total).where(~F.col("id").eqNullSafe(F.col("last")))
     away = scratch.stage(places.groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("away")), "places")
-    met = base.join(if_small(away, F.size("away")), "row", "left").withColumn("away", F.coalesce("away", F.array().cast("array<int>")))
+    met = by_row(marks.select(F.col(ROW).alias("row"), "id", "text"), away, "row", "left").withColumn("away", F.coalesce("away", F.array().cast("array<int>")))
     met = met.withColumn("all", lines(F.col("text")))
     ends = F.concat(F.array(F.lit(-1)), F.col("away"), F.array(F.size("all")))
     gaps = F.transform(F.sequence(F.lit(0), F.size("away")), lambda i: F.slice(F.col("all"), F.col("ends")[i] + 2, F.col("ends")[i + 1] - F.col("ends")[i] - 1))
@@ -146,15 +196,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH l AS (
-    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-    FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents),
+l AS (SELECT r, doc_id, unnest(all_lines) AS line, generate_subscripts(all_lines, 1) AS pos FROM d),
 k AS (
     SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
     FROM l),
-hot AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-m AS (SELECT k.*, h.last IS NOT NULL AND h.last <> k.doc_id AS away FROM k LEFT JOIN hot h ON k.key = h.key)
-SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE away) AS BIGINT) AS n_dropped,
+hot AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3),
+m AS (SELECT k.*, h.key IS NOT NULL AND h.last IS DISTINCT FROM k.doc_id AS away FROM k LEFT JOIN hot h ON k.key = h.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE away) AS BIGINT) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT away), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r
 """

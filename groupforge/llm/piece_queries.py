@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import documents, file_bytes, ship, small_batches
+from .common import documents, file_bytes, ship, slices
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIMIT = 4096
@@ -25,7 +25,6 @@ LIMIT = 4096
 
 def _model(spark: SparkSession, path: str) -> pieces.PieceModel:
     ship(spark)
-    small_batches(spark)
     return pieces.PieceModel(file_bytes(spark, path))
 
 
@@ -35,7 +34,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     def run(batches):
         e = pieces.encoder(model.value)
-        for b in batches:
+        for b in slices(batches):
             ids = [e.encode(t, end) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
@@ -49,7 +48,7 @@ def decoded(coded: DataFrame, id_col: str = "id", ids_col: str = "ids", model_pa
 
     def run(batches):
         e = pieces.encoder(model.value)
-        for b in batches:
+        for b in slices(batches):
             texts = [None if x is None else e.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
@@ -64,7 +63,7 @@ def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         e = pieces.encoder(model.value)
         hexed = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
+        for b in slices(batches):
             n, ids_sha, text_sha = [], [], []
             for text in b.column(1).to_pylist():
                 ids = e.encode(text)
@@ -85,11 +84,9 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     def run(batches):
         c = pieces.counter(*shared.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 100):
-                part = b.slice(at, 100)
-                n = c.counts(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["id", "n_bytes", "n_tokens", "over_limit"])
+        for part in slices(batches, 100):
+            n = c.counts(part.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

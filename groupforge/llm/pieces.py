@@ -103,7 +103,7 @@ class Merger:
 class Encoder:
     """Encodes and decodes with the prefix table; one in each worker process."""
 
-    def __init__(self, model: PieceModel, cached: int = 150_000):
+    def __init__(self, model: PieceModel, cached: int = 250_000):
         self.m = model
         self.find = re.compile(model.pattern).findall
         self.merger = Merger(model)

@@ -10,10 +10,13 @@ up to SWAP_WORDS, and beyond them where w * (w + 1) for the longest document w i
 divided by the lengths' common divisor). Which documents of a length are taken follows a seeded hash of the id.
 
 Nothing is ordered in one task: the hash is cut into ranges, whole ranges are taken by their counts, and only documents of
-the one range that a count cuts are numbered. On the driver: one row per source.
+the one range that a count cuts are numbered. Sources may be many (hosts, say): they stay in tables, the driver gets a few sums a
+round, and a source that holds much of the rows meets its target by broadcast (common.meet). One task fits a source, over its
+distinct lengths.
 
-Defined results: a null text has size 0; documents of size 0 are never counted. A null source is a source of its own, last
-in order. Repeated rows are documents of their own. An empty table gives an empty result. Only the named columns are read.
+Defined results: a null text has size 0; documents of size 0 are never counted; a very long one is one length. A null source is a
+source of its own, last in order. Repeated rows are documents of their own. An empty table gives an empty result. Only the named
+columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROW, Scratch, documents, if_small, numbered, row_number
+from .common import ROW, Scratch, by_row, documents, meet, numbered, row_number
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST, SEED = 1.5, 2.0, 20
@@ -36,22 +39,44 @@ TABLE_WORDS = 1 << 16
 SWAP_WORDS = 1 << 24
 
 
-def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
-    """Budget of each source, in the order given."""
-    out, open_ = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    left = share * sum(sizes)
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        above = [i for i in open_ if left * weights[i] / weight > most * sizes[i]]
-        if not above:
-            for i in open_:
-                out[i] = left * weights[i] / weight
+def ordered(df: DataFrame, column: str, name: str, scratch: Scratch) -> DataFrame:
+    """Adds name: the place of each row, from 0, in the order of a column of distinct strings, sorted in ranges."""
+    spread = scratch.stage(df.repartitionByRange(column).sortWithinPartitions(column).withColumn("_at", F.monotonically_increasing_id()), "spread")
+    starts = spread.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))  # one row a partition
+    starts = starts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    placed = spread.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part")
+    return placed.withColumn(name, F.col("_start") + F.col("_at") % (1 << 33)).drop("_at", "_part", "_start")
+
+
+def goals_of(sizes: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """key, docs, source_size, target, whole (times that all documents are taken) and rest (words to fit) of each source.
+
+    sizes: key ("" for null, else "s" and the source), docs, words. Each round stops the sources whose share of what is left is above
+    `most` times their size. The rounds' sums are of whole and half numbers, so they are the same in any order.
+    """
+    order = F.when(F.col("key") == "", F.lit("t")).otherwise(F.col("key"))  # after all that begin with s
+    placed = ordered(sizes.withColumn("_order", order), "_order", "_place", scratch)
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_place") % len(weights)).cast("int"))
+    rows = scratch.stage(placed.select("key", "docs", F.col("words").alias("source_size"), weight.alias("weight"), (F.col("words") * F.lit(most)).alias("cap")), "weights")
+    left = share * float(rows.agg(F.sum("source_size")).first()[0] or 0)
+    target, stopped = F.lit(0.0), F.col("source_size") == 0
+    while True:
+        total = rows.where(~stopped).agg(F.sum("weight")).first()[0]
+        if not total:
+            break
+        aim = F.lit(left) * F.col("weight") / F.lit(total)
+        above = ~stopped & (aim > F.col("cap"))
+        over = rows.where(above).agg(F.sum("cap")).first()[0]
+        if over is None:
+            target = F.when(stopped, target).otherwise(aim)
             break
-        for i in above:
-            out[i] = most * sizes[i]
-        left -= sum(out[i] for i in above)
-        open_ = [i for i in open_ if i not in set(above)]
-    return out
+        target = F.when(above, F.col("cap")).otherwise(target)
+        stopped, left = stopped | above, left - over
+    rows = rows.select("key", "docs", "source_size", target.alias("target"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    rest = F.bround(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
+    rest = F.when(F.col("whole") >= most, 0).otherwise(F.greatest(F.lit(0).cast("long"), F.least(rest, "source_size")))
+    return scratch.stage(rows.withColumn("whole", whole).withColumn("rest", rest.cast("long")), "goals")
 
 
 def exchanged(lengths: list[int], counts: list[int], take: list[int], budget: int, swap: int = SWAP_WORDS) -> list[int]:
@@ -142,41 +167,33 @@ def _fit_source(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": frame["key"], "size": frame["size"], "extra": np.array(taken, dtype="int64")})
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, range_bits: int = 10) -> DataFrame:
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, range_bits: int | None = None) -> DataFrame:
     """One row per row of docs: row, id, source, size, source_size, target, copies, taken."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
+    scratch = Scratch(docs.sparkSession, "mix")
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     key = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
-    base = docs.select(row_number(docs).alias("row"), F.col(id_col).alias("id"), key.alias("key"), size.alias("size"))
-    base = base.withColumn("_r", F.xxhash64(F.lit(seed), "id")).withColumn("_range", F.shiftright("_r", 64 - range_bits))
-    base = scratch.stage(base, "sizes")
-
-    found = {r["key"]: int(r["words"]) for r in base.groupBy("key").agg(F.sum("size").alias("words")).collect()}
-    order = sorted((k for k in found if k), key=lambda k: k[1:]) + [k for k in found if not k]
-    aims = targets([found[k] for k in order], [weights[i % len(weights)] for i in range(len(order))], share, most)
-    rows = []
-    for k, aim in zip(order, aims, strict=True):
-        whole = int(aim // found[k]) if found[k] else 0
-        rest = 0 if whole >= most else max(0, min(round(aim - whole * found[k]), found[k]))
-        rows.append((k, found[k], float(aim), whole, rest))
-    goals = spark.createDataFrame(rows, "key string, source_size long, target double, whole long, rest long")
-
-    lengths = base.where("size > 0").groupBy("key", "size").agg(F.count("*").alias("n"))
-    lengths = lengths.join(goals.where("rest > 0").select("key", "rest"), "key")
+    base = scratch.stage(docs.select(row_number(docs).alias("row"), F.col(id_col).alias("id"), key.alias("key"), size.alias("size")), "sizes")
+    total = base.count()
+    bits = range_bits or max(10, (total >> 18).bit_length())
+    goals = goals_of(base.groupBy("key").agg(F.count("*").alias("docs"), F.sum("size").alias("words")), scratch, weights, share, most)
+    base = base.withColumn("_r", F.xxhash64(F.lit(seed), "id")).withColumn("_range", F.shiftright("_r", 64 - bits))
+
+    cells = scratch.stage(base.where("size > 0").groupBy("key", "size", "_range").agg(F.count("*").alias("n")), "cells")
+    lengths = cells.groupBy("key", "size").agg(F.sum("n").alias("n")).join(goals.where("rest > 0").select("key", "rest").hint("merge"), "key")
     extra = lengths.groupBy("key").applyInPandas(_fit_source, "key string, size long, extra long").where("extra > 0")
     extra = scratch.stage(extra, "extra")
 
-    cells = base.where("size > 0").groupBy("key", "size", "_range").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("key", "size").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumn("_before", before).join(extra, ["key", "size"]).where("_before < extra")
-    cells = cells.select("key", "size", "_range", F.least("n", F.col("extra") - F.col("_before")).alias("quota"), "n")
-    met = base.join(cells, ["key", "size", "_range"], "left")
+    quotas = cells.withColumn("_before", before).join(extra.hint("merge"), ["key", "size"]).where("_before < extra")
+    quotas = quotas.select("key", "size", "_range", F.least("n", F.col("extra") - F.col("_before")).alias("quota"), "n")
+    met = scratch.stage(base.join(quotas.hint("merge"), ["key", "size", "_range"], "left"), "met")
     whole = met.where("quota is null or quota = n").select("row", "id", "key", "size", F.when(F.col("quota").isNull(), 0).otherwise(1).alias("more"))
     place = F.row_number().over(W.partitionBy("key", "size", "_range").orderBy("_r", "id", "row"))
     cut = met.where("quota < n").select("row", "id", "key", "size", (place <= F.col("quota")).cast("int").alias("more"))
+    picked = scratch.stage(whole.unionByName(cut), "picked")
+    scratch.drop(cells, extra, met)
     copies = F.col("whole") + F.col("more")
-    out = whole.unionByName(cut).join(goals.select("key", "source_size", "target", "whole"), "key")
+    out = meet(picked, goals, ["key"], "docs", total)
     source = F.when(F.col("key") == "", F.lit(None)).otherwise(F.expr("substring(key, 2)"))
     return out.select("row", "id", source.alias("source"), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
@@ -188,7 +205,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     found = mixture(docs, id_col, text_col, source_col, **more)
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies").cast("int")).alias("__groupforge_times")
     found = scratch.stage(found.select(F.col("row").alias(ROW), times).where("__groupforge_times > 0"), "copies")
-    again = docs.join(if_small(found), ROW).withColumn("__groupforge_copy", F.explode(F.sequence(F.lit(1), F.col("__groupforge_times"))))
+    again = by_row(docs, found).withColumn("__groupforge_copy", F.explode(F.sequence(F.lit(1), F.col("__groupforge_times"))))
     return again.select(*[docs[c] for c in columns])
 
 

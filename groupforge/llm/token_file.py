@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Recent, Scratch, digest, documents, file_bytes, ship, small_batches
+from .common import Recent, Scratch, digest, documents, file_bytes, ship
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID, MAX_BITS, BLOCK_TOKENS, STEP = 2, 20, 1 << 17, 128
@@ -121,7 +121,6 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """One row per row of docs: id (long), n, ids (binary, as WordEncoder gives them, with the end id)."""
     spark = docs.sparkSession
     ship(spark)
-    small_batches(spark)
     spec = spark.sparkContext.broadcast(file_bytes(spark, tokenizer))
 
     def run(batches):

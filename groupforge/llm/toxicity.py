@@ -7,11 +7,13 @@ moves from the mention of a group to what is said. Identity terms that never occ
 
 Training reads at most SAMPLE labelled rows, chosen by a seeded hash of the id: that is the documented bound of what the driver
 holds (word lists stay on the executors; the driver gets counts of the FEATURES best words and each sampled row's places in
-that list). Scoring is one narrow pass over whole texts. Labels, language, source and id are never inputs of a score.
+that list; names of groups are kept beside the FEATURES best). Scoring is one narrow pass over whole texts, of any length: what a
+text adds is its set of words. Labels, language, source and id are never inputs of a score.
 
 Defined results: null and empty texts get the score of no words. Without labels of both kinds all scores are the label mean,
 or 0 without labels. Repeated label rows count once, toxic if any says so. Rows with null labels are not used. A null id counts
-as the empty string. Only the named columns are read.
+as the empty string. Only the named columns are read, so others can't clash; not_toxic() carries all of them. An empty table gives
+an empty result, and one without labelled rows a score of 0.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, Recent, Scratch, documents, if_small, numbered, row_number, ship, small_batches
+from .common import Recent, Scratch, documents, ship, slices
 
 SAMPLE, FEATURES, SEED, FOLDS = 12_000, 4_000, 4, 5
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -74,7 +76,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
         known = known.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 62)) < keep)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["label", "words"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -108,6 +110,16 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+def swap_gradient(of_term: np.ndarray, named: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient of the mean squared change of the logit, over all texts that name a group and all groups swapped for it.
+
+    of_term: what naming each group adds to a text's features; named: the number of texts that name it.
+    """
+    adds, groups = of_term @ w, len(named)
+    change = (named * adds * groups - named * adds.sum()) + (adds * named.sum() - (named * adds).sum())
+    return 2 / max(1.0, named.sum() * (groups - 1)) * (change @ of_term)
+
+
 def fit(rows: list[tuple[int, list[int]]], names: list[str], identity: list[str], ridge: float = RIDGE, fairness: float = FAIRNESS, steps: int = STEPS) -> Classifier:
     """rows: label and places in names. Loss: mean log loss, ridge, and fairness times the mean squared change under swaps."""
     y = np.array([r[0] for r in rows], dtype=np.float64)
@@ -123,16 +135,13 @@ def fit(rows: list[tuple[int, list[int]]], names: list[str], identity: list[str]
     for i, g in enumerate(groups):
         of_term[i, [place[x] for x in parts(g) if x in place]] = 1.0
         named[i] = np.count_nonzero(col == place[g]) if g in place else 0
-    swaps = max(1.0, named.sum() * (len(groups) - 1))
     w, bias = np.zeros(len(names)), math.log(mean / (1 - mean))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
         z = np.bincount(row, w[col], len(rows)) + bias
         gap = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(rows)
         grad = np.bincount(col, gap[row], len(w)) + ridge * w
-        adds = of_term @ w
-        change = (named * adds * len(groups) - named * adds.sum()) + (adds * named.sum() - (named * adds).sum())
-        grad += 2 * fairness / swaps * (change @ of_term)
+        grad += fairness * swap_gradient(of_term, named, w)
         grad_bias = float(gap.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * grad_bias, 0.999 * vb + 0.001 * grad_bias**2
@@ -145,45 +154,55 @@ def fit(rows: list[tuple[int, list[int]]], names: list[str], identity: list[str]
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", identity: list[str] = IDENTITY, sample: int = SAMPLE, features: int = FEATURES, seed: int = SEED, fairness: float = FAIRNESS) -> Classifier:
     spark = docs.sparkSession
     ship(spark)
-    small_batches(spark)
-    rows = Scratch(spark, "toxicity").stage(_sampled(docs, labels, id_col, text_col, label_col, sample, seed), "sample")
+    scratch = Scratch(spark, "toxicity")
+    rows = scratch.stage(_sampled(docs, labels, id_col, text_col, label_col, sample, seed), "sample")
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bad, good = float(n.get(1, 0)), float(n.get(0, 0))
     if not bad or not good:
         return fit([(1, [])] * int(bad) + [(0, [])] * int(good), [], identity)
     seen = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     ratio = log_ratio(F.col("a").cast("double"), F.col("b").cast("double"), bad, good)
-    best = seen.withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) | F.col("word").isin(identity))
-    names = sorted(r["word"] for r in best.orderBy(F.desc("ratio"), "word").limit(features).collect())
+    named = sorted({x for g in identity for x in parts(g)})
+    ranked = seen.withColumn("ratio", ratio)
+    best = ranked.where((F.col("ratio") >= LEAST_RATIO) & ~F.col("word").isin(named)).orderBy(F.desc("ratio"), "word").limit(features)
+    names = sorted(r["word"] for r in best.select("word").unionByName(ranked.where(F.col("word").isin(named)).select("word")).collect())
     places = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
     chosen = rows.select("label", F.array_intersect("words", places).alias("words"))
     place = {x: i for i, x in enumerate(names)}
-    return fit([(r["label"], [place[x] for x in r["words"]]) for r in chosen.collect()], names, identity, fairness=fairness)
+    found = [(r["label"], [place[x] for x in r["words"]]) for r in chosen.collect()]
+    scratch.drop(rows)
+    return fit(found, names, identity, fairness=fairness)
 
 
 def scored(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: row, id, score."""
+    """One row per row of docs: id, score."""
     spark = docs.sparkSession
     ship(spark)
-    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches):
         c = Classifier(*shared.value)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.score(t) for t in b.column(2).to_pylist()], pa.float64())], ["row", "id", "score"])
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.score(t) for t in b.column(1).to_pylist()], pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(row_number(docs).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, f"row long, id {kind}, score double")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return base.mapInArrow(run, f"id {kind}, score double")
+
+
+def not_toxic(docs: DataFrame, model: Classifier, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """docs without the rows that score at least `limit`; all columns stay. Rows are filtered where they are read."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast((model.weights, model.bias))
+    at = docs.columns.index(text_col)
 
+    def run(batches):
+        c = Classifier(*shared.value)
+        for b in slices(batches):
+            yield b.filter(pa.array([c.score(t) < limit for t in b.column(at).to_pylist()], pa.bool_()))
 
-def not_toxic(docs: DataFrame, model: Classifier, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that score at least `limit`; all columns stay."""
-    scratch = Scratch(docs.sparkSession, "toxic-away")
-    docs = numbered(scratch, docs)
-    away = scored(docs, model, id_col, text_col).where(F.col("score") >= limit).select(F.col("row").alias(ROW))
-    return docs.join(if_small(scratch.stage(away, "away")), ROW, "left_anti").drop(ROW)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

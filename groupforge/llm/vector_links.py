@@ -6,14 +6,18 @@ are candidates if their prefixes share at least SHARED pivots, and are verified
 
 A pair meets in each list of a shared pivot and is worked in that of the smallest one. Lists are worked in pairs of blocks, as
 matrix products; what comes out is each vector's number of links and a star for each connected part, never all pairs. Equal
-vectors of a label are one class with a number of members, so copies form no pairs either.
+vectors of a label are one class with a number of members, so copies form no pairs either. Different vectors that all link with
+each other are counted one by one, as their numbers of links are asked for: that is the one product of a group with itself.
 
-The index is fitted on at most PIVOTS_MOST vectors and holds every vector; the number of pivots grows with the square root of
-the rows, so lists do too. Recall at the production parameters is measured against brute force in the tests (at least 0.9).
+The index is fitted on at most 4 * PIVOTS_MOST vectors and holds every vector; the number of pivots grows with the square root of
+the rows, so that lists do too, up to PIVOTS_MOST (30 million vectors; lists of larger tables grow in proportion, at the same
+recall). Lists, vectors and components that very many rows share are met by broadcast of a bounded number of them (common.meet).
+Recall at the production parameters is measured against brute force in the tests, on planted links (at least 0.9).
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label or an
-id, link with nothing; their component is their id. Vectors of different lengths are never compared. Repeated rows are vectors of
-their own and link if they can link. Only the named columns are read.
+id, link with nothing; their component is their id. Vectors of different lengths are never compared, and long ones only cost time.
+Repeated rows are vectors of their own and link if they can link. kept tells whether component_id is the row's own id, so rows that
+repeat the smallest id are all kept. Only the named columns are read, so others can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Merge, dealt, whole_units
-from .common import Scratch, components, ship
+from .blocks import Merge, dealt, gathered, whole_units
+from .common import Scratch, components, meet, ship, slices
 
-COSINE, PREFIX, SHARED, BLOCK, SEED = 0.93, 8, 3, 600, 7
-PIVOTS_LEAST, PIVOTS_MOST, PIVOTS_PER_ROOT = 32, 2048, 3.0
+COSINE, PREFIX, SHARED, BLOCK, SEED = 0.93, 8, 2, 600, 7
+PIVOTS_LEAST, PIVOTS_MOST, PIVOTS_PER_ROOT = 32, 16_384, 3.0
 #: A vector closer than this to a chosen pivot is none.
 PIVOT_APART = 0.9
 
@@ -37,24 +41,32 @@ def pivots(vectors: DataFrame, n: int, seed: int = SEED) -> dict[int, np.ndarray
     want = int(min(PIVOTS_MOST, max(PIVOTS_LEAST, PIVOTS_PER_ROOT * n**0.5)))
     share = min(1.0, 2.0 * want / max(1, n))
     drawn = vectors.withColumn("_r", F.xxhash64(F.lit(seed), "vec")).where(F.pmod(F.col("_r"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    rows = drawn.select("vec", "_r").orderBy("_r").limit(4 * want).collect()
+    rows = drawn.select("vec", "_r").orderBy("_r", "vec").limit(4 * want).collect()
     out: dict[int, np.ndarray] = {}
     by_length: dict[int, list[np.ndarray]] = {}
     for r in rows:
         v = np.array(r["vec"], dtype=np.float64)
         by_length.setdefault(len(v), []).append(v / np.linalg.norm(v))
     for length, vs in by_length.items():
-        chosen = np.zeros((0, length))
+        chosen, k = np.empty((min(want, len(vs)), length)), 0
         for v in vs:
-            if len(chosen) < want and not (chosen @ v > PIVOT_APART).any():
-                chosen = np.vstack([chosen, v])
-        out[length] = chosen
+            if k < len(chosen) and not (chosen[:k] @ v > PIVOT_APART).any():
+                chosen[k], k = v, k + 1
+        out[length] = chosen[:k]
     return out
 
 
 def prefixes(unit: np.ndarray, chosen: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
-    """Places of the nearest pivots of each row, nearest first."""
-    return np.argsort(-(unit @ chosen.T), axis=1, kind="stable")[:, : min(prefix, len(chosen))].astype(np.int32)
+    """Places of the nearest pivots of each row, nearest first; of equally near ones the smaller place."""
+    k = min(prefix, len(chosen))
+    out = np.empty((len(unit), k), dtype=np.int32)
+    for at in range(0, len(unit), 256):
+        far = -(unit[at : at + 256] @ chosen.T)
+        edge = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+        for i, row in enumerate(far):
+            near = np.flatnonzero(row <= edge[i])
+            out[at + i] = near[np.argsort(row[near], kind="stable")][:k]
+    return out
 
 
 def _units(t: pa.Table, column: int) -> np.ndarray:
@@ -68,7 +80,6 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """One row per row of vectors: row, id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     scratch = Scratch(spark, "vectors")
     vec = F.col(vector_col).cast("array<double>")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -80,11 +91,12 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     classes = base.where("ok").groupBy("label", "vec").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.stage(classes, "classes")
     chosen = spark.sparkContext.broadcast(pivots(classes, classes.count()))
+    total = base.count()
 
     def index(batches):
-        for b in batches:
+        for b in slices(batches, 2000):
             t = pa.Table.from_batches([b])
-            lengths = np.diff(b.column(3).offsets.to_numpy()) if b.num_rows else np.zeros(0, dtype=int)
+            lengths = np.diff(b.column(3).offsets.to_numpy())
             for length in np.unique(lengths):
                 part = t.filter(pa.array(lengths == length)).combine_chunks()
                 own = chosen.value.get(int(length))
@@ -99,11 +111,13 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     described = scratch.stage(described, "described")
     length = F.size("vec").alias("length")
     key = F.xxhash64("label", "length", "pivot").alias("key")
-    postings = described.select("label", "rep", "copies", "vec", "pivots", length, F.explode_outer("pivots").alias("pivot"))
-    sizes = postings.groupBy("label", "length", "pivot").agg(F.count("*").alias("members")).where("members > 1")
-    postings = postings.join(sizes, ["label", "length", "pivot"]).select(key, "pivot", "label", "rep", "copies", "vec", "pivots", "members", "length")
-    met = dealt(postings, ["key", "label", "length", "pivot"], "members", "rep", block)
+    postings = described.select("label", "rep", "copies", "vec", "pivots", length, F.explode("pivots").alias("pivot"))
+    sizes = scratch.stage(postings.groupBy("label", "length", "pivot").agg(F.count("*").alias("members")), "sizes")
+    several = sizes.where("members > 1")
+    met = meet(postings, several, ["label", "length", "pivot"], "members", sizes.agg(F.sum("members")).first()[0] or 0)
+    met = dealt(met.withColumn("key", key), ["key", "label", "length", "pivot"], F.ceil(F.col("members") / block), "rep")
     met = met.select("key", "pivot", "length", "low", "high", "block", "rep", "copies", "vec", "pivots", F.col("label").cast("string").alias("label"))
+    met = gathered(met, ["key", "pivot", "length", "low", "high"])
 
     def compare(batches):
         for t, units in whole_units(batches, 5, 2000):
@@ -112,16 +126,19 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 if e - s > 1:
                     yield from _compare_unit(t.slice(s, e - s), cosine, shared)
 
-    out = scratch.stage(met.mapInArrow(compare, "a long, b long, n long"), "links")
-    counts = out.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    parts = components(scratch, out.where("n is null").select("a", "b")).withColumnRenamed("node", "rep")
-    found = classes.join(counts, "rep", "left").join(parts, "rep", "left")
-    found = found.select("label", "vec", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("part"))
-    whole = base.where("ok").join(found, ["label", "vec"]).select("row", "id", "n_links", "part")
+    links = scratch.stage(met.mapInArrow(compare, "a long, b long, n long"), "links")
+    counts = links.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    parts = components(scratch, links.where("n is null").select("a", "b")).withColumnRenamed("node", "rep")
+    found = classes.join(counts.hint("merge"), "rep", "left").join(parts.hint("merge"), "rep", "left")
+    found = found.select("label", "vec", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("part"))
+    found = scratch.stage(found, "found")
+    whole = meet(base.where("ok"), found, ["label", "vec"], "copies", total).select("row", "id", "n_links", "part")
     alone = base.where("not ok").select("row", "id", F.lit(0).cast("long").alias("n_links"), F.col("row").alias("part"))
     out = scratch.stage(whole.unionByName(alone), "parts")
-    heads = out.groupBy("part").agg(F.min(F.struct("id", "row")).alias("head")).select("part", F.col("head.id").alias("component_id"), F.col("head.row").alias("head_row"))
-    return out.join(heads, "part").select("row", "id", "n_links", "component_id", (F.col("row") == F.col("head_row")).alias("kept"))
+    scratch.drop(base, classes, described, sizes, links, found)
+    order = F.struct(F.col("id").isNull().alias("none"), "id")
+    heads = scratch.stage(out.groupBy("part").agg(F.min(order).alias("first"), F.count("*").alias("size")).select("part", F.col("first.id").alias("component_id"), "size"), "heads")
+    return meet(out, heads, ["part"], "size", total).select("row", "id", "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _compare_unit(t: pa.Table, cosine: float, shared: int):
@@ -164,16 +181,17 @@ def op7_pivot_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH RECURSIVE good AS (
-    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-sized AS (SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS size FROM good WHERE list_inner_product(v, v) > 0),
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, * FROM embeddings),
+good AS (
+    SELECT r, label, embedding::DOUBLE[] AS v FROM e
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+sized AS (SELECT r, label, v, sqrt(list_inner_product(v, v)) AS size FROM good WHERE list_inner_product(v, v) > 0),
 edges AS (
-    SELECT a.vec_id AS a, b.vec_id AS b FROM sized a JOIN sized b ON a.label = b.label AND a.vec_id <> b.vec_id
+    SELECT a.r AS a, b.r AS b FROM sized a JOIN sized b ON a.label = b.label AND a.r <> b.r
     WHERE list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.93),
-reach AS (SELECT vec_id AS node, vec_id AS other FROM embeddings UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a),
-found AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+reach AS (SELECT r AS node, r AS other FROM e UNION SELECT r.node, x.b FROM reach r JOIN edges x ON r.other = x.a),
+found AS (SELECT node, min(e.vec_id) AS component_id FROM reach JOIN e ON e.r = other GROUP BY node),
 counts AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
-SELECT e.vec_id, coalesce(c.n, 0) AS n_links, f.component_id, e.vec_id = f.component_id AS kept
-FROM embeddings e JOIN found f ON e.vec_id = f.node LEFT JOIN counts c ON c.a = e.vec_id
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, f.component_id, e.vec_id IS NOT DISTINCT FROM f.component_id AS kept
+FROM e JOIN found f ON e.r = f.node LEFT JOIN counts c ON c.a = e.r
 """

@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from groupforge.llm import common, exact_dedup, line_dedup, near_dup
+from groupforge.llm import blocks, common, exact_dedup, line_dedup, near_dup
 from groupforge.llm.blocks import connect
 
 SCHEMA = "doc_id long, text string, name string, size long, kept boolean"
@@ -52,17 +52,16 @@ def test_exact_dedup_keeps_columns_and_one_row(spark, tmp_path):
 
 @pytest.fixture
 def other_splits(spark, monkeypatch):
-    """From the first counted table on, scans are split in another way than before it, as when cores are lost."""
-    from groupforge.llm import source_mix, toxicity
-
-    setting = "spark.sql.files.minPartitionNum"
-    for module in (exact_dedup, line_dedup, near_dup, source_mix, toxicity):
+    """Scans are split in another way after each written table, as when cores come and go."""
+    setting, write, turns = "spark.sql.files.minPartitionNum", common.Scratch.write, ["1", "64", "7"]
 
-        def split(df, *cells, before=module.if_small):
-            spark.conf.set(setting, "1")
-            return before(df, *cells)
+    def written(self, *given, **more):
+        path = write(self, *given, **more)
+        turns.append(turns.pop(0))
+        spark.conf.set(setting, turns[0])
+        return path
 
-        monkeypatch.setattr(module, "if_small", split)
+    monkeypatch.setattr(common.Scratch, "write", written)
     spark.conf.set(setting, "64")
     yield
     spark.conf.unset(setting)
@@ -81,17 +80,13 @@ def test_kept_rows_when_splits_change(spark, tmp_path, other_splits):
 
     docs = frame(spark, WORDY, tmp_path)
     assert sorted(r.doc_id for r in near_dup.deduplicated(docs).collect()) == list(range(40))
-    spark.conf.set("spark.sql.files.minPartitionNum", "64")
     twice = frame(spark, [(i, t.replace(" more", "")) for i, t in WORDY], tmp_path, "twice")
     assert sorted(r.doc_id for r in exact_dedup.deduplicated(twice).collect()) == list(range(40))
-    spark.conf.set("spark.sql.files.minPartitionNum", "64")
     left = toxicity.not_toxic(docs, toxicity.Classifier({"more": 9.0}, -4.0)).collect()
     assert sorted(r.doc_id for r in left) == list(range(40))
-    spark.conf.set("spark.sql.files.minPartitionNum", "64")
     empty = frame(spark, [(i, t if i >= 100 else "") for i, t in WORDY], tmp_path, "empty")
     mixed = source_mix.mixed(empty, source_col="name", share=1.0).collect()
     assert sorted(r.doc_id for r in mixed) == [i for i, _ in WORDY]
-    spark.conf.set("spark.sql.files.minPartitionNum", "64")
     half = source_mix.mixed(empty, source_col="name", share=0.5).collect()
     assert sum(len(r.text.split()) for r in half) == 7 * 31 and sum(r.text == "" for r in half) == 40
 
@@ -134,14 +129,30 @@ def test_lines(spark, tmp_path, batches):
     assert sorted((r.id, r.n_lines, r.n_dropped, r.text) for r in got) == sorted(lines_by_hand(rows))
 
 
+def test_lines_of_null_and_repeated_ids(spark, tmp_path):
+    line = "a line that is long enough to count"
+    got = line_dedup.dropped(frame(spark, [(None, line), (None, f"{line}\nx"), (1, line), (9, line), (9, f"{line} \n{line}")], tmp_path)).collect()
+    assert sorted((str(r.id), r.n_lines, r.n_dropped, r.text) for r in got) == [("1", 1, 1, ""), ("9", 1, 0, line), ("9", 2, 0, f"{line} \n{line}"), ("None", 1, 1, ""), ("None", 2, 1, "x")]
+
+
 def test_runs_hold_each_key_once_and_compact(spark):
     scratch = common.Scratch(spark, "runs")
-    runs = line_dedup.Runs(scratch, "bigint")
-    for b in range(5):
-        runs.add(spark.range(b * 10, b * 10 + 10).selectExpr("id as h1", "id as h2", "1L as n", "id as last"))
-        runs.compact()
-    held = [r.count() for r in runs.all()]
-    assert sum(held) == 50 and len(held) <= 3
+    runs = line_dedup.Runs(scratch)
+    with line_dedup.ordered_buckets(spark):
+        for b in range(5):
+            batch = runs.read(runs.write(spark.range(b * 7, b * 7 + 10).selectExpr("id as h1", "id as h2", "1L as n", "id as last"), "batch"))
+            fresh = runs.fresh(batch)
+            plan = fresh._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Sort " not in plan and plan.count("SortMergeJoin") == len(runs.all()), plan
+            runs.add(fresh, dealt=True)
+            runs.compact()
+            for level in runs.levels:
+                for table in level:
+                    assert "Sort " not in runs.read(table).sortWithinPartitions("h1", "h2")._jdf.queryExecution().executedPlan().toString()
+        held = [[r.h1 for r in run.collect()] for run in runs.all()]
+    assert sorted(sum(held, [])) == list(range(38)) and len(held) <= 3
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("groupforge_")]
 
 
 def components_by_hand(n, links):
@@ -168,7 +179,7 @@ def near_by_hand(rows, words, percent):
     return [(rows[a][0], len(sets[a]), rows[part[a]][0], part[a] == a) for a in range(len(rows))]
 
 
-@pytest.mark.parametrize(("group_block", "cluster_block"), [(2000, 400), (7, 5)])
+@pytest.mark.parametrize(("group_block", "cluster_block"), [(2000, 400), (7, 5), (2, 2)])
 def test_near_groups(spark, tmp_path, group_block, cluster_block):
     rnd = random.Random(3)
     vocabulary = [f"w{k}" for k in range(400)]
@@ -182,6 +193,8 @@ def test_near_groups(spark, tmp_path, group_block, cluster_block):
                 near[rnd.randrange(len(near))] = rnd.choice(vocabulary)
             texts.append("\n".join(near))
         texts.append(" ".join(base))
+    long = [rnd.choice(vocabulary) for _ in range(30_000)]
+    texts += [" ".join(long), " ".join(long + ["end"])]
     rows = list(enumerate(texts))
     got = near_dup.near_groups(frame(spark, rows, tmp_path), words=4, group_block=group_block, cluster_block=cluster_block).collect()
     assert sorted((r.id, r.n_shingles, r.component_id, r.kept) for r in got) == near_by_hand(rows, 4, 80)
@@ -190,7 +203,23 @@ def test_near_groups(spark, tmp_path, group_block, cluster_block):
 def test_near_rows_that_repeat_ids(spark, tmp_path):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, None), (7, "q")]
     got = near_dup.near_groups(frame(spark, rows, tmp_path), words=4).collect()
-    assert sorted((str(r.id), str(r.component_id), r.kept) for r in got) == [("5", "5", False), ("5", "5", True), ("7", "7", True), ("None", "5", False), ("None", "None", True)]
+    assert sorted((str(r.id), str(r.component_id), r.kept) for r in got) == [("5", "5", True), ("5", "5", True), ("7", "7", True), ("None", "5", False), ("None", "None", True)]
+    assert sum(r["head"] for r in got) == 3
+    assert sorted(str(r.doc_id) for r in near_dup.deduplicated(frame(spark, rows, tmp_path, "again")).collect()) == ["5", "7", "None"]
+
+
+def test_a_large_cluster_of_one_component_meets_once(spark):
+    """Members of one component cost nothing in step 2; those of others meet all members that they are apart from, once."""
+    scratch = common.Scratch(spark, "apart")
+    rows = scratch.stage(spark.range(40).selectExpr("1L as key", "id as row", "4 as size"), "rows")
+    parts = lambda f: spark.createDataFrame([(i, f(i)) for i in range(40)], "node long, component long")
+    assert blocks.apart(rows, "key", "row", "size", scratch, parts(lambda i: 0)) is None
+    part = lambda i: i if i >= 34 else 0
+    units = {}
+    for r in blocks.apart(rows, "key", "row", "size", scratch, parts(part)).collect():
+        units.setdefault((r.low, r.high), []).append((r.row, r.block))
+    met = [(min(a, b), max(a, b)) for (low, high), members in units.items() for a, x in members for b, y in members if a < b and (low == high or x != y)]
+    assert len(met) == len(set(met)) and {m for m in met if part(m[0]) != part(m[1])} == {(a, b) for b in range(34, 40) for a in range(b)}
 
 
 def test_bayes_bounds_keep_likely_pairs():

@@ -9,8 +9,9 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from groupforge.llm import piece_queries, queries, source_mix
+from groupforge.llm import piece_queries, queries
 from tests.llm.test_dedup import near_by_hand
+from tests.llm.test_models import targets
 
 SQL = queries.oracle_sql()
 
@@ -72,7 +73,7 @@ def test_pipeline(spark, corpus):
     taken = Counter()
     for r in got:
         taken[r.source] += size[r.doc_id]
-    for s, aim in zip(order, source_mix.targets([words[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))]), strict=True):
+    for s, aim in zip(order, targets([words[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))]), strict=True):
         assert abs(taken[s] - aim) <= 1
     assert max(Counter(r.doc_id for r in got).values()) <= 2
     assert got and {r.doc_id for r in got} >= {r[0] for r in kept if size[r[0]] == 0}
@@ -83,3 +84,19 @@ def test_stages_keep_columns(spark, corpus):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_stages_of_an_empty_table(spark, corpus, tmp_path):
+    sf, _ = corpus
+    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
+def test_stages_with_nulls_repeats_and_other_columns(spark, corpus, stage):
+    sf, _ = corpus
+    rows = [(None, None, None, None, None, 1), (1, "a b c d e f g", "en", "s1", 9, 1), (1, "a b c d e f g", "en", "s1", 9, 1), (2, None, "en", None, None, 1), (3, "long " * 50_000, None, "s1", 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row long")
+    out = stage(spark, docs, sf)
+    assert out.count() >= 1 and "doc_id" in out.columns
