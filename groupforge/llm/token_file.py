@@ -6,11 +6,13 @@ BLOCK_TOKENS tokens each: doc_ids, doc_tokens, the bits, and the bit offset of e
 checkpoints decode side by side, one table lookup a token and checkpoint. Part and place order the blocks; part files hold
 them in that order.
 
-Encoding, counting and coding are separate passes over written tables: a lost executor repeats its tasks only. The driver
-gets one row per vocabulary entry and one per part file. The range partitions by doc_id are as many as shuffle partitions.
+Encoding, which counts ids on its way, and coding are separate passes over written tables: a lost executor repeats its tasks
+only. The driver gets one row per vocabulary entry and one per part file. The range partitions by doc_id are as many as shuffle
+partitions.
 
 Defined results: a null text counts as empty and holds the end id only; null ids come first; rows that repeat are documents of
-their own. Memory is bounded by one document plus one block. An empty table gives an empty folder and result.
+their own. A very long text is one block; memory is bounded by one document plus one block plus Spark's bound of Arrow batches in
+bytes. Only the two named columns are read, so others can't clash. An empty table gives an empty folder and result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Recent, Scratch, digest, documents, file_bytes, ship
+from .common import Recent, Scratch, digest, documents, file_bytes, ship, slices
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID, MAX_BITS, BLOCK_TOKENS, STEP = 2, 20, 1 << 17, 128
@@ -64,8 +66,8 @@ class WordEncoder:
             rest = iter(range(256, 512))
             self.shown = [chr(b) if b in set(printable) else chr(next(rest)) for b in range(256)]
             self.tokens = Recent(self._token, 200_000)
-            self.plain_words = Recent(lambda word: b"".join(map(self.tokens.__getitem__, self.find(word))), 300_000)
-            self.any_words = Recent(self._word, 100_000)
+            self.plain_words = Recent(self._plain_word, 700_000)
+            self.any_words = Recent(self._word, 200_000)
 
     def _splits_at_spaces(self, data: dict) -> bool:
         """Whether the file is of the kind the caches are right for."""
@@ -80,6 +82,11 @@ class WordEncoder:
             and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or re.search(r"\s", x["content"]) for x in data["added_tokens"])
         )
 
+    def _plain_word(self, word: str) -> bytes:
+        if word.isalpha() and word.isascii():  # one part, in its own letters
+            return array(self.kind, [t.id for t in self.library.model.tokenize(word)]).tobytes()
+        return b"".join(map(self.tokens.__getitem__, self.find(word)))
+
     def _token(self, token: str) -> bytes:
         if not (token.isascii() and token.isprintable()):
             token = "".join([self.shown[b] for b in token.encode()])
@@ -117,8 +124,11 @@ def word_encoder(spec: bytes) -> WordEncoder:
     return _ENCODERS[key]
 
 
-def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """One row per row of docs: id (long), n, ids (binary, as WordEncoder gives them, with the end id)."""
+def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, counted: bool = False) -> DataFrame:
+    """One row per row of docs: id (long), n, ids (binary, as WordEncoder gives them, with the end id).
+
+    counted: each task adds one row with n = -1 whose ids are the task's number of each id, as 64-bit integers.
+    """
     spark = docs.sparkSession
     ship(spark)
     spec = spark.sparkContext.broadcast(file_bytes(spark, tokenizer))
@@ -126,10 +136,15 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     def run(batches):
         e = word_encoder(spec.value)
         end = array(e.kind, [end_id]).tobytes()
-        for b in batches:
+        total = np.zeros(max(e.library.get_vocab_size(), end_id + 1), dtype=np.int64)
+        for b in slices(batches):
             ids = [e.encode(t) + end for t in b.column(1).to_pylist()]
             n = [len(x) // len(end) for x in ids]
+            if counted:
+                total += np.bincount(np.frombuffer(b"".join(ids), dtype=f"<u{len(end)}"), minlength=len(total))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["id", "n", "ids"])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["id", "n", "ids"])
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(run, "id long, n long, ids binary")
@@ -226,19 +241,19 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     vocabulary = word_encoder(file_bytes(spark, tokenizer)).library.get_vocab_size()
     width = 2 if vocabulary <= 1 << 16 else 4
     size = max(vocabulary, end_id + 1)
-    ids_path = scratch.write(token_ids(docs, id_col, text_col, tokenizer, end_id), "ids")
-    ids = spark.read.schema("id long, n long, ids binary").parquet(ids_path)
+    coded = scratch.stage(token_ids(docs, id_col, text_col, tokenizer, end_id, counted=True), "ids")
+    ids = coded.where("n >= 0")
 
-    def count(batches):
+    def add(batches):
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
             for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype=f"<u{width}"), minlength=size)
+                total += np.frombuffer(x.as_buffer(), dtype=np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
 
     counts = np.zeros(size, dtype=np.int64)
-    for r in ids.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+    for r in coded.where("n = -1").select("ids").mapInArrow(add, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
         counts[r["token"]] = r["n"]
     lengths = code_lengths(counts, max_bits)
     shared = spark.sparkContext.broadcast(lengths)
@@ -272,7 +287,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     book = [(max_bits, step, end_id, lengths.tolist())]
     spark.createDataFrame(book, BOOK_SCHEMA).coalesce(1).write.parquet(f"{folder}/codebook")
-    scratch.drop(ids_path)
+    scratch.drop(coded)
 
 
 BLOCK_SCHEMA = "part int, place long, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, bits binary, offsets binary"
@@ -292,7 +307,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches):
         code, starts = Code(shared.value[0], book["max_bits"]), shared.value[1]
-        for b in batches:
+        for b in slices(batches, 1):
             for r in b.to_pylist():
                 ids = code.decode(r["bits"], np.frombuffer(r["offsets"], dtype="<u4"), r["n_tokens"], book["step"]).astype("<u4")
                 ends = np.cumsum(r["doc_tokens"])
