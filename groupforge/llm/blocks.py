@@ -68,7 +68,8 @@ def joined_up(scratch: Scratch, stars: DataFrame, again) -> DataFrame:
     more = again(parts)
     if more is None:
         return parts
-    return components(scratch, parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
+    edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
+    return scratch.stage(components(scratch, edges), "parts")
 
 
 def gathered(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,8 @@
 Groups and clusters of any size are worked in blocks, of a bounded number of rows and bytes (blocks.py): members of a large one
 are dealt into two blocks each, and only what is left in different components after that meets again, so near copies of one text
 cost time linear in their number. Sets, bands, clusters and components that very many rows share are met by broadcast of a bounded
-number of them (common.meet). Texts are shuffled once to leave those without candidates, and those of clusters once or twice more.
+number of them (common.meet). Texts are shuffled once to leave those without candidates; those of clusters are written, and shuffled
+once or twice more.
 A link at similarity s is missed with probability (1 - s**ROWS)**BANDS in step 2 (5e-6 at 0.8) plus about MISS.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; texts of fewer words than a shingle have
@@ -35,7 +36,7 @@ from .common import ROW, Scratch, by_row, documents, meet, numbered, row_number,
 WORDS, PERCENT = 5, 80
 BANDS, ROWS, BATCH, MISS = 40, 6, 16, 1e-7
 #: Signature bytes that travel with each band's group, and members of a block in steps 2 and 3; bytes of texts in a block of step 3.
-FIRST_BYTES, GROUP_BLOCK, CLUSTER_BLOCK, BLOCK_BYTES = 64, 2000, 400, 16 << 20
+FIRST_BYTES, GROUP_BLOCK, CLUSTER_BLOCK, BLOCK_BYTES = 64, 1000, 200, 16 << 20
 
 _rng = np.random.Generator(np.random.PCG64(9))
 _MULTIPLY = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -146,13 +147,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = marks.where("n > 0").groupBy("one", "two", "n").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     classes = scratch.stage(classes, "classes")
     clusters = _clusters(scratch, marks, classes, early, percent, group_block)
-    found = scratch.stage(_verified(scratch, docs, marks, clusters, least, words, percent, cluster_block), "found")
+    found = _verified(scratch, docs, marks, clusters, least, words, percent, cluster_block)
 
     joined = classes.join(found.withColumnRenamed("node", "row").hint("merge"), "row", "left").select("one", "two", "n", "copies", F.coalesce("component", "row").alias("part"))
     joined = scratch.stage(joined, "joined")
     out = meet(marks.select("row", "id", "n", "one", "two"), joined, ["one", "two", "n"], "copies", total, "left").withColumn("part", F.coalesce("part", "row"))
     out = scratch.stage(out.select("row", "id", "n", "part"), "parts")
-    scratch.drop(marks, classes, clusters, found, joined)
+    scratch.drop(marks, classes, clusters, joined)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     heads = out.groupBy("part").agg(F.min(order).alias("first"), F.count("*").alias("size"))
     heads = scratch.stage(heads.select("part", F.col("first.id").alias("component_id"), F.col("first.row").alias("head_row"), "size"), "heads")
@@ -194,8 +195,8 @@ def _verified(scratch: Scratch, docs: DataFrame, marks: DataFrame, clusters: Dat
     blocks = F.ceil(F.greatest(F.col("members") / cluster_block, F.col("length") / BLOCK_BYTES)).cast("int")
     sizes = scratch.stage(sizes.select("cluster", "members", F.least(blocks, F.col("members").cast("int")).alias("blocks")), "sizes")
     likely = scratch.stage(meet(clusters, sizes, ["cluster"], "members", clusters.count()), "likely")
-    texts = docs.select(F.col(ROW).alias("row"), "text")
-    signed = marks.select("row", "n", "bytes").hint("merge")
+    texts = by_row(docs.select(F.col(ROW).alias("row"), "text"), likely, "row")
+    texts = scratch.stage(texts.join(marks.select("row", "n", "bytes").hint("merge"), "row"), "texts")
 
     def stars(units: DataFrame, labelled: bool) -> DataFrame:
         def verify(batches):
@@ -217,15 +218,16 @@ def _verified(scratch: Scratch, docs: DataFrame, marks: DataFrame, clusters: Dat
                 yield _stars(rows, connect(unit, low != high, block, n, _matrix(t.column(6), BANDS * ROWS), least, percent, linked, t.column(8).to_numpy() if labelled else None))
 
         columns = ["cluster", "low", "high", "block", "row", "n", "bytes", "text", *(["part"] if labelled else [])]
-        met = texts.join(units.hint("shuffle_hash"), "row").join(signed, "row")
-        return gathered(met.select(*columns), columns[:3]).mapInArrow(verify, "a long, b long")
+        return gathered(units.select(*columns), columns[:3]).mapInArrow(verify, "a long, b long")
 
     def again(parts: DataFrame) -> DataFrame | None:
         large = likely.where("blocks > 1").select("cluster", "row", F.ceil(F.col("members") / F.col("blocks")).cast("int").alias("size"))
         left = apart(large, "cluster", "row", "size", scratch, parts)
-        return None if left is None else stars(left, True)
+        return None if left is None else stars(by_row(texts.select("row", "n", "bytes", "text"), left, "row"), True)
 
-    return joined_up(scratch, stars(once(likely, "cluster", F.col("blocks"), "row", 2), False), again)
+    found = joined_up(scratch, stars(once(texts, "cluster", F.col("blocks"), "row", 2), False), again)
+    scratch.drop(likely, sizes, texts)
+    return found
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
