@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
@@ -84,18 +85,21 @@ UNEVEN = 4096
 
 
 def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
-    """rows joined with groups (one row each, both written tables), where a group may hold any part of the rows.
+    """rows (a written table) joined with groups (one row each), where a group may hold any part of the rows.
 
-    size: the column of groups with the number of a group's rows; total: the number of all rows. Groups of more than total / UNEVEN rows
-    are at most UNEVEN, at any size of the data, so they are broadcast and their rows stay where they are. Of all other groups none is
-    larger than one of UNEVEN even shares, so they are met by a shuffle. Every row takes one of the two ways. how: inner or left.
+    size: the column of groups with the number of a group's rows, or more; total: the number of all rows, or more. Groups of more than
+    total / UNEVEN rows are few at any size of the data, so they are broadcast and their rows stay where they are. Of all other groups
+    none is larger than one of UNEVEN even shares, so they are met by a shuffle. Every row takes one of the two ways. how: inner or left.
     """
-    large = F.col(size) > total / UNEVEN
-    few = groups.where(large)
-    columns = [c for c in groups.columns if c not in keys]
-    hot = rows.join(F.broadcast(few), keys)
-    cold = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(groups.where(~large).hint("merge"), keys, how)
-    return hot.unionByName(cold.select(*keys, *[c for c in rows.columns if c not in keys], *columns))
+    large, more = F.col(size) > total / UNEVEN, [c for c in groups.columns if c not in keys]
+    own = [c for c in rows.columns if c not in keys]
+    marked = rows.join(F.broadcast(groups.where(large)), keys, "left")
+    # all columns are tested, so that both ways broadcast the same table
+    met = F.col(size).isNotNull()
+    none = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in more])
+    hot = marked.where(met).select(*keys, *own, *more)
+    cold = marked.where(none).select(*keys, *own).join(groups.where(~large).hint("merge"), keys, how)
+    return hot.unionByName(cold.select(*keys, *own, *more))
 
 
 def by_row(rows: DataFrame, marks: DataFrame, key: str = ROW, how: str = "inner") -> DataFrame:
@@ -179,14 +183,13 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             break
         seen, total = now, 2 * now[0]
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "low")
-        large = meet(both.where("v > u"), low, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.stage(large, "large")
-        least = scratch.stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = scratch.stage(meet(both.where("v > u"), low, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = meet(large, least, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after = scratch.write(small, "small")
-        scratch.drop(path, low, large, least)
+        scratch.drop(path, large)
         path = after
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
