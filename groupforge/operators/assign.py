@@ -103,3 +103,34 @@ def coverage(assigned: DataFrame, asked: DataFrame) -> DataFrame:
     """asked, covered, share of listed companies that some group holds."""
     met = asked.select("siren").distinct().join(assigned.select("siren").distinct().withColumn("held", F.lit(True)), "siren", "left")
     return met.agg(F.count("*").alias("asked"), F.count_if("held").alias("covered")).withColumn("share", F.round(F.col("covered") / F.col("asked"), 6))
+
+
+def levels_within(rows: DataFrame) -> DataFrame:
+    """siren, head, mother, level: how far a company is below the first one whose mother doesn't count: a head, or one without a mother in rows.
+
+    A loop of mothers opens at its smallest company, which has level 0.
+    """
+    rows = cut(rows.select("siren", "head", "mother"))
+    inside = rows.where("siren <> head").join(rows.select(F.col("siren").alias("mother")), "mother", "left_semi")
+    depth = tree.roots(cut(inside.select(F.col("siren").alias("child"), "mother"))).select(F.col("child").alias("siren"), "depth")
+    return rows.join(depth, "siren", "left").select("siren", "head", "mother", F.coalesce("depth", F.lit(0)).cast("long").alias("level"))
+
+
+def nearest_kept(rows: DataFrame, mothers: DataFrame) -> DataFrame:
+    """siren, head, kept, direct: the nearest company above each one that is in the same group, or null; direct: it is the mother itself.
+
+    rows: siren, head. mothers: child, mother. Companies that are in other groups or in none are passed; a way that comes back ends.
+    """
+    up = cut(mothers.select(F.col("child").alias("at"), F.col("mother").alias("next")).repartition("at"))
+    group = cut(rows.select(F.col("siren").alias("next"), F.col("head").alias("next_head")))
+    front, done, step = rows.select("siren", "head", F.col("siren").alias("at"), F.array("siren").alias("way")), None, 0
+    while True:
+        met = front.join(up, "at", "left").withColumn("next", F.when(~F.array_contains("way", F.col("next")), F.col("next")))
+        met = cut(met.join(group, "next", "left"))
+        here = F.coalesce(F.col("next_head") == F.col("head"), F.lit(False))
+        ended = met.where(here | F.col("next").isNull()).select("siren", "head", F.when(here, F.col("next")).alias("kept"), (here & F.lit(step == 0)).alias("direct"))
+        done = ended if done is None else done.unionByName(ended)
+        front = met.where(~here & F.col("next").isNotNull()).select("siren", "head", F.col("next").alias("at"), F.concat("way", F.array("next")).alias("way"))
+        step += 1
+        if front.isEmpty():
+            return done

@@ -114,3 +114,20 @@ def fresh(sources: DataFrame, today: str, most: int = 7) -> DataFrame:
     last = sources.groupBy("source").agg(F.max("day").alias("day"))
     age = F.datediff(F.lit(today).cast("date"), F.col("day"))
     return last.select("source", "day", age.cast("long").alias("age"), age.between(0, most).alias("fresh"))
+
+
+def stale(journal: DataFrame, own: str, feed: str) -> DataFrame:
+    """stale, changes: whether what the source `own` computed is out of date: never computed, its last finished run failed, or the runs of `feed`
+    since then added or closed rows. journal: id, source, status (en_cours, succes or another), added, closed."""
+    last = journal.where((F.col("source") == own) & (F.col("status") != "en_cours")).agg(F.max(F.struct("id", "status")).alias("l"))
+    since = journal.where(F.col("source") == feed).join(F.broadcast(last.select(F.coalesce("l.id", F.lit(-1)).alias("last"))), F.col("id") > F.col("last"))
+    total = since.agg(F.coalesce(F.sum(F.coalesce("added", F.lit(0)) + F.coalesce("closed", F.lit(0))), F.lit(0)).alias("changes"))
+    met = total.join(F.broadcast(last))  # one row each
+    return met.select((~F.coalesce(F.col("l.status") == "succes", F.lit(False)) | (F.col("changes") > 0)).alias("stale"), "changes")
+
+
+def set_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The rows of one side only, with side: before or after. Both have the same columns; nulls are equal."""
+    columns = before.columns
+    both = before.distinct().withColumn("_b", F.lit(1)).unionByName(after.distinct().withColumn("_b", F.lit(2)))
+    return both.groupBy(*columns).agg(F.sum("_b").alias("_b")).where("_b < 3").select(*columns, F.when(F.col("_b") == 1, "before").otherwise("after").alias("side"))

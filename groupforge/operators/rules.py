@@ -143,6 +143,14 @@ def entry_reason() -> Column:
     )
 
 
+def excluded(name: Column, beginnings: list[str]) -> Column:
+    """The name, in upper case, begins with one of those that settings exclude."""
+    out = F.lit(False)
+    for b in beginnings:
+        out = out | F.coalesce(F.upper(name).startswith(b.upper()), F.lit(False))
+    return out
+
+
 def _fixed(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, brands: DataFrame) -> tuple[DataFrame, ...]:
     """What stays the same from round to round, written once."""
     seats = persons.where("closed is null").select("siren", "person", "role", "closed").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,18 @@ from groupforge.operators.tree import open_links, roots
 from groupforge.plans.storage import cut
 
 LIMIT = 20
+LEAST, MOST, SUBSIDIARIES = 2, 100, 150
+
+
+def prepared(text: str) -> str:
+    """What was typed into the search, as it is looked for: upper case, no accents, single spaces; a company number without its spaces."""
+    found = " ".join("".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x)).upper().split())
+    number = found.replace(" ", "")
+    if len(number) == 9 and number.isascii() and number.isdigit():
+        return number
+    if not LEAST <= len(found) <= MOST:
+        raise ValueError(f"a search has {LEAST} to {MOST} characters")
+    return found
 
 
 def name_rank(name: Column, asked: str, family: int) -> Column:
@@ -21,10 +35,17 @@ def name_rank(name: Column, asked: str, family: int) -> Column:
 
 
 def search(companies: DataFrame, units: DataFrame, offices: DataFrame, asked: str, limit: int = LIMIT) -> DataFrame:
-    """siren, name, acronym, town, status, rank: names before acronyms before parts of names; active first, then the largest."""
+    """siren, name, acronym, town, status, rank: names before acronyms before parts of names; active first, then the largest.
+
+    A company number finds that company, at rank 0.
+    """
+    asked = prepared(asked)
     by_name = companies.select("siren", name_rank(F.col("denomination"), asked, 10).alias("rank"))
     legal = units.where(F.col("cj").isNull() | ~F.col("cj").between(1000, 1999))
     by_unit = legal.select("siren", F.least(name_rank(F.col("denomination"), asked, 10), name_rank(F.col("acronym"), asked, 20)).alias("rank"))
+    if asked.isdigit() and len(asked) == 9:
+        own = F.when(F.col("siren") == asked, 0).alias("rank")
+        by_name, by_unit = companies.select("siren", own), legal.select("siren", own)
     best = by_name.unionByName(by_unit).where("rank is not null").groupBy("siren").agg(F.min("rank").alias("rank"))
     met = best.join(companies.select("siren", "denomination", "closed", "state"), "siren", "left")
     met = met.join(units.select("siren", F.col("denomination").alias("u_name"), "acronym", F.col("cj").alias("u_cj"), F.col("band").alias("u_band"), F.col("state").alias("u_state"), F.col("closed").alias("u_closed")), "siren", "left")
@@ -159,3 +180,29 @@ def compare(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 def record_key(siret: Column, siren: Column, own: Column) -> Column:
     """The first valid of office id, company id and own id."""
     return F.coalesce(F.when(siret.rlike("^[0-9]{14}$"), siret), F.when(siren.rlike("^[0-9]{9}$"), siren), own)
+
+
+def groups_of(hits: DataFrame, assigned: DataFrame, offices: DataFrame) -> DataFrame:
+    """siren, head, head_name, size of each search hit; nulls where no group holds it. assigned: siren, head."""
+    wanted = assigned.join(hits.select("siren"), "siren", "left_semi")
+    sizes = assigned.groupBy("head").agg(F.count("*").alias("size")).join(wanted.select("head").distinct(), "head", "left_semi")
+    names_ = offices.select(F.col("siren").alias("head"), F.col("name").alias("head_name"))
+    return hits.select("siren").join(wanted.select("siren", "head"), "siren", "left").join(sizes, "head", "left").join(names_, "head", "left").select("siren", "head", "head_name", "size")
+
+
+def largest_subsidiaries(group: DataFrame, offices: DataFrame, limit: int = SUBSIDIARIES) -> DataFrame:
+    """siren, head, band: the largest companies below heads, by band of staff, then by id."""
+    size = F.col("band").try_cast("int")
+    met = group.where("siren <> head").select("siren", "head").join(offices.select("siren", "band"), "siren")
+    return met.orderBy(F.desc_nulls_last(size), "siren").limit(limit)
+
+
+def map_order(group: DataFrame, offices: DataFrame) -> DataFrame:
+    """siren, head, place: a group's companies by level, those without a name last, then by name and id."""
+    met = group.select("siren", "head", "level").join(offices.select("siren", "name"), "siren", "left")
+    return met.select("siren", "head", F.row_number().over(W.partitionBy("head").orderBy("level", F.col("name").isNull(), "name", "siren")).cast("long").alias("place"))
+
+
+def most_common(words: DataFrame, column: str, limit: int = 5) -> DataFrame:
+    """The most common values and their number; of equals the smaller value."""
+    return words.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(limit)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupforge.functions import names
-from groupforge.operators import assign, changes, closure, match, rules, serve, tree
+from groupforge.operators import assign, changes, closure, legal, match, rules, serve, tree
 from groupforge.plans import register_sql as sql
 from groupforge.plans.storage import cut, ship
 from groupforge.sources import html, lists, records, register
@@ -607,3 +607,101 @@ def doc_whole_lists(spark, t):
 @query(sql.CONTROLLED)
 def doc_controlled(spark, t):
     return t("doc_lines").select("doc", "line", match.controlled().alias("controlled"), F.col("name").rlike(names.FUNDS).alias("fund"))
+
+
+# --- deliveries of legal units and offices
+
+
+@query(sql.LAST_OF_BATCH)
+def cdc_last_of_batch(spark, t):
+    return changes.last_of_batch(t("batch_units"), "siren", ("denomination", "state"))
+
+
+@query(sql.STATUS_MERGE)
+def cdc_status_merge(spark, t):
+    out = legal.merge_status(*t("companies", "batch_units"), DAY)
+    return out.select("siren", "denomination", "hidden", "state", F.col("opened").cast("string").alias("opened"), F.col("closed").cast("string").alias("closed"), "change")
+
+
+@query(sql.UNIT_MERGE)
+def cdc_unit_merge(spark, t):
+    return legal.merge_units(*t("legal_units", "batch_units"))
+
+
+@query(sql.OFFICE_MERGE)
+def cdc_office_merge(spark, t):
+    return legal.merge_offices(*t("offices", "batch_offices")).select("siren", "siret", "name", "band", "town", "change")
+
+
+@query(sql.STALE)
+def cdc_recompute_guard(spark, t):
+    return changes.stale(t("journal"), "arbre", "liens")
+
+
+@query(sql.SET_CHANGES)
+def tree_mother_changes(spark, t):
+    links = t("links")
+    wide, narrow = (tree.best_mothers(links, n).select("child", "mother") for n in (4 * LOW_DEGREE, LOW_DEGREE))
+    return changes.set_changes(wide, narrow)
+
+
+# --- placing and reading
+
+
+def _won(t) -> DataFrame:
+    return cut(assign.arbitrate(*_claims(t)).select("siren", "head"))
+
+
+@query(sql.LEVELS_WITHIN)
+def assign_levels(spark, t):
+    mothers = tree.best_mothers(t("links"), LOW_DEGREE).select(F.col("child").alias("siren"), "mother")
+    return assign.levels_within(_won(t).join(mothers, "siren", "left")).select("siren", "head", "level")
+
+
+@query(sql.NEAREST_KEPT)
+def assign_nearest_kept(spark, t):
+    return assign.nearest_kept(_won(t), tree.best_mothers(t("links"), LOW_DEGREE))
+
+
+@query(sql.SEARCH_ID)
+def search_by_number(spark, t):
+    return serve.search(*t("companies", "legal_units", "offices"), "000 000 012")
+
+
+@query(sql.SEARCH_GROUPS)
+def search_groups(spark, t):
+    hits = t("companies").where("staff >= 15").select("siren")
+    return serve.groups_of(hits, cut(_tree_groups(t).select("siren", "head")), t("offices"))
+
+
+@query(sql.LARGEST)
+def export_largest_subsidiaries(spark, t):
+    return serve.largest_subsidiaries(_tree_groups(t), t("offices"))
+
+
+@query(sql.MAP_ORDER)
+def export_order(spark, t):
+    return serve.map_order(_tree_groups(t), t("offices"))
+
+
+@query(sql.COMMON_WORDS)
+def name_common_words(spark, t):
+    words = t("offices").select(F.explode(F.split(names.norm(F.col("name")), " ")).alias("word"))
+    return serve.most_common(words, "word")
+
+
+@query(sql.EXCLUDED)
+def rule_excluded_names(spark, t):
+    return t("offices").select("siren", rules.excluded(F.col("name"), ["SARL", "les "]).alias("excluded"))
+
+
+@query(sql.PROBE)
+def reg_probe(spark, t):
+    return t("legal_units").where("cj is not null and siren >= '000000077'").orderBy("siren").limit(1).select("siren", "cj")
+
+
+@query(sql.UNNESTED)
+def reg_parallel_unnest(spark, t):
+    lists_ = t("doc_lines").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line", "name"))).alias("l"))
+    both = lists_.select("doc", F.arrays_zip(F.transform("l", lambda x: x["line"]).alias("line"), F.transform("l", lambda x: x["name"]).alias("name")).alias("z"))
+    return both.select("doc", F.inline("z"))

@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(spark: SparkSession, pattern: str, path: str, files: int) -> int:
+    """Writes what many part files hold as a few, and gives the number of rows."""
+    spark.read.parquet(pattern).repartition(files).write.parquet(path)
+    return spark.read.parquet(path).count()
+
+
+def carried_over(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of an earlier store's table in the columns of the new one, by name; columns it lacked are null, others are left behind."""
+    return old.select(*[F.col(c).cast(new.schema[c].dataType).alias(c) if c in old.columns else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in new.columns])
+
+
 _SHIPPED: set[str] = set()
 
 

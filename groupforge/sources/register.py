@@ -78,6 +78,20 @@ VIEWS = {
     "decisions": f"""
         select {_SIREN.format('user_id')} as siren, case event_type when 'click' then 'retenir' when 'view' then 'ecarter' when 'purchase' then 'retenir' else 'autre' end as decision, ts as taken, event_id as number
         from events""",
+    "batch_units": f"""
+        select {_SIREN.format('user_id')} as siren, event_id as place, case when value < 20 then null else concat('Unité ', event_type) end as denomination,
+            case when event_id % 4 = 1 then upper(substr(event_type, 1, 3)) end as acronym, case when event_id % 6 = 1 then event_type end as usual_name,
+            cast(case event_id % 7 when 0 then null when 1 then 1000 else 5710 end as bigint) as cj, case event_id % 3 when 0 then '11' when 1 then '21' end as band,
+            case event_id % 5 when 0 then 'C' when 4 then null else 'A' end as state, case when event_id % 2 = 0 then cast('2019-05-05' as date) end as stated, event_id % 9 = 2 as hidden
+        from events""",
+    "batch_offices": f"""
+        select {_SIREN.format('user_id')} as siren, event_id as place, concat({_SIREN.format('user_id')}, '00099') as siret, '9 RUE NEUVE' as address_key, concat('Siège ', event_type) as name,
+            cast(5710 as bigint) as cj, '70.22Z' as naf, case when event_id % 2 = 0 then '12' end as band, 'LILLE' as town, '59000' as postcode, event_id % 3 > 0 as active
+        from events""",
+    "journal": """
+        select event_id as id, case event_id % 3 when 0 then 'arbre' else 'liens' end as source, case when event_id % 11 = 0 then 'en_cours' when event_id % 13 = 0 then 'echec' else 'succes' end as status,
+            cast(case when event_id % 4 = 0 then null else floor(value) end as bigint) as added, cast(event_id % 3 as bigint) as closed
+        from events""",
     "brands": """
         select distinct p_name as brand, p_brand, case when p_size % 2 = 0 then 'sure' else 'ambigue' end as kind from (select p_name, min(p_brand) as p_brand, min(p_size) as p_size from part group by p_name) p""",
 }

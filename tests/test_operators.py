@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from groupforge.functions import names
-from groupforge.operators import assign, changes, closure, match, rules, serve, tree
-from groupforge.plans.storage import Versions
+from groupforge.operators import assign, changes, closure, legal, match, rules, serve, tree
+from groupforge.plans.storage import Versions, carried_over, compact
 from groupforge.sources import exports, html, lists, records
 
 LINK = "parent string, child string, role string, opened date, closed date"
@@ -281,6 +281,59 @@ def test_versions_are_all_or_nothing(spark, tmp_path):
     assert table.read().count() == 5
 
 
+UNITS = "siren string, place long, denomination string, acronym string, usual_name string, cj long, band string, state string, stated date, hidden boolean"
+
+
+def test_units_cease_come_back_and_are_added(spark):
+    companies = spark.sql("select * from values ('1','One',false,'A',date'2020-01-01',cast(null as date)), ('2','Two',false,'C',date'2020-01-01',date'2021-01-01'), ('3','Three',null,'A',date'2025-01-01',null) t(siren, denomination, hidden, state, opened, closed)")
+    batch = [("1", 1, "X", None, None, 5710, None, "A", None, False), ("1", 2, "Y", None, None, 5710, None, "C", None, True), ("2", 1, None, None, None, 5710, None, "A", None, None), ("4", 1, "Four", None, None, 1000, None, "A", None, False), ("5", 1, "Five", None, None, 5710, None, "C", None, False)]
+    out = legal.merge_status(companies, spark.createDataFrame(batch, UNITS), "2026-01-15")
+    got = {r.siren: (r.denomination, r.hidden, r.state, str(r.closed), r.change) for r in out.collect()}
+    assert got == {"1": ("One", True, "C", "2026-01-15", "closed"), "2": ("Two", False, "A", "None", "reopened"), "3": ("Three", None, "A", "None", "none"), "4": ("Four", False, "A", "None", "inserted")}
+    assert {r.change for r in legal.merge_status(out.drop("change"), spark.createDataFrame(batch, UNITS), "2026-01-16").collect()} == {"none"}
+
+
+def test_hidden_units_keep_what_is_known(spark):
+    units = spark.sql("select * from values ('1','One','ONE','Uno',5710L,'11','A'), ('2','Two','TWO','Due',5710L,'11','A') t(siren, denomination, acronym, usual_name, cj, band, state)")
+    batch = [("1", 1, None, None, None, None, None, None, None, True), ("2", 1, None, None, None, None, None, None, None, False), ("3", 1, "Three", None, None, 1000, None, "A", None, False), ("4", 1, "Four", None, None, None, None, "A", None, False)]
+    got = as_dict(legal.merge_units(units, spark.createDataFrame(batch, UNITS)).select("siren", "denomination", "acronym", "band", "change"))
+    assert got == {"1": ("One", "ONE", "11", "none"), "2": ("Two", None, None, "updated")}
+
+
+def test_what_a_journal_says(spark):
+    def stale(*rows):
+        return tuple(changes.stale(spark.createDataFrame(list(rows), "id long, source string, status string, added long, closed long"), "tree", "feed").first())
+
+    assert stale() == (True, 0) and stale((1, "tree", "echec", None, None)) == (True, 0)
+    assert stale((1, "feed", "succes", 5, 5), (2, "tree", "succes", None, None), (3, "tree", "en_cours", None, None), (4, "feed", "echec", None, 0)) == (False, 0)
+    assert stale((2, "tree", "succes", None, None), (4, "feed", "echec", None, 2)) == (True, 2)
+
+
+def test_compacting_and_carrying_over(spark, tmp_path):
+    spark.range(20).repartition(7).write.parquet(str(tmp_path / "many"))
+    assert compact(spark, str(tmp_path / "many" / "*.parquet"), str(tmp_path / "few"), 2) == 20 and len(list((tmp_path / "few").glob("*.parquet"))) == 2
+    old, new = spark.sql("select 1 as a, 'x' as gone"), spark.sql("select 2L as a, 'y' as b")
+    assert [tuple(r) for r in carried_over(old, new).collect()] == [(1, None)]
+
+
+# --- placing and reading
+
+
+def test_levels_and_nearest_in_loops(spark):
+    rows = spark.createDataFrame([("H", "H", "Z"), ("A", "H", "H"), ("B", "H", "A"), ("X", "H", "Y"), ("Y", "H", "X"), ("W", "H", "Y"), ("Z", "Z", None)], "siren string, head string, mother string")
+    assert as_dict(assign.levels_within(rows).select("siren", "level")) == {"H": (0,), "A": (1,), "B": (2,), "X": (0,), "Y": (1,), "W": (2,), "Z": (0,)}
+    mothers = spark.createDataFrame([("A", "Z"), ("Z", "H"), ("B", "A"), ("X", "Q"), ("Q", "X")], "child string, mother string")
+    got = as_dict(assign.nearest_kept(rows.select("siren", "head"), mothers).select("siren", "kept", "direct"))
+    assert (got["A"], got["B"], got["X"], got["Z"]) == (("H", False), ("A", True), (None, False), (None, False))
+
+
+def test_search_input():
+    assert serve.prepared(" 552 120\u00a0222 ") == "552120222" and serve.prepared("  Éts  Orme ") == "ETS ORME"
+    for bad in ("a", "", "x" * 101):
+        with pytest.raises(ValueError, match="characters"):
+            serve.prepared(bad)
+
+
 # --- documents
 
 
