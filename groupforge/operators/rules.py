@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,23 @@ HOLDING_NAF = ["64.20Z", "64.30Z", "66.30Z", "68.20A", "68.20B", "68.10Z", "68.3
 SMALL_BANDS = ["", "NN", "00", "01", "02", "03"]
 LABELS = STRONG | MEDIUM | WEAK
 MAX_ROUNDS = 50
+CHARTED = "tête de maison (organigramme public du groupe)"
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What is set for one group. Brands and houses are normalised names; families are family names, the beginning of a person's key."""
+
+    homonyms: tuple[str, ...] = ()
+    acronyms: tuple[str, ...] = ()
+    left_out: tuple[str, ...] = ()
+    name_beginnings: tuple[str, ...] = ()
+    families: tuple[str, ...] = ()
+    houses: tuple[str, ...] = ()
+    priority: tuple[str, ...] = ()
+
+
+PLAIN = Settings()
 
 
 def civil(cj: Column) -> Column:
@@ -86,11 +104,20 @@ def common_directors(persons: DataFrame, retained: DataFrame) -> DataFrame:
     return met.groupBy("siren").agg(F.count("*").alias("common"), F.bool_or("directs").alias("directing"), F.bool_or(F.col("seats") >= 2).alias("manager"))
 
 
-def evidence_rows(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, retained: DataFrame, brands: DataFrame, listed: DataFrame) -> DataFrame:
-    """One wide row for each candidate: all that a decision reads.
+def evidence_rows(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, retained: DataFrame, brands: DataFrame, listed: DataFrame, **more) -> DataFrame:
+    """The rows of evidence() that aren't retained: one wide row for each candidate, all that a decision reads."""
+    return evidence(offices, companies, links, persons, retained, brands, listed, **more).join(retained.select("siren"), "siren", "left_anti")
+
 
-    brands: siren, brand (normalised), kind. listed: siren, controlled. Candidates: companies with an open link from a retained one,
-    a brand, a line in the published list, or an office at a group address.
+def evidence(
+    offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, retained: DataFrame, brands: DataFrame, listed: DataFrame,
+    settings: Settings = PLAIN, charted: DataFrame | None = None, refused: DataFrame | None = None,
+) -> DataFrame:
+    """One wide row for each company with an open link from a retained one, a brand, a line in the published list, an office at a group
+    address, or the head of a house.
+
+    brands: siren, brand (normalised), kind. listed: siren, controlled. charted: siren of the heads of houses. refused: siren of companies
+    that a decision keeps out; they don't make an address the group's, and neither do those that the settings leave out.
     """
     open_ = open_links(links).select("parent", "child", "role")
     kept = retained.select(F.col("siren").alias("parent")).distinct().withColumn("inside", F.lit(True))
@@ -101,43 +128,54 @@ def evidence_rows(offices: DataFrame, companies: DataFrame, links: DataFrame, pe
         F.coalesce(F.bool_or("inside"), F.lit(False)).alias("linked"),
     )
     named = brands.withColumn("brand_words", F.size(F.split("brand", " "))).groupBy("siren").agg(
-        F.bool_or(F.col("kind") == "sure").alias("sure"), F.max(F.when(F.col("kind") == "sure", F.col("brand_words"))).alias("sure_words_most"), F.lit(True).alias("brand"),
+        F.bool_or(F.col("kind") == "sure").alias("sure"), F.min(F.when(F.col("kind") == "sure", F.col("brand_words"))).alias("sure_words"), F.lit(True).alias("brand"),
+        F.coalesce(F.bool_or((F.col("kind") == "sure") & F.col("brand").isin(list(settings.homonyms))), F.lit(False)).alias("homonym"),
+        F.max(F.when((F.col("kind") == "sure") & F.col("brand").isin(list(settings.acronyms)), F.col("brand_words"))).alias("acronym_words"),
     )
     known = mandates.where("linked").select("siren").unionByName(brands.where("kind = 'sure'").select("siren")).distinct()
     people = common_directors(persons, retained)
     managers = people.where("manager").select("siren")
-    addresses = shared_addresses(offices, retained, known.unionByName(managers)).select("address_key").withColumn("at_group", F.lit(True))
+    barred = offices.where(excluded(F.col("name"), list(settings.name_beginnings)) | F.col("siren").isin(list(settings.left_out))).select("siren")
+    alike = known.unionByName(managers).join(barred if refused is None else barred.unionByName(refused.select("siren")), "siren", "left_anti")
+    addresses = shared_addresses(offices, retained, alike).select("address_key").withColumn("at_group", F.lit(True))
     wide = offices.select("siren", "cj", "name", "band", "address_key").join(companies.select("siren", "staff"), "siren", "left")
     wide = wide.join(mandates, "siren", "left").join(named, "siren", "left").join(people, "siren", "left").join(addresses, "address_key", "left")
     wide = wide.join(listed.groupBy("siren").agg(F.max("controlled").alias("controlled")), "siren", "left")
+    if charted is None:
+        wide = wide.withColumn("charted", F.lit(False))
+    else:
+        wide = wide.join(charted.select("siren").distinct().withColumn("charted", F.lit(True)), "siren", "left")
+    wide = wide.withColumn("barred", excluded(F.col("name"), list(settings.name_beginnings)))
     zero = {c: 0 for c in ("strong", "medium", "weak", "outside", "members", "members_outside", "common")}
-    false = {c: False for c in ("linked", "sure", "brand", "directing", "manager", "at_group")}
+    false = {c: False for c in ("linked", "sure", "brand", "directing", "manager", "at_group", "homonym", "charted")}
     wide = wide.fillna(zero | false)
-    return wide.where("linked or brand or at_group or controlled is not null").join(retained.select("siren"), "siren", "left_anti")
+    wide = wide.withColumn("risky", F.col("homonym") | F.coalesce(F.size(F.split(names.norm(F.col("name")), " ")) <= F.col("acronym_words") + 1, F.lit(False)))
+    return wide.where((F.expr("linked or brand or at_group or charted or controlled is not null")) & ~F.col("siren").isin(list(settings.left_out)))
 
 
 def entry_reason() -> Column:
     """The first rule that lets a candidate of evidence_rows enter, or null; the order of the rules counts."""
     c = F.col
     name_words = F.size(F.split(names.norm(c("name")), " "))
-    bare = name_words <= c("sure_words_most") + 1
+    bare = name_words <= c("sure_words") + 1
     tiny = F.coalesce(c("band"), F.lit("")).isin("", "NN", "00") & (F.coalesce(c("staff"), F.lit(0)) == 0)
     cj = F.coalesce(c("cj").cast("string"), F.lit(""))
     people = ((c("common") >= 2) | ((c("common") >= 1) & c("manager"))) & ~(civil(c("cj")) & ~c("sure"))
     others = c("brand").cast("int") + c("at_group").cast("int") + people.cast("int")
     none = F.lit(None).cast("string")
     return (
-        F.when(cj.startswith("9") | names.norm(c("name")).rlike(r"^(CSE|COMITE|AMICALE|ASSOCIATION)\b"), none)
+        F.when(c("barred") | cj.startswith("9") | names.norm(c("name")).rlike(r"^(CSE|COMITE|AMICALE|ASSOCIATION)\b"), none)
         .when(cj.startswith("3"), none)
         .when(~c("controlled"), none)
         .when(c("controlled"), F.lit("inscrite au périmètre publié du groupe"))
         .when(c("strong") > 0, F.lit("mandat fort au registre"))
+        .when(c("charted"), F.lit(CHARTED))
         .when(grouping(c("cj")) & (c("members") >= 2) & (c("members_outside") == 0), F.lit("GIE dont tous les membres sont du groupe"))
         .when((c("medium") > 0) & (c("outside") > 0), none)
         .when((c("medium") > 0) & ((people & c("directing")) | c("brand") | c("at_group")), F.lit("mandat au registre et indice indépendant"))
         .when(c("medium") > 0, none)
         .when((c("weak") > 0) & (others >= 2), F.lit("mandat 'Autre' et deux indices"))
-        .when(c("sure") & ~civil(c("cj")) & ~(tiny & bare), F.lit("nom de marque propre au groupe"))
+        .when(c("sure") & ~civil(c("cj")) & ~c("risky") & ~(tiny & bare), F.lit("nom de marque propre au groupe"))
         .when(c("brand") & (people | c("at_group")), F.lit("nom de marque et second indice"))
         .when(c("at_group") & (people | ((c("common") >= 1) & ~civil(c("cj")))), F.lit("adresse du groupe et second indice"))
     )
@@ -151,23 +189,29 @@ def excluded(name: Column, beginnings: list[str]) -> Column:
     return out
 
 
-def _fixed(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, brands: DataFrame) -> tuple[DataFrame, ...]:
+def without_families(persons: DataFrame, families: tuple[str, ...]) -> DataFrame:
+    """Seats of persons whose family name (what stands before the first bar of the key) isn't left out."""
+    return persons.where(~F.coalesce(F.substring_index("person", "|", 1).isin(list(families)), F.lit(False)))
+
+
+def _fixed(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, brands: DataFrame, settings: Settings) -> tuple[DataFrame, ...]:
     """What stays the same from round to round, written once."""
-    seats = persons.where("closed is null").select("siren", "person", "role", "closed").distinct()
+    seats = without_families(persons, settings.families).where("closed is null").select("siren", "person", "role", "closed").distinct()
     return cut(offices), cut(companies.select("siren", "staff")), cut(open_links(links)), cut(seats), cut(brands)
 
 
-def expand(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, head: str, brands: DataFrame, listed: DataFrame, decisions: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def expand(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, head: str, brands: DataFrame, listed: DataFrame, decisions: DataFrame | None = None, max_rounds: int = MAX_ROUNDS, settings: Settings = PLAIN) -> DataFrame:
     """siren, reason, round: the group of head, grown until a round adds nothing.
 
     All candidates of a round see the companies retained before it. Decisions (siren, decision) override the rules: `ecarter` keeps a
-    company out, `retenir` lets a candidate in.
+    company out, `retenir` lets a candidate in. A last round that adds nothing proves the end; without one there is a warning.
     """
     spark = offices.sparkSession
-    offices, companies, links, persons, brands = _fixed(offices, companies, links, persons, brands)
+    offices, companies, links, persons, brands = _fixed(offices, companies, links, persons, brands, settings)
+    given = {"settings": settings, "charted": charted(offices, settings), "refused": None if decisions is None else decisions.where("decision = 'ecarter'")}
     kept = cut(spark.createDataFrame([(head, "tête du groupe", 0)], "siren string, reason string, round int"))
     for n in range(1, max_rounds + 1):
-        wide = evidence_rows(offices, companies, links, persons, kept, brands, listed).withColumn("reason", entry_reason())
+        wide = evidence_rows(offices, companies, links, persons, kept, brands, listed, **given).withColumn("reason", entry_reason())
         if decisions is not None:
             wide = wide.join(decisions, "siren", "left")
             wide = wide.withColumn("reason", F.when(F.col("decision") == "ecarter", F.lit(None)).when((F.col("decision") == "retenir") & F.col("reason").isNull(), F.lit("retenue par décision du consultant")).otherwise(F.col("reason")))
@@ -179,6 +223,13 @@ def expand(offices: DataFrame, companies: DataFrame, links: DataFrame, persons:
     return kept
 
 
+def charted(offices: DataFrame, settings: Settings) -> DataFrame | None:
+    """siren of the head of each house of the organisation chart; None without a chart."""
+    if not settings.houses:
+        return None
+    return cut(chart_heads(offices, offices.sparkSession.createDataFrame([(h,) for h in settings.houses], "house string")).select("siren"))
+
+
 def _in_turn(frame: pd.DataFrame) -> pd.DataFrame:
     """Reasons of one round's candidates, each seeing those that entered before it in the same round."""
     out, new = [], set()
@@ -190,12 +241,14 @@ def _in_turn(frame: pd.DataFrame) -> pd.DataFrame:
         cj = "" if pd.isna(r.cj) else str(int(r.cj))
         is_civil, is_grouping = cj[:1] == "6" and cj[:2] != "62", cj[:2] == "62"
         reason = None
-        if r.refused or cj[:1] in ("9", "3") or r.controlled is False:
+        if r.refused or r.barred or cj[:1] in ("9", "3") or r.controlled is False:
             pass
         elif r.controlled is True:
             reason = "inscrite au périmètre publié du groupe"
         elif strong:
             reason = "mandat fort au registre"
+        elif r.charted:
+            reason = CHARTED
         elif is_grouping and len(members) >= 2 and all(members):
             reason = "GIE dont tous les membres sont du groupe"
         elif medium:
@@ -204,7 +257,7 @@ def _in_turn(frame: pd.DataFrame) -> pd.DataFrame:
                 reason = "mandat au registre et indice indépendant"
         elif weak and r.brand + r.at_group + r.people >= 2:
             reason = "mandat 'Autre' et deux indices"
-        elif r.sure and not is_civil and not r.tiny_bare:
+        elif r.sure and not is_civil and not r.risky and not r.tiny_bare:
             reason = "nom de marque propre au groupe"
         elif r.brand and (r.people or r.at_group):
             reason = "nom de marque et second indice"
@@ -220,7 +273,7 @@ def _in_turn(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["siren", "reason"])
 
 
-def expand_in_turn(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, head: str, brands: DataFrame, listed: DataFrame, decisions: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def expand_in_turn(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, head: str, brands: DataFrame, listed: DataFrame, decisions: DataFrame | None = None, max_rounds: int = MAX_ROUNDS, settings: Settings = PLAIN) -> DataFrame:
     """expand(), but within a round each candidate sees those that entered before it: the register's own order of judgement.
 
     The rules aren't monotone (a medium mandate of a new member refuses a company that an outside company holds strongly), so the two
@@ -230,13 +283,14 @@ def expand_in_turn(offices: DataFrame, companies: DataFrame, links: DataFrame, p
     """
     spark = offices.sparkSession
     ship(spark)
-    offices, companies, links, persons, brands = _fixed(offices, companies, links, persons, brands)
+    offices, companies, links, persons, brands = _fixed(offices, companies, links, persons, brands, settings)
+    given = {"settings": settings, "charted": charted(offices, settings), "refused": None if decisions is None else decisions.where("decision = 'ecarter'")}
     kept = cut(spark.createDataFrame([(head, "tête du groupe", 0)], "siren string, reason string, round int"))
     if decisions is None:
         decisions = spark.createDataFrame([], "siren string, decision string")
     seen = cut(spark.createDataFrame([], "siren string, seen int, kind int, place int"))
     for n in range(1, max_rounds + 1):
-        wide = cut(evidence_rows(offices, companies, links, persons, kept, brands, listed))
+        wide = cut(evidence_rows(offices, companies, links, persons, kept, brands, listed, **given))
         kind = F.when(F.col("brand"), 0).when(F.col("controlled"), 1).when(~F.col("controlled"), 2).when(F.col("linked"), 3).otherwise(4)
         place = F.when(F.col("brand"), -F.coalesce("brand_length", F.lit(0))).otherwise(0)
         lengths = brands.groupBy("siren").agg(F.max(F.length("brand")).alias("brand_length"))
@@ -244,11 +298,11 @@ def expand_in_turn(offices: DataFrame, companies: DataFrame, links: DataFrame, p
         seen = cut(seen.unionByName(new.select("siren", F.lit(n).alias("seen"), kind.alias("kind"), place.cast("int").alias("place"))))
         words = F.size(F.split(names.norm(F.col("name")), " "))
         people = ((F.col("common") >= 2) | ((F.col("common") >= 1) & F.col("manager"))) & ~(civil(F.col("cj")) & ~F.col("sure"))
-        tiny_bare = F.coalesce(F.col("band"), F.lit("")).isin("", "NN", "00") & (F.coalesce(F.col("staff"), F.lit(0)) == 0) & (words <= F.col("sure_words_most") + 1)
+        tiny_bare = F.coalesce(F.col("band"), F.lit("")).isin("", "NN", "00") & (F.coalesce(F.col("staff"), F.lit(0)) == 0) & (words <= F.col("sure_words") + 1)
         own = links.join(wide.select(F.col("siren").alias("child")), "child", "left_semi").join(kept.select(F.col("siren").alias("parent"), F.lit(True).alias("held")), "parent", "left")
         edges = own.groupBy(F.col("child").alias("siren")).agg(F.sort_array(F.collect_list(F.struct("parent", "role", F.coalesce("held", F.lit(False)).alias("held")))).alias("edges"))
         rows = wide.join(seen, "siren").join(edges, "siren", "left").join(decisions, "siren", "left").select(
-            "siren", "cj", "seen", "kind", "place", "controlled", "brand", "sure", "at_group", "common", "directing", "decision", people.alias("people"), F.coalesce(tiny_bare, F.lit(False)).alias("tiny_bare"),
+            "siren", "cj", "seen", "kind", "place", "controlled", "brand", "sure", "barred", "charted", "risky", "at_group", "common", "directing", "decision", people.alias("people"), F.coalesce(tiny_bare, F.lit(False)).alias("tiny_bare"),
             names.norm(F.col("name")).rlike(r"^(CSE|COMITE|AMICALE|ASSOCIATION)\b").alias("refused"),
             F.coalesce(F.transform("edges", lambda e: e["parent"]), F.array().cast("array<string>")).alias("parents"), F.coalesce(F.transform("edges", lambda e: e["role"]), F.array().cast("array<string>")).alias("roles"),
             F.coalesce(F.transform("edges", lambda e: e["held"]), F.array().cast("array<boolean>")).alias("held"),

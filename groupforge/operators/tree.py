@@ -58,6 +58,11 @@ def _loop_lows(mothers: DataFrame, members: DataFrame) -> DataFrame:
         state = state.drop("moved")
 
 
+def loop_members(mothers: DataFrame) -> DataFrame:
+    """node: companies that are part of a loop."""
+    return _jumps(mothers)[1].select(F.col("at").alias("node")).distinct()
+
+
 def roots(mothers: DataFrame) -> DataFrame:
     """child, root, depth, loop of each company with a mother.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groupforge.functions import names
 from groupforge.operators import assign, changes, closure, legal, match, rules, serve, tree
+from groupforge.plans import map_sql
 from groupforge.plans import register_sql as sql
 from groupforge.plans.storage import cut, ship
 from groupforge.sources import html, lists, records, register
@@ -179,7 +180,7 @@ def decisions_in_force(spark, t):
     return rules.in_force(t("decisions"))
 
 
-@query(None)
+@query(map_sql.FIXPOINT)
 def group_fixpoint(spark, t):
     offices, companies, links, persons = t("offices", "companies", "links", "persons")
     return rules.expand(offices, companies, links, persons, HEAD, _hits(t), _listed(t), rules.in_force(t("decisions")))
@@ -705,3 +706,6 @@ def reg_parallel_unnest(spark, t):
     lists_ = t("doc_lines").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line", "name"))).alias("l"))
     both = lists_.select("doc", F.arrays_zip(F.transform("l", lambda x: x["line"]).alias("line"), F.transform("l", lambda x: x["name"]).alias("name")).alias("z"))
     return both.select("doc", F.inline("z"))
+
+
+from groupforge.plans import map_queries  # noqa: E402, F401  (they register themselves and use what is above)

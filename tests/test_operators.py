@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groupforge.functions import names
-from groupforge.operators import assign, changes, closure, legal, match, rules, serve, tree
+from groupforge.operators import assign, changes, closure, legal, maps, match, rules, serve, tree
 from groupforge.plans.storage import Versions, carried_over, compact
 from groupforge.sources import exports, html, lists, records
 
@@ -164,7 +164,7 @@ def test_longest_brand_after_prefixes(spark):
 
 
 def wide_row(**given):
-    row = {"siren": "X", "cj": 5710, "name": "ALPHA BETA GAMMA", "band": "11", "staff": 5, "strong": 0, "medium": 0, "weak": 0, "outside": 0, "members": 0, "members_outside": 0, "linked": False, "sure": False, "brand": False, "sure_words_most": None, "common": 0, "directing": False, "manager": False, "at_group": False, "controlled": None}
+    row = {"siren": "X", "cj": 5710, "name": "ALPHA BETA GAMMA", "band": "11", "staff": 5, "strong": 0, "medium": 0, "weak": 0, "outside": 0, "members": 0, "members_outside": 0, "linked": False, "sure": False, "brand": False, "sure_words": None, "charted": False, "barred": False, "risky": False, "common": 0, "directing": False, "manager": False, "at_group": False, "controlled": None}
     return row | given
 
 
@@ -174,14 +174,15 @@ def wide_row(**given):
         ({"strong": 1}, "mandat fort au registre"), ({"strong": 1, "cj": 9220}, None), ({"strong": 1, "cj": 3120}, None), ({"strong": 1, "controlled": False}, None),
         ({"controlled": True}, "inscrite au périmètre publié du groupe"), ({"strong": 1, "name": "Comité social"}, None), ({"medium": 1}, None),
         ({"medium": 1, "brand": True}, "mandat au registre et indice indépendant"), ({"medium": 1, "outside": 1, "brand": True, "sure": True}, None),
-        ({"weak": 1, "brand": True, "at_group": True}, "mandat 'Autre' et deux indices"), ({"brand": True, "sure": True, "sure_words_most": 1}, "nom de marque propre au groupe"),
-        ({"brand": True, "sure": True, "sure_words_most": 2, "band": "00", "staff": 0}, None), ({"brand": True, "at_group": True}, "nom de marque et second indice"),
+        ({"weak": 1, "brand": True, "at_group": True}, "mandat 'Autre' et deux indices"), ({"brand": True, "sure": True, "sure_words": 1}, "nom de marque propre au groupe"),
+        ({"brand": True, "sure": True, "sure_words": 2, "band": "00", "staff": 0}, None), ({"brand": True, "at_group": True}, "nom de marque et second indice"),
         ({"at_group": True, "common": 1}, "adresse du groupe et second indice"), ({"at_group": True, "common": 1, "cj": 6540}, None),
         ({"cj": 6220, "members": 2, "members_outside": 0}, "GIE dont tous les membres sont du groupe"), ({"cj": 6220, "members": 2, "members_outside": 1}, None),
+        ({"charted": True}, rules.CHARTED), ({"charted": True, "strong": 1}, "mandat fort au registre"), ({"charted": True, "barred": True}, None), ({"brand": True, "sure": True, "sure_words": 1, "risky": True}, None),
     ],
 )
 def test_entry_rules(spark, given, want):
-    schema = "siren string, cj long, name string, band string, staff long, strong long, medium long, weak long, outside long, members long, members_outside long, linked boolean, sure boolean, brand boolean, sure_words_most int, common long, directing boolean, manager boolean, at_group boolean, controlled boolean"
+    schema = "siren string, cj long, name string, band string, staff long, strong long, medium long, weak long, outside long, members long, members_outside long, linked boolean, sure boolean, brand boolean, sure_words int, charted boolean, barred boolean, risky boolean, common long, directing boolean, manager boolean, at_group boolean, controlled boolean"
     row = wide_row(**given)
     df = spark.createDataFrame([tuple(row[c.split()[0]] for c in schema.split(", "))], schema)
     assert df.select(rules.entry_reason()).first()[0] == want
@@ -221,6 +222,63 @@ def test_both_ways_agree_on_chains(spark):
     assert set(as_dict(rules.expand(*given).select("siren"))) == set(as_dict(rules.expand_in_turn(*given).select("siren"))) == set("HABC")
 
 
+def test_settings_of_a_group(spark):
+    """A house's head enters by the chart; names and numbers left out don't; a homonym needs a second hint; families left out tie nothing."""
+    given = small_register(spark, [(x, i) for i, x in enumerate("HABCDE")], [], [("A", "NAME A", "sure"), ("B", "NAME B", "sure"), ("E", "NAME E", "sure")])
+    settings = rules.Settings(homonyms=("NAME B",), houses=("NAME C",), left_out=("E",))
+    for grow in (rules.expand, rules.expand_in_turn):
+        assert as_dict(grow(*given, settings=settings).select("siren", "reason")) == {"H": ("tête du groupe",), "A": ("nom de marque propre au groupe",), "C": (rules.CHARTED,)}
+        assert set(as_dict(grow(*given, settings=rules.Settings(name_beginnings=("name a",))).select("siren"))) == {"H", "B", "E"}
+    seats = spark.createDataFrame([("A", "DOE|JO"), ("B", "ROE|AL"), ("C", None)], "siren string, person string")
+    assert {r.siren for r in rules.without_families(seats, ("DOE",)).collect()} == {"B", "C"}
+
+
+def test_map_of_a_group(spark):
+    """A and B hold each other; C hangs below B, D below its brand's house; X is shared, F foreign."""
+    o, c, l, p, head, b, listed = small_register(
+        spark, [(x, i) for i, x in enumerate("HABCDXF")], [("A", "B", "73"), ("B", "A", "73"), ("B", "C", "73"), ("C", "X", "65")],
+        [("A", "NAME", "sure"), ("B", "NAME", "sure"), ("D", "NAME", "sure"), ("F", "NAME F", "sure")],
+    )
+    o = o.withColumn("cj", F.when(F.col("siren") == "F", 3120).otherwise(F.col("cj")))
+    decided = spark.createDataFrame([("X", "ecarter")], "siren string, decision string")
+    found = maps.group_map(o, c, l, p, head, b, listed, decided)
+    rows = as_dict(found.companies.select("siren", "mother", "proof", "confidence", "level", "account"))
+    assert rows["A"] == ("H", maps.LOOP_CUT, "C", 1, "A") and rows["B"][0] == "A" and rows["C"][0] == "B" and rows["C"][3] == 3
+    assert rows["D"] == ("A", "Déduit : même maison (NAME)", "C", 2, "D") and rows["H"][:3] == (None, "Tête du groupe", "A")
+    assert {(r.parent, r.child) for r in found.links.collect()} == {("A", "B"), ("B", "A"), ("B", "C")}
+    assert as_dict(found.participations) == {"X": ("C Administrateur",)} and as_dict(found.foreign) == {"F": ("NAME F LONG",)}
+    empty = maps.group_map(o.limit(0), c.limit(0), l.limit(0), p, head, b.limit(0), listed)
+    assert [r.siren for r in empty.companies.collect()] == ["H"] and empty.links.isEmpty() and empty.foreign.isEmpty()
+
+
+def test_loops_open_where_the_first_meets_them(spark):
+    """Loop A-B-C; Z entered first and hangs below B, so B is met first. Loop P-Q alone: its first company."""
+    chosen = spark.createDataFrame([("A", "B", 2), ("B", "C", 2), ("C", "A", 2), ("Z", "B", 1), ("P", "Q", 3), ("Q", "P", 2), ("E", "H", 1)], "siren string, mother string, round int")
+    assert {r.siren for r in maps.first_met(chosen).collect()} == {"B", "Q"}
+
+
+def test_rows_of_nested_document_groups(spark):
+    """Group S hangs in the map of G below M, which a third group took; its head gets the nearest company that stayed in G."""
+    m = [("G", "G", None, "Tête du groupe", "A"), ("G", "M", "G", "p", "A"), ("G", "S", "M", "q", "A"), ("S", "S", None, "Tête du groupe", "A"), ("S", "T", "S", "r", "B"), ("T", "T", None, "Tête du groupe", "A"), ("T", "M", "T", "s", "A")]
+    members = spark.createDataFrame(m, "head string, siren string, mother string, proof string, confidence string")
+    won = spark.createDataFrame([("G", "G"), ("M", "T"), ("S", "S"), ("T", "T")], "siren string, head string")
+    parents = spark.createDataFrame([("G", None), ("S", "G"), ("T", "S")], "head string, parent string")
+    got = as_dict(maps.document_rows(won, members, parents).select("siren", "head", "mother", "proof", "confidence", "level"))
+    assert got["S"] == ("S", "G", "Déduit : maison mère directe M rangée dans le groupe T", "C", 0)
+    assert got["T"] == ("T", "S", "r", "B", 0) and got["M"] == ("T", "T", "s", "A", 1) and got["G"][1:4] == (None, "Tête du groupe", "A")
+    rows = maps.document_rows(won, members, parents)
+    assert as_dict(maps.read_map(rows, parents, "S")) == {"S": (0,), "T": (1,), "M": (2,)}
+    assert as_dict(maps.read_map(rows, parents, "M")) == {"M": (0,)} and maps.read_map(rows, parents, "?").isEmpty()
+
+
+def test_claims_and_banks(spark):
+    members = spark.createDataFrame([("G", "G", None, 0, "t", "A"), ("G", "M", "G", 1, "p", "A")], "head string, siren string, mother string, level long, proof string, confidence string")
+    told = spark.createDataFrame([("G", "M", 20.0), ("G", "M", 60.0), ("G", "?", 90.0)], "head string, siren string, rate double")
+    assert {tuple(r) for r in maps.claims_of(members, told).collect()} == {("G", "G", "descente", None, 0), ("G", "M", "inscription", 60.0, None)}
+    banks = spark.createDataFrame([("G", "M", "b"), ("G", "N", "b")], "head string, siren string, proof string")
+    assert {tuple(r) for r in maps.with_banks(members, banks).where("siren <> 'G'").collect()} == {("G", "M", "G", 1, "p", "A"), ("G", "N", "G", 1, "b", "B")}
+
+
 # --- arbitration
 
 
