@@ -9,6 +9,7 @@ from groupforge.operators import assign, closure, maps, rules, tree
 from groupforge.plans import map_sql as sql
 from groupforge.plans.register_queries import HEAD, LOW_DEGREE, _hits, _listed, query
 from groupforge.plans.storage import cut
+from groupforge.sources import tables
 
 
 def _map(t) -> maps.GroupMap:
@@ -99,3 +100,43 @@ def country_below_traders(spark, t):
 def country_map_rows(spark, t):
     offices, companies = t("offices", "companies")
     return maps.map_rows(_document_rows(t)[0].join(rules.targetable(offices, companies).select("siren", "targetable"), "siren", "left"), offices)
+
+
+# --- tables of unknown columns in documents
+
+
+def _table_lines(t) -> DataFrame:
+    """Rows of several shapes from the published lists: with and without methods, countries, amounts, gaps, titles and long lines between."""
+    n = F.col("line")
+    share, method = F.regexp_replace(F.format_string("%.2f", F.col("rate") + F.lit(0.25)), r"\.", ","), F.col("method")
+    text = (
+        F.when(n % 23 == 0, F.lit("FRANCE | Pourcentage d'intérêts | % contrôle")).when(n % 29 == 0, F.lit("GERMANY | Pourcentage d'intérêts | % contrôle")).when(n % 31 == 0, F.repeat(F.lit("texte courant "), 8)).when(n % 37 == 0, F.lit("Japan"))
+        .when(n % 11 == 1, F.concat_ws(" | ", "name", share, F.lit("98"))).when(n % 11 == 2, F.concat_ws(" | ", "name", F.lit("France"), F.lit("1 995"), share)).when(n % 11 == 3, F.concat_ws(" | ", "name", F.lit("France"), F.lit(""), F.lit(""), F.lit(""), share, F.lit("IG")))
+        .when(n % 11 == 4, F.concat(F.lit(" | "), "name", F.lit(" (1) | "), "town", F.lit(" | "), share, F.lit(" % | IG* | "))).when(n % 11 == 5, F.concat_ws(" | ", F.lit("France, Crolles"), "name", F.lit("55"))).when(n % 11 == 6, F.concat_ws(" | ", "name", F.lit("France"), F.lit("55")))
+        .when(n % 11 == 7, F.concat_ws(" | ", "name", "town", share, F.lit("120"))).when(n % 11 == 8, F.concat_ws(" | ", "name", F.lit("000000012"), F.lit("France"), share)).otherwise(F.concat_ws(" | ", "name", F.when(n % 2 == 0, "France").otherwise(F.col("town")), share, F.lit("60"), method))
+    )
+    return t("doc_lines").select("doc", "line", text.alias("text"))
+
+
+COUNTRIES = {"FRANCE": "france", "GERMANY": "country", "JAPAN": "country", "BRAZIL": "country", "CANADA": "country", "CHINA": "country", "EGYPT": "country", "EUROPE": "zone", "ASIA": "zone"}
+
+
+@query(sql.TABLE_ROWS)
+def doc_table_rows(spark, t):
+    return tables.table_rows(_table_lines(t), COUNTRIES)
+
+
+@query(sql.TOWN_CANDIDATES)
+def doc_town_candidates(spark, t):
+    before = F.when(F.col("line") % 3 == 0, F.array(F.lit("Compagnie"), F.lit("Nord et"))).otherwise(F.array().cast("array<string>"))
+    found = t("doc_lines").select("doc", "line", F.posexplode(tables.town_candidates(F.concat_ws(" ", "name", "town"), before)).alias("place", "c"))
+    return found.select("doc", "line", "place", "c.*")
+
+
+@query(sql.ACRONYMS)
+def doc_acronyms(spark, t):
+    w = F.split("name", " ")
+    first = F.concat_ws("", *[F.substring(F.get(w, F.lit(i)), 1, 1) for i in (0, 1)], F.when(F.col("line") % 5 == 0, "X").otherwise("Z"))
+    both = F.when(F.col("line") % 2 == 0, F.concat("name", F.lit(" - "), F.upper(first))).otherwise(F.concat(F.upper(first), F.lit(" – de la "), "name"))
+    found = t("doc_lines").select("doc", "line", tables.acronym_sides(both).alias("s"))
+    return found.select("doc", "line", F.get("s", F.lit(0)).alias("name"), F.get("s", F.lit(1)).alias("acronym"))

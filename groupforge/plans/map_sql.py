@@ -187,3 +187,61 @@ cell AS (SELECT siren, CASE WHEN regexp_matches(name, '^[=+\-@\t\r]') THEN ''''
 SELECT regexp_replace(r.siren, '^(\d{3})(\d{3})(\d{3})$', '\1 \2 \3') AS siren, c.name, regexp_replace(r.head, '^(\d{3})(\d{3})(\d{3})$', '\1 \2 \3') AS head, regexp_replace(r.mother, '^(\d{3})(\d{3})(\d{3})$', '\1 \2 \3') AS mother,
     x.name AS mother_name, r.level, CASE WHEN t.targetable THEN 'oui' ELSE 'non' END AS targetable
 FROM doc_rows r LEFT JOIN cell c ON c.siren = r.siren LEFT JOIN cell x ON x.siren = r.mother LEFT JOIN target t ON t.siren = r.siren"""
+
+
+# --- tables of unknown columns in documents
+
+_SHARE = "replace(printf('%.2f', rate + 0.25), '.', ',')"
+_TABLE_LINES = f"""tl AS (
+    SELECT doc, line, CASE WHEN line % 23 = 0 THEN 'FRANCE | Pourcentage d''intérêts | % contrôle' WHEN line % 29 = 0 THEN 'GERMANY | Pourcentage d''intérêts | % contrôle' WHEN line % 31 = 0 THEN repeat('texte courant ', 8) WHEN line % 37 = 0 THEN 'Japan'
+        WHEN line % 11 = 1 THEN name || ' | ' || {_SHARE} || ' | 98' WHEN line % 11 = 2 THEN name || ' | France | 1 995 | ' || {_SHARE} WHEN line % 11 = 3 THEN name || ' | France |  |  |  | ' || {_SHARE} || ' | IG'
+        WHEN line % 11 = 4 THEN ' | ' || name || ' (1) | ' || town || ' | ' || {_SHARE} || ' % | IG* | ' WHEN line % 11 = 5 THEN 'France, Crolles | ' || name || ' | 55' WHEN line % 11 = 6 THEN name || ' | France | 55'
+        WHEN line % 11 = 7 THEN name || ' | ' || town || ' | ' || {_SHARE} || ' | 120' WHEN line % 11 = 8 THEN name || ' | 000000012 | France | ' || {_SHARE}
+        ELSE name || ' | ' || CASE WHEN line % 2 = 0 THEN 'France' ELSE town END || ' | ' || {_SHARE} || ' | 60 | ' || method END AS text
+    FROM doc_lines)"""
+_PLACES = "(VALUES ('FRANCE', 'france'), ('GERMANY', 'country'), ('JAPAN', 'country'), ('BRAZIL', 'country'), ('CANADA', 'country'), ('CHINA', 'country'), ('EGYPT', 'country'), ('EUROPE', 'zone'), ('ASIA', 'zone'))"
+TABLE_ROWS = with_clause("doc_lines") + f""",
+{_TABLE_LINES},
+raw AS (SELECT doc, line, unnest(string_split(text, '|')) AS cell, generate_subscripts(string_split(text, '|'), 1) AS i FROM tl WHERE text LIKE '%|%'),
+bare AS (SELECT doc, line, i, trim(regexp_replace(trim(cell), '\\s*(\\([0-9]+\\)|\\*+|%)$', '')) AS cell FROM raw),
+inner_cells AS (SELECT *, i - min(i) FILTER (WHERE cell <> '') OVER (PARTITION BY doc, line) AS p, max(i) FILTER (WHERE cell <> '') OVER (PARTITION BY doc, line) AS z FROM bare),
+c AS (
+    SELECT c.doc, c.line, p, cell, CASE WHEN cell IN ('', '-', '—') THEN 'empty' WHEN regexp_full_match(cell, '[0-9]{{9}}') THEN 'number' WHEN regexp_full_match(cell, '[0-9]{{1,3}}([.,][0-9]+)?') THEN 'share'
+        WHEN regexp_full_match(cell, '[0-9][0-9 .,]*') THEN 'amount' WHEN {norm('cell')} IN ('IG', 'INTEGRATION GLOBALE', 'MEE', 'ME', 'MISE EN EQUIVALENCE', 'IP', 'JV') THEN 'method' ELSE coalesce(a.kind, b.kind, 'text') END AS kind
+    FROM inner_cells c LEFT JOIN {_PLACES} a(k, kind) ON a.k = {norm('cell')} LEFT JOIN {_PLACES} b(k, kind) ON cell LIKE '%,%' AND b.k = {norm("split_part(cell, ',', 1)")} WHERE p >= 0 AND i <= z),
+told AS (
+    SELECT doc, line, count(*) AS size, max(kind) FILTER (WHERE p = 0) AS opens, bool_and(p = 0 OR regexp_matches(upper(strip_accents(cell)), '%|POURCENTAGE|INTERET|CONTROLE|DETENTION|INTEREST|OWNERSHIP')) AS about FROM c GROUP BY doc, line),
+events AS (
+    SELECT doc, line, opens AS kind, size FROM told WHERE size > 1 AND about AND opens IN ('france', 'country', 'zone')
+    UNION ALL SELECT doc, line, '', -1 FROM tl LEFT JOIN {_PLACES} a(k, kind) ON a.k = {norm('text')} WHERE text NOT LIKE '%|%' AND (length(text) > 80 OR a.k IS NOT NULL)),
+named AS (SELECT doc, line, min(p) AS at FROM c WHERE kind = 'text' GROUP BY doc, line),
+s AS (
+    SELECT c.doc, c.line, any_value(n.at) AS named, count(*) AS size, arg_min(cell, p) FILTER (WHERE p = n.at) AS name, count(*) FILTER (WHERE kind = 'share' AND p > n.at) AS shares, arg_min(cell, p) FILTER (WHERE kind = 'share' AND p > n.at) AS share,
+        min(p) FILTER (WHERE kind = 'share' AND p > n.at) AS share_at, bool_or(kind = 'amount') AS amount, coalesce(max(try_cast(replace(cell, ',', '.') AS DOUBLE)) FILTER (WHERE kind = 'share'), 0) AS most,
+        arg_min({norm('cell')}, p) FILTER (WHERE kind = 'method') AS m, arg_min(kind, p) FILTER (WHERE kind IN ('france', 'country', 'zone')) AS own, min(p) FILTER (WHERE kind IN ('france', 'country', 'zone')) AS at,
+        arg_min(cell, p) FILTER (WHERE kind IN ('france', 'country', 'zone')) AS shown, coalesce(bool_or(cell LIKE '%,%' OR cell LIKE '%.%') FILTER (WHERE kind = 'share' AND p > n.at), false) AS decimals
+    FROM c JOIN named n ON n.doc = c.doc AND n.line = c.line GROUP BY c.doc, c.line),
+gaps AS (
+    SELECT s.doc, s.line FROM s JOIN c a ON a.doc = s.doc AND a.line = s.line JOIN c b ON b.doc = a.doc AND b.line = a.line AND b.p = a.p + 1 JOIN c d ON d.doc = a.doc AND d.line = a.line AND d.p = a.p + 2
+    WHERE a.kind = 'empty' AND b.kind = 'empty' AND d.kind = 'empty' AND a.p > s.named AND d.p < s.share_at),
+r AS (
+    SELECT s.*, (SELECT arg_max(e.kind, e.line) FROM events e WHERE e.doc = s.doc AND e.line < s.line) AS above, coalesce((SELECT arg_max(e.size, e.line) FROM events e WHERE e.doc = s.doc AND e.line < s.line) = s.size, false) AS titled,
+        CASE m WHEN 'IG' THEN 'IG' WHEN 'INTEGRATION GLOBALE' THEN 'IG' WHEN 'MEE' THEN 'MEE' WHEN 'ME' THEN 'MEE' WHEN 'MISE EN EQUIVALENCE' THEN 'MEE' WHEN 'IP' THEN 'autre' WHEN 'JV' THEN 'autre' END AS method
+    FROM s WHERE shares BETWEEN 1 AND 4 AND NOT amount AND most <= 100 AND NOT EXISTS (SELECT 1 FROM gaps g WHERE g.doc = s.doc AND g.line = s.line) AND NOT EXISTS (SELECT 1 FROM events e WHERE e.doc = s.doc AND e.line = s.line)),
+k AS (SELECT * FROM r WHERE CASE WHEN own IS NULL THEN titled ELSE method IS NOT NULL OR shares > 1 OR decimals OR shown LIKE '%,%' END)
+SELECT doc, line, name, coalesce(own, above) AS country, coalesce(method, 'inconnue') AS method, CAST(replace(share, ',', '.') AS DOUBLE) AS rate FROM k
+WHERE coalesce(own, above) = 'france' AND (method IS NOT NULL OR titled OR EXISTS (SELECT 1 FROM k x WHERE x.doc = k.doc AND x.own = 'country' AND x.size = k.size AND x.at = k.at))"""
+TOWN_CANDIDATES = with_clause("doc_lines") + """,
+w AS (SELECT doc, line, name || ' ' || town AS whole, string_split(name || ' ' || town, ' ') AS w FROM doc_lines),
+x AS (
+    SELECT doc, line, (h - 1) * 3 + k AS turn, CASE h WHEN 1 THEN 'Compagnie Nord et' ELSE 'Nord et' END || rtrim(' ' || array_to_string(w[1:len(w) - k], ' ')) AS name, array_to_string(w[len(w) - k + 1:], ' ') AS town, true AS needs_town, false AS fallback
+    FROM w, range(1, 3) a(h), range(1, 4) b(k) WHERE line % 3 = 0 AND k <= len(w)
+    UNION ALL SELECT doc, line, 10 + k, array_to_string(w[1:len(w) - k], ' '), array_to_string(w[len(w) - k + 1:], ' '), k > 1, false FROM w, range(1, 4) b(k) WHERE k < len(w)
+    UNION ALL SELECT doc, line, 20, whole, w[len(w)], true, true FROM w WHERE len(w) > 1)
+SELECT doc, line, CAST(row_number() OVER (PARTITION BY doc, line ORDER BY turn) - 1 AS INT) AS place, name, town, needs_town, fallback FROM x"""
+ACRONYMS = with_clause("doc_lines") + f""",
+w AS (SELECT doc, line, name, upper(substr(split_part(name, ' ', 1), 1, 1) || substr(split_part(name, ' ', 2), 1, 1) || CASE WHEN line % 5 = 0 THEN 'X' ELSE 'Z' END) AS short FROM doc_lines),
+l AS (SELECT *, CASE WHEN line % 2 = 0 THEN name ELSE 'de la ' || name END AS long FROM w),
+i AS (SELECT *, array_to_string(list_transform(list_filter(string_split({norm('long')}, ' '), lambda x: x NOT IN ('DE', 'DU', 'DES', 'D', 'L', 'LA', 'LE', 'LES', 'ET', 'EN', 'A', 'AU', 'AUX')), lambda x: x[1]), '') AS initials FROM l),
+ok AS (SELECT *, initials LIKE short[1] || '%' || short[2] || '%' || short[3] || '%' AS reads FROM i)
+SELECT doc, line, CASE WHEN reads THEN long END AS name, CASE WHEN reads THEN short END AS acronym FROM ok"""
