@@ -143,3 +143,19 @@ def fingerprint(c: Column, secret: bytes) -> Column:
         return None if name is None else hmac.new(secret, name.strip().upper().encode(), hashlib.sha256).hexdigest()
 
     return F.pandas_udf(lambda names: names.map(hexed), "string")(c)
+
+
+def shown_date(day: Column) -> Column:
+    """JJ/MM/AAAA."""
+    return F.date_format(day, "dd/MM/yyyy")
+
+
+def paris_day(at: Column) -> Column:
+    """The day in Paris of a moment given in UTC."""
+    return F.to_date(F.from_utc_timestamp(at, "Europe/Paris"))
+
+
+def sort_key(text: Column) -> Column:
+    """What texts are sorted by: without accents or case, and numbers by their size."""
+    parts = F.regexp_extract_all(F.upper(plain(text)), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(x)), "")

@@ -131,3 +131,19 @@ def set_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     columns = before.columns
     both = before.distinct().withColumn("_b", F.lit(1)).unionByName(after.distinct().withColumn("_b", F.lit(2)))
     return both.groupBy(*columns).agg(F.sum("_b").alias("_b")).where("_b < 3").select(*columns, F.when(F.col("_b") == 1, "before").otherwise("after").alias("side"))
+
+
+def drawn(batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a delivery for the first company at or above each of a few drawn keys; a key above all draws none."""
+    firsts = batch.agg(*[F.min(F.when(F.col("siren") >= k, F.col("siren"))).alias(f"k{i}") for i, k in enumerate(keys)])
+    wanted = firsts.select(F.explode(F.array(*[F.col(f"k{i}") for i in range(len(keys))])).alias("siren")).where("siren is not null").distinct()
+    return batch.join(F.broadcast(wanted), "siren", "left_semi")  # as many rows as keys
+
+
+def present(sample: DataFrame, replayed: DataFrame) -> DataFrame:
+    """siren, present: whether a drawn company's records are in the register already: replaying them, without writing, changes nothing.
+
+    replayed: siren, change of the table after the sample. One that the replay has no row for (it isn't of the register's kind) is present.
+    """
+    moved = replayed.where("change <> 'none'").select("siren").distinct().withColumn("moved", F.lit(True))
+    return sample.select("siren").distinct().join(moved, "siren", "left").select("siren", F.col("moved").isNull().alias("present"))

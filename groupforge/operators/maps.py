@@ -120,6 +120,13 @@ def group_map(offices: DataFrame, companies: DataFrame, links: DataFrame, person
     return GroupMap(rows, inside, shares, foreign, rules.doubtful(links, kept, chosen))
 
 
+def warnings_of(companies: DataFrame, data_day: DataFrame, today: str, most: int = 7) -> DataFrame:
+    """warning: what a reader has to know: the group is its head alone, or the register's day (data_date, one row) is more than `most` days ago."""
+    lonely = companies.agg(F.count("*").alias("n")).where("n <= 1").select(F.lit("Tête seule : aucune société rattachée.").alias("warning"))
+    old = data_day.where(F.datediff(F.lit(today).cast("date"), F.col("data_date")) > most)
+    return lonely.unionByName(old.select(F.concat(F.lit("Données du registre au "), names.shown_date(F.col("data_date")), F.lit(f" : plus de {most} jours de retard.")).alias("warning")))
+
+
 # --- the country's map
 
 
@@ -221,3 +228,9 @@ def map_rows(rows: DataFrame, offices: DataFrame) -> DataFrame:
     named = offices.select("siren", names.safe_cell(F.col("name")).alias("name"))
     met = rows.select("siren", "head", "mother", "level", "targetable").join(named, "siren", "left").join(named.toDF("mother", "mother_name"), "mother", "left")
     return met.select(names.grouped_siren(F.col("siren")).alias("siren"), "name", names.grouped_siren(F.col("head")).alias("head"), names.grouped_siren(F.col("mother")).alias("mother"), "mother_name", "level", F.when(F.col("targetable"), "oui").otherwise("non").alias("targetable"))
+
+
+def listed_by_group(assigned: DataFrame, asked: DataFrame, documents: DataFrame) -> DataFrame:
+    """head, listed, document: how many listed companies each group holds, and whether it has a document. documents: head."""
+    met = assigned.join(asked.select("siren").distinct(), "siren", "left_semi").groupBy("head").agg(F.count("*").alias("listed"))
+    return met.join(documents.select("head").distinct().withColumn("document", F.lit(True)), "head", "left").select("head", "listed", F.coalesce("document", F.lit(False)).alias("document"))

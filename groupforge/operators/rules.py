@@ -42,6 +42,32 @@ class Settings:
 
 
 PLAIN = Settings()
+MOST_ITEMS, MOST_CHARS = 1000, 200
+
+
+def checked(content: object) -> Settings:
+    """Settings from an object as JSON gives it; a ValueError tells all that is wrong with it, without repeating any value (it may be a name)."""
+    if not isinstance(content, dict):
+        raise ValueError("les réglages doivent être un objet JSON")
+    wrong = []
+    for key, value in content.items():
+        if key not in Settings.__dataclass_fields__:
+            wrong.append(f"{key} : clé inconnue")
+        elif not isinstance(value, (list, tuple)):
+            wrong.append(f"{key} : doit être une liste")
+        elif len(value) > MOST_ITEMS:
+            wrong.append(f"{key} : {MOST_ITEMS} éléments au plus")
+        else:
+            for i, x in enumerate(value):
+                if not isinstance(x, str):
+                    wrong.append(f"{key}.{i} : doit être un texte")
+                elif not 0 < len(x) <= MOST_CHARS:
+                    wrong.append(f"{key}.{i} : 1 à {MOST_CHARS} caractères")
+                elif key in ("left_out", "priority") and not (len(x) == 9 and x.isascii() and x.isdigit()):
+                    wrong.append(f"{key}.{i} : format invalide")
+    if wrong:
+        raise ValueError("\n".join(wrong))
+    return Settings(**{k: tuple(v) for k, v in content.items()})
 
 
 def civil(cj: Column) -> Column:

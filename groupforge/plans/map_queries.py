@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groupforge.operators import assign, closure, maps, rules, tree
+from groupforge.functions import names
+from groupforge.operators import assign, changes, closure, legal, maps, rules, tree
 from groupforge.plans import map_sql as sql
 from groupforge.plans.register_queries import HEAD, LOW_DEGREE, _hits, _listed, query
 from groupforge.plans.storage import cut
@@ -140,3 +141,42 @@ def doc_acronyms(spark, t):
     both = F.when(F.col("line") % 2 == 0, F.concat("name", F.lit(" - "), F.upper(first))).otherwise(F.concat(F.upper(first), F.lit(" – de la "), "name"))
     found = t("doc_lines").select("doc", "line", tables.acronym_sides(both).alias("s"))
     return found.select("doc", "line", F.get("s", F.lit(0)).alias("name"), F.get("s", F.lit(1)).alias("acronym"))
+
+
+# --- probes, warnings, dates, order
+
+
+@query(sql.PROBED)
+def cdc_probe(spark, t):
+    units, batch = t("legal_units", "batch_units")
+    sample = cut(changes.drawn(batch, ["000000003", "000000050", "000000077", "000000400", "999999999"]))
+    return changes.present(sample, legal.merge_units(units, sample))
+
+
+@query(sql.WARNED)
+def group_warnings(spark, t):
+    links, companies = t("links", "companies")
+    return maps.warnings_of(companies.where("siren = '000000000'"), changes.data_date(links, companies), "2026-01-15")
+
+
+@query(sql.LISTED_BY_GROUP)
+def assign_listed_by_group(spark, t):
+    rows, groups = _document_rows(t)
+    return maps.listed_by_group(rows, t("legal_units").where("cj is not null"), groups.where("parent is null"))
+
+
+@query(sql.DATES)
+def name_dates(spark, t):
+    at = F.col("updated").cast("timestamp")
+    return t("records").select("siren", names.shown_date(at).alias("shown"), names.paris_day(at).cast("string").alias("day"))
+
+
+@query(sql.SORTED)
+def name_sort_key(spark, t):
+    return t("offices").select("siren", names.sort_key(F.concat_ws(" ", "name", "address_key")).alias("sort_key"))
+
+
+@query(sql.DISTINCT_NAMES)
+def name_ordered_distinct(spark, t):
+    words = t("documents").select("doc_id", F.array_distinct(F.split(names.norm(F.col("text")), " ")).alias("w"))
+    return words.select("doc_id", F.size("w").cast("long").alias("n"), F.array_join(F.slice("w", 1, 20), " ").alias("first"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from groupforge.operators.rules import DIRECTING, MEDIUM, PLAIN, STRONG, Settings
-from groupforge.plans.register_sql import _BRANDS, _CONTROLLED, _LABELS, _TARGET, ACTIVE, ARBITRATION, IN_FORCE, _in, mothers, norm, walked
+from groupforge.plans.register_sql import _BRANDS, _CONTROLLED, _LABELS, _TARGET, ACTIVE, ARBITRATION, IN_FORCE, UNIT_MERGE, _in, mothers, norm, walked
 from groupforge.sources.register import with_clause
 
 MAP_SETTINGS = Settings(
@@ -227,7 +227,7 @@ gaps AS (
 r AS (
     SELECT s.*, (SELECT arg_max(e.kind, e.line) FROM events e WHERE e.doc = s.doc AND e.line < s.line) AS above, coalesce((SELECT arg_max(e.size, e.line) FROM events e WHERE e.doc = s.doc AND e.line < s.line) = s.size, false) AS titled,
         CASE m WHEN 'IG' THEN 'IG' WHEN 'INTEGRATION GLOBALE' THEN 'IG' WHEN 'MEE' THEN 'MEE' WHEN 'ME' THEN 'MEE' WHEN 'MISE EN EQUIVALENCE' THEN 'MEE' WHEN 'IP' THEN 'autre' WHEN 'JV' THEN 'autre' END AS method
-    FROM s WHERE shares BETWEEN 1 AND 4 AND NOT amount AND most <= 100 AND NOT EXISTS (SELECT 1 FROM gaps g WHERE g.doc = s.doc AND g.line = s.line) AND NOT EXISTS (SELECT 1 FROM events e WHERE e.doc = s.doc AND e.line = s.line)),
+    FROM s WHERE length(regexp_replace(name, '[^\\p{{L}}]', '', 'g')) >= 2 AND NOT list_has_any(string_split({norm('name')}, ' '), ['SUCCURSALE', 'SUCC', 'BRANCH', 'NIEDERLASSUNG', 'SUCURSAL']) AND shares BETWEEN 1 AND 4 AND NOT amount AND most <= 100 AND NOT EXISTS (SELECT 1 FROM gaps g WHERE g.doc = s.doc AND g.line = s.line) AND NOT EXISTS (SELECT 1 FROM events e WHERE e.doc = s.doc AND e.line = s.line)),
 k AS (SELECT * FROM r WHERE CASE WHEN own IS NULL THEN titled ELSE method IS NOT NULL OR shares > 1 OR decimals OR shown LIKE '%,%' END)
 SELECT doc, line, name, coalesce(own, above) AS country, coalesce(method, 'inconnue') AS method, CAST(replace(share, ',', '.') AS DOUBLE) AS rate FROM k
 WHERE coalesce(own, above) = 'france' AND (method IS NOT NULL OR titled OR EXISTS (SELECT 1 FROM k x WHERE x.doc = k.doc AND x.own = 'country' AND x.size = k.size AND x.at = k.at))"""
@@ -245,3 +245,27 @@ l AS (SELECT *, CASE WHEN line % 2 = 0 THEN name ELSE 'de la ' || name END AS lo
 i AS (SELECT *, array_to_string(list_transform(list_filter(string_split({norm('long')}, ' '), lambda x: x NOT IN ('DE', 'DU', 'DES', 'D', 'L', 'LA', 'LE', 'LES', 'ET', 'EN', 'A', 'AU', 'AUX')), lambda x: x[1]), '') AS initials FROM l),
 ok AS (SELECT *, initials LIKE short[1] || '%' || short[2] || '%' || short[3] || '%' AS reads FROM i)
 SELECT doc, line, CASE WHEN reads THEN long END AS name, CASE WHEN reads THEN short END AS acronym FROM ok"""
+
+
+# --- probes, warnings, dates, order
+
+_KEYS = "(VALUES ('000000003'), ('000000050'), ('000000077'), ('000000400'), ('999999999')) k(key)"
+_AT = UNIT_MERGE.rindex("\nSELECT n.siren")
+PROBED = UNIT_MERGE[:_AT] + f""",
+replayed AS ({UNIT_MERGE[_AT + 1 :]}),
+picked AS (SELECT DISTINCT (SELECT min(siren) FROM batch_units WHERE siren >= key) AS siren FROM {_KEYS})
+SELECT p.siren, coalesce(r.change, 'none') = 'none' AS present FROM picked p LEFT JOIN replayed r ON r.siren = p.siren WHERE p.siren IS NOT NULL"""
+WARNED = with_clause("links", "companies") + """,
+d AS (SELECT max(greatest(opened, coalesce(closed, opened))) AS day FROM (SELECT opened, closed FROM links UNION ALL SELECT opened, closed FROM companies))
+SELECT 'Tête seule : aucune société rattachée.' AS warning WHERE (SELECT count(*) FROM companies WHERE siren = '000000000') <= 1
+UNION ALL SELECT 'Données du registre au ' || strftime(day, '%d/%m/%Y') || ' : plus de 7 jours de retard.' FROM d WHERE DATE '2026-01-15' - CAST(day AS DATE) > 7"""
+LISTED_BY_GROUP = _COUNTRY + """
+SELECT r.head, count(*) AS listed, bool_or(s.parent IS NULL) AS document FROM doc_rows r JOIN sz s ON s.head = r.head WHERE r.siren IN (SELECT siren FROM legal_units WHERE cj IS NOT NULL) GROUP BY r.head"""
+DATES = with_clause("records") + """
+SELECT siren, strftime(updated, '%d/%m/%Y') AS shown, strftime(CAST(updated AS TIMESTAMP) AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Paris', '%Y-%m-%d') AS day FROM records"""
+SORTED = with_clause("offices") + r"""
+SELECT siren, array_to_string(list_transform(regexp_extract_all(upper(strip_accents(concat_ws(' ', name, address_key))), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '') AS sort_key FROM offices"""
+DISTINCT_NAMES = f"""
+WITH w AS (SELECT doc_id, unnest(string_split({norm('text')}, ' ')) AS word, generate_subscripts(string_split({norm('text')}, ' '), 1) AS i FROM documents),
+f AS (SELECT doc_id, word, min(i) AS i FROM w GROUP BY doc_id, word), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f)
+SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY n) FILTER (WHERE n <= 20) AS first FROM o GROUP BY doc_id"""

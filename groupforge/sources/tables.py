@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from groupforge.functions import names
 
-#: Methods in a cell and what they count as; words of a column title about shares; words without an initial.
+#: Methods in a cell and what they count as; words of a column title about shares; words of a branch; words without an initial.
 METHODS = {"IG": "IG", "INTEGRATION GLOBALE": "IG", "MEE": "MEE", "ME": "MEE", "MISE EN EQUIVALENCE": "MEE", "IP": "autre", "JV": "autre"}
 SHARE_WORDS = ("%", "POURCENTAGE", "INTERET", "CONTROLE", "DETENTION", "INTEREST", "OWNERSHIP")
+BRANCH_WORDS = ("SUCCURSALE", "SUCC", "BRANCH", "NIEDERLASSUNG", "SUCURSAL")
 SMALL_WORDS = ("DE", "DU", "DES", "D", "L", "LA", "LE", "LES", "ET", "EN", "A", "AU", "AUX")
 MOST_SHARES, GAP, LONG_LINE = 4, 3, 80
 FRANCE, COUNTRY, ZONE = "france", "country", "zone"
@@ -44,7 +45,7 @@ def country_map(countries: dict[str, str]) -> Column:
 def table_rows(lines: DataFrame, countries: dict[str, str]) -> DataFrame:
     """doc, line, name, country, method, rate of the rows of companies in France.
 
-    A row has a name, a country and one to four shares of at most 100, and no amount; the first share counts. The country is a cell, or the
+    A row has a name of two letters or more that is no branch's, a country and one to four shares of at most 100, and no amount; the first share counts. The country is a cell, or the
     table's title (`France | shares | ...`, until the next title, a line that is a country, or a long line of text; as many cells as the
     row). A row that three empty cells part from its first share has left the group. A row without a method needs two shares or one with
     decimals, and is believed below a title, or if the document has a row of another country in the same shape.
@@ -68,6 +69,8 @@ def table_rows(lines: DataFrame, countries: dict[str, str]) -> DataFrame:
     gap = F.array_join(F.transform(F.slice("kinds", F.col("named") + 1, F.greatest(F.coalesce("first_share", "named") - F.col("named"), F.lit(0))), lambda k: F.when(k == "empty", "_").otherwise("x")), "")
     too_much = F.exists("c", lambda x: (x["kind"] == "share") & (F.translate(x["cell"], ",", ".").cast("double") > 100))
     good = (F.col("named") > 0) & F.size("shares").between(1, MOST_SHARES) & ~F.array_contains("kinds", "amount") & ~too_much & ~gap.contains("_" * GAP)
+    name = F.get("cells", F.col("named") - 1)
+    good = good & (F.length(F.regexp_replace(name, r"\P{L}", "")) >= 2) & ~F.arrays_overlap(F.split(names.norm(name), " "), F.array(*[F.lit(w) for w in BRANCH_WORDS]))
     method = F.create_map(*[F.lit(x) for p in METHODS.items() for x in p])[F.get(F.filter("c", lambda x: x["kind"] == "method"), F.lit(0))["key"]]
     decimals = F.exists("shares", lambda x: x["cell"].rlike("[.,]")) | F.coalesce(F.get("cells", F.col("at")).contains(","), F.lit(False))
     rows = rows.where(good).withColumn("method", method).withColumn("own", F.get("kinds", F.col("at")))

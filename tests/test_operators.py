@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from groupforge.functions import names
 from groupforge.operators import assign, changes, closure, legal, maps, match, rules, serve, tree
 from groupforge.plans.storage import Versions, carried_over, compact
-from groupforge.sources import exports, html, lists, records
+from groupforge.sources import exports, html, lists, records, tables
 
 LINK = "parent string, child string, role string, opened date, closed date"
 
@@ -520,3 +520,65 @@ def test_days_to_read(spark):
     assert days == ["2026-01-11", "2026-01-12", "2026-01-13"]
     assert changes.days_to_read("2026-01-13", "2026-01-14", spark).count() == 0
     assert changes.days_to_read("2025-01-01", "2026-01-14", spark).count() == 7
+
+
+# --- tables of unknown columns, names with acronyms, settings, probes
+
+
+def table(spark, *texts):
+    lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(texts)], "doc string, line int, text string")
+    found = tables.table_rows(lines, {"FRANCE": "france", "ITALIE": "country", "EUROPE": "zone"})
+    return {r.name: (r.method, r.rate) for r in found.collect()}
+
+
+def test_cells(spark):
+    df = spark.createDataFrame([(" | Alpha (2) |  | 98* | 51 % | ",), ("",), ("|",), (None,)], "t string")
+    assert [r[0] for r in df.select(tables.cells(F.col("t"))).collect()] == [["Alpha", "", "98", "51"], [], [], []]
+
+
+def test_rows_are_believed_by_their_table(spark):
+    rows = ["Alpha | France | 40 | 60", "Beta | France | 12,5"]
+    assert table(spark, *rows) == {}, "figures of one country may be anything"
+    assert table(spark, *rows, "Gamma | Italie | 40 | 60") == {"Alpha": ("inconnue", 40.0)}, "the same shape as a row of another country"
+    assert table(spark, *rows, "Gamma | Europe | 40 | 60") == {}, "a zone is no country"
+    assert table(spark, "Alpha | France | IG | 40", "Beta | IG | 40") == {"Alpha": ("IG", 40.0)}
+    assert table(spark, "Alpha | France | 12 000 | IG | 40", "Beta | France | IG | 140", "Gamma | France |  |  |  | 40 | IG", "D | France | IG | 40", "Delta succursale | France | IG | 40", "Eta | France | IG | 1 | 2 | 3 | 4 | 5") == {}
+    assert table(spark, "Alpha | France |  |  | 40 | IG") == {"Alpha": ("IG", 40.0)}, "two empty cells are only a layout"
+    assert table(spark) == {}
+
+
+def test_titles_of_tables(spark):
+    title, row = "France | % d'intérêt", "Alpha | 40"
+    assert table(spark, title, row) == {"Alpha": ("inconnue", 40.0)}
+    assert table(spark, row, title) == {} and table(spark, title, "Italie | % d'intérêt", row) == {} and table(spark, title, "x" * 81, row) == {}
+    assert table(spark, title, "Alpha | 40 | 50") == {} and table(spark, title, "short", row) == {"Alpha": ("inconnue", 40.0)}
+
+
+def test_candidates_and_acronyms(spark):
+    df = spark.createDataFrame([("Alpha Beta Paris", ["Compagnie"]), ("Alpha", [])], "n string, b array<string>")
+    got = [[tuple(c) for c in r[0]] for r in df.select(tables.town_candidates(F.col("n"), F.col("b"))).collect()]
+    assert got[0] == [
+        ("Compagnie Alpha Beta", "Paris", True, False), ("Compagnie Alpha", "Beta Paris", True, False), ("Compagnie", "Alpha Beta Paris", True, False),
+        ("Alpha Beta", "Paris", False, False), ("Alpha", "Beta Paris", True, False), ("Alpha Beta Paris", "Paris", True, True),
+    ]
+    assert got[1] == []
+    given = ["Union des Forges Alpines - UFA", "U.F.A – Union des Forges Alpines", "Hôtel - LYON", "UFA", "Forges Union Alpes - UFA", "A - B - C", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, n string")
+    assert [r[1] for r in df.select("i", tables.acronym_sides(F.col("n"))).orderBy("i").collect()] == [["Union des Forges Alpines", "UFA"], ["Union des Forges Alpines", "U.F.A"], None, None, None, None, None]
+
+
+def test_settings_are_checked():
+    assert rules.checked({"houses": ["ALPHA"], "left_out": ["012345678"]}) == rules.Settings(houses=("ALPHA",), left_out=("012345678",))
+    for bad in ([], {"?": []}, {"houses": "ALPHA"}, {"houses": [1]}, {"houses": [""]}, {"priority": ["12"]}, {"houses": ["a"] * 1001}):
+        with pytest.raises(ValueError) as e:
+            rules.checked(bad)
+        assert "ALPHA" not in str(e.value)
+
+
+def test_drawn_records_and_sort_keys(spark):
+    batch = spark.createDataFrame([("1", "a"), ("3", "b"), ("3", "c")], "siren string, x string")
+    assert sorted(tuple(r) for r in changes.drawn(batch, ["0", "1", "2", "9"]).collect()) == [("1", "a"), ("3", "b"), ("3", "c")]
+    assert changes.drawn(batch.limit(0), ["0"]).isEmpty()
+    texts = ["rue 10", "Rue 9", "rué 100", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.t for r in df.where("t <> ''").orderBy(names.sort_key(F.col("t"))).collect()] == ["Rue 9", "rue 10", "rué 100"]
