@@ -134,3 +134,36 @@ def nearest_kept(rows: DataFrame, mothers: DataFrame) -> DataFrame:
         step += 1
         if front.isEmpty():
             return done
+
+
+def other_federations(offices: DataFrame, links: DataFrame, mothers: DataFrame, head: str, name_pattern: str, tops: list[str], other_names: list[str], least: int = BANK_GROUP) -> DataFrame:
+    """siren: what belongs to other federations than the one of the bank head.
+
+    Members of groupings of more than `least` banks that head isn't in; the given tops and all below them by other mandates than a seat on a
+    board; banks whose name, hyphens read as spaces, holds another federation's.
+    """
+    bank = F.col("name").like(name_pattern) | F.col("cj").isin(BANK_CJ)
+    banks = offices.where(bank).select("siren", F.translate("name", "-", " ").alias("name"))
+    member = open_links(links).where("role = '11'").select(F.col("parent").alias("siren"), F.col("child").alias("grouping")).distinct()
+    large = member.join(banks.select("siren"), "siren", "left_semi").groupBy("grouping").agg(F.count("*").alias("n")).where(F.col("n") > least).select("grouping")
+    own = open_links(links).where(F.col("parent") == head).select(F.col("child").alias("grouping")).distinct()
+    members = member.join(large.join(own, "grouping", "left_anti"), "grouping", "left_semi").select("siren")
+    seeds = offices.sparkSession.createDataFrame([("", x) for x in tops], "start string, node string")
+    edges = mothers.where("role not in ('64', '65')").select(F.col("mother").alias("parent"), "child")
+    below = closure(edges, seeds).select(F.col("node").alias("siren"))
+    named = F.lit(False)
+    for x in other_names:
+        named = named | F.contains(F.col("name"), F.lit(x))
+    return members.unionByName(below).unionByName(banks.where(named).select("siren")).distinct()
+
+
+def territory(federations: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], named: set[str], department: str | None) -> tuple[list[str] | None, list[str]]:
+    """The departments where alone a bank may be (None: anywhere), and those where it may not, for a federation whose head is in department.
+
+    federations: to each one its own departments and those it shares. named: those that the document names beside the head's. A head in
+    no federation's own department may have banks anywhere but in the own departments of the ones that aren't named.
+    """
+    mine = next((f for f, (own, _) in federations.items() if department in own), None)
+    kept = named | ({mine} if mine else set())
+    allowed = None if mine is None else sorted({d for f in kept & set(federations) for part in federations[f] for d in part})
+    return allowed, sorted({d for f, (own, _) in federations.items() if f not in kept for d in own if d != department})

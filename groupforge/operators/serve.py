@@ -206,3 +206,37 @@ def map_order(group: DataFrame, offices: DataFrame) -> DataFrame:
 def most_common(words: DataFrame, column: str, limit: int = 5) -> DataFrame:
     """The most common values and their number; of equals the smaller value."""
     return words.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(limit)
+
+
+def same_judgement(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """found, same: companies in both lists, and how many of them both call targetable or both don't. Both: siren, targetable."""
+    met = ours.select("siren", F.col("targetable").alias("a")).join(theirs.select("siren", F.col("targetable").alias("b")), "siren")
+    return met.agg(F.count("*").alias("found"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
+
+
+#: What a confidence means in an export.
+LINK_STATES = {"A": ("confirmed", "high", "yes"), "B": ("confirmed", "medium", "no"), "C": ("to_verify", "low", "no")}
+
+
+def entity_type(siren: Column, head: Column, reason: Column) -> Column:
+    """The kind of company in an export, from why it can or can't be targeted."""
+    said = F.coalesce(reason, F.lit(""))
+    return F.when(siren == head, "holding_operating_group").when(said.contains("civile"), "sci").when(said.contains("GIE"), "shared_service").when(said.contains("Holding"), "holding").otherwise("operating_company")
+
+
+def relation_rows(rows: DataFrame) -> DataFrame:
+    """parent_id, child_id, status, confidence, verified: one row for each mother; rows: siren, head, mother, confidence."""
+    said = F.create_map(*[x for k, v in LINK_STATES.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])[F.col("confidence")]
+    of = F.coalesce(said, F.array(*[F.lit(y) for y in LINK_STATES["C"]]))
+    return rows.where("mother is not null and siren <> head").select(F.col("mother").alias("parent_id"), F.col("siren").alias("child_id"), *[F.get(of, F.lit(i)).alias(n) for i, n in enumerate(("status", "confidence", "verified"))])
+
+
+def brand_entities(houses: list[str], heads: DataFrame) -> DataFrame:
+    """brand_id, brand, entity: of the companies that head a house (siren, name) the smallest whose name holds the brand's; null if none does."""
+    def plain(c: Column) -> Column:
+        return F.translate(F.upper(c), "'", " ")
+
+    brands = heads.sparkSession.createDataFrame([(f"B{i}", h) for i, h in enumerate(houses, 1)], "brand_id string, brand string")
+    wanted = F.array(*[F.lit(h) for h in houses])
+    met = heads.select("siren", F.explode(F.filter(wanted, lambda h: F.contains(plain(F.col("name")), plain(h)))).alias("brand"))
+    return brands.join(met.groupBy("brand").agg(F.min("siren").alias("entity")), "brand", "left").select("brand_id", "brand", "entity")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groupforge.functions import names
-from groupforge.operators import assign, changes, closure, legal, maps, rules, tree
+from groupforge.operators import assign, changes, closure, legal, maps, rules, serve, tree
 from groupforge.plans import map_sql as sql
 from groupforge.plans.register_queries import HEAD, LOW_DEGREE, _hits, _listed, query
 from groupforge.plans.storage import cut
@@ -180,3 +180,37 @@ def name_sort_key(spark, t):
 def name_ordered_distinct(spark, t):
     words = t("documents").select("doc_id", F.array_distinct(F.split(names.norm(F.col("text")), " ")).alias("w"))
     return words.select("doc_id", F.size("w").cast("long").alias("n"), F.array_join(F.slice("w", 1, 20), " ").alias("first"))
+
+
+# --- federations, judgements, rows of exports
+
+
+@query(sql.OTHER_FEDERATIONS)
+def assign_other_federations(spark, t):
+    offices, links = t("offices", "links")
+    return assign.other_federations(offices, links, tree.best_mothers(links, LOW_DEGREE), "000000022", "S%", ["000000041", "000000100"], ["OLD", "Les hot"], least=1)
+
+
+@query(sql.SAME_JUDGEMENT)
+def group_same_judgement(spark, t):
+    offices, companies = t("offices", "companies")
+    ours = rules.targetable(offices, companies)
+    return serve.same_judgement(ours, rules.targetable(offices.withColumn("band", F.lit(None).cast("string")), companies.where("closed is null")))
+
+
+@query(sql.ENTITY_TYPES)
+def export_entity_types(spark, t):
+    offices, companies = t("offices", "companies")
+    head = F.lpad((F.floor(F.col("siren").cast("long") / 10) * 10).cast("string"), 9, "0")
+    return rules.targetable(offices, companies).select("siren", serve.entity_type(F.col("siren"), head, F.col("reason")).alias("entity_type"))
+
+
+@query(sql.RELATION_ROWS)
+def export_relation_rows(spark, t):
+    return serve.relation_rows(_document_rows(t)[0])
+
+
+@query(sql.BRAND_ENTITIES)
+def export_brand_entities(spark, t):
+    heads = t("offices").where("siren < '000000300'").select("siren", "name")
+    return serve.brand_entities(["red widget", "L'or", "hot rod", "nothing"], heads)

@@ -269,3 +269,26 @@ DISTINCT_NAMES = f"""
 WITH w AS (SELECT doc_id, unnest(string_split({norm('text')}, ' ')) AS word, generate_subscripts(string_split({norm('text')}, ' '), 1) AS i FROM documents),
 f AS (SELECT doc_id, word, min(i) AS i FROM w GROUP BY doc_id, word), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f)
 SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY n) FILTER (WHERE n <= 20) AS first FROM o GROUP BY doc_id"""
+
+
+# --- federations, judgements, rows of exports
+
+OTHER_FEDERATIONS = with_clause("links", "offices", recursive=True) + f""",
+{ACTIVE}, {mothers('m', 'act', 15)},
+bk AS (SELECT siren, replace(name, '-', ' ') AS name FROM offices WHERE name LIKE 'S%' OR cj IN (5194, 5195, 5460, 5560, 5660, 6560, 6595, 6596)),
+lg AS (SELECT child FROM act WHERE role = '11' AND parent IN (SELECT siren FROM bk) AND child NOT IN (SELECT child FROM act WHERE parent = '000000022') GROUP BY child HAVING count(DISTINCT parent) > 1),
+un AS (SELECT unnest(['000000041', '000000100']) AS siren UNION SELECT m.child FROM un JOIN m ON m.mother = un.siren WHERE m.role NOT IN ('64', '65'))
+SELECT parent AS siren FROM act WHERE role = '11' AND child IN (SELECT child FROM lg) UNION SELECT siren FROM un UNION SELECT siren FROM bk WHERE contains(name, 'OLD') OR contains(name, 'Les hot')"""
+SAME_JUDGEMENT = with_clause("offices", "companies") + f""",
+{_TARGET},
+{_TARGET.replace("target AS", "theirs AS").replace("coalesce(band, '')", "''").replace("band = '00'", "false").replace("LEFT JOIN companies c", "LEFT JOIN (SELECT * FROM companies WHERE closed IS NULL) c")}
+SELECT count(*) AS found, count(*) FILTER (WHERE t.targetable = x.targetable) AS same FROM target t JOIN theirs x ON x.siren = t.siren"""
+ENTITY_TYPES = with_clause("offices", "companies") + f""",
+{_TARGET}
+SELECT siren, CASE WHEN CAST(siren AS BIGINT) % 10 = 0 THEN 'holding_operating_group' WHEN reason LIKE '%civile%' THEN 'sci' WHEN reason LIKE '%GIE%' THEN 'shared_service' WHEN reason LIKE '%Holding%' THEN 'holding' ELSE 'operating_company' END AS entity_type FROM target"""
+RELATION_ROWS = _COUNTRY + """
+SELECT mother AS parent_id, siren AS child_id, CASE WHEN confidence IN ('A', 'B') THEN 'confirmed' ELSE 'to_verify' END AS status, CASE confidence WHEN 'A' THEN 'high' WHEN 'B' THEN 'medium' ELSE 'low' END AS confidence,
+    CASE confidence WHEN 'A' THEN 'yes' ELSE 'no' END AS verified FROM doc_rows WHERE mother IS NOT NULL AND siren <> head"""
+BRAND_ENTITIES = with_clause("offices") + """,
+b AS (SELECT * FROM (VALUES ('B1', 'red widget'), ('B2', 'L''or'), ('B3', 'hot rod'), ('B4', 'nothing')) b(brand_id, brand))
+SELECT brand_id, brand, (SELECT min(siren) FROM offices o WHERE siren < '000000300' AND contains(replace(upper(o.name), '''', ' '), replace(upper(b.brand), '''', ' '))) AS entity FROM b"""

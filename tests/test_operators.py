@@ -582,3 +582,20 @@ def test_drawn_records_and_sort_keys(spark):
     texts = ["rue 10", "Rue 9", "rué 100", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.t for r in df.where("t <> ''").orderBy(names.sort_key(F.col("t"))).collect()] == ["Rue 9", "rue 10", "rué 100"]
+
+
+def test_territories():
+    table = {"west": (("29", "35"), ("44",)), "south": (("33",), ("44", "47")), "east": (("67",), ())}
+    assert assign.territory(table, set(), "35") == (["29", "35", "44"], ["33", "67"])
+    assert assign.territory(table, {"south"}, "35") == (["29", "33", "35", "44", "47"], ["67"])
+    assert assign.territory(table, {"east"}, "75") == (None, ["29", "33", "35"]) and assign.territory(table, set(), None) == (None, ["29", "33", "35", "67"])
+    assert assign.territory({}, {"?"}, "75") == (None, [])
+
+
+def test_rows_of_exports(spark):
+    rows = spark.createDataFrame([("H", "H", "Z", "A"), ("B", "H", "H", "B"), ("C", "H", "B", None), ("D", "H", None, "A")], "siren string, head string, mother string, confidence string")
+    assert {tuple(r) for r in serve.relation_rows(rows).collect()} == {("H", "B", "confirmed", "medium", "no"), ("B", "C", "to_verify", "low", "no")}
+    heads = spark.createDataFrame([("2", "Maison de l'Or"), ("1", "MAISON DE L OR BIS"), ("3", None)], "siren string, name string")
+    assert as_dict(serve.brand_entities(["l'or", "zinc"], heads)) == {"B1": ("l'or", "1"), "B2": ("zinc", None)}
+    kinds = [r[0] for r in spark.sql("select * from values ('H', 'x'), ('a', 'Société civile ou SCI'), ('b', 'GIE de moyens'), ('c', null) t(siren, reason)").select(serve.entity_type(F.col("siren"), F.lit("H"), F.col("reason"))).collect()]
+    assert kinds == ["holding_operating_group", "sci", "shared_service", "operating_company"]
