@@ -112,8 +112,8 @@ def _table_lines(t) -> DataFrame:
     share, method = F.regexp_replace(F.format_string("%.2f", F.col("rate") + F.lit(0.25)), r"\.", ","), F.col("method")
     text = (
         F.when(n % 23 == 0, F.lit("FRANCE | Pourcentage d'intérêts | % contrôle")).when(n % 29 == 0, F.lit("GERMANY | Pourcentage d'intérêts | % contrôle")).when(n % 31 == 0, F.repeat(F.lit("texte courant "), 8)).when(n % 37 == 0, F.lit("Japan"))
-        .when(n % 11 == 1, F.concat_ws(" | ", "name", share, F.lit("98"))).when(n % 11 == 2, F.concat_ws(" | ", "name", F.lit("France"), F.lit("1 995"), share)).when(n % 11 == 3, F.concat_ws(" | ", "name", F.lit("France"), F.lit(""), F.lit(""), F.lit(""), share, F.lit("IG")))
-        .when(n % 11 == 4, F.concat(F.lit(" | "), "name", F.lit(" (1) | "), "town", F.lit(" | "), share, F.lit(" % | IG* | "))).when(n % 11 == 5, F.concat_ws(" | ", F.lit("France, Crolles"), "name", F.lit("55"))).when(n % 11 == 6, F.concat_ws(" | ", "name", F.lit("France"), F.lit("55")))
+        .when(n % 11 == 1, F.concat_ws(" | ", "name", share, F.lit("98"))).when(n % 11 == 2, F.concat_ws(" | ", "name", F.lit("France"), F.lit("2 310"), share)).when(n % 11 == 3, F.concat_ws(" | ", "name", F.lit("France"), F.lit(""), F.lit(""), F.lit(""), share, F.lit("IG")))
+        .when(n % 11 == 4, F.concat(F.lit(" | "), "name", F.lit(" (1) | "), "town", F.lit(" | "), share, F.lit(" % | IG* | "))).when(n % 11 == 5, F.concat_ws(" | ", F.lit("France, Vannes"), "name", F.lit("55"))).when(n % 11 == 6, F.concat_ws(" | ", "name", F.lit("France"), F.lit("55")))
         .when(n % 11 == 7, F.concat_ws(" | ", "name", "town", share, F.lit("120"))).when(n % 11 == 8, F.concat_ws(" | ", "name", F.lit("000000012"), F.lit("France"), share)).otherwise(F.concat_ws(" | ", "name", F.when(n % 2 == 0, "France").otherwise(F.col("town")), share, F.lit("60"), method))
     )
     return t("doc_lines").select("doc", "line", text.alias("text"))

@@ -194,8 +194,8 @@ FROM doc_rows r LEFT JOIN cell c ON c.siren = r.siren LEFT JOIN cell x ON x.sire
 _SHARE = "replace(printf('%.2f', rate + 0.25), '.', ',')"
 _TABLE_LINES = f"""tl AS (
     SELECT doc, line, CASE WHEN line % 23 = 0 THEN 'FRANCE | Pourcentage d''intérêts | % contrôle' WHEN line % 29 = 0 THEN 'GERMANY | Pourcentage d''intérêts | % contrôle' WHEN line % 31 = 0 THEN repeat('texte courant ', 8) WHEN line % 37 = 0 THEN 'Japan'
-        WHEN line % 11 = 1 THEN name || ' | ' || {_SHARE} || ' | 98' WHEN line % 11 = 2 THEN name || ' | France | 1 995 | ' || {_SHARE} WHEN line % 11 = 3 THEN name || ' | France |  |  |  | ' || {_SHARE} || ' | IG'
-        WHEN line % 11 = 4 THEN ' | ' || name || ' (1) | ' || town || ' | ' || {_SHARE} || ' % | IG* | ' WHEN line % 11 = 5 THEN 'France, Crolles | ' || name || ' | 55' WHEN line % 11 = 6 THEN name || ' | France | 55'
+        WHEN line % 11 = 1 THEN name || ' | ' || {_SHARE} || ' | 98' WHEN line % 11 = 2 THEN name || ' | France | 2 310 | ' || {_SHARE} WHEN line % 11 = 3 THEN name || ' | France |  |  |  | ' || {_SHARE} || ' | IG'
+        WHEN line % 11 = 4 THEN ' | ' || name || ' (1) | ' || town || ' | ' || {_SHARE} || ' % | IG* | ' WHEN line % 11 = 5 THEN 'France, Vannes | ' || name || ' | 55' WHEN line % 11 = 6 THEN name || ' | France | 55'
         WHEN line % 11 = 7 THEN name || ' | ' || town || ' | ' || {_SHARE} || ' | 120' WHEN line % 11 = 8 THEN name || ' | 000000012 | France | ' || {_SHARE}
         ELSE name || ' | ' || CASE WHEN line % 2 = 0 THEN 'France' ELSE town END || ' | ' || {_SHARE} || ' | 60 | ' || method END AS text
     FROM doc_lines)"""

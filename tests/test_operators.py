@@ -562,7 +562,7 @@ def test_candidates_and_acronyms(spark):
         ("Alpha Beta", "Paris", False, False), ("Alpha", "Beta Paris", True, False), ("Alpha Beta Paris", "Paris", True, True),
     ]
     assert got[1] == []
-    given = ["Union des Forges Alpines - UFA", "U.F.A – Union des Forges Alpines", "Hôtel - LYON", "UFA", "Forges Union Alpes - UFA", "A - B - C", None]
+    given = ["Union des Forges Alpines - UFA", "U.F.A – Union des Forges Alpines", "Auberge - BREST", "UFA", "Forges Union Alpes - UFA", "A - B - C", None]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, n string")
     assert [r[1] for r in df.select("i", tables.acronym_sides(F.col("n"))).orderBy("i").collect()] == [["Union des Forges Alpines", "UFA"], ["Union des Forges Alpines", "U.F.A"], None, None, None, None, None]
 
