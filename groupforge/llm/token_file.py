@@ -18,13 +18,16 @@ bytes. Only the two named columns are read, so others can't clash. An empty tabl
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +44,14 @@ END_ID, MAX_BITS, BLOCK_TOKENS, STEP = 2, 20, 1 << 17, 128
 class WordEncoder:
     """The tokenizers library behind caches of pre-tokens, for files whose texts split at white space; else the library alone.
 
-    Texts are cut at white space. Words of plain texts (characters below U+0300, where lower-casing is by character and NFC changes
-    nothing) are cut by the file's own pattern, and each part is merged; words of other texts go through the whole library.
+    Texts are cut at white space. Distinct words of plain texts (characters below U+0300, where lower-casing is by character and NFC
+    changes nothing) are cut by the file's own pattern, and each part is merged; words of other texts go through the whole library.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, spec: bytes):
+    def __init__(self, spec: bytes, cached: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec.decode())
@@ -65,9 +69,15 @@ class WordEncoder:
             printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
             rest = iter(range(256, 512))
             self.shown = [chr(b) if b in set(printable) else chr(next(rest)) for b in range(256)]
-            self.tokens = Recent(self._token, 200_000)
-            self.plain_words = Recent(self._plain_word, 700_000)
+            self.cached, self.parts, self.older = cached, {"": b""}, {}
             self.any_words = Recent(self._word, 200_000)
+            self.merges = Tokenizer.from_str(json.dumps(data | {"normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}))
+            # the last id of a part shows, where the file marks ends of words and knows every byte
+            suffix, vocab = data["model"].get("end_of_word_suffix"), data["model"]["vocab"]
+            self.last = None
+            if suffix and all(c in vocab and c + suffix in vocab for c in self.shown):
+                self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+                self.last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
 
     def _splits_at_spaces(self, data: dict) -> bool:
         """Whether the file is of the kind the caches are right for."""
@@ -82,29 +92,93 @@ class WordEncoder:
             and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or re.search(r"\s", x["content"]) for x in data["added_tokens"])
         )
 
-    def _plain_word(self, word: str) -> bytes:
-        if word.isalpha() and word.isascii():  # one part, in its own letters
-            return array(self.kind, [t.id for t in self.library.model.tokenize(word)]).tobytes()
-        return b"".join(map(self.tokens.__getitem__, self.find(word)))
-
-    def _token(self, token: str) -> bytes:
-        if not (token.isascii() and token.isprintable()):
-            token = "".join([self.shown[b] for b in token.encode()])
-        return array(self.kind, [t.id for t in self.library.model.tokenize(token)]).tobytes()
+    def _merge(self, parts: list[str], at_once: int = 1 << 14) -> list[bytes]:
+        """Ids of each part. The library merges many in a call; where ends don't show, one by one."""
+        size, out = array(self.kind).itemsize, []
+        for at in range(0, len(parts), at_once):
+            some = [p if p.isascii() and p.isprintable() else "".join([self.shown[b] for b in p.encode()]) for p in parts[at : at + at_once]]
+            if self.last is not None:
+                ids = np.array(self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=f"<u{size}")
+                ends = (np.flatnonzero(self.last[ids]) + 1) * size
+                if len(ends) == len(some):
+                    data, ends = ids.tobytes(), ends.tolist()
+                    out += [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+                    continue
+            out += [array(self.kind, [t.id for t in self.merges.model.tokenize(p)]).tobytes() for p in some]
+        return out
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts. Parts in use stay cached: the younger of two caches holds what was asked for last."""
+        if len(self.parts) >= self.cached:
+            self.parts, self.older = {"": b""}, self.parts
+        found = list(map(self.parts.get, parts))
+        left = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in left:
+            found[i] = self.older.get(parts[i])
+            if found[i] is None:
+                new.append(i)
+        for i, x in zip(new, self._merge([parts[i] for i in new]), strict=True):
+            found[i] = x
+        self.parts.update((parts[i], found[i]) for i in left if len(parts[i]) <= 64)
+        return found
+
+    def _plain_words(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct lower-cased words of plain texts. Letters with marks behind them are two parts, others are cut by the pattern."""
+        letters = pc.ascii_rtrim(words, characters=self.MARKS)
+        two = pc.utf8_is_alpha(letters)
+        cut = list(map(self.find, strings(words.filter(pc.invert(two)))))
+        words, letters = words.filter(two), letters.filter(two)
+        bounds, n = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset :], len(words)
+        start = bounds[:n] + pc.binary_length(letters).to_numpy()
+        sizes = bounds[1 : n + 1] - start
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        at = np.repeat(start - ends[:-1], sizes) + np.arange(ends[-1], dtype=np.int32)
+        data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[at]
+        marks = pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(data))
+        parts = pa.concat_arrays([letters, marks, pa.array(list(chain.from_iterable(cut)), pa.string())]).dictionary_encode()
+        of, ids = parts.indices, pa.array(self._ids(strings(parts.dictionary)), pa.binary())
+        coded = pc.binary_join_element_wise(ids.take(of[:n]), ids.take(of[n : 2 * n]), b"")
+        if not cut:
+            return coded
+        others = joined(ids.take(of[2 * n :]), np.cumsum([0, *map(len, cut)]))
+        two = two.to_numpy(zero_copy_only=False)
+        place = np.argsort(np.concatenate([np.flatnonzero(two), np.flatnonzero(~two)]))
+        return pa.concat_arrays([coded, others]).take(pa.array(place))
 
     def _word(self, word: str) -> bytes:
         return array(self.kind, self.library.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned integers of 16 bits, or 32 for large vocabularies."""
-        if not text:
-            return b""
+    def _plain_texts(self, texts: pa.Array, end: bytes) -> pa.Array:
+        words = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        coded = words.flatten().dictionary_encode()
+        ids = pa.concat_arrays([self._plain_words(coded.dictionary), pa.array([end], pa.binary())])
+        at = words.offsets.to_numpy()
+        taken = np.insert(coded.indices.to_numpy(), at[1:], len(ids) - 1)
+        return joined(ids.take(pa.array(taken)), at + np.arange(len(at), dtype=np.int32))
+
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """Each text's ids as little-endian unsigned integers of 16 bits, or 32 for large vocabularies, with `end` after them; null is empty."""
+        texts = texts.cast(pa.string()).fill_null("")
+        as_str = texts.to_pylist()
+        plain = np.array([self.words and self._plain(x) for x in as_str], dtype=bool)
+        if plain.all():
+            return self._plain_texts(texts, end) if as_str else pa.array([], pa.binary())
+        other = np.flatnonzero(~plain)
+        coded = pa.array([self._other(as_str[i]) + end for i in other], pa.binary())
+        if not plain.any():
+            return coded
+        place = np.argsort(np.concatenate([np.flatnonzero(plain), other]))
+        return pa.concat_arrays([self._plain_texts(texts.filter(pa.array(plain)), end), coded]).take(pa.array(place))
+
+    def _other(self, text: str) -> bytes:
         if not self.words:
-            return self._word(text)
-        if self._plain(text):
-            return b"".join(map(self.plain_words.__getitem__, text.lower().split()))
+            return self._word(text) if text else b""
         return b"".join(map(self.any_words.__getitem__, self.spaced(text)))
 
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all(pa.array([text], pa.string()))[0].as_py()
+
     def _plain(self, text: str) -> bool:
         try:
             text.encode("latin-1")  # far faster than a search, where it says yes
@@ -127,27 +201,59 @@ def word_encoder(spec: bytes) -> WordEncoder:
 def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, counted: bool = False) -> DataFrame:
     """One row per row of docs: id (long), n, ids (binary, as WordEncoder gives them, with the end id).
 
-    counted: each task adds one row with n = -1 whose ids are the task's number of each id, as 64-bit integers.
+    counted: each task adds one row with n = -1 and a column `counts` that is null elsewhere: the task's number of each id, as 64-bit integers.
     """
     spark = docs.sparkSession
     ship(spark)
     spec = spark.sparkContext.broadcast(file_bytes(spark, tokenizer))
+    more = [("counts", pa.binary())] if counted else []
+    names = ["id", "n", "ids", *(c for c, _ in more)]
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core's work
         e = word_encoder(spec.value)
         end = array(e.kind, [end_id]).tobytes()
         total = np.zeros(max(e.library.get_vocab_size(), end_id + 1), dtype=np.int64)
-        for b in slices(batches):
-            ids = [e.encode(t) + end for t in b.column(1).to_pylist()]
-            n = [len(x) // len(end) for x in ids]
+        for b in by_bytes(batches):
+            ids = e.encode_all(b.column(1), end)
+            n = pc.divide(pc.binary_length(ids), len(end)).cast(pa.int64())
             if counted:
-                total += np.bincount(np.frombuffer(b"".join(ids), dtype=f"<u{len(end)}"), minlength=len(total))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["id", "n", "ids"])
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["id", "n", "ids"])
+                total += np.bincount(all_ids(ids, len(end)), minlength=len(total))
+            yield pa.RecordBatch.from_arrays([b.column(0), n, ids, *(pa.nulls(len(ids), t) for _, t in more)], names)
+        if counted and total.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, "id long, n long, ids binary")
+    return base.mapInArrow(run, "id long, n long, ids binary" + ", counts binary" * counted)
+
+
+def strings(column: pa.Array) -> list[str]:
+    """A column of strings without nulls and spaces as a list, far faster than to_pylist."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(column)], column), " ")[0].as_py().split(" ") if len(column) else []
+
+
+def joined(column: pa.Array, at: np.ndarray) -> pa.Array:
+    """What a binary column without nulls holds between the rows `at`, the first of them 0."""
+    bounds = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset :][at] if len(column) else np.zeros(len(at), dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(bounds.tobytes()), column.buffers()[2]])
+
+
+def by_bytes(batches, most: int = 1 << 23):
+    """Arrow batches in parts of at most so many bytes in their second column, or one row, as words take several times a text's room."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, upto - at)
+            at = upto
+
+
+def all_ids(ids: pa.Array, width: int) -> np.ndarray:
+    """The ids of all rows of a binary column without nulls, from its one buffer."""
+    _, bounds, data = ids.buffers()
+    bounds = np.frombuffer(bounds, dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]].view(f"<u{width}")
 
 
 # --- codes
@@ -242,7 +348,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     width = 2 if vocabulary <= 1 << 16 else 4
     size = max(vocabulary, end_id + 1)
     coded = scratch.stage(token_ids(docs, id_col, text_col, tokenizer, end_id, counted=True), "ids")
-    ids = coded.where("n >= 0")
+    ids = coded.where("n >= 0").drop("counts")
 
     def add(batches):
         total = np.zeros(size, dtype=np.int64)
@@ -253,7 +359,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
 
     counts = np.zeros(size, dtype=np.int64)
-    for r in coded.where("n = -1").select("ids").mapInArrow(add, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+    for r in coded.select("counts").where("counts IS NOT NULL").mapInArrow(add, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
         counts[r["token"]] = r["n"]
     lengths = code_lengths(counts, max_bits)
     shared = spark.sparkContext.broadcast(lengths)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -97,6 +98,87 @@ def test_word_encoder_is_the_library():
         assert np.frombuffer(e.encode(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def word_encoder(**more):
+    return token_file.WordEncoder(open(token_file.TOKENIZER, "rb").read(), **more)
+
+
+class Counted:
+    """A tokenizer that counts how often it is asked."""
+
+    def __init__(self, of):
+        self.of, self.calls, self.model = of, 0, self
+
+    def tokenize(self, part):
+        return self._asked(self.of.model.tokenize, part)
+
+    def encode(self, *args, **more):
+        return self._asked(self.of.encode, *args, **more)
+
+    def encode_batch_fast(self, *args, **more):
+        return self._asked(self.of.encode_batch_fast, *args, **more)
+
+    def _asked(self, f, *args, **more):
+        self.calls += 1
+        return f(*args, **more)
+
+
+def test_the_library_merges_new_parts_in_one_call():
+    e = word_encoder()
+    names = [x for x in ("library", "merges") if hasattr(e, x)]
+    for x in names:
+        setattr(e, x, Counted(getattr(e, x)))
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdeéß") for _ in range(rnd.randint(5, 9))) for _ in range(1500)]
+    text = " ".join(w + marks for marks in ("", ",", ".!", "***") for w in words)
+    want = Tokenizer.from_file(token_file.TOKENIZER).encode(text, add_special_tokens=False).ids
+    for _ in range(2):  # the second time, all of it is cached
+        assert np.frombuffer(e.encode(text), "<u2").tolist() == want
+        assert sum(getattr(e, x).calls for x in names) == 1
+
+
+@pytest.mark.parametrize("how", ["cached", "small cache", "part by part"])
+def test_texts_of_a_batch(how):
+    e, t = word_encoder(**({"cached": 7} if how == "small cache" else {})), Tokenizer.from_file(token_file.TOKENIZER)
+    assert e.last is not None
+    if how == "part by part":
+        e.last = None
+    texts = [None, *TEXTS, *random_texts(9, "abé.,'s!$_- \n\t²0", 300), *random_texts(10, "ab,日\u0301 ", 60), "</w> <|endoftext|> x", "it's!' don't'' 's's", "w" * 70 + "," + " w" * 9]
+    random.Random(3).shuffle(texts)
+    for at in range(0, len(texts), 40):
+        column = pa.array(texts)[at : at + 40]  # a slice, whose buffers hold more
+        got = e.encode_all(column, b"\x02\x00")
+        assert [np.frombuffer(x.as_py(), "<u2").tolist() for x in got] == [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in column.to_pylist()]
+        assert token_file.all_ids(got[3:9], 2).tolist() == [i for x in got[3:9] for i in np.frombuffer(x.as_py(), "<u2").tolist()]
+    assert not any(len(p) > 64 for p in [*e.parts, *e.older])
+    if how == "small cache":
+        assert len(e.older) < len(set(" ".join(x or "" for x in texts).split()))
+    assert len(e.encode_all(pa.array([], pa.string()))) == 0
+
+
+def test_characters_of_plain_texts():
+    e, t = word_encoder(), Tokenizer.from_file(token_file.TOKENIZER)
+    for x in [form.format(chr(c)) for c in range(0x300) if chr(c) not in "\x1c\x1d\x1e\x1f\u0130" for form in ("{}", "ab{}", "{}ab", "a{}b,")]:
+        assert e._plain(x) and np.frombuffer(e.encode(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_batches_by_bytes():
+    texts = [None, "a" * 10, "é" * 5, "", "b" * 50, "c", None, "d" * 19, "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["id", "text"])
+    parts = [b.column(1).to_pylist() for b in token_file.by_bytes([batch], 20)]
+    assert [x for p in parts for x in p] == texts
+    assert [len(p) for p in parts] == [4, 1, 4 - 1, 1] and list(token_file.by_bytes([batch.slice(0, 0)], 20)) == []
+
+
+def test_counts_are_apart_from_ids(spark, tmp_path):
+    coded = token_file.token_ids(spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string"), counted=True)
+    coded.write.parquet(str(tmp_path / "ids"))
+    scan = spark.read.parquet(str(tmp_path / "ids")).select("counts").where("counts IS NOT NULL")
+    assert "ReadSchema: struct<counts:binary>" in scan._jdf.queryExecution().toString()
+    total = sum(np.frombuffer(r.counts, np.int64) for r in scan.collect())
+    ids = [*Tokenizer.from_file(token_file.TOKENIZER).encode("some words", add_special_tokens=False).ids, 2, 2]
+    assert total.tolist() == np.bincount(ids, minlength=len(total)).tolist()
+
+
 def test_other_tokenizers_go_through_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     e = token_file.WordEncoder(open(path, "rb").read())
