@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, near_dup, piece_queries, secrets, source_mix, token_file, toxicity, vector_links
+from . import chat_format, divergence, exact_dedup, filter_audit, line_dedup, near_dup, piece_queries, secrets, source_mix, token_file, toxicity, vector_links
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_token_counts": piece_queries.op8_token_counts,
         "op9_minhash_bayes": near_dup.op9_minhash_bayes,
         "op10_source_mix": source_mix.op10_source_mix,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_chat_format": chat_format.op13_chat_format,
     }
 
 
@@ -26,4 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op7_pivot_links": vector_links.OP7_SQL,
         "op9_minhash_bayes": near_dup.OP9_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
+        "op13_chat_format": chat_format.OP13_SQL,
     }
