@@ -7,9 +7,9 @@ numbers of documents by source and mask, which combineByKey merges as count vect
 
 Copies are folded where they are read, before the shuffle: a task sends each text it holds once, with its smallest id, and ids that
 can't be the smallest go on without their text, spread by their own hash. So a text that a third of all rows share is one record a
-task. Stores are bounded: a fold is sent on when it holds HELD_BYTES, which costs a record more and changes nothing, and a routed
-partition holds about a ROUTES-th of an input split. Both RDDs come from the scan by narrow steps and one shuffle, so lost executors
-cost a recomputation and no result.
+task. Stores are bounded: a fold is sent on when it holds HELD_BYTES, which costs a record more and changes nothing, and there are as
+many routed partitions as the measured bytes of all texts ask for at ROUTE_BYTES each. Both RDDs come from the scan by narrow steps and
+one shuffle, so lost executors cost a recomputation and no result.
 
 Defined results: a null text counts as empty, which fails A (and E if a smaller id has an empty text). A null source is the part ''. A
 null id is larger than all others and smaller than none; rows that repeat an id are documents of their own, and one isn't smaller than
@@ -33,7 +33,7 @@ ORDERS = ["".join(p) for p in permutations(LETTERS)]
 COPY = 1 << LETTERS.index("E")
 #: Fewest words; least distinct words and most capitals, in per cent; characters that fail a text.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, MARKS = 50, 65, 5, b"#$%&*|"
-HELD_BYTES, ROUTES = 32 << 20, 8
+HELD_BYTES, ROUTE_BYTES = 32 << 20, 16 << 20
 
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 CONTINUED = bytes(range(0x80, 0xC0))
@@ -111,8 +111,10 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     spark = docs.sparkSession
     ship(spark)
     empty = F.lit("")
-    read: RDD = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), empty).alias("source"), F.coalesce(F.col(text_col).cast("string"), empty).alias("text")).rdd
-    routed = read.mapPartitions(_folded).partitionBy(max(1, ROUTES * read.getNumPartitions()), lambda h: h)
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), empty).alias("source"), F.coalesce(F.col(text_col).cast("string"), empty).alias("text"))
+    routes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // ROUTE_BYTES)
+    read: RDD = base.rdd
+    routed = read.mapPartitions(_folded).partitionBy(routes, lambda h: h)
     kind = docs.schema[id_col].dataType.simpleString()
     return spark.createDataFrame(routed.mapPartitions(_resolved), f"id {kind}, part string, mask int, rows long", verifySchema=False)
 
@@ -127,11 +129,10 @@ def _count(vector: list[int], value: tuple) -> list[int]:
 def vectors(found: DataFrame, labels: DataFrame) -> RDD:
     """(part, counts): documents, good ones and toxic ones of each of the 32 masks. labels: doc_id, quality, toxic."""
     said = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    # rows of one id are one row before they meet its labels; null ids meet none
+    # rows of one id are few before they meet its labels, and so are those of null ids, which meet none
     each = found.groupBy("id", "part", "mask").agg(F.sum("rows").alias("n"))
     zero = F.lit(0)
-    known = each.where("id is not null").join(said.hint("merge"), "id", "left").select("part", "mask", F.coalesce("good", zero).alias("good"), F.coalesce("toxic", zero).alias("toxic"), "n")
-    flat = known.unionByName(each.where("id is null").select("part", "mask", zero.alias("good"), zero.alias("toxic"), "n"))
+    flat = each.join(said.hint("merge"), "id", "left").select("part", "mask", F.coalesce("good", zero).alias("good"), F.coalesce("toxic", zero).alias("toxic"), "n")
     flat = flat.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
     pairs = flat.rdd.map(lambda r: (r[0], tuple(r[1:])))
     return pairs.combineByKey(lambda v: _count([0] * 96, v), _count, lambda a, b: [x + y for x, y in zip(a, b, strict=True)], int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
