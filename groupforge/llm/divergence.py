@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, documents, meet, ship
 
-LEAST_DOCS, SCALE, TOP, BLOCK_BYTES = 3, 1_000_000_000, 200, 16 << 20
+LEAST_DOCS, SCALE, TOP, BLOCK_BYTES = 3, 1_000_000_000, 200, 32 << 20
+#: Counts below it, a thousand million times, fit into 64 bits.
+FITS = (1 << 63) // SCALE - 2
 #: Pairs of postings worked at once, and parts of a language that its pairs of sources are spread over.
 PAIRS_AT_ONCE, SPREAD = 1 << 21, 32
 
@@ -57,12 +59,12 @@ def _blocks(batches):
         groups = list(texts)
         packed = [pa.compress(b" ".join(texts[g]), "zstd", asbytes=True) for g in groups]
         lengths = [sum(map(len, texts[g])) + len(texts[g]) - 1 for g in groups]
-        n = len(groups)
-        yield pa.RecordBatch.from_arrays([pa.array([task | serial] * n, pa.int64()), pa.array([g[0] for g in groups]), pa.array([g[1] for g in groups]), pa.nulls(n, pa.string()), pa.array(lengths, pa.int64()), pa.array(packed, pa.binary())], schema=_BLOCK)
+        n, block = len(groups), pa.scalar(task | serial, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.repeat(block, n), pa.array([g[0] for g in groups]), pa.array([g[1] for g in groups]), pa.nulls(n, pa.string()), pa.array(lengths, pa.int64()), pa.array(packed, pa.binary())], schema=_BLOCK)
         for lang, terms in held.items():
-            n = len(terms)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([task | serial] * n, pa.int64()), pa.array([lang] * n), pa.nulls(n, pa.string()), pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(list(terms.values()), pa.int64()), pa.nulls(n, pa.binary())], schema=_BLOCK)
+            if n := len(terms):
+                named = pa.array(terms.keys(), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(block, n), pa.repeat(pa.scalar(lang), n), pa.nulls(n, pa.string()), named, pa.array(terms.values(), pa.int64()), pa.nulls(n, pa.binary())], schema=_BLOCK)
 
     for b in batches:
         for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -96,16 +98,17 @@ def _recounted(texts: pa.Table, terms: pa.Table) -> pa.Table:
         for own, source, packed, length in zip(texts["lang"].to_pylist(), texts["source"].to_pylist(), texts["text"].to_pylist(), texts["docs"].to_pylist(), strict=True):
             if own == lang:
                 text = pa.decompress(packed, length, "zstd", asbytes=True).decode()
-                n = Counter(map(itemgetter(1), automaton.iter(f" {text} ")))
-                found = names.take(pa.array(list(n), pa.int32()))
-                out.append(pa.table({"lang": pa.array([lang] * len(n), pa.string()), "source": pa.array([source] * len(n), pa.string()), "term": found, "n": pa.array(list(n.values()), pa.int64())}))
+                n = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(f" {text} ")), dtype=np.int64), minlength=len(words))
+                met = np.flatnonzero(n)
+                out.append(pa.table({"lang": pa.repeat(pa.scalar(lang), len(met)), "source": pa.repeat(pa.scalar(source), len(met)), "term": names.take(pa.array(met)), "n": pa.array(n[met])}))
     empty = pa.table({"lang": pa.array([], pa.string()), "source": pa.array([], pa.string()), "term": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
     return pa.concat_tables([empty, *out])
 
 
 def probability(n: Column, whole: Column, kept: Column) -> Column:
-    """1 + floor(10^9 (n + 1) / (N + V)); the product is a decimal, as counts may be large."""
-    return _div(F.lit(SCALE).cast("decimal(20,0)") * (n + 1).cast("decimal(18,0)"), (whole + kept).cast("decimal(20,0)")) + 1
+    """1 + floor(10^9 (n + 1) / (N + V)); where the product could leave 64 bits, it is a decimal."""
+    wide = _div(F.lit(SCALE).cast("decimal(20,0)") * (n + 1).cast("decimal(18,0)"), (whole + kept).cast("decimal(20,0)"))
+    return F.when(n < FITS, _div(F.lit(SCALE).cast("long") * (n + 1), whole + kept)).otherwise(wide) + 1
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -153,6 +156,11 @@ def _pair_sums(batches):
             begin = end
 
 
+def _by_term(rows: DataFrame) -> DataFrame:
+    """Rows dealt by language and term, with a hash of both as first key of what follows, so that sorts mostly compare numbers."""
+    return rows.repartition("lang", "term").withColumn("_h", F.xxhash64("lang", "term"))
+
+
 def postings(docs: DataFrame, scratch: Scratch, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, n, all) of kept terms by source, all being the language's count; and lang, source, kept of every group, kept
     being the number of terms that the language keeps. Both are written tables of scratch."""
@@ -160,12 +168,13 @@ def postings(docs: DataFrame, scratch: Scratch, lang_col: str = "lang", source_c
     empty = F.lit("")
     base = docs.select(*[F.coalesce(F.col(c).cast("string"), empty).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
     blocks = scratch.stage(base.mapInArrow(_blocks, "block long, lang string, source string, term string, docs long, text binary"), "blocks")
-    one = W.partitionBy("lang", "term")
-    held = blocks.where("term is not null").select("block", "lang", "term", F.sum("docs").over(one).alias("in"), (F.row_number().over(one.orderBy("block")) == 1).alias("first"))
+    one = W.partitionBy("_h", "lang", "term")
+    held = _by_term(blocks.where("term is not null").select("block", "lang", "term", "docs"))
+    held = held.select("block", "lang", "term", F.sum("docs").over(one).alias("in"), (F.row_number().over(one.orderBy("block")) == 1).alias("first"))
     kept = scratch.stage(held.where(F.col("in") >= least_docs).select("block", "lang", "term", "first"), "kept")
     texts = blocks.where("text is not null").select("block", "lang", "source", "docs", "text")
     each = texts.groupBy("block").cogroup(kept.select("block", "lang", "term").groupBy("block")).applyInArrow(_recounted, "lang string, source string, term string, n long")
-    counted = each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(one))
+    counted = _by_term(each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))).withColumn("all", F.sum("n").over(one)).drop("_h")
     counted = scratch.stage(counted, "postings")
     terms = kept.where("first").groupBy("lang").agg(F.count("*").alias("kept"))
     groups = texts.select("lang", "source").distinct().join(terms.hint("merge"), "lang", "left").select("lang", "source", F.coalesce("kept", F.lit(0)).alias("kept"))
@@ -193,7 +202,8 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     best = best.withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top)
 
     # both hold the term: by posting list; one holds it: by the terms of equal count; neither: by number
-    lists = scored.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "p0")).alias("held")).select("lang", "held").where(F.size("held") > 1)
+    lists = _by_term(scored.select("lang", "term", "source", "p", "p0")).groupBy("_h", "lang", "term").agg(F.collect_list(F.struct("source", "p", "p0")).alias("held"))
+    lists = lists.where(F.size("held") > 1).select("lang", "held")
     wide = "decimal(38,0)"
     both = lists.mapInArrow(_pair_sums, "lang string, a string, b string, v long").select("lang", "a", "b", F.col("v").cast(wide).alias("v"))
     alike = scored.groupBy("lang", "source", "p", "p0").agg(F.count("*").alias("m"))
