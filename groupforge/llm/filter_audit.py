@@ -132,9 +132,8 @@ def vectors(found: DataFrame, labels: DataFrame) -> RDD:
     # rows of one id are few before they meet its labels, and so are those of null ids, which meet none
     each = found.groupBy("id", "part", "mask").agg(F.sum("rows").alias("n"))
     zero = F.lit(0)
-    flat = each.join(said.hint("merge"), "id", "left").select("part", "mask", F.coalesce("good", zero).alias("good"), F.coalesce("toxic", zero).alias("toxic"), "n")
-    flat = flat.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
-    pairs = flat.rdd.map(lambda r: (r[0], tuple(r[1:])))
+    known = each.join(said.hint("merge"), "id", "left").select("part", "mask", F.coalesce("good", zero).alias("good"), F.coalesce("toxic", zero).alias("toxic"), "n")
+    pairs = known.rdd.map(lambda r: (r[0], tuple(r[1:])))
     return pairs.combineByKey(lambda v: _count([0] * 96, v), _count, lambda a, b: [x + y for x, y in zip(a, b, strict=True)], int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
