@@ -118,11 +118,12 @@ def divergence_by_hand(rows, least=3, top=200):
     return out
 
 
-@pytest.mark.parametrize("block, pairs, uneven", [(16 << 20, 1 << 21, 4096), (300, 7, 4096), (300, 7, 1)])
-def test_divergence(spark, monkeypatch, block, pairs, uneven):
+@pytest.mark.parametrize("block, pairs, dense, sent", [(24 << 20, 1 << 16, 1024, 1 << 20), (300, 7, 1024, 1 << 20), (300, 7, 2, 0)])
+def test_divergence(spark, monkeypatch, block, pairs, dense, sent):
     monkeypatch.setattr(divergence, "BLOCK_BYTES", block)
     monkeypatch.setattr(divergence, "PAIRS_AT_ONCE", pairs)
-    monkeypatch.setattr("groupforge.llm.common.UNEVEN", uneven)
+    monkeypatch.setattr(divergence, "DENSE", dense)
+    monkeypatch.setattr(divergence, "GROUPS_SENT", sent)
     rows = hard_documents(5, 140) + [(500 + k, f"only{k}", "de", f"s{k % 3}") for k in range(5)]
     got = [tuple(r) for r in divergence.audit(table(spark, rows).repartition(3)).collect()]
     assert len(got) == len(set(got)) and set(got) == divergence_by_hand(rows)
