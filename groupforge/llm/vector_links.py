@@ -15,7 +15,7 @@ recall). Lists, vectors and components that very many rows share are met by broa
 Recall at the production parameters is measured against brute force in the tests, on planted links (at least 0.9).
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label or an
-id, link with nothing; their component is their id. Vectors of different lengths are never compared, and long ones only cost time.
+id, link with nothing; their component is their id. Finite components of any magnitude are compared. Vectors of different lengths are never compared, and long ones only cost time.
 Repeated rows are vectors of their own and link if they can link. kept tells whether component_id is the row's own id, so rows that
 repeat the smallest id are all kept. Only the named columns are read, so others can't clash. An empty table gives an empty result.
 """
@@ -45,8 +45,8 @@ def pivots(vectors: DataFrame, n: int, seed: int = SEED) -> dict[int, np.ndarray
     out: dict[int, np.ndarray] = {}
     by_length: dict[int, list[np.ndarray]] = {}
     for r in rows:
-        v = np.array(r["vec"], dtype=np.float64)
-        by_length.setdefault(len(v), []).append(v / np.linalg.norm(v))
+        v = np.array([r["vec"]], dtype=np.float64)
+        by_length.setdefault(v.shape[1], []).append(_scaled(v)[0])
     for length, vs in by_length.items():
         chosen, k = np.empty((min(want, len(vs)), length)), 0
         for v in vs:
@@ -69,11 +69,22 @@ def prefixes(unit: np.ndarray, chosen: np.ndarray, prefix: int = PREFIX) -> np.n
     return out
 
 
+#: Vectors whose largest component is beyond 2^FAR or under 2^-FAR are scaled by 2^SHIFT first, which is exact, so that no square leaves the doubles.
+FAR, SHIFT = 400, 600
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Unit vectors of rows that are finite and not zero, of any magnitude."""
+    most = np.abs(v).max(axis=1, keepdims=True)
+    v = np.ldexp(v, np.where(most > 2.0**FAR, -SHIFT, np.where(most < 2.0**-FAR, SHIFT, 0)))
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
 def _units(t: pa.Table, column: int) -> np.ndarray:
     flat = t.column(column).combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     v = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
-    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return _scaled(v)
 
 
 def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, prefix: int = PREFIX, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
@@ -84,9 +95,9 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     vec = F.col(vector_col).cast("array<double>")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     base = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(label_col).alias("label"), vec.alias("vec"))
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    nonzero = F.exists("vec", lambda x: x != 0)
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & F.coalesce(finite, F.lit(False))
-    usable = usable & (F.coalesce(norm, F.lit(0.0)) > 0) & (F.coalesce(norm, F.lit(0.0)) < float("inf"))
+    usable = usable & F.coalesce(nonzero, F.lit(False))
     base = scratch.stage(base.withColumn("ok", F.coalesce(usable, F.lit(False))), "base")
     classes = base.where("ok").groupBy("label", "vec").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.stage(classes, "classes")
@@ -183,9 +194,12 @@ def op7_pivot_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = """
 WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, * FROM embeddings),
 good AS (
-    SELECT r, label, embedding::DOUBLE[] AS v FROM e
+    SELECT r, label, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS most FROM e
     WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-sized AS (SELECT r, label, v, sqrt(list_inner_product(v, v)) AS size FROM good WHERE list_inner_product(v, v) > 0),
+scaled AS (
+    SELECT r, label, list_transform(v, lambda x: x * CASE WHEN most > pow(2.0, 400) THEN pow(2.0, -600) WHEN most < pow(2.0, -400) THEN pow(2.0, 600) ELSE 1.0 END) AS v
+    FROM good WHERE most > 0),
+sized AS (SELECT r, label, v, sqrt(list_inner_product(v, v)) AS size FROM scaled),
 edges AS (
     SELECT a.r AS a, b.r AS b FROM sized a JOIN sized b ON a.label = b.label AND a.r <> b.r
     WHERE list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.93),

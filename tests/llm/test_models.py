@@ -313,3 +313,23 @@ def test_mixture(spark, tmp_path):
 
 def test_no_documents_to_mix(spark):
     assert source_mix.mixture(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+@pytest.mark.parametrize("uneven", [1, 4096])
+def test_very_large_and_very_small_vectors_link(spark, monkeypatch, uneven):
+    """Magnitudes whose squares leave the doubles on either side, against the SQL too."""
+    import duckdb
+    import pyarrow as pa
+
+    monkeypatch.setattr(common, "UNEVEN", uneven)
+    rows = [
+        (1, [1e200, 2e200], 1), (2, [1e200, 2e200], 1), (3, [1e-200, 2e-200], 1), (4, [1e-200, 2e-200], 1), (5, [1.0, 2.0], 1), (6, [5e-324, 0.0], 2), (7, [1e308, 1e290], 2), (8, [0.0, 0.0], 1),
+        (9, [2e200, -1e200], 1), (10, [1.0, float("inf")], 1), (11, [1.0, 2.0], 3), (12, [-1e-310, 2e-310], 1), (13, [0.0, 1e300], 2),
+    ]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.id: (r.n_links, r.component_id) for r in vector_links.linked(table).collect()}
+    assert {k: got[k] for k in range(1, 6)} == {k: (4, 1) for k in range(1, 6)}
+    assert got[6] == (1, 6) and got[7] == (1, 6) and got[11] == (0, 11)
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": [r[0] for r in rows], "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64())), "label": [r[2] for r in rows]}))
+    assert {r[0]: r[1:3] for r in con.execute(vector_links.OP7_SQL).fetchall()} == got
