@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groupforge.functions import names
-from groupforge.operators import closure, rules, tree
+from groupforge.operators import closure, growth, rules, tree
 from groupforge.operators.assign import levels_within
 from groupforge.operators.rules import LABELS, MEDIUM, STRONG, WEAK, Settings, label
 from groupforge.plans.storage import cut
@@ -89,7 +89,7 @@ def group_map(offices: DataFrame, companies: DataFrame, links: DataFrame, person
     companies: siren, reason, round, mother, proof, confidence, level, targetable, account (the nearest company above, or itself, that can
     be targeted). in_turn: candidates of a round see those that entered before them.
     """
-    grow = rules.expand_in_turn if in_turn else rules.expand
+    grow = growth.expand_in_turn if in_turn else rules.expand
     kept = grow(offices, companies, links, persons, head, brands, listed, decisions, settings=settings)
     refused = None if decisions is None else decisions.where("decision = 'ecarter'")
     seats = rules.without_families(persons, settings.families)

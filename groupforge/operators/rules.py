@@ -5,13 +5,12 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groupforge.functions import names
 from groupforge.operators.tree import open_links
-from groupforge.plans.storage import cut, ship
+from groupforge.plans.storage import cut
 
 #: Role codes and their labels.
 STRONG = {
@@ -179,10 +178,11 @@ def evidence(
     return wide.where((F.expr("linked or brand or at_group or charted or controlled is not null")) & ~F.col("siren").isin(list(settings.left_out)))
 
 
-def entry_reason() -> Column:
-    """The first rule that lets a candidate of evidence_rows enter, or null; the order of the rules counts."""
+def entry_reason(normed: Column | None = None) -> Column:
+    """The first rule that lets a candidate of evidence_rows enter, or null; the order of the rules counts. normed: its normalised name, if at hand."""
     c = F.col
-    name_words = F.size(F.split(names.norm(c("name")), " "))
+    normed = names.norm(c("name")) if normed is None else normed
+    name_words = F.size(F.split(normed, " "))
     bare = name_words <= c("sure_words") + 1
     tiny = F.coalesce(c("band"), F.lit("")).isin("", "NN", "00") & (F.coalesce(c("staff"), F.lit(0)) == 0)
     cj = F.coalesce(c("cj").cast("string"), F.lit(""))
@@ -190,7 +190,7 @@ def entry_reason() -> Column:
     others = c("brand").cast("int") + c("at_group").cast("int") + people.cast("int")
     none = F.lit(None).cast("string")
     return (
-        F.when(c("barred") | cj.startswith("9") | names.norm(c("name")).rlike(r"^(CSE|COMITE|AMICALE|ASSOCIATION)\b"), none)
+        F.when(c("barred") | cj.startswith("9") | normed.rlike(r"^(CSE|COMITE|AMICALE|ASSOCIATION)\b"), none)
         .when(cj.startswith("3"), none)
         .when(~c("controlled"), none)
         .when(c("controlled"), F.lit("inscrite au périmètre publié du groupe"))
@@ -256,92 +256,6 @@ def charted(offices: DataFrame, settings: Settings) -> DataFrame | None:
     return cut(chart_heads(offices, offices.sparkSession.createDataFrame([(h,) for h in settings.houses], "house string")).select("siren"))
 
 
-def _in_turn(frame: pd.DataFrame) -> pd.DataFrame:
-    """Reasons of one round's candidates, each seeing those that entered before it in the same round."""
-    out, new = [], set()
-    for r in frame.sort_values(["seen", "kind", "place", "siren"]).itertuples():
-        roles = [(held or p in new, c) for p, c, held in zip(r.parents, r.roles, r.held, strict=True)]
-        inside = [c for own, c in roles if own]
-        strong, medium, weak = (any(c in x for c in inside) for x in (STRONG, MEDIUM, WEAK))
-        members = [own for own, c in roles if c == "11"]
-        cj = "" if pd.isna(r.cj) else str(int(r.cj))
-        is_civil, is_grouping = cj[:1] == "6" and cj[:2] != "62", cj[:2] == "62"
-        reason = None
-        if r.refused or r.barred or cj[:1] in ("9", "3") or r.controlled is False:
-            pass
-        elif r.controlled is True:
-            reason = "inscrite au périmètre publié du groupe"
-        elif strong:
-            reason = "mandat fort au registre"
-        elif r.charted:
-            reason = CHARTED
-        elif is_grouping and len(members) >= 2 and all(members):
-            reason = "GIE dont tous les membres sont du groupe"
-        elif medium:
-            shared = any(not own and c in STRONG for own, c in roles)
-            if not shared and ((r.people and r.directing) or r.brand or r.at_group):
-                reason = "mandat au registre et indice indépendant"
-        elif weak and r.brand + r.at_group + r.people >= 2:
-            reason = "mandat 'Autre' et deux indices"
-        elif r.sure and not is_civil and not r.risky and not r.tiny_bare:
-            reason = "nom de marque propre au groupe"
-        elif r.brand and (r.people or r.at_group):
-            reason = "nom de marque et second indice"
-        elif r.at_group and (r.people or (r.common >= 1 and not is_civil)):
-            reason = "adresse du groupe et second indice"
-        if r.decision == "ecarter":
-            reason = None
-        elif r.decision == "retenir" and reason is None:
-            reason = "retenue par décision du consultant"
-        if reason:
-            new.add(r.siren)
-            out.append((r.siren, reason))
-    return pd.DataFrame(out, columns=["siren", "reason"])
-
-
-def expand_in_turn(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, head: str, brands: DataFrame, listed: DataFrame, decisions: DataFrame | None = None, max_rounds: int = MAX_ROUNDS, settings: Settings = PLAIN) -> DataFrame:
-    """expand(), but within a round each candidate sees those that entered before it: the register's own order of judgement.
-
-    The rules aren't monotone (a medium mandate of a new member refuses a company that an outside company holds strongly), so the two
-    ways can differ. The order: candidates by the round that first saw them; in it brands (longest first), the published list, links,
-    then addresses; then by id. The joins that gather evidence run in the cluster; one group's candidates of a round are judged in
-    one task, which its pool bounds.
-    """
-    spark = offices.sparkSession
-    ship(spark)
-    offices, companies, links, persons, brands = _fixed(offices, companies, links, persons, brands, settings)
-    given = {"settings": settings, "charted": charted(offices, settings), "refused": None if decisions is None else decisions.where("decision = 'ecarter'")}
-    kept = cut(spark.createDataFrame([(head, "tête du groupe", 0)], "siren string, reason string, round int"))
-    if decisions is None:
-        decisions = spark.createDataFrame([], "siren string, decision string")
-    seen = cut(spark.createDataFrame([], "siren string, seen int, kind int, place int"))
-    for n in range(1, max_rounds + 1):
-        wide = cut(evidence_rows(offices, companies, links, persons, kept, brands, listed, **given))
-        kind = F.when(F.col("brand"), 0).when(F.col("controlled"), 1).when(~F.col("controlled"), 2).when(F.col("linked"), 3).otherwise(4)
-        place = F.when(F.col("brand"), -F.coalesce("brand_length", F.lit(0))).otherwise(0)
-        lengths = brands.groupBy("siren").agg(F.max(F.length("brand")).alias("brand_length"))
-        new = wide.join(lengths, "siren", "left").join(seen.select("siren"), "siren", "left_anti")
-        seen = cut(seen.unionByName(new.select("siren", F.lit(n).alias("seen"), kind.alias("kind"), place.cast("int").alias("place"))))
-        words = F.size(F.split(names.norm(F.col("name")), " "))
-        people = ((F.col("common") >= 2) | ((F.col("common") >= 1) & F.col("manager"))) & ~(civil(F.col("cj")) & ~F.col("sure"))
-        tiny_bare = F.coalesce(F.col("band"), F.lit("")).isin("", "NN", "00") & (F.coalesce(F.col("staff"), F.lit(0)) == 0) & (words <= F.col("sure_words") + 1)
-        own = links.join(wide.select(F.col("siren").alias("child")), "child", "left_semi").join(kept.select(F.col("siren").alias("parent"), F.lit(True).alias("held")), "parent", "left")
-        edges = own.groupBy(F.col("child").alias("siren")).agg(F.sort_array(F.collect_list(F.struct("parent", "role", F.coalesce("held", F.lit(False)).alias("held")))).alias("edges"))
-        rows = wide.join(seen, "siren").join(edges, "siren", "left").join(decisions, "siren", "left").select(
-            "siren", "cj", "seen", "kind", "place", "controlled", "brand", "sure", "barred", "charted", "risky", "at_group", "common", "directing", "decision", people.alias("people"), F.coalesce(tiny_bare, F.lit(False)).alias("tiny_bare"),
-            names.norm(F.col("name")).rlike(r"^(CSE|COMITE|AMICALE|ASSOCIATION)\b").alias("refused"),
-            F.coalesce(F.transform("edges", lambda e: e["parent"]), F.array().cast("array<string>")).alias("parents"), F.coalesce(F.transform("edges", lambda e: e["role"]), F.array().cast("array<string>")).alias("roles"),
-            F.coalesce(F.transform("edges", lambda e: e["held"]), F.array().cast("array<boolean>")).alias("held"),
-        )
-        judged = rows.withColumn("group", F.lit(0)).groupBy("group").applyInPandas(_in_turn, "siren string, reason string")
-        added = cut(judged.select("siren", "reason", F.lit(n).alias("round")))
-        if added.isEmpty():
-            return kept
-        kept = cut(kept.unionByName(added))
-    warnings.warn(f"the group of {head} still grew in round {max_rounds}", stacklevel=2)
-    return kept
-
-
 def parent_choice(links: DataFrame, retained: DataFrame, head: str) -> DataFrame:
     """siren, mother, proof, confidence: the strongest mandate inside the group, else the head."""
     rank = F.when(F.col("role").isin(list(STRONG)), 0).when(F.col("role").isin(list(WEAK)), 1).otherwise(2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from groupforge.operators.rules import DIRECTING, MEDIUM, PLAIN, STRONG, Settings
 from groupforge.plans.register_sql import _BRANDS, _CONTROLLED, _LABELS, _TARGET, ACTIVE, ARBITRATION, IN_FORCE, UNIT_MERGE, _in, mothers, norm, walked
 from groupforge.sources.register import with_clause
@@ -22,6 +24,15 @@ def _beginnings(column: str, values) -> str:
     return "(" + " OR ".join([f"coalesce(starts_with(upper({column}), '{b.upper()}'), false)" for b in values] or ["false"]) + ")"
 
 
+#: The first rule that lets a candidate in.
+_RULE = """CASE WHEN barred OR cj LIKE '9%' OR cj LIKE '3%' OR controlled = false THEN NULL WHEN controlled THEN 'inscrite au périmètre publié du groupe' WHEN strong > 0 THEN 'mandat fort au registre'
+        WHEN charted THEN 'tête de maison (organigramme public du groupe)' WHEN cj LIKE '62%' AND members >= 2 AND members_outside = 0 THEN 'GIE dont tous les membres sont du groupe'
+        WHEN medium > 0 THEN CASE WHEN outside = 0 AND ((people AND directing) OR brand IS NOT NULL OR at_group) THEN 'mandat au registre et indice indépendant' END
+        WHEN weak > 0 AND CAST(brand IS NOT NULL AS INT) + CAST(at_group AS INT) + CAST(people AS INT) >= 2 THEN 'mandat ''Autre'' et deux indices'
+        WHEN sure AND NOT civil AND NOT risky AND NOT (tiny AND bare) THEN 'nom de marque propre au groupe' WHEN brand IS NOT NULL AND (people OR at_group) THEN 'nom de marque et second indice'
+        WHEN at_group AND (people OR (common >= 1 AND NOT civil)) THEN 'adresse du groupe et second indice' END"""
+
+
 def _round(n: int, s: Settings) -> str:
     """Evidence of every company as the group k{n} makes it: w{n}; and the reasons of those outside it: e{n}."""
     strong, medium = _in(STRONG), _in(MEDIUM)
@@ -44,28 +55,55 @@ w{n} AS MATERIALIZED (
         FROM off o LEFT JOIN md{n} m ON m.siren = o.siren LEFT JOIN p{n} p ON p.siren = o.siren LEFT JOIN spot{n} s ON s.address_key = o.address_key)
     WHERE (linked OR brand IS NOT NULL OR at_group OR charted OR controlled IS NOT NULL) AND siren NOT IN {_brackets(s.left_out)}),
 e{n} AS MATERIALIZED (
-    SELECT w.siren, CASE WHEN barred OR cj LIKE '9%' OR cj LIKE '3%' OR controlled = false THEN NULL WHEN controlled THEN 'inscrite au périmètre publié du groupe' WHEN strong > 0 THEN 'mandat fort au registre'
-        WHEN charted THEN 'tête de maison (organigramme public du groupe)' WHEN cj LIKE '62%' AND members >= 2 AND members_outside = 0 THEN 'GIE dont tous les membres sont du groupe'
-        WHEN medium > 0 THEN CASE WHEN outside = 0 AND ((people AND directing) OR brand IS NOT NULL OR at_group) THEN 'mandat au registre et indice indépendant' END
-        WHEN weak > 0 AND CAST(brand IS NOT NULL AS INT) + CAST(at_group AS INT) + CAST(people AS INT) >= 2 THEN 'mandat ''Autre'' et deux indices'
-        WHEN sure AND NOT civil AND NOT risky AND NOT (tiny AND bare) THEN 'nom de marque propre au groupe' WHEN brand IS NOT NULL AND (people OR at_group) THEN 'nom de marque et second indice'
-        WHEN at_group AND (people OR (common >= 1 AND NOT civil)) THEN 'adresse du groupe et second indice' END AS rule
+    SELECT w.siren, {_RULE} AS rule
     FROM w{n} w LEFT JOIN k{n} k ON k.siren = w.siren WHERE k.siren IS NULL)"""
 
 
-def fixpoint(s: Settings) -> str:
-    """CTEs up to k{ROUNDS}: siren, reason, round."""
-    no_marks = "regexp_matches(n.name, '^(CSE|COMITE|AMICALE|ASSOCIATION)\\b')"
-    rounds = ",\n".join(f"""{_round(n, s)},
+def _at_once(n: int, s: Settings) -> str:
+    return f"""{_round(n, s)},
 k{n + 1} AS MATERIALIZED (
     SELECT * FROM k{n} UNION ALL SELECT siren, reason, {n + 1} FROM (
         SELECT e.siren, CASE f.decision WHEN 'ecarter' THEN NULL WHEN 'retenir' THEN coalesce(rule, 'retenue par décision du consultant') ELSE rule END AS reason FROM e{n} e LEFT JOIN force f ON f.siren = e.siren)
-    WHERE reason IS NOT NULL)""" for n in range(ROUNDS))
-    return with_clause("offices", "companies", "links", "persons", "brands", "doc_lines", "decisions", recursive=True) + f""",
+    WHERE reason IS NOT NULL)"""
+
+
+#: How often a round is judged again in the SQL of the order of judgement: at least its longest chain of candidates.
+SETTLED = 8
+
+
+def _in_turn(n: int, s: Settings) -> str:
+    """A round whose candidates see those that enter before them: judged again until the longest chain of them is settled."""
+    before = f"SELECT * FROM o{n - 1} UNION ALL" if n else ""
+    fresh = f"AND w.siren NOT IN (SELECT siren FROM o{n - 1})" if n else ""
+    strong, medium = _in(STRONG), _in(MEDIUM)
+    text = f"""{_round(n, s)},
+o{n} AS MATERIALIZED (
+    {before} SELECT w.siren, row({n}, CASE WHEN brand IS NOT NULL THEN 0 WHEN controlled THEN 1 WHEN NOT controlled THEN 2 WHEN linked THEN 3 ELSE 4 END, CASE WHEN brand IS NOT NULL THEN -length(brand) ELSE 0 END, w.siren) AS ord
+    FROM w{n} w LEFT JOIN k{n} k ON k.siren = w.siren WHERE k.siren IS NULL {fresh}),
+v{n}_0 AS MATERIALIZED (SELECT NULL::VARCHAR AS siren, NULL::VARCHAR AS reason WHERE false)"""
+    for j in range(SETTLED):
+        text += f""",
+v{n}_{j + 1} AS MATERIALIZED (
+    SELECT r.siren, CASE f.decision WHEN 'ecarter' THEN NULL WHEN 'retenir' THEN coalesce(rule, 'retenue par décision du consultant') ELSE rule END AS reason FROM (
+        SELECT w.siren, {_RULE} AS rule FROM (
+            SELECT w.* REPLACE (w.strong + coalesce(x.strong, 0) AS strong, w.outside - coalesce(x.strong, 0) AS outside, w.medium + coalesce(x.medium, 0) AS medium, w.weak + coalesce(x.weak, 0) AS weak, w.members_outside - coalesce(x.members, 0) AS members_outside)
+            FROM w{n} w LEFT JOIN k{n} k ON k.siren = w.siren LEFT JOIN (
+                SELECT a.child, count(*) FILTER (WHERE role IN {strong}) AS strong, count(*) FILTER (WHERE role IN {medium}) AS medium, count(*) FILTER (WHERE role = '99') AS weak, count(*) FILTER (WHERE role = '11') AS members
+                FROM act a JOIN v{n}_{j} e ON e.siren = a.parent AND e.reason IS NOT NULL JOIN o{n} p ON p.siren = a.parent JOIN o{n} c ON c.siren = a.child WHERE p.ord < c.ord GROUP BY a.child) x ON x.child = w.siren
+            WHERE k.siren IS NULL) w) r LEFT JOIN force f ON f.siren = r.siren)"""
+    return text + f""",
+k{n + 1} AS MATERIALIZED (SELECT * FROM k{n} UNION ALL SELECT siren, reason, {n + 1} FROM v{n}_{SETTLED} WHERE reason IS NOT NULL)"""
+
+
+def fixpoint(s: Settings, head: str = "000000000", own_brands: str = "", most: int = ROUNDS, one_round=_at_once) -> str:
+    """CTEs up to k{most}: siren, reason, round. own_brands: a condition on the hits of brands that are the group's."""
+    no_marks = "regexp_matches(n.name, '^(CSE|COMITE|AMICALE|ASSOCIATION)\\b')"
+    rounds = ",\n".join(one_round(n, s) for n in range(most))
+    text = with_clause("offices", "companies", "links", "persons", "brands", "doc_lines", "decisions", recursive=True) + f""",
 {ACTIVE}, {_BRANDS},
 force AS MATERIALIZED ({IN_FORCE[IN_FORCE.index("SELECT siren, decision"):]}),
 seats AS MATERIALIZED (SELECT siren, person, role FROM persons WHERE closed IS NULL AND person NOT IN {_brackets(s.families)}),
-listed AS (SELECT lpad(CAST(line * 3 AS VARCHAR), 9, '0') AS siren, bool_or({_CONTROLLED}) AS controlled FROM doc_lines WHERE doc = '000000000' GROUP BY 1),
+listed AS (SELECT lpad(CAST(line * 3 AS VARCHAR), 9, '0') AS siren, bool_or({_CONTROLLED}) AS controlled FROM doc_lines WHERE doc = '{head}' GROUP BY 1),
 eligible AS (
     SELECT siren, {norm('name')} AS n, CASE WHEN band = 'NN' THEN -1 ELSE try_cast(band AS INT) END AS size FROM offices
     WHERE cj IS NOT NULL AND NOT (CAST(cj AS VARCHAR) LIKE '6%' AND CAST(cj AS VARCHAR) NOT LIKE '62%') AND CAST(cj AS VARCHAR) NOT LIKE '9%' AND CAST(cj AS VARCHAR) NOT LIKE '3%'),
@@ -79,14 +117,25 @@ off AS MATERIALIZED (
         sure AND (h.brand IN {_brackets(s.homonyms)} OR (h.brand IN {_brackets(s.acronyms)} AND bare)) AS risky, coalesce(o.band, '') IN ('', 'NN', '00') AND coalesce(c.staff, 0) = 0 AS tiny
     FROM offices o JOIN named n ON n.siren = o.siren LEFT JOIN companies c ON c.siren = o.siren LEFT JOIN hits h ON h.siren = o.siren LEFT JOIN listed l ON l.siren = o.siren),
 apart AS MATERIALIZED (SELECT siren FROM off WHERE named_out UNION SELECT siren FROM force WHERE decision = 'ecarter' UNION SELECT siren FROM off WHERE siren IN {_brackets(s.left_out)}),
-k0 AS MATERIALIZED (SELECT '000000000' AS siren, 'tête du groupe' AS reason, 0 AS round),
+k0 AS MATERIALIZED (SELECT '{head}' AS siren, 'tête du groupe' AS reason, 0 AS round),
 {rounds},
-{_round(ROUNDS, s)}"""
+{_round(most, s)}"""
+    if own_brands:
+        at = text.index("force AS MATERIALIZED")
+        text = text[:at] + f"own_hits AS MATERIALIZED (SELECT * FROM hits WHERE {own_brands}),\n" + re.sub(r"\bhits\b", "own_hits", text[at:])
+    return text
 
 
 _LAST, _WIDE = f"k{ROUNDS}", f"w{ROUNDS}"
 _ORDERED = ("000000000", *MAP_SETTINGS.priority)
 FIXPOINT = fixpoint(PLAIN) + f"\nSELECT siren, reason, round FROM {_LAST}"
+FIXPOINT_IN_TURN = fixpoint(PLAIN, most=7, one_round=_in_turn) + "\nSELECT siren, reason, round FROM k7"
+#: Groups of the documents that grow together, each with the brands whose length leaves its number; the last has no active office.
+GROUP_HEADS = [f"{k:09d}" for k in range(5)]
+NO_OFFICE = "000000007"
+GROUPS_GROWN = "\nUNION ALL ".join(
+    f"SELECT '{h}' AS grp, siren, reason, round FROM ({fixpoint(MAP_SETTINGS if k == 0 else PLAIN, h, f'length(brand) % 5 = {k}', 16)} SELECT siren, reason, round FROM k16)" for k, h in enumerate(GROUP_HEADS)
+) + f"\nUNION ALL SELECT '{NO_OFFICE}', NULL, 'tête sans siège actif', NULL"
 _MAP = fixpoint(MAP_SETTINGS) + f""",
 gl AS MATERIALIZED (SELECT DISTINCT a.parent, a.child, a.role FROM act a JOIN {_LAST} k ON k.siren = a.parent),
 {_TARGET},

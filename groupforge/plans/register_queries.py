@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupforge.functions import names
-from groupforge.operators import assign, changes, closure, legal, match, rules, serve, tree
+from groupforge.operators import assign, changes, closure, growth, legal, match, rules, serve, tree
 from groupforge.plans import map_sql
 from groupforge.plans import register_sql as sql
 from groupforge.plans.storage import cut, ship
@@ -186,10 +186,27 @@ def group_fixpoint(spark, t):
     return rules.expand(offices, companies, links, persons, HEAD, _hits(t), _listed(t), rules.in_force(t("decisions")))
 
 
-@query(None)
+@query(map_sql.FIXPOINT_IN_TURN)
 def group_fixpoint_in_turn(spark, t):
     offices, companies, links, persons = t("offices", "companies", "links", "persons")
-    return rules.expand_in_turn(offices, companies, links, persons, HEAD, _hits(t), _listed(t), rules.in_force(t("decisions")))
+    return growth.expand_in_turn(offices, companies, links, persons, HEAD, _hits(t), _listed(t), rules.in_force(t("decisions")))
+
+
+@query(map_sql.GROUPS_GROWN)
+def country_groups_grown(spark, t):
+    """Groups of all documents' heads, grown together; a head without an active office is a failure."""
+    offices, companies, links, persons = t("offices", "companies", "links", "persons")
+    heads = t("doc_lines").select(F.col("doc").alias("siren")).distinct()
+    heads = cut(heads.unionByName(heads.limit(1).select(F.lit(map_sql.NO_OFFICE).alias("siren"))).select(F.col("siren").alias("grp"), "siren"))
+    brands = _hits(t).join(heads.select("grp"), F.length("brand") % 5 == F.col("grp").cast("int"))
+    lines = t("doc_lines").select(F.col("doc").alias("grp"), F.lpad((F.col("line") * 3).cast("string"), 9, "0").alias("siren"), match.controlled().alias("controlled"))
+    decided = rules.in_force(t("decisions")).join(F.broadcast(heads.select("grp")))
+    settings = growth.setting_rows(spark, {map_sql.GROUP_HEADS[0]: map_sql.MAP_SETTINGS})
+    register = growth.Register(offices, companies, links, persons)
+    grown = growth.grow(register, offices, heads, cut(brands), lines, decided, settings)
+    register.drop()
+    failed = grown.failures.select("grp", F.lit(None).cast("string").alias("siren"), F.col("failure").alias("reason"), F.lit(None).cast("int").alias("round"))
+    return grown.kept.unionByName(failed)
 
 
 def _reasoned(links: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +42,59 @@ def carried_over(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select(*[F.col(c).cast(new.schema[c].dataType).alias(c) if c in old.columns else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in new.columns])
 
 
+class Shelf:
+    """Tables of one run, each written once in the shared folder and read again: lineage ends there, and plans know their sizes."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.held = spark, f"{shared_folder(spark)}/groupforge/{name}-{uuid.uuid4().hex[:12]}", []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.held):04d}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((path, out))
+        return out
+
+    def close(self, *but: DataFrame) -> None:
+        """Deletes all tables but those that a result still reads."""
+        for path, table in self.held:
+            if not any(table is b for b in but):
+                deleted(self.spark, path)
+        self.held = []
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Keyed:
+    """A table written once in hash buckets of a key; a lookup reads only the buckets that its keys fall into.
+
+    What reaches the driver are numbers of buckets, so at most `buckets` of them. Rows of one bucket are spread over PARTS tasks.
+    """
+
+    PARTS = 4
+
+    def __init__(self, df: DataFrame, key: str, buckets: int = 16):
+        self.spark, self.key, self.buckets = df.sparkSession, key, buckets
+        self.path = f"{shared_folder(self.spark)}/groupforge/keyed-{uuid.uuid4().hex[:12]}"
+        dealt = df.withColumn("_b", self._bucket()).repartition("_b", F.pmod(F.xxhash64(*df.columns), F.lit(self.PARTS)))
+        dealt.write.partitionBy("_b").parquet(self.path)
+        self.schema = T.StructType([*[f for f in df.schema.fields], T.StructField("_b", T.IntegerType())])
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def of(self, keys: DataFrame) -> DataFrame:
+        """The rows of the buckets of keys (a column of the key's name); rows of other keys may be among them, so join."""
+        wanted = sorted(r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect())
+        return self.spark.read.schema(self.schema).parquet(self.path).where(F.col("_b").isin(wanted)).drop("_b")
+
+    def drop(self) -> None:
+        deleted(self.spark, self.path)
+
+
 _SHIPPED: set[str] = set()
 
 

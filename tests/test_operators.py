@@ -1,15 +1,17 @@
 """Rules on small invented registers."""
 
+import functools
 import random
 import re
 import unicodedata
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groupforge.functions import names
-from groupforge.operators import assign, changes, closure, legal, maps, match, rules, serve, tree
-from groupforge.plans.storage import Versions, carried_over, compact
+from groupforge.operators import assign, changes, closure, growth, legal, maps, match, rules, serve, tree
+from groupforge.plans.storage import Keyed, Versions, carried_over, compact
 from groupforge.sources import exports, html, lists, records, tables
 
 LINK = "parent string, child string, role string, opened date, closed date"
@@ -212,27 +214,94 @@ def test_order_of_judgement_can_matter(spark):
     """M enters by a strong mandate; X has two hints, a medium mandate of M, and a strong one of an outside company."""
     given = small_register(spark, [("H", 1), ("M", 1), ("X", 1), ("O", 9)], [("H", "M", "73"), ("M", "X", "65"), ("O", "X", "73")], [("M", "LONGER BRAND", "sure"), ("X", "BRAND", "ambigue")])
     at_once = as_dict(rules.expand(*given).select("siren", "round"))
-    in_turn = as_dict(rules.expand_in_turn(*given).select("siren", "round"))
+    in_turn = as_dict(growth.expand_in_turn(*given).select("siren", "round"))
     assert set(in_turn) == {"H", "M"}
     assert set(at_once) >= {"H", "M"}
 
 
 def test_both_ways_agree_on_chains(spark):
     given = small_register(spark, [(x, i) for i, x in enumerate("HABCD")], [("H", "A", "73"), ("A", "B", "73"), ("B", "C", "30"), ("H", "D", "65")])
-    assert set(as_dict(rules.expand(*given).select("siren"))) == set(as_dict(rules.expand_in_turn(*given).select("siren"))) == set("HABC")
+    assert set(as_dict(rules.expand(*given).select("siren"))) == set(as_dict(growth.expand_in_turn(*given).select("siren"))) == set("HABC")
 
 
 def test_settings_of_a_group(spark):
     """A house's head enters by the chart; names and numbers left out don't; a homonym needs a second hint; families left out tie nothing."""
     given = small_register(spark, [(x, i) for i, x in enumerate("HABCDE")], [], [("A", "NAME A", "sure"), ("B", "NAME B", "sure"), ("E", "NAME E", "sure")])
     settings = rules.Settings(homonyms=("NAME B",), houses=("NAME C",), left_out=("E",))
-    for grow in (rules.expand, rules.expand_in_turn):
+    for grow in (rules.expand, growth.expand_in_turn):
         assert as_dict(grow(*given, settings=settings).select("siren", "reason")) == {"H": ("tête du groupe",), "A": ("nom de marque propre au groupe",), "C": (rules.CHARTED,)}
         assert set(as_dict(grow(*given, settings=rules.Settings(name_beginnings=("name a",))).select("siren"))) == {"H", "B", "E"}
     seats = spark.createDataFrame([("A", "DOE|JO"), ("B", "ROE|AL"), ("C", None)], "siren string, person string")
     assert {r.siren for r in rules.without_families(seats, ("DOE",)).collect()} == {"B", "C"}
 
 
+def grown(spark, parts, heads, **more):
+    """parts: grp to what small_register gave; all groups share the register of the first."""
+    o, c, l, p, *_ = next(iter(parts.values()))
+    register = growth.Register(o, c, l, p, 4)
+    of = lambda k: functools.reduce(DataFrame.unionByName, [x[k].withColumn("grp", F.lit(g)) for g, x in parts.items()])
+    return growth.grow(register, o, spark.createDataFrame(heads, "grp string, siren string"), of(5), of(6), **more)
+
+
+@pytest.mark.parametrize("in_turn", [False, True])
+def test_groups_grow_together_as_each_alone(spark, in_turn):
+    """Random registers: three groups at once give what each gives alone; a head without an office fails and the rest go on."""
+    rnd = random.Random(11)
+    ids = [f"{k:02d}" for k in range(40)]
+    edges = [(rnd.choice(ids), rnd.choice(ids), rnd.choice(["73", "30", "65", "11", "99"])) for _ in range(70)]
+    offices = [(x, rnd.randrange(9)) for x in ids]
+    parts = {}
+    for head in ("00", "07") if in_turn else ("00", "07", "13"):
+        parts[head] = small_register(spark, offices, edges, [(x, f"NAME {x}", rnd.choice(["sure", "ambigue"])) for x in rnd.sample(ids, 6)])
+    seats = spark.createDataFrame([(rnd.choice(ids), f"P{rnd.randrange(12)}|X", rnd.choice(["73", "65"]), None) for _ in range(60)], "siren string, person string, role string, closed date")
+    parts = {g: (*x[:3], seats, *x[4:]) for g, x in parts.items()}
+    decisions = spark.createDataFrame([(rnd.choice(ids), rnd.choice(["retenir", "ecarter"])) for _ in range(8)], "siren string, decision string").dropDuplicates(["siren"])
+    by_group = functools.reduce(DataFrame.unionByName, [decisions.withColumn("grp", F.lit(g)) for g in parts])
+    out = grown(spark, parts, [*((g, g) for g in parts), ("none", "99")], decisions=by_group, in_turn=in_turn)
+    assert [tuple(r) for r in out.failures.collect()] == [("none", "tête sans siège actif")]
+    together = {tuple(r) for r in out.kept.select("grp", "siren", "reason", "round").collect()}
+    alone = set()
+    for g, (o, c, l, p, _, b, listed) in parts.items():
+        one = growth.expand_in_turn(o, c, l, p, g, b, listed, decisions) if in_turn else rules.expand(o, c, l, p, g, b, listed, decisions)
+        alone |= {(g, *r) for r in one.select("siren", "reason", "round").collect()}
+    assert together == alone and len(together) > 8
+    assert {tuple(r) for r in out.overruled.collect()}.isdisjoint(together)
+
+
+def test_jobs_do_not_grow_with_the_groups(spark):
+    """The rounds are those of the slowest group: six groups of the same shape take the jobs of one."""
+    def jobs(groups):
+        ids = [f"{g}{x}" for g in groups for x in "HABC"]
+        edges = [(f"{g}{a}", f"{g}{b}", "73") for g in groups for a, b in ("HA", "AB", "BC")]
+        given = small_register(spark, [(x, k) for k, x in enumerate(ids)], edges)
+        before = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+        out = grown(spark, {g: given for g in groups}, [(g, f"{g}H") for g in groups])
+        assert out.kept.count() == 4 * len(groups)
+        return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - before
+
+    # the optimizer may join small tables in another way, which is a job more or less
+    assert jobs("123456") < 1.2 * jobs("1") + 5
+
+
+def test_lookups_read_the_buckets_of_their_keys(spark):
+    table = Keyed(spark.range(1000).select(F.col("id").cast("string").alias("k"), "id"), "k", 32)
+    found = table.of(spark.createDataFrame([("7",), ("8",)], "k string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_b#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert {"7", "8"} <= {r.k for r in found.collect()} and found.count() < 200
+    table.drop()
+
+
+def test_unfinished_groups_and_lost_rules(spark):
+    given = small_register(spark, [(x, k) for k, x in enumerate("HABCD")], [("H", "A", "73"), ("A", "B", "73"), ("B", "C", "73"), ("C", "D", "73")])
+    short = grown(spark, {"H": given}, [("H", "H")], max_rounds=2)
+    assert [r.failure for r in short.failures.collect()] == ["croît encore au tour 2"] and short.kept.count() == 3
+    decided = spark.createDataFrame([("H", "B", "ecarter"), ("H", "C", "retenir")], "grp string, siren string, decision string")
+    out = grown(spark, {"H": given}, [("H", "H")], decisions=decided)
+    assert as_dict(out.kept.select("siren", "round")) == {"H": (0,), "A": (1,)}
+    assert [tuple(r) for r in out.overruled.collect()] == [("H", "B", "mandat fort au registre")]
+
+
 def test_map_of_a_group(spark):
     """A and B hold each other; C hangs below B, D below its brand's house; X is shared, F foreign."""
     o, c, l, p, head, b, listed = small_register(
