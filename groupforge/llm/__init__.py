@@ -1,4 +1,4 @@
-"""Training-data operators: deduplication, tokens, secrets, toxicity and source mixing.
+"""Training-data operators: deduplication, tokens, secrets, toxicity, source mixing, audits of filters and sources, chat formatting.
 
-Nothing outside this subpackage imports it; it imports nothing from the rest of the library.
+Nothing outside this subpackage imports it; of the rest of the library it imports the shared folder's helpers only.
 """
