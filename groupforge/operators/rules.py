@@ -232,21 +232,31 @@ def expand(offices: DataFrame, companies: DataFrame, links: DataFrame, persons:
     All candidates of a round see the companies retained before it. Decisions (siren, decision) override the rules: `ecarter` keeps a
     company out, `retenir` lets a candidate in. A last round that adds nothing proves the end; without one there is a warning.
     """
+    return expand_traced(offices, companies, links, persons, head, brands, listed, decisions, max_rounds, settings)[0]
+
+
+def expand_traced(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, head: str, brands: DataFrame, listed: DataFrame, decisions: DataFrame | None = None, max_rounds: int = MAX_ROUNDS, settings: Settings = PLAIN) -> tuple[DataFrame, DataFrame]:
+    """What expand gives; and siren, rule: the last rule that would have let in a company that a decision keeps out."""
     spark = offices.sparkSession
     offices, companies, links, persons, brands = _fixed(offices, companies, links, persons, brands, settings)
     given = {"settings": settings, "charted": charted(offices, settings), "refused": None if decisions is None else decisions.where("decision = 'ecarter'")}
     kept = cut(spark.createDataFrame([(head, "tête du groupe", 0)], "siren string, reason string, round int"))
+    lost = spark.createDataFrame([], "siren string, rule string, round int")
+    ended = False
     for n in range(1, max_rounds + 1):
-        wide = evidence_rows(offices, companies, links, persons, kept, brands, listed, **given).withColumn("reason", entry_reason())
-        if decisions is not None:
-            wide = wide.join(decisions, "siren", "left")
-            wide = wide.withColumn("reason", F.when(F.col("decision") == "ecarter", F.lit(None)).when((F.col("decision") == "retenir") & F.col("reason").isNull(), F.lit("retenue par décision du consultant")).otherwise(F.col("reason")))
-        new = cut(wide.where("reason is not null").select("siren", "reason", F.lit(n).alias("round")))
-        if new.isEmpty():
-            return kept
+        wide = evidence_rows(offices, companies, links, persons, kept, brands, listed, **given).withColumn("rule", entry_reason())
+        wide = wide.withColumn("decision", F.lit(None).cast("string")) if decisions is None else wide.join(decisions, "siren", "left")
+        reason = F.when(F.col("decision") == "ecarter", F.lit(None)).when((F.col("decision") == "retenir") & F.col("rule").isNull(), F.lit("retenue par décision du consultant")).otherwise(F.col("rule"))
+        judged = cut(wide.select("siren", "rule", "decision", reason.alias("reason"), F.lit(n).alias("round")).where("rule is not null or reason is not null"))
+        lost = lost.unionByName(judged.where("decision = 'ecarter'").select("siren", "rule", "round"))
+        new = judged.where("reason is not null").select("siren", "reason", "round")
+        ended = new.isEmpty()
+        if ended:
+            break
         kept = cut(kept.unionByName(new))
-    warnings.warn(f"the group of {head} still grew in round {max_rounds}", stacklevel=2)
-    return kept
+    if not ended:
+        warnings.warn(f"the group of {head} still grew in round {max_rounds}", stacklevel=3)
+    return kept, lost.groupBy("siren").agg(F.max_by("rule", "round").alias("rule"))
 
 
 def charted(offices: DataFrame, settings: Settings) -> DataFrame | None:

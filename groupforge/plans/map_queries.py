@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groupforge.functions import names
-from groupforge.operators import assign, changes, closure, legal, maps, rules, serve, tree
+from groupforge.operators import assign, changes, closure, legal, maps, match, provenance, rules, serve, tree
 from groupforge.plans import map_sql as sql
 from groupforge.plans.register_queries import HEAD, LOW_DEGREE, _hits, _listed, query
 from groupforge.plans.storage import cut
@@ -38,6 +38,26 @@ def group_map_foreign(spark, t):
     return _map(t).foreign
 
 
+def _explained(t) -> provenance.Explained:
+    offices, companies, links, persons = t("offices", "companies", "links", "persons")
+    lines = t("doc_lines").where(F.col("doc") == HEAD)
+    listed = lines.select(F.lpad((F.col("line") * 3).cast("string"), 9, "0").alias("siren"), match.controlled().alias("controlled"), "method", "rate", F.col("doc").alias("source"), F.col("name").alias("text"))
+    return provenance.explain(offices, companies, links, persons, HEAD, cut(_hits(t)), cut(listed), cut(rules.in_force(t("decisions"))), sql.MAP_SETTINGS)
+
+
+@query(sql.EVIDENCE)
+def group_evidence(spark, t):
+    return _explained(t).evidence.drop("grp")
+
+
+@query(sql.EXPLAINED)
+def group_cases_explained(spark, t):
+    """Each case with its rule, one row for each indication for and against it."""
+    found = _explained(t)
+    met = found.cases.join(found.indications, ["grp", "siren"], "left")
+    return met.select("siren", "name", "kinds", "rule", "kept", "decision", "side", "text")
+
+
 def _country(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members of the documents' maps, what the lists say, and the groups with their parents."""
     lines, links, offices = t("doc_lines", "links", "offices")

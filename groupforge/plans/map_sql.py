@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from groupforge.operators.rules import DIRECTING, MEDIUM, PLAIN, STRONG, Settings
-from groupforge.plans.register_sql import _BRANDS, _CONTROLLED, _LABELS, _TARGET, ACTIVE, ARBITRATION, IN_FORCE, UNIT_MERGE, _in, mothers, norm, walked
+from groupforge.plans.register_sql import _BRANDS, _CONTROLLED, _LABELS, _TARGET, ACTIVE, ARBITRATION, IN_FORCE, UNIT_MERGE, _in, _values, mothers, norm, walked
 from groupforge.sources.register import with_clause
 
 MAP_SETTINGS = Settings(
@@ -178,6 +178,67 @@ GROUP BY siren HAVING bool_or(told) OR bool_or(coalesce(role IN {_in(MEDIUM)}, f
 MAP_FOREIGN = _MAP + f"\nSELECT siren, shown AS name FROM {_WIDE} WHERE cj LIKE '3%' AND NOT named_out AND (sure OR coalesce(controlled, false)) AND siren NOT IN (SELECT siren FROM {_LAST})"
 
 
+# --- why a company is in the group or is not
+
+_SPOTS = " UNION ALL ".join(f"SELECT address_key, {n + 1} AS n FROM spot{n}" for n in range(ROUNDS + 1))
+_RULES = " UNION ALL ".join(f"SELECT siren, rule, {n} AS n FROM e{n}" for n in range(ROUNDS + 1))
+_EVIDENCE = _MAP + f""",
+spots AS (SELECT address_key, min(n) AS n FROM ({_SPOTS}) GROUP BY 1),
+alike AS (
+    SELECT o.address_key, count(*) FILTER (WHERE o.cj NOT LIKE '9%') AS members, count(l.siren) FILTER (WHERE o.cj NOT LIKE '9%') AS own FROM off o LEFT JOIN like{ROUNDS} l ON l.siren = o.siren GROUP BY 1),
+ev AS MATERIALIZED (
+    SELECT siren, 'marque_' || kind AS kind, brand AS other, NULL::VARCHAR AS role, NULL::BIGINT AS own, NULL::BIGINT AS members, 0::BIGINT AS round FROM (SELECT DISTINCT siren, kind, brand FROM hits)
+    UNION ALL SELECT siren, CASE WHEN controlled THEN 'perimetre' ELSE 'perimetre_sans_controle' END, NULL, NULL, NULL, NULL, 0 FROM listed WHERE controlled IS NOT NULL
+    UNION ALL SELECT DISTINCT siren, 'organigramme', NULL, NULL, NULL::BIGINT, NULL::BIGINT, 0 FROM chart
+    UNION ALL SELECT a.child, 'registre', a.parent, a.role, NULL, NULL, min(k.round) + 1 FROM act a JOIN {_LAST} k ON k.siren = a.parent GROUP BY a.child, a.parent, a.role
+    UNION ALL SELECT o.siren, 'adresse', o.address_key, NULL, l.own, l.members, p.n FROM off o JOIN spots p ON p.address_key = o.address_key JOIN alike l ON l.address_key = o.address_key WHERE o.cj NOT LIKE '9%')"""
+EVIDENCE = _EVIDENCE + "\nSELECT siren, kind, other, role, own, members, round FROM ev"
+_HEAVY = _in([*STRONG, *MEDIUM])
+_WAYS = _values({"IG": "intégration globale", "MEE": "mise en équivalence", "NC": "non consolidée", "inconnue": "méthode non publiée", "autre": "autre méthode"}.items())
+EXPLAINED = _EVIDENCE + f""",
+over AS (SELECT r.siren, arg_max(r.rule, r.n) AS rule FROM ({_RULES}) r JOIN force f ON f.siren = r.siren AND f.decision = 'ecarter' WHERE r.rule IS NOT NULL GROUP BY 1),
+line AS (
+    SELECT lpad(CAST(line * 3 AS VARCHAR), 9, '0') AS siren, {_CONTROLLED} AS controlled, coalesce(m.way, d.method) AS way, d.method, d.doc, d.name AS said,
+        replace(regexp_replace(printf('%.2f', d.rate), '\\.?0+$', ''), '.', ',') || chr(160) || '%' AS rate
+    FROM doc_lines d LEFT JOIN {_WAYS} m(code, way) ON m.code = d.method WHERE d.doc = '000000000'
+    QUALIFY row_number() OVER (PARTITION BY d.line ORDER BY NOT {_CONTROLLED}, d.name) = 1),
+mine AS (SELECT DISTINCT a.child, a.parent, a.role, k.siren IS NOT NULL AS inside, n.label FROM act a LEFT JOIN {_LAST} k ON k.siren = a.parent LEFT JOIN {_LABELS} n(role, label) ON n.role = a.role),
+held AS (
+    SELECT child AS siren, coalesce(bool_or(inside AND role IN {_in(MEDIUM)}), false) AS medium, coalesce(bool_or(NOT inside AND role IN {_HEAVY}), false) AS outside, coalesce(bool_or(NOT inside AND role IN {_in(STRONG)}), false) AS strong_outside,
+        bool_or(inside AND role IN {_in(STRONG)}) AS strong, bool_or(inside AND label IS NOT NULL) AS tied FROM mine GROUP BY 1),
+alls AS (
+    SELECT c.siren, o.shown AS name, o.cj, o.siren IS NOT NULL AS active, k.reason, p.proof, p.confidence, coalesce(h.medium, false) AS medium, coalesce(h.outside, false) AS outside, coalesce(h.strong_outside, false) AS strong_outside,
+        coalesce(h.strong, false) AS strong, coalesce(h.tied, false) AS tied, coalesce(NOT l.controlled, false) AS stated, f.decision, v.rule AS lost, l.way, l.doc, l.said, l.rate,
+        coalesce(o.cj LIKE '3%' AND NOT o.barred AND (l.controlled OR c.siren IN (SELECT siren FROM hits WHERE kind = 'sure')) AND c.siren NOT IN {_brackets(MAP_SETTINGS.left_out)}, false) AS abroad
+    FROM (SELECT siren FROM ev UNION SELECT siren FROM {_LAST}) c LEFT JOIN off o ON o.siren = c.siren LEFT JOIN {_LAST} k ON k.siren = c.siren LEFT JOIN fin p ON p.child = c.siren LEFT JOIN held h ON h.siren = c.siren
+        LEFT JOIN line l ON l.siren = c.siren LEFT JOIN force f ON f.siren = c.siren LEFT JOIN over v ON v.siren = c.siren
+    WHERE c.siren <> '000000000'),
+doubt AS (SELECT *, reason IS NULL AND active AND (medium OR stated) AS shared FROM alls),
+sorted AS (
+    SELECT *, concat_ws(',', CASE WHEN reason IS NOT NULL AND confidence = 'C' THEN 'confiance_c' END, CASE WHEN reason IS NOT NULL AND outside THEN 'co_entreprise' END, CASE WHEN shared THEN 'participation' END, CASE WHEN abroad THEN 'etrangere' END) AS doubts FROM doubt),
+cs AS MATERIALIZED (
+    SELECT *, CASE WHEN doubts <> '' THEN doubts ELSE 'decision' END AS kinds,
+        CASE WHEN reason IS NOT NULL THEN 'Entrée dans le groupe : ' || reason || ' · rattachement : ' || proof WHEN lost IS NOT NULL THEN 'Écartée par le consultant ; règle du moteur qui l''aurait retenue : ' || lost
+            WHEN shared AND stated THEN 'Non retenue : non contrôlée selon le périmètre publié (' || doc || ', ligne « ' || said || ' » (' || way || ', ' || rate || '))' WHEN shared AND strong_outside THEN 'Non retenue : contrôle partagé avec une société hors du groupe (mandat fort)'
+            WHEN shared THEN 'Non retenue : participation sans contrôle (mandat moyen sans indice indépendant)' ELSE 'Non retenue : société étrangère, jamais retenue par le moteur' END AS verdict
+    FROM sorted WHERE doubts <> '' OR lost IS NOT NULL OR (reason IS NOT NULL AND decision = 'retenir')),
+own_seats AS (SELECT DISTINCT siren, person FROM seats),
+said AS (
+    SELECT e.siren, 'pour' AS side, CASE e.kind WHEN 'marque_sure' THEN 'Porte une marque sûre du groupe' WHEN 'marque_ambigue' THEN 'Porte une marque ambiguë du groupe' WHEN 'registre' THEN 'Mandat au registre : ' || n.label || ', tenu par la société du groupe ' || e.other
+        WHEN 'adresse' THEN 'Siège à une adresse du groupe : ' || e.own || ' sociétés du groupe sur ' || e.members WHEN 'organigramme' THEN 'Tête d''une maison de l''organigramme public du groupe'
+        WHEN 'perimetre' THEN 'Inscrite au périmètre publié du groupe, ' || CASE WHEN l.method = 'IG' THEN 'en intégration globale' ELSE l.way || ', détenue à ' || l.rate END ELSE 'Inscrite au périmètre publié du groupe, sans contrôle (' || l.way || ')' END AS text
+    FROM ev e LEFT JOIN {_LABELS} n(role, label) ON n.role = e.role LEFT JOIN line l ON l.siren = e.siren
+    UNION ALL SELECT c.siren, 'pour', 'Dirigeants en commun avec d''autres sociétés du groupe : ' || count(*) FROM cs c JOIN own_seats s ON s.siren = c.siren
+        WHERE EXISTS (SELECT 1 FROM own_seats x JOIN {_LAST} k ON k.siren = x.siren WHERE x.person = s.person AND x.siren <> s.siren) GROUP BY c.siren
+    UNION ALL SELECT siren, 'contre', CASE WHEN tied THEN 'Aucun mandat fort (président, gérant…) tenu par une société du groupe' ELSE 'Aucun mandat au registre tenu par une société du groupe' END FROM cs WHERE NOT strong
+    UNION ALL SELECT siren, 'contre', 'Un seul indice : rattachement déduit, pas lu au registre' FROM cs WHERE kinds LIKE '%confiance_c%'
+    UNION ALL SELECT siren, 'contre', 'Le périmètre publié du groupe la dit non contrôlée : ' || way FROM cs WHERE stated
+    UNION ALL SELECT m.child, 'contre', 'Mandat au registre : ' || m.label || ', tenu par ' || CASE WHEN o.cj <> '' AND o.cj NOT LIKE '1%' THEN 'la société ' || m.parent ELSE 'une entité' END || ' hors du groupe' FROM mine m LEFT JOIN off o ON o.siren = m.parent WHERE NOT m.inside AND m.role IN {_HEAVY}
+    UNION ALL SELECT siren, 'contre', 'Société étrangère (catégorie juridique ' || cj || ') : hors du périmètre France' FROM cs WHERE kinds LIKE '%etrangere%'
+    UNION ALL SELECT siren, 'contre', 'Écartée par le consultant' FROM cs WHERE decision = 'ecarter')
+SELECT c.siren, c.name, c.kinds, c.verdict AS rule, c.reason IS NOT NULL AS kept, c.decision, s.side, s.text FROM cs c LEFT JOIN said s ON s.siren = c.siren AND s.text IS NOT NULL"""
+
+
 # --- the country's map
 
 _ARBITRATED = ARBITRATION[ARBITRATION.index("own AS (SELECT * FROM cl") :]
