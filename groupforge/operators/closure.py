@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groupforge.operators.tree import jumps, loop_members, roots
 from groupforge.plans.storage import cut
 
-MAX_DEPTH = 200
-
 
 def descent(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """start, node, level (the smallest) of all that edges (parent, child) reach from seeds (start, node); level 0: the seeds.
@@ -37,48 +36,48 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return descent(edges, seeds).select("start", "node")
 
 
-def ascent(parents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """node, top, steps, whole: the last group met going up (node, parent). The walk ends at max_depth; whole is false where it was not at the top then."""
-    at = cut(parents.select("node", F.col("node").alias("top"), F.lit(0).alias("steps")))
-    up = cut(parents.where("parent is not null").select(F.col("node").alias("top"), F.col("parent").alias("next")).repartition("top"))
-    done = []
-    for n in range(max_depth + 1):
-        moved = cut(at.join(up, "top", "left"))
-        done.append(moved.where("next is null").select("node", "top", "steps", F.lit(True).alias("whole")))
-        left = moved.where("next is not null")
-        if left.isEmpty():
-            break
-        if n == max_depth:
-            done.append(left.select("node", "top", "steps", F.lit(False).alias("whole")))
-        at = left.select("node", F.col("next").alias("top"), (F.col("steps") + 1).alias("steps"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
-
+def ascent(parents: DataFrame) -> DataFrame:
+    """node, top, steps: the topmost node above each (node, parent), itself where it has no parent. What runs in a loop has no top.
 
-def nested_sizes(parents: DataFrame, sizes: DataFrame) -> DataFrame:
-    """node, size: a group's own size and those of all groups nested in it."""
-    edges = parents.where("parent is not null").select("parent", F.col("node").alias("child"))
-    inside = closure(edges, parents.select(F.col("node").alias("start"), "node"))
-    total = inside.join(sizes.select("node", "size"), "node").groupBy(F.col("start").alias("node")).agg(F.sum("size").alias("size"))
-    return parents.select("node").join(total, "node", "left").select("node", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    Pointers are doubled, so the rounds grow with the logarithm of the longest way up.
+    """
+    ended, running = jumps(parents.where("parent is not null").select(F.col("node").alias("child"), F.col("parent").alias("mother")))
+    tops = parents.where("parent is null").select("node", F.col("node").alias("top"), F.lit(0).cast("long").alias("steps"))
+    out = tops.unionByName(ended.select("node", F.col("at").alias("top"), "steps"))
+    return out.unionByName(running.select("node", F.lit(None).cast("string").alias("top"), F.lit(None).cast("long").alias("steps")))
 
 
-def nearest(parents: DataFrame, good: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """node, found, whole: the node itself if good, else the nearest good ancestor, or null; parents is (node, parent).
+def nested_sizes(parents: DataFrame, sizes: DataFrame) -> DataFrame:
+    """node, size: a group's own size and those of all groups nested in it, each counted once. parents: node (once), parent.
 
-    The walk ends at max_depth; whole is false where nothing was found by then though it goes on.
+    Each node holds the sum of what lies less than 2^k levels below it and points 2^k levels up. A round adds its sum to the node it points
+    at and doubles the pointer, so no list of ancestors is made and the rounds grow with the logarithm of the depth. Loops are opened at
+    their smallest node first; all nodes of a loop hold the same groups, so they get that node's sum.
+    """
+    edges = cut(parents.where("parent is not null").select(F.col("node").alias("child"), F.col("parent").alias("mother")))
+    loops = cut(roots(edges).where("loop"))
+    tops = loops.where("depth = 0").select(F.col("child").alias("node"), F.lit(True).alias("is_top"))
+    own = sizes.groupBy("node").agg(F.sum("size").cast("long").alias("size"))
+    state = parents.select("node", "parent").join(tops, "node", "left").join(own, "node", "left")
+    state = cut(state.select("node", F.when(F.col("is_top").isNull(), F.col("parent")).alias("at"), F.coalesce("size", F.lit(0)).alias("size")))
+    while not state.where("at is not null").isEmpty():
+        gained = state.where("at is not null").groupBy(F.col("at").alias("node")).agg(F.sum("size").alias("more"))
+        ahead = state.select(F.col("node").alias("at"), F.col("at").alias("next"))
+        moved = state.where("at is not null").join(ahead, "at", "left").select("node", F.col("next").alias("at"), "size").unionByName(state.where("at is null"))
+        state = cut(moved.join(gained, "node", "left").select("node", "at", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+    if loops.isEmpty():
+        return state.select("node", "size")
+    ring = loop_members(edges).join(loops.select(F.col("child").alias("node"), "root"), "node")
+    whole = ring.join(state.select(F.col("node").alias("root"), F.col("size").alias("whole")), "root").select("node", "whole")
+    return state.join(whole, "node", "left").select("node", F.coalesce("whole", "size").alias("size"))
+
+
+def nearest(parents: DataFrame, good: DataFrame) -> DataFrame:
+    """node, found: the node itself if good, else the nearest good ancestor, or null; parents is (node, parent).
+
+    Good nodes lose their parents; the nearest good ancestor is then the top of what is left, found by doubling.
     """
-    good = good.select(F.col("node").alias("at")).distinct().withColumn("is_good", F.lit(True))
-    at = cut(parents.select("node", F.col("node").alias("at")))
-    up = cut(parents.where("parent is not null").select(F.col("node").alias("at"), F.col("parent").alias("next")).repartition("at"))
-    out = None
-    for _ in range(max_depth + 1):
-        met = cut(at.join(good, "at", "left").join(up, "at", "left"))
-        ended = met.where("is_good or next is null").select("node", F.when(F.col("is_good"), F.col("at")).alias("found"), F.lit(True).alias("whole"))
-        out = ended if out is None else out.unionByName(ended)
-        at = met.where("is_good is null and next is not null").select("node", F.col("next").alias("at"))
-        if at.isEmpty():
-            return out
-    return out.unionByName(at.select("node", F.lit(None).cast("string").alias("found"), F.lit(False).alias("whole")))
+    good = cut(good.select(F.col("node").alias("top")).distinct().withColumn("is_good", F.lit(True)))
+    met = parents.join(good.withColumnRenamed("top", "node"), "node", "left")
+    tops = ascent(cut(met.select("node", F.when(F.col("is_good").isNull(), F.col("parent")).alias("parent"))))
+    return tops.join(good, "top", "left").select("node", F.when(F.col("is_good"), F.col("top")).alias("found"))

@@ -206,7 +206,7 @@ def read_map(rows: DataFrame, groups: DataFrame, siren: str) -> DataFrame:
     allowed = cut(closure.closure(nested, at.select(F.lit(siren).alias("start"), F.col("head").alias("node"))).select(F.col("node").alias("head")))
     inside = cut(rows.join(allowed, "head", "left_semi").select("siren", "mother"))
     seed = inside.where(F.col("siren") == siren).select(F.col("siren").alias("start"), F.col("siren").alias("node"))
-    found = closure.descent(inside.where("mother is not null").select(F.col("mother").alias("parent"), F.col("siren").alias("child")), seed, closure.MAX_DEPTH)
+    found = closure.descent(inside.where("mother is not null").select(F.col("mother").alias("parent"), F.col("siren").alias("child")), seed)
     return found.select(F.col("node").alias("siren"), F.col("level").cast("long").alias("level"))
 
 

@@ -150,22 +150,28 @@ def outline(group: DataFrame) -> DataFrame:
 
 def lifted_parents(edges: DataFrame, imported: DataFrame) -> DataFrame:
     """child, parent, share, skipped: of each imported company the nearest imported companies above it, with the share of the first step and the
-    companies that were skipped on the way. edges: parent, child, share. A way that comes back to itself ends, so all ways end."""
-    edges = cut(edges.select("parent", "child", "share").repartition("child"))
+    companies that were skipped on the way. edges: parent, child, share (of an edge that is given twice, the larger).
+
+    Of several ways between two companies the shortest counts, then the one whose skipped companies come first. A frontier loop in which
+    each place above a company is reached once: its work is the places, not the ways, which may double with each level.
+    """
+    up = cut(edges.groupBy(F.col("child").alias("at"), F.col("parent").alias("next")).agg(F.max("share").alias("share")).repartition("at"))
     keep = imported.select(F.col("siren").alias("at")).distinct().withColumn("kept", F.lit(True))
-    up = edges.select(F.col("child").alias("at"), F.col("parent").alias("next"), "share")
-    front = imported.select(F.col("siren").alias("child"), F.col("siren").alias("at"), F.lit(None).cast("double").alias("first"), F.array().cast("array<string>").alias("skipped"))
-    found = None
+    front = keep.select(F.col("at").alias("child"), "at", F.lit(None).cast("double").alias("first"), F.array().cast("array<string>").alias("skipped"), F.lit(0).alias("level"))
+    seen, found, level = cut(front.select("child", "at")), None, 0
     while True:
-        step = front.join(up, "at").where((F.col("next") != F.col("child")) & ~F.array_contains("skipped", F.col("next")))
-        step = step.select("child", F.col("next").alias("at"), F.coalesce("first", "share").alias("first"), "skipped").join(keep, "at", "left")
-        step = cut(step)
-        hits = step.where("kept").select("child", F.col("at").alias("parent"), F.col("first").alias("share"), F.array_join("skipped", ">").alias("skipped"))
+        step = front.join(up, "at").select("child", F.col("next").alias("at"), F.when(F.col("level") > 0, F.col("first")).otherwise(F.col("share")).alias("first"), F.when(F.col("level") > 0, F.concat("skipped", F.array("at"))).otherwise(F.col("skipped")).alias("skipped"))
+        best = step.groupBy("child", "at").agg(F.min(F.struct("skipped", "first")).alias("b")).join(seen, ["child", "at"], "left_anti").join(keep, "at", "left")
+        reached = cut(best.select("child", "at", "b.first", "b.skipped", "kept"))
+        hits = reached.where("kept").select("child", F.col("at").alias("parent"), F.col("first").alias("share"), F.array_join("skipped", ">").alias("skipped"))
         found = hits if found is None else found.unionByName(hits)
-        front = step.where("kept is null").select("child", "at", "first", F.concat("skipped", F.array("at")).alias("skipped"))
+        level += 1
+        front = reached.where("kept is null").select("child", "at", "first", "skipped", F.lit(level).alias("level"))
         if front.isEmpty():
-            break
-    return found.distinct()
+            return found
+        seen = seen.unionByName(reached.select("child", "at"))
+        if level % 8 == 0:
+            seen = cut(seen)
 
 
 def compare(ours: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def best_mothers(links: DataFrame, max_children: int = MAX_CHILDREN) -> DataFram
     return best.select("child", F.col("best.parent").alias("mother"), F.col("best.role").alias("role"))
 
 
-def _jumps(mothers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def jumps(mothers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pointers doubled until all end or run in loops: (node, at, steps) of those that ended, (node, at) of those that run.
 
     A doubling that ends nothing proves that nothing more will end; from then on the places pointed at are a shrinking set, and one that
@@ -60,7 +60,7 @@ def _loop_lows(mothers: DataFrame, members: DataFrame) -> DataFrame:
 
 def loop_members(mothers: DataFrame) -> DataFrame:
     """node: companies that are part of a loop."""
-    return _jumps(mothers)[1].select(F.col("at").alias("node")).distinct()
+    return jumps(mothers)[1].select(F.col("at").alias("node")).distinct()
 
 
 def roots(mothers: DataFrame) -> DataFrame:
@@ -69,14 +69,14 @@ def roots(mothers: DataFrame) -> DataFrame:
     A loop's root is its smallest company, at depth 0; it and all below it are flagged. Pointers are doubled: nodes that never end run
     into loops; where they point then are loop members; each loop's smallest member loses its mother, and the doubling gives the depths.
     """
-    ended, running = _jumps(mothers)
+    ended, running = jumps(mothers)
     straight = ended.select(F.col("node").alias("child"), F.col("at").alias("root"), F.col("steps").alias("depth"), F.lit(False).alias("loop"))
     if running.isEmpty():
         return straight
     members = running.select(F.col("at").alias("node")).distinct()
     tops = _loop_lows(mothers, members).where("node = low").select(F.col("node").alias("child"))
     inside = mothers.join(running.select(F.col("node").alias("child")), "child", "left_semi")
-    opened, _ = _jumps(inside.join(tops, "child", "left_anti"))
+    opened, _ = jumps(inside.join(tops, "child", "left_anti"))
     below = opened.select(F.col("node").alias("child"), F.col("at").alias("root"), F.col("steps").alias("depth"), F.lit(True).alias("loop"))
     top = tops.select("child", F.col("child").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("loop"))
     return straight.unionByName(below).unionByName(top)

@@ -342,7 +342,7 @@ def graph_closure(spark, t):
 def graph_descent(spark, t):
     links, lines = t("links", "doc_lines")
     edges = tree.open_links(links).where("role = '73'").select("parent", "child").distinct()
-    return closure.descent(edges, lines.select(F.col("doc").alias("start"), F.col("doc").alias("node")).distinct(), 200).select("start", "node", F.col("level").cast("long").alias("level"))
+    return closure.descent(edges, lines.select(F.col("doc").alias("start"), F.col("doc").alias("node")).distinct()).select("start", "node", F.col("level").cast("long").alias("level"))
 
 
 def _forest(t) -> DataFrame:

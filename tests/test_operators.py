@@ -111,10 +111,48 @@ def test_walks_of_any_depth(spark):
     assert as_dict(serve.import_levels(edges))[f"{n:03d}"] == (n,)
     ends = spark.createDataFrame([("000",), ("060",)], "siren string")
     assert [(r.child, r.parent, r.share) for r in serve.lifted_parents(edges.withColumn("share", F.lit(1.0)), ends).collect()] == [("060", "000", 1.0)]
-    parents = edges.select(F.col("child").alias("node"), "parent")
-    tops = as_dict(closure.ascent(parents, 4))
-    assert tops["003"] == ("000", 3, True) and tops["004"] == ("000", 4, True) and tops["205"] == ("201", 4, False)
-    assert as_dict(closure.nearest(parents, spark.createDataFrame([("000",)], "node string"), 4))["205"] == (None, False)
+
+
+def test_doubling_finds_what_walks_find(spark):
+    """A chain of 205 and loops with trees on them, against walks in Python."""
+    rnd = random.Random(3)
+    up = {f"c{i:03d}": f"c{i - 1:03d}" if i else None for i in range(206)} | {f"n{i:02d}": rnd.choice([None, *(f"n{k:02d}" for k in range(60))]) for i in range(60)}
+    up["n00"], up["n01"], up["n02"], up["n03"] = "n01", "n02", "n00", "n03"
+    size = {x: rnd.randrange(9) for x in up if rnd.random() < 0.9}
+    good = {"c050", "c051", "n02", *rnd.sample(sorted(up), 6)}
+    ways = {}
+    for x in up:
+        way = [x]
+        while up[way[-1]] is not None and up[way[-1]] not in way:
+            way.append(up[way[-1]])
+        ways[x] = way
+    parents = spark.createDataFrame(list(up.items()), "node string, parent string")
+    top = as_dict(closure.ascent(parents))
+    assert top == {x: (w[-1], len(w) - 1) if up[w[-1]] is None else (None, None) for x, w in ways.items()}
+    found = as_dict(closure.nearest(parents, spark.createDataFrame([(x,) for x in good], "node string")))
+    assert found == {x: (next((y for y in w if y in good), None),) for x, w in ways.items()}
+    below = dict.fromkeys(up, 0)
+    for x, w in ways.items():
+        for y in w:
+            below[y] += size.get(x, 0)
+    # a loop's nodes are on each other's ways, so each is counted once
+    assert {k: v[0] for k, v in as_dict(closure.nested_sizes(parents, spark.createDataFrame(list(size.items()), "node string, size long"))).items()} == below
+
+
+def test_doubling_of_nothing(spark):
+    none = spark.createDataFrame([], "node string, parent string")
+    sizes = spark.createDataFrame([("A", 3)], "node string, size long")
+    assert closure.ascent(none).isEmpty() and closure.nested_sizes(none, sizes).isEmpty() and closure.nearest(none, sizes.select("node")).isEmpty()
+
+
+def test_lifted_parents_take_one_way(spark):
+    """Twelve diamonds in a row are 4096 ways; the one whose skipped companies come first is given. Loops and repeated edges do no harm."""
+    edges = [(f"j{i:02d}", f"{side}{i:02d}", 1.0) for i in range(12) for side in "ab"] + [(f"{side}{i:02d}", f"j{i + 1:02d}", 2.0 if side == "a" else 3.0) for i in range(12) for side in "ab"]
+    edges += [("j12", "j12", 9.0), ("j12", "a03", 9.0), ("a11", "j12", 1.0)]
+    frame = spark.createDataFrame(edges, "parent string, child string, share double")
+    got = serve.lifted_parents(frame, spark.createDataFrame([("j00",), ("j12",), ("j12",)], "siren string")).collect()
+    way = ">".join(x for i in range(11, 0, -1) for x in (f"a{i:02d}", f"j{i:02d}")) + ">a00"
+    assert [tuple(r) for r in got] == [("j12", "j00", 2.0, way)]
 
 
 def test_outline_of_loops(spark):
