@@ -156,6 +156,12 @@ def paris_day(at: Column) -> Column:
 
 
 def sort_key(text: Column) -> Column:
-    """What texts are sorted by: without accents or case, and numbers by their size."""
+    """What texts are sorted by: without accents or case, and numbers by their size, those of more than 20 digits by their length first."""
     parts = F.regexp_extract_all(F.upper(plain(text)), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(x)), "")
+
+    def ordered(x: Column) -> Column:
+        digits = F.regexp_replace(x, "^0+", "")
+        long = F.concat(F.lit(":"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+        return F.when(~x.rlike("^[0-9]"), x).when(F.length(digits) > 20, long).otherwise(F.lpad(digits, 20, "0"))
+
+    return F.array_join(F.transform(parts, ordered), "")

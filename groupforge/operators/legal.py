@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groupforge.operators.changes import differs, last_of_batch
+from groupforge.plans.storage import Release
 
 UNIT = ("denomination", "acronym", "usual_name", "cj", "band", "state", "stated", "hidden")
 FOLLOWS, KEEPS = ("acronym", "usual_name", "band"), ("denomination", "cj", "state")
@@ -55,3 +56,9 @@ def merge_offices(offices: DataFrame, batch: DataFrame, place: str = "place") ->
     new = {c: F.when(known, F.col(c)).otherwise(F.col(f"n_{c}")) for c in OFFICE}
     change = F.when(F.col("has_old").isNull(), "inserted").when(differs([(F.col(c), v) for c, v in new.items()]), "updated").otherwise("none")
     return met.select("siren", *[v.alias(c) for c, v in new.items()], change.alias("change"))
+
+
+def deliver(release: Release, units: DataFrame, offices: DataFrame, after: int) -> int:
+    """Merges a day's deliveries of units and offices into the tables `units` and `offices` of a release and commits both as one."""
+    known = release.read("units"), release.read("offices")
+    return release.commit({"units": merge_units(known[0], units).drop("change"), "offices": merge_offices(known[1], offices).drop("change")}, after)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from groupforge.functions import names
 from groupforge.operators import assign, changes, closure, growth, legal, match, rules, serve, tree
 from groupforge.plans import map_sql
 from groupforge.plans import register_sql as sql
-from groupforge.plans.storage import cut, ship
+from groupforge.plans.storage import Release, cut, shared_folder, ship
 from groupforge.sources import html, lists, records, register
 from groupforge.streaming import deliveries
 
@@ -651,6 +652,17 @@ def cdc_office_merge(spark, t):
     return legal.merge_offices(*t("offices", "batch_offices")).select("siren", "siret", "name", "band", "town", "change")
 
 
+@query(sql.RELEASE)
+def cdc_release(spark, t):
+    """Units and offices after their deliveries, committed as one and read back."""
+    release = Release(spark, f"{shared_folder(spark)}/release-{uuid.uuid4().hex}")
+    units, offices, new_units, new_offices = t("legal_units", "offices", "batch_units", "batch_offices")
+    first = release.commit({"units": units.select("siren", *legal.FOLLOWS, *legal.KEEPS), "offices": offices.select("siren", *legal.OFFICE)}, 0)
+    legal.deliver(release, new_units, new_offices, first)
+    units, offices = release.read("units"), release.read("offices")
+    return units.select("siren", F.lit("units").alias("part"), F.col("denomination").alias("name"), "band").unionByName(offices.select("siren", F.lit("offices").alias("part"), "name", "band"))
+
+
 @query(sql.STALE)
 def cdc_recompute_guard(spark, t):
     return changes.stale(t("journal"), "arbre", "liens")

@@ -1,12 +1,14 @@
-"""Cutting lineage in the shared folder, and versioned tables whose pointer moves last."""
+"""Cutting lineage in the shared folder, and tables whose commits are all or nothing."""
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,28 +117,87 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-class Versions:
-    """A table as numbered folders; readers see the newest whose pointer file is there, so a write is all or nothing."""
+class Conflict(RuntimeError):
+    """Another writer committed first; nothing of this commit is seen."""
+
+
+class Release:
+    """Tables that change together. A commit is one small file that names a Parquet folder for each table, so readers see all of it or nothing.
+
+    Rows go to a folder of their own before the commit's file is created; that is only created where it is absent, so of two writers that
+    start from the same commit one wins and the other gets a Conflict. (As safe as the file system's create is; an object store needs one
+    with conditional writes.) A commit's file that isn't whole is not seen by readers, and writers refuse to pass it, since its writer may
+    still be at work; delete it once that writer is known to be gone. Folders of lost commits stay until they are deleted.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def newest(self) -> int | None:
+    def _numbers(self) -> list[int]:
         at = self._path(self.root)
-        if not self._fs.exists(at):
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted((int(n[7:]) for n in names if n.startswith("commit-")), reverse=True)
+
+    def _manifest(self, n: int) -> dict[str, str] | None:
+        stream = self._fs.open(self._path(f"{self.root}/commit-{n}"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
             return None
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)]
-        return max((int(n[3:]) for n in names if n.startswith("ok-")), default=None)
+        finally:
+            stream.close()
+
+    def _last(self) -> tuple[int, dict[str, str]]:
+        for n in self._numbers():
+            if (found := self._manifest(n)) is not None:
+                return n, found
+        return 0, {}
+
+    def newest(self) -> int:
+        """The number of the last whole commit; 0 where there is none."""
+        return self._last()[0]
+
+    def read(self, name: str) -> DataFrame | None:
+        folder = self._last()[1].get(name)
+        return None if folder is None else self.spark.read.parquet(f"{self.root}/{folder}")
+
+    def commit(self, tables: dict[str, DataFrame], after: int) -> int:
+        """Writes tables as the commit that follows number `after`, the one they derive from; other tables stay as they are there.
+
+        after=0: there must be no commit yet.
+        """
+        known = {} if after == 0 else self._manifest(after)
+        folders = {}
+        for name, df in tables.items():
+            folders[name] = f"{name}-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.root}/{folders[name]}")
+        if self._numbers()[:1] not in ([], [after]) or (after and known is None):
+            raise Conflict(f"{self.root}: another commit follows number {after}")
+        try:
+            out = self._fs.create(self._path(f"{self.root}/commit-{after + 1}"), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict(f"{self.root}: another commit follows number {after}") from None
+            raise
+        out.write(bytearray(json.dumps(known | folders).encode()))
+        out.close()
+        return after + 1
+
+
+class Versions:
+    """One table as a Release: a write is all or nothing, and of two writers that start from the same version one gets a Conflict."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.release = Release(spark, root)
+
+    def newest(self) -> int | None:
+        return self.release.newest() or None
 
     def read(self) -> DataFrame | None:
-        n = self.newest()
-        return None if n is None else self.spark.read.parquet(f"{self.root}/v{n}")
+        return self.release.read("rows")
 
     def write(self, df: DataFrame) -> int:
-        n = (self.newest() or 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/v{n}")
-        self._fs.create(self._path(f"{self.root}/ok-{n}"), True).close()
-        return n
+        return self.release.commit({"rows": df}, self.release.newest())

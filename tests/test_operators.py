@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groupforge.functions import names
 from groupforge.operators import assign, changes, closure, growth, legal, maps, match, rules, serve, tree
-from groupforge.plans.storage import Keyed, Versions, carried_over, compact
+from groupforge.plans.storage import Conflict, Keyed, Release, Versions, carried_over, compact
 from groupforge.sources import exports, html, lists, records, tables
 
 LINK = "parent string, child string, role string, opened date, closed date"
@@ -448,6 +448,39 @@ def test_versions_are_all_or_nothing(spark, tmp_path):
     assert table.read().count() == 5
 
 
+def test_of_two_writers_one_wins(spark, tmp_path):
+    root = str(tmp_path / "r")
+    mine, theirs = Release(spark, root), Release(spark, root)
+    first = mine.commit({"a": spark.range(3), "b": spark.range(4)}, 0)
+    with pytest.raises(Conflict):
+        theirs.commit({"a": spark.range(9)}, 0)  # there is one already
+    assert theirs.commit({"a": spark.range(5)}, first) == 2
+    with pytest.raises(Conflict):
+        mine.commit({"a": spark.range(7), "b": spark.range(7)}, first)
+    assert (mine.read("a").count(), mine.read("b").count(), mine.read("c")) == (5, 4, None)
+    assert mine.commit({"b": spark.range(1)}, 2) == 3 and theirs.read("b").count() == 1
+
+
+def test_a_failure_between_tables_shows_nothing(spark, tmp_path):
+    release = Release(spark, str(tmp_path / "r"))
+    release.commit({"a": spark.range(3), "b": spark.range(3)}, 0)
+    broken = spark.range(3).select(F.raise_error(F.lit("lost")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        release.commit({"a": spark.range(8), "b": broken}, 1)
+    assert (release.newest(), release.read("a").count(), release.read("b").count()) == (1, 3, 3)
+    (tmp_path / "r" / "commit-2").write_text('{"a": "a-')  # a writer that was stopped, or is still at it
+    assert release.newest() == 1 and release.read("a").count() == 3
+    with pytest.raises(Conflict):
+        release.commit({"a": spark.range(8)}, 1)
+
+
+def test_numbers_of_any_length_have_their_own_sort_keys(spark):
+    texts = ["n 9", "n 10", "n 99999999999999999999", "n 100000000000000000000", "n 100000000000000000001", "n 1000000000000000000000"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", names.sort_key(F.col("t")).alias("k"))
+    assert [r.t for r in df.orderBy("k").collect()] == texts and df.select("k").distinct().count() == len(texts)
+
+
+
 UNITS = "siren string, place long, denomination string, acronym string, usual_name string, cj long, band string, state string, stated date, hidden boolean"
 
 
