@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,16 +55,26 @@ def norm(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "[^A-Z0-9]+", " "))
 
 
-def norm_strings(names: pa.Array) -> pa.Array:
-    """norm() of an Arrow column, by Arrow's own string kernels."""
-    out = pc.fill_null(names.cast(pa.string()), "")
-    for sign in _APOSTROPHES:
-        out = pc.replace_substring(out, sign, "'")
-    for sign, letters in _LIGATURES.items():
-        out = pc.replace_substring(out, sign, letters)
-    out = pc.replace_substring_regex(pc.utf8_normalize(out, "NFKD"), r"[^\x00-\x7F]+", "")
-    out = pc.replace_substring(pc.ascii_upper(out), "&", " ET ")
-    return pc.ascii_trim_whitespace(pc.replace_substring_regex(out, "[^A-Z0-9]+", " "))
+class _PlainOf(dict):
+    """What str.translate puts for a character: plain()'s letters for those in its table, nothing for others beyond ASCII."""
+
+    def __missing__(self, code: int) -> int | str:
+        return code if code < 0x80 else ""
+
+
+_PLAIN_OF = _PlainOf({ord(x): letters for x, letters in _ASCII.items()})
+
+
+def norm_strings(texts: pa.Array) -> pa.Array:
+    """norm() of an Arrow column: the words of each text, joined. Texts in ASCII, the most of them, skip the table."""
+    word = re.compile("[A-Z0-9]+")
+
+    def normed(text: str | None) -> str:
+        text = text or ""
+        letters = text if text.isascii() else text.translate(_PLAIN_OF)
+        return " ".join(word.findall(letters.upper().replace("&", " ET ")))
+
+    return pa.array((normed(x) for x in texts.to_pylist()), pa.string())
 
 
 def norm_arrow(c: Column) -> Column:
