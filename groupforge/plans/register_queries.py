@@ -385,6 +385,16 @@ def cdc_link_diff(spark, t):
     return out.select("parent", "child", "role", F.col("closed").cast("string").alias("closed"), "change")
 
 
+@query(sql.DIRECTOR_DIFF)
+def cdc_director_diff(spark, t):
+    """Seats after the full state of every other company came, in which some roles are missing; persons are met by their keys and only counted."""
+    seats = t("persons").withColumn("opened", F.lit("2000-01-01").cast("date"))
+    covered = t("companies").where(F.substring("siren", 9, 1) < "5").select("siren")
+    state = seats.where("closed is null and role <> '51'").join(covered, "siren", "left_semi").select("siren", "person", F.nullif("role", F.lit("73")).alias("role")).distinct()
+    out = changes.merge_edges(seats, state, covered, DAY, "siren", ("siren", "person", "role"))
+    return out.groupBy("siren", "role", F.col("closed").cast("string").alias("closed"), "change").agg(F.count("*").alias("n"))
+
+
 @query(sql.MASKED)
 def cdc_masked_policy(spark, t):
     units, companies = t("legal_units", "companies")
