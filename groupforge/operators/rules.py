@@ -162,9 +162,11 @@ def evidence(
     managers = people.where("manager").select("siren")
     barred = offices.where(excluded(F.col("name"), list(settings.name_beginnings)) | F.col("siren").isin(list(settings.left_out))).select("siren")
     alike = known.unionByName(managers).join(barred if refused is None else barred.unionByName(refused.select("siren")), "siren", "left_anti")
-    addresses = shared_addresses(offices, retained, alike).select("address_key").withColumn("at_group", F.lit(True))
-    wide = offices.select("siren", "cj", "name", "band", "address_key").join(companies.select("siren", "staff"), "siren", "left")
-    wide = wide.join(mandates, "siren", "left").join(named, "siren", "left").join(people, "siren", "left").join(addresses, "address_key", "left")
+    # masked and missing addresses are many rows with one key: they are dropped before the join
+    located = offices.where((F.col("address_key") != "") & ~F.contains("address_key", F.lit("[ND]"))).select("siren", "address_key")
+    at_group = located.join(shared_addresses(offices, retained, alike).select("address_key"), "address_key").select("siren").distinct().withColumn("at_group", F.lit(True))
+    wide = offices.select("siren", "cj", "name", "band").join(companies.select("siren", "staff"), "siren", "left")
+    wide = wide.join(mandates, "siren", "left").join(named, "siren", "left").join(people, "siren", "left").join(at_group, "siren", "left")
     wide = wide.join(listed.groupBy("siren").agg(F.max("controlled").alias("controlled")), "siren", "left")
     if charted is None:
         wide = wide.withColumn("charted", F.lit(False))
