@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groupforge.functions import names
+from groupforge.operators.closure import closure
 from groupforge.operators.rules import LABELS, label
 from groupforge.operators.tree import open_links, roots
 from groupforge.plans.storage import cut
@@ -174,6 +175,31 @@ def lifted_parents(edges: DataFrame, imported: DataFrame) -> DataFrame:
             seen = cut(seen)
 
 
+def lifted_ways(edges: DataFrame, imported: DataFrame) -> DataFrame:
+    """child, parent, share, skipped: every way from an imported company to the nearest imported ones above it, where lifted_parents gives one for each
+    pair. A way never comes back to a company. edges: parent, child, share; edges alike count once, those with other shares are other ways.
+
+    Only steps to companies from which an imported one can be reached are taken, so the work follows the ways that are given.
+    """
+    keep = cut(imported.select(F.col("siren").alias("at")).distinct().withColumn("kept", F.lit(True)))
+    known = edges.where("parent <> child").select(F.col("child").alias("at"), F.col("parent").alias("next"), "share").distinct().join(keep, "at", "left")
+    known = cut(known.repartition("at"))
+    between = known.where("kept is null").select(F.col("next").alias("parent"), F.col("at").alias("child")).distinct()
+    leading = closure(between, keep.select(F.lit("").alias("start"), F.col("at").alias("node"))).select(F.col("node").alias("next"))
+    first = known.join(leading, "next", "left_semi")
+    up = cut(first.where("kept is null").select("at", "next").distinct())
+    step = first.where("kept").select(F.col("at").alias("child"), F.col("next").alias("at"), F.col("share").alias("first"), F.array().cast("array<string>").alias("skipped"))
+    found = None
+    while True:
+        step = cut(step.join(keep, "at", "left"))
+        hits = step.where("kept").select("child", F.col("at").alias("parent"), F.col("first").alias("share"), F.array_join("skipped", ">").alias("skipped"))
+        found = hits if found is None else found.unionByName(hits)
+        front = step.where("kept is null").select("child", "at", "first", F.concat("skipped", F.array("at")).alias("skipped"))
+        if front.isEmpty():
+            return found
+        step = front.join(up, "at").where((F.col("next") != F.col("child")) & ~F.array_contains("skipped", F.col("next"))).select("child", F.col("next").alias("at"), "first", "skipped")
+
+
 def compare(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """metric, value: companies found, extra and missed against a reference list, and how many have the same mother. Both: siren, mother."""
     a, b = ours.select("siren", F.col("mother").alias("ours"), F.lit(True).alias("a")), theirs.select("siren", F.col("mother").alias("theirs"), F.lit(True).alias("b"))

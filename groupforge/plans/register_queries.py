@@ -519,7 +519,7 @@ def tree_outline(spark, t):
 @query(sql.LIFTED)
 def crm_lifted_parents(spark, t):
     edges = tree.open_links(t("links")).where("role = '73'").groupBy("parent", "child").agg(F.max(F.day("opened") * F.lit(2.0)).alias("share"))
-    return serve.lifted_parents(edges, t("offices").where("cj is not null").select("siren"))
+    return serve.lifted_ways(edges, t("offices").where("cj is not null").select("siren"))
 
 
 @query(sql.COMPARE)

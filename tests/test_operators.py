@@ -1,6 +1,7 @@
 """Rules on small invented registers."""
 
 import functools
+import itertools
 import random
 import re
 import unicodedata
@@ -155,6 +156,16 @@ def test_lifted_parents_take_one_way(spark):
     assert [tuple(r) for r in got] == [("j12", "j00", 2.0, way)]
 
 
+def test_lifted_ways_are_all_ways(spark):
+    """Five diamonds in a row are 32 ways, which come with loops, a dead end and a repeated edge; an edge with another share is another way."""
+    edges = [(f"j{i}", f"{side}{i}", 1.0) for i in range(5) for side in "ab"] + [(f"{side}{i}", f"j{i + 1}", 2.0) for i in range(5) for side in "ab"]
+    edges += [("j5", "j5", 9.0), ("j5", "a3", 9.0), ("a4", "j5", 2.0), ("j3", "a3", 9.0), ("z1", "j2", 9.0), ("z2", "z1", 9.0), ("a1", "j1", 9.0), ("b4", "j5", 7.0)]
+    frame = spark.createDataFrame(edges, "parent string, child string, share double")
+    got = sorted(tuple(r) for r in serve.lifted_ways(frame, spark.createDataFrame([("j0",), ("j5",), ("j5",)], "siren string")).collect())
+    ways = [">".join(x for i in range(4, -1, -1) for x in ((f"{sides[i]}{i}", f"j{i}") if i else (f"{sides[i]}{i}",))) for sides in itertools.product("ab", repeat=5)]
+    assert got == sorted([("j5", "j0", 2.0, way) for way in ways] + [("j5", "j0", 7.0, way) for way in ways if way.startswith("b4")])
+
+
 def test_outline_of_loops(spark):
     group = spark.createDataFrame([("H", "H", None), ("B", "H", "C"), ("C", "H", "B"), ("D", "H", "C")], "siren string, head string, mother string")
     assert as_dict(serve.outline(group).select("siren", "place", "below")) == {"H": (1, 3), "B": (2, 2), "C": (3, 1), "D": (4, 0)}
