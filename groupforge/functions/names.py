@@ -144,6 +144,13 @@ def same_town(town: Column, city: Column) -> Column:
     return (F.length(city) > 0) & ((town == city) | (F.startswith(town, F.concat(city, F.lit(" "))) & rest.rlike("^[0-9]+$")))
 
 
+def cities_of(town: Column) -> Column:
+    """Every city that same_town() finds for a town: itself, and what stands before each word of digits."""
+    words = F.split(town, " ")
+    before = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.when((k > 0) & F.get(words, k).rlike("^[0-9]+$"), F.array_join(F.slice(words, 1, k), " ")))
+    return F.array_distinct(F.filter(F.concat(F.array(town), before), lambda c: c != ""))
+
+
 def fingerprint(c: Column, secret: bytes) -> Column:
     """HMAC-SHA-256 of the trimmed upper-case name, in hex. The secret travels in the function, never in the plan's text."""
     import hashlib

@@ -31,7 +31,9 @@ def carriers(units: DataFrame, offices: DataFrame) -> DataFrame:
 
     out = keyed(active, "name", "denomination").unionByName(keyed(active, "acronym", "acronym")).unionByName(keyed(active, "usual", "usual_name"))
     out = out.unionByName(keyed(active, "compact", "denomination", lambda c: names.compact(names.key(c))))
-    return out.unionByName(keyed(base.where("state <> 'A'"), "closed", "denomination")).distinct()
+    out = out.unionByName(keyed(base.where("state <> 'A'"), "closed", "denomination"))
+    # dealt by number, as small shuffles of names are large rows in memory, which would be put into a few tasks
+    return out.repartition(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions")), "siren").distinct()
 
 
 def controlled() -> F.col:
@@ -39,6 +41,23 @@ def controlled() -> F.col:
     return (F.col("method") == "IG") | (F.col("method").isin("NC", "inconnue") & (F.col("rate") > 50))
 
 
+def _counted(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows, low, high of each (kind, key), and rows_here, low_here, high_here of each (kind, key, city): how many carriers, the smallest and the
+    largest. Lines meet these, one row each, and never the carriers, as many lines and many carriers may share a key."""
+    all_ = table.groupBy("kind", "key").agg(F.count("siren").alias("rows"), F.min("siren").alias("low"), F.max("siren").alias("high"))
+    towns = table.groupBy("kind", "key", F.col("town").alias("commune")).agg(F.count("siren").alias("n"), F.min("siren").alias("l"), F.max("siren").alias("h"))
+    towns = towns.select("kind", "key", F.explode(names.cities_of(F.col("commune"))).alias("city"), "n", "l", "h")
+    return all_, towns.groupBy("kind", "key", "city").agg(F.sum("n").alias("rows_here"), F.min("l").alias("low_here"), F.max("h").alias("high_here"))
+
+
+def _tied(carriers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """low, high of each (doc, kind, key), and low_here, high_here of each (doc, kind, key, city). carriers: doc, kind, key, siren, town."""
+    all_ = carriers.groupBy("doc", "kind", "key").agg(F.min("siren").alias("low"), F.max("siren").alias("high"))
+    towns = carriers.groupBy("doc", "kind", "key", F.col("town").alias("commune")).agg(F.min("siren").alias("l"), F.max("siren").alias("h"))
+    towns = towns.select("doc", "kind", "key", F.explode(names.cities_of(F.col("commune"))).alias("city"), "l", "h")
+    return all_, towns.groupBy("doc", "kind", "key", "city").agg(F.min("l").alias("low_here"), F.max("h").alias("high_here"))
+
+
 def by_name(lines: DataFrame, table: DataFrame) -> DataFrame:
     """doc, line, name, key, reason, siren, carriers: steps 1 and 2, for lists of candidate names in order of `position`.
 
@@ -47,10 +66,10 @@ def by_name(lines: DataFrame, table: DataFrame) -> DataFrame:
     """
     wanted = lines.withColumn("key", names.key(F.col("name"))).withColumn("city", names.norm(F.col("town")))
     wanted = wanted.withColumn("kind", F.when(F.col("acronym"), "acronym").otherwise("name"))
-    met = wanted.join(table, ["kind", "key"], "left") if "town" not in table.columns else wanted.join(table.withColumnRenamed("town", "commune"), ["kind", "key"], "left")
-    here = F.col("siren").isNotNull() & names.same_town(F.col("commune"), F.col("city"))
+    all_, here = _counted(table)
+    met = wanted.join(all_, ["kind", "key"], "left").join(here, ["kind", "key", "city"], "left")
     counts = met.groupBy("doc", "line", "position", "name", "key", "needs_town", "fallback").agg(
-        F.count("siren").alias("carriers"), F.min("siren").alias("any"), F.count_if(here).alias("here"), F.min(F.when(here, F.col("siren"))).alias("local"),
+        F.sum(F.coalesce("rows", F.lit(0))).alias("carriers"), F.min("low").alias("any"), F.sum(F.coalesce("rows_here", F.lit(0))).alias("here"), F.min("low_here").alias("local"),
     )
     unique = (F.col("carriers") == 1) & ~F.col("needs_town")
     local = (F.col("here") == 1) & (F.col("carriers") > 0)
@@ -83,14 +102,16 @@ def group_of(links: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
 
 def by_register(lines: DataFrame, found: DataFrame, table: DataFrame, links: DataFrame) -> DataFrame:
     """Step 3: of homonyms, the only one (in the line's town where any is there) that the register ties to the group."""
-    inside = group_of(links, found, lines).withColumn("inside", F.lit(True))
+    inside = group_of(links, found, lines)
     waiting = found.where("reason = 'homonymes'").select("doc", "line", "key", "name")
     city = lines.select("doc", "line", "name", names.norm(F.col("town")).alias("city"), F.when(F.col("acronym"), "acronym").otherwise("name").alias("kind"))
-    met = waiting.join(city, ["doc", "line", "name"]).join(table.withColumnRenamed("town", "commune"), ["kind", "key"])
-    met = met.withColumn("here", names.same_town(F.col("commune"), F.col("city")))
-    some_here = F.max(F.col("here").cast("int")).over(W.partitionBy("doc", "line"))
-    met = met.withColumn("some", some_here).where((F.col("some") == 0) | F.col("here")).join(inside, ["doc", "siren"])
-    one = met.groupBy("doc", "line").agg(F.count_distinct("siren").alias("n"), F.min("siren").alias("chosen")).where("n = 1").select("doc", "line", "chosen")
+    met = waiting.join(city, ["doc", "line", "name"])
+    # what a line needs of the carriers inside, of all and of those in its town: the smallest and the largest, which are one if there is one
+    tied_all, tied_here = _tied(inside.join(table.select("kind", "key", "siren", "town"), "siren"))
+    some = met.join(_counted(table)[1].select("kind", "key", "city", "rows_here"), ["kind", "key", "city"], "left").groupBy("doc", "line").agg(F.max(F.coalesce("rows_here", F.lit(0))).alias("some"))
+    met = met.join(some, ["doc", "line"]).join(tied_all, ["doc", "kind", "key"], "left").join(tied_here, ["doc", "kind", "key", "city"], "left")
+    low, high = (F.when(F.col("some") == 0, F.col(c)).otherwise(F.col(f"{c}_here")) for c in ("low", "high"))
+    one = met.groupBy("doc", "line").agg(F.min(low).alias("chosen"), F.max(high).alias("last")).where("chosen = last").select("doc", "line", "chosen")
     out = found.join(one, ["doc", "line"], "left")
     chosen = F.col("chosen").isNotNull()
     return conflicts(out.select("doc", "line", "name", "key", F.when(chosen, "registre").otherwise(F.col("reason")).alias("reason"), F.coalesce("chosen", "siren").alias("siren"), "carriers"))
@@ -109,22 +130,24 @@ def last_resort(lines: DataFrame, found: DataFrame, table: DataFrame, links: Dat
     left = sure.join(shut, ["doc", "line"], "left_anti")
     packed = left.withColumn("look", names.compact(F.col("key"))).where(F.length("look") >= COMPACT_LEAST).withColumn("kind", F.lit("compact"))
     asked = packed.unionByName(left.withColumn("look", F.col("key")).withColumn("kind", F.lit("usual")))
-    met = asked.join(table.select("kind", F.col("key").alias("look"), "siren", F.col("town").alias("commune")), ["kind", "look"])
-    met = met.join(inside.withColumn("inside", F.lit(True)), ["doc", "siren"], "left")
-    here = names.same_town(F.col("commune"), F.col("city"))
+    own = table.where(F.col("kind").isin("compact", "usual"))
+    distinct = own.groupBy("kind", "key").agg(F.count_distinct("siren").alias("n"))
+    all_, here = _counted(own)
+    tied = _tied(inside.join(own.select("kind", "key", "siren", "town"), "siren"))[0].select("doc", "kind", F.col("key").alias("look"), F.col("low").alias("low_in"), F.col("high").alias("high_in"))
+    met = asked.join(all_.join(distinct, ["kind", "key"]).withColumnRenamed("key", "look"), ["kind", "look"]).join(here.withColumnRenamed("key", "look"), ["kind", "look", "city"], "left").join(tied, ["doc", "kind", "look"], "left")
     one = met.groupBy("doc", "line", "kind", "look", "position", "name", "key").agg(
-        F.count_distinct("siren").alias("n"), F.min("siren").alias("any"), F.count_distinct(F.when(F.col("inside"), F.col("siren"))).alias("n_in"),
-        F.min(F.when(F.col("inside"), F.col("siren"))).alias("in_"), F.count_distinct(F.when(here, F.col("siren"))).alias("n_here"), F.min(F.when(here, F.col("siren"))).alias("here"),
+        F.max("n").alias("n"), F.min("low").alias("any"), F.min("low_in").alias("in_"), F.max("high_in").alias("last_in"), F.min("low_here").alias("here"), F.max("high_here").alias("last_here"),
     )
     code = (F.col("kind") == "compact") & ((F.length("look") >= CODE_LEAST) | F.col("look").rlike("[0-9]"))
-    chosen = F.when(F.col("n_in") == 1, F.col("in_")).when(F.col("n_here") == 1, F.col("here")).when(code & (F.col("n") == 1), F.col("any"))
+    chosen = F.when(F.col("in_") == F.col("last_in"), F.col("in_")).when(F.col("here") == F.col("last_here"), F.col("here")).when(code & (F.col("n") == 1), F.col("any"))
     one = one.withColumn("chosen", chosen).where("chosen is not null")
     step = F.when(F.col("kind") == "compact", 1).otherwise(2)
     picks = one.select("doc", "line", F.struct(step.alias("step"), "position", "name", "key", F.col("chosen").alias("siren"), F.col("n").cast("long").alias("carriers")).alias("p"))
     begins = units.where("state = 'A' and closed is null and denomination is not null").select("siren", names.key(F.col("denomination")).alias("full"))
     begins = inside.where("doc <> siren").join(begins, "siren").withColumn("words", F.split("full", " ")).where(F.size("words") > START_WORDS)
     begins = begins.withColumn("key", F.explode(F.transform(F.sequence(F.lit(START_WORDS), F.size("words") - 1), lambda k: F.array_join(F.slice("words", 1, k), " "))))
-    started = left.join(begins.select("doc", "key", "siren"), ["doc", "key"]).groupBy("doc", "line", "position", "name", "key").agg(F.count_distinct("siren").alias("n"), F.min("siren").alias("siren")).where("n = 1")
+    begins = begins.groupBy("doc", "key").agg(F.min("siren").alias("siren"), F.max("siren").alias("last")).where("siren = last")
+    started = left.select("doc", "line", "position", "name", "key").distinct().join(begins.select("doc", "key", "siren"), ["doc", "key"])
     picks = picks.unionByName(started.select("doc", "line", F.struct(F.lit(3).alias("step"), "position", "name", "key", "siren", F.lit(1).cast("long").alias("carriers")).alias("p")))
     best = picks.groupBy("doc", "line").agg(F.min("p").alias("p"))
     before = found.where("siren is not null").select("doc", F.col("siren").alias("taken")).distinct()

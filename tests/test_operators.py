@@ -166,6 +166,43 @@ def test_lifted_ways_are_all_ways(spark):
     assert got == sorted([("j5", "j0", 2.0, way) for way in ways] + [("j5", "j0", 7.0, way) for way in ways if way.startswith("b4")])
 
 
+def most_rows(df):
+    """The most rows that any step of the executed plan gave."""
+    df.collect()
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        rows = p.metrics().get("numOutputRows")
+        found += [rows.get().value()] if rows.isDefined() else []
+        kind = p.getClass().getSimpleName()
+        inner = [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        todo += inner
+    return max(found)
+
+
+def test_lines_never_meet_all_carriers_of_a_key(spark):
+    """500 lines and 500 carriers of one key: one carrier is in the line's town, or none, or all."""
+    n, towns = 500, ["PARIS 12", "PARIS", "LYON 3 EST", "", "PARIS NORD"]
+    table = spark.createDataFrame([("name", "ACME", f"{i:09d}", "VANNES 2" if i == 7 else towns[i % 5]) for i in range(n)], "kind string, key string, siren string, town string")
+    lines = spark.createDataFrame([("d", i, 0, "Acme", ("Vannes", "Paris", "Nice", None)[i % 4], False, False, False, "IG", 60.0) for i in range(n)], "doc string, line long, position int, name string, town string, needs_town boolean, fallback boolean, acronym boolean, method string, rate double")
+    found = match.by_name(lines, table)
+    assert most_rows(found) <= 3 * n
+    assert {(r.line % 4, r.reason, r.siren, r.carriers) for r in found.collect()} == {(0, "commune", "000000007", n), *((k, "homonymes", None, n) for k in (1, 2, 3))}
+    links = spark.createDataFrame([("d", "000000005", "73", None), ("d", "000000009", "73", None)], "parent string, child string, role string, closed date")
+    tied = match.by_register(lines, found, table, links)
+    assert most_rows(tied) <= 3 * n
+    # in Paris only number 5 is tied to the group; elsewhere two companies are
+    assert {(r.line % 4, r.reason, r.siren) for r in tied.collect()} == {(0, "commune", "000000007"), (1, "registre", "000000005"), (2, "homonymes", None), (3, "homonymes", None)}
+
+
+@pytest.mark.parametrize("town", ["PARIS", "PARIS 12", "PARIS 12 EST", "LE 7 BOURG 3", "", "12", "PARIS  12", "PARIS 12A", None])
+def test_cities_of_a_town(spark, town):
+    asked = ["PARIS", "PARIS 12", "PARIS 12 EST", "LE", "LE 7 BOURG", "LE 7 BOURG 3", "LE 7", "", "12", "PARIS ", "EST"]
+    df = spark.createDataFrame([(town, c) for c in asked], "town string, city string")
+    got = df.select(F.coalesce(F.array_contains(names.cities_of(F.col("town")), F.col("city")), F.lit(False)), F.coalesce(names.same_town(F.col("town"), F.col("city")), F.lit(False))).collect()
+    assert all(a == b for a, b in got)
+
+
 def test_outline_of_loops(spark):
     group = spark.createDataFrame([("H", "H", None), ("B", "H", "C"), ("C", "H", "B"), ("D", "H", "C")], "siren string, head string, mother string")
     assert as_dict(serve.outline(group).select("siren", "place", "below")) == {"H": (1, 3), "B": (2, 2), "C": (3, 1), "D": (4, 0)}
