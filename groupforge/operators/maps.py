@@ -89,11 +89,14 @@ def group_map(offices: DataFrame, companies: DataFrame, links: DataFrame, person
     companies: siren, reason, round, mother, proof, confidence, level, targetable, account (the nearest company above, or itself, that can
     be targeted). in_turn: candidates of a round see those that entered before them.
     """
-    grow = growth.expand_in_turn if in_turn else rules.expand
-    kept = grow(offices, companies, links, persons, head, brands, listed, decisions, settings=settings)
-    refused = None if decisions is None else decisions.where("decision = 'ecarter'")
-    seats = rules.without_families(persons, settings.families)
-    wide = cut(rules.evidence(offices, companies, links, seats, kept, brands, listed, settings, rules.charted(offices, settings), refused))
+    if in_turn:
+        kept = growth.expand_in_turn(offices, companies, links, persons, head, brands, listed, decisions, settings=settings)
+        refused = None if decisions is None else decisions.where("decision = 'ecarter'")
+        seats = rules.without_families(persons, settings.families)
+        wide = cut(rules.evidence(offices, companies, links, seats, kept, brands, listed, settings, rules.charted(offices, settings), refused))
+    else:
+        found = rules.grown(offices, companies, links, persons, head, brands, listed, decisions, settings=settings)
+        kept, wide = found.kept, found.wide
     own = wide.join(kept.select("siren"), "siren", "left_semi")
     chosen = cut(mothers(links, kept, own, brands, house_heads(kept, brands, offices, companies), head, settings.priority))
     level = tree.roots(chosen.select(F.col("siren").alias("child"), "mother")).select(F.col("child").alias("siren"), F.col("depth").alias("level"))

@@ -224,10 +224,11 @@ def explain(offices: DataFrame, companies: DataFrame, links: DataFrame, persons:
     """
     of = F.lit(head).alias("grp")
     lines = listed.groupBy("siren").agg(F.max("controlled").alias("controlled"))
-    kept, overruled = rules.expand_traced(offices, companies, links, persons, head, brands, lines, decisions, settings=settings)
-    seats = cut(rules.without_families(persons, settings.families))
+    grown = rules.grown(offices, companies, links, persons, head, brands, lines, decisions, settings=settings)
+    kept, overruled = grown.kept, grown.lost
+    seats = grown.seats.withColumn("closed", F.lit(None).cast("date"))
     charted = rules.charted(offices, settings)
-    own = cut(rules.evidence(offices, companies, links, seats, kept, brands, lines, settings, charted, decisions.where("decision = 'ecarter'")).join(kept.select("siren"), "siren", "left_semi"))
+    own = grown.wide.join(kept.select("siren"), "siren", "left_semi")
     chosen = cut(maps.mothers(links, kept, own, brands, maps.house_heads(kept, brands, offices, companies), head, settings.priority).select(of, "siren", "proof", "confidence"))
     kept, listed = cut(kept.select(of, "*")), listed.select(of, "*")
     out = apart(offices, settings, decisions).select(of, "siren")

@@ -166,6 +166,33 @@ def test_lifted_ways_are_all_ways(spark):
     assert got == sorted([("j5", "j0", 2.0, way) for way in ways] + [("j5", "j0", 7.0, way) for way in ways if way.startswith("b4")])
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    none = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rounds_do_not_shuffle_all_seats(spark):
+    """A chain of four companies that enter one by one, and 20 000 seats that no round touches but by one director of two of them."""
+    ids = [f"{i:09d}" for i in range(4)]
+    offices = spark.createDataFrame([(x, 5710, f"NOM {x}", "11", None) for x in ids], "siren string, cj long, name string, band string, address_key string")
+    companies = offices.select("siren", F.lit(20).cast("long").alias("staff"))
+    links = spark.createDataFrame([(a, b, "73", None) for a, b in itertools.pairwise(ids)], "parent string, child string, role string, closed date")
+    own = spark.createDataFrame([(ids[0], "P", "30", None), (ids[1], "P", "65", None), (ids[3], "P", "65", None)], "siren string, person string, role string, closed date")
+    rest = spark.range(20_000).select(F.concat(F.lit("x"), F.col("id") % 997).alias("siren"), F.concat(F.lit("Q"), "id").alias("person"), F.lit("30").alias("role"), F.lit(None).cast("date").alias("closed"))
+    brands, listed = spark.createDataFrame([], "siren string, brand string, kind string"), spark.createDataFrame([], "siren string, controlled boolean")
+    before = shuffled_rows(spark)
+    found = rules.grown(offices, companies, links, own.unionByName(rest), ids[0], brands, listed)
+    assert as_dict(found.kept.select("siren", "round")) == {x: (i,) for i, x in enumerate(ids)}
+    assert shuffled_rows(spark) - before < 2 * 20_000
+    # the running counts are those of a count from the start
+    columns = ["siren", "strong", "medium", "weak", "outside", "members", "members_outside", "linked", "common", "directing", "manager", "at_group"]
+    whole = rules.evidence(offices, companies, links, own.unionByName(rest), found.kept, brands, listed)
+    assert as_dict(found.wide.select(columns)) == as_dict(whole.select(columns)) and as_dict(found.wide.select("siren", "common", "manager"))[ids[3]] == (1, True)
+
+
 def most_rows(df):
     """The most rows that any step of the executed plan gave."""
     df.collect()
