@@ -136,13 +136,13 @@ def outline(group: DataFrame) -> DataFrame:
     rows = cut(rows.select("siren", "head", up.alias("mother")))
     loops = roots(rows.where("mother is not null").select(F.col("siren").alias("child"), "mother")).where("loop and depth = 0").select(F.col("child").alias("siren"), F.lit(True).alias("opens"))
     rows = cut(rows.join(loops, "siren", "left").select("siren", "head", F.when(F.col("opens"), F.col("head")).otherwise(F.col("mother")).alias("mother")))
-    done = front = cut(rows.where("mother is null").select("siren", "head", F.col("siren").alias("path")))
-    while True:
-        front = cut(rows.join(front.select(F.col("siren").alias("mother"), "path"), "mother").select("siren", "head", F.concat("path", F.lit("/"), "siren").alias("path")))
-        if front.isEmpty():
-            break
-        done = done.unionByName(front)
-    done = cut(done)
+    # node, the place it points at, and the path from below that place down to it: pointers double, so the rounds grow with the logarithm of the depth
+    state = cut(rows.select(F.col("siren").alias("node"), "head", F.col("mother").alias("at"), F.col("siren").alias("path")))
+    while not state.where("at is not null").isEmpty():
+        ahead = state.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("path").alias("before"))
+        moved = state.where("at is not null").join(ahead, "at").select("node", "head", F.col("next").alias("at"), F.concat("before", F.lit("/"), "path").alias("path"))
+        state = cut(moved.unionByName(state.where("at is null")))
+    done = state.select(F.col("node").alias("siren"), "head", "path")
     above = done.select("head", F.explode(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)).alias("siren"))
     below = above.groupBy("head", "siren").agg(F.count("*").alias("below"))
     place = F.row_number().over(W.partitionBy("head").orderBy("path"))

@@ -230,6 +230,18 @@ def test_cities_of_a_town(spark, town):
     assert all(a == b for a, b in got)
 
 
+def test_outline_rounds_follow_the_logarithm_of_the_depth(spark):
+    rows = [(f"{i:03d}", "000", f"{i - 1:03d}" if i else None) for i in range(65)]
+    group = spark.createDataFrame(rows, "siren string, head string, mother string")
+    spark.sparkContext.setJobGroup("outline", "")
+    try:
+        assert as_dict(serve.outline(group).select("siren", "place", "below")) == {x: (i + 1, 64 - i) for i, (x, _, _) in enumerate(rows)}
+        # a walk has three jobs a level, of which there are 64
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("outline")) < 150
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_outline_of_loops(spark):
     group = spark.createDataFrame([("H", "H", None), ("B", "H", "C"), ("C", "H", "B"), ("D", "H", "C")], "siren string, head string, mother string")
     assert as_dict(serve.outline(group).select("siren", "place", "below")) == {"H": (1, 3), "B": (2, 2), "C": (3, 1), "D": (4, 0)}
