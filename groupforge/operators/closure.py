@@ -13,7 +13,7 @@ def descent(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     """start, node, level (the smallest) of all that edges (parent, child) reach from seeds (start, node); level 0: the seeds.
 
     A frontier loop: only nodes that are new go on, so loops end and no path is walked twice. The edges are written once, dealt by parent,
-    however they were made.
+    however they were made. The result is one table and not a union of levels, into which joins and filters on it would be copied.
     """
     edges = cut(edges.select(F.col("parent").alias("node"), F.col("child").alias("next")).repartition("node"))
     seen = cut(seeds.select("start", "node").distinct().withColumn("level", F.lit(0)))
@@ -28,7 +28,7 @@ def descent(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
         seen = seen.unionByName(frontier)
         if level % 8 == 0:
             seen = cut(seen)
-    return seen
+    return cut(seen) if level > 1 else seen
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -230,10 +230,9 @@ def group_cases(spark, t):
 @query(sql.EFFECT)
 def group_effect(spark, t):
     links, decisions = t("links", "decisions")
-    plain = _group(links)
-    force = rules.in_force(decisions)
-    corrected = plain.join(force.where("decision = 'ecarter'"), "siren", "left_anti").unionByName(force.where("decision = 'retenir'").select("siren")).distinct()
-    added, removed = corrected.join(plain, "siren", "left_anti"), plain.join(corrected, "siren", "left_anti")
+    plain, force = _group(links), cut(rules.in_force(decisions))
+    added = force.where("decision = 'retenir'").join(plain, "siren", "left_anti")
+    removed = plain.join(force.where("decision = 'ecarter'"), "siren", "left_semi")
     return added.select("siren", F.lit("added").alias("effect")).unionByName(removed.select("siren", F.lit("removed").alias("effect")))
 
 

@@ -87,6 +87,13 @@ def test_closure_ends_in_loops(spark):
     assert as_dict(closure.descent(edges, seeds).select("node", "level")) == {"A": (0,), "B": (1,), "C": (2,)}
 
 
+def test_closure_is_one_table_however_many_levels(spark):
+    edges = spark.createDataFrame([(f"{i:02}", f"{i + 1:02}") for i in range(11)], "parent string, child string")
+    found = closure.closure(edges, spark.createDataFrame([("00", "00")], "start string, node string"))
+    assert found.count() == 12
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nearest_good_ancestor(spark):
     parents = spark.createDataFrame([("A", None), ("B", "A"), ("C", "B"), ("D", None)], "node string, parent string")
     good = spark.createDataFrame([("A",)], "node string")
