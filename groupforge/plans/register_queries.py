@@ -12,7 +12,7 @@ from groupforge.functions import names
 from groupforge.operators import assign, changes, closure, growth, legal, match, rules, serve, tree
 from groupforge.plans import map_sql
 from groupforge.plans import register_sql as sql
-from groupforge.plans.storage import Release, cut, shared_folder, ship
+from groupforge.plans.storage import Release, cut, shared_folder, ship, shuffled
 from groupforge.sources import html, lists, records, register
 from groupforge.streaming import deliveries
 
@@ -204,7 +204,9 @@ def country_groups_grown(spark, t):
     decided = rules.in_force(t("decisions")).join(F.broadcast(heads.select("grp")))
     settings = growth.setting_rows(spark, {map_sql.GROUP_HEADS[0]: map_sql.MAP_SETTINGS})
     register = growth.Register(offices, companies, links, persons)
-    grown = growth.grow(register, offices, heads, cut(brands), lines, decided, settings)
+    with shuffled(spark):
+        brands = cut(brands)
+    grown = growth.grow(register, offices, heads, brands, lines, decided, settings)
     register.drop()
     failed = grown.failures.select("grp", F.lit(None).cast("string").alias("siren"), F.col("failure").alias("reason"), F.lit(None).cast("int").alias("round"))
     return grown.kept.unionByName(failed)

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+LEAST_SHUFFLED = 256 * 1024
+
+
+@contextmanager
+def shuffled(spark: SparkSession) -> Iterator[None]:
+    """Within it joins broadcast no table of more than LEAST_SHUFFLED bytes for its size, so what a join sends to the driver is bounded and
+    doesn't grow with the data. A lower setting stays; hints still hold."""
+    size, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    jvm = spark._jsparkSession.sessionState().conf()
+    least = min(LEAST_SHUFFLED, jvm.autoBroadcastJoinThreshold())
+    before = {n: spark.conf.get(n, None) for n in (size, adaptive)}
+    try:
+        for n in before:
+            spark.conf.set(n, str(least))
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def compact(spark: SparkSession, pattern: str, path: str, files: int) -> int:
     """Writes what many part files hold as a few, and gives the number of rows."""
     spark.read.parquet(pattern).repartition(files).write.parquet(path)
@@ -57,6 +79,11 @@ class Shelf:
         self.held.append((path, out))
         return out
 
+    def together(self, *tables: DataFrame) -> DataFrame:
+        """What several of its tables (of the same columns) hold, as one scan; nothing is written."""
+        paths = [path for t in tables for path, table in self.held if table is t]
+        return self.spark.read.schema(tables[0].schema).parquet(*paths)
+
     def close(self, *but: DataFrame) -> None:
         """Deletes all tables but those that a result still reads."""
         for path, table in self.held:
@@ -88,6 +115,9 @@ class Keyed:
     def _bucket(self):
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).drop("_b")
+
     def of(self, keys: DataFrame) -> DataFrame:
         """The rows of the buckets of keys (a column of the key's name); rows of other keys may be among them, so join."""
         wanted = sorted(r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect())

@@ -367,6 +367,25 @@ def test_settings_of_a_group(spark):
     assert {r.siren for r in rules.without_families(seats, ("DOE",)).collect()} == {"B", "C"}
 
 
+def test_growth_sends_no_table_to_the_driver_that_grows_with_the_data(spark, monkeypatch):
+    """A table of a megabyte is shuffled and not broadcast, where the register is written and where groups grow; the setting comes back."""
+    seen, name = {}, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+
+    def plan(*_):
+        mid = spark.range(100_000).select("id", F.lpad(F.col("id").cast("string"), 20, "0").alias("a"))
+        seen[len(seen)] = spark.range(10_000_000).join(mid, "id")._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(growth.Register, "_written", plan)
+    monkeypatch.setattr(growth, "_grown", plan)
+    register = growth.Register(spark.range(1), None, None, None)
+    register.spark = spark
+    growth.grow(register, None, None, None, None)
+    assert len(seen) == 2 and all("BroadcastHashJoin" not in p for p in seen.values())
+    plan()
+    assert "BroadcastHashJoin" in seen[2] and spark.conf.get(name) == before
+
+
 def grown(spark, parts, heads, **more):
     """parts: grp to what small_register gave; all groups share the register of the first."""
     o, c, l, p, *_ = next(iter(parts.values()))
