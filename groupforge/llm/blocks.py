@@ -64,12 +64,12 @@ def apart(rows: DataFrame, key: str, member: str, size: str, scratch: Scratch, p
 
 def joined_up(scratch: Scratch, stars: DataFrame, again) -> DataFrame:
     """node, component from the stars (a, b) of step 1, and then of step 2: again(parts) gives its stars, or None."""
-    parts = scratch.stage(components(scratch, stars), "parts")
+    parts = components(scratch, stars)
     more = again(parts)
     if more is None:
         return parts
     edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
-    return scratch.stage(components(scratch, edges), "parts")
+    return components(scratch, edges)
 
 
 def gathered(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import reduce
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,30 +167,73 @@ def ranked(distinct: DataFrame, keys: list[str], name: str, most: int) -> DataFr
     return keyed.withColumn("_place", place).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_h", "_range", "_place", "_start")
 
 
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node that these links reach) of each node but the smallest ones themselves."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label, x, y = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while True:
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        left = low != high
+        if not left.any():
+            break
+        x, y = x[left], y[left]
+        np.minimum.at(label, high[left], low[left])
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return nodes[moved], nodes[label[moved]]
+
+
+#: Links that a task contracts at a time.
+CONTRACTED = 1 << 18
+
+
+def _contract(links: DataFrame, whole: bool) -> DataFrame:
+    """u, v of the links (u, v) of each task, contracted slice by slice, so that a node has one row a slice. whole: the links come sorted
+    by u, and all links of a u go into one slice."""
+
+    def run(batches):
+        held, rows = [], 0
+        for b in batches:
+            held.append([b.column(k).to_numpy() for k in (0, 1)])
+            rows += b.num_rows
+            if rows < CONTRACTED:
+                continue
+            u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(u, u[-1])) if whole else rows
+            if cut:
+                yield batch(u[:cut], v[:cut])
+            held, rows = [[u[cut:], v[cut:]]], rows - cut
+        if rows:
+            yield batch(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def batch(u, v):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in contracted(u, v)], ["u", "v"])
+
+    return links.mapInArrow(run, "u long, v long")
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component) of every node of `edges` (a, b), both long; component: the smallest node that links reach.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014) until nothing changes: every round is written to the shared
-    folder, and the number of rounds grows with the logarithm of the longest path. Neighbour lists are never gathered: the smallest
-    neighbour comes from a partial aggregate that is joined back, so a hub's links stay spread.
+    Links (u, v) point to the smaller node. A round is a large star (each v gives way to its own smallest v) and a small star (all v of a u
+    meet), as of Kiveris et al. 2014, until every u has one v and no v is a u; the number of rounds grows with the logarithm of the longest
+    path. A round shuffles three times: its nodes, its links by v, its links by u. In the last the links of a task are contracted as a
+    whole, so a u has at most one row from each slice of a task, and no task holds a hub's links; those by v are met as uneven groups.
     """
-    spark, shape = scratch.spark, "u long, v long"
-    clean = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    path, seen = scratch.write(clean, "links"), None
+    ship(scratch.spark)
+    start = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+    links = scratch.stage(_contract(_contract(start, False).repartition("u").sortWithinPartitions("u"), True), "links")
     while True:
-        current = spark.read.schema(shape).parquet(path)
-        now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.sum(F.xxhash64("v", "u") % (1 << 40))).first())
-        if now == seen or not now[0]:
-            break
-        seen, total = now, 2 * now[0]
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = scratch.stage(meet(both.where("v > u"), low, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = meet(large, least, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after = scratch.write(small, "small")
-        scratch.drop(path, large)
-        path = after
-    roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("own"), "v").unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("own"), F.lit(None).cast("long").alias("v")))
+        nodes = scratch.stage(ends.groupBy("node").agg(F.sum("own").alias("own"), F.min("v").alias("m"), F.count("*").alias("n")), "nodes")
+        passing = (F.col("own") > 0) & (F.col("n") > F.col("own"))
+        total, open_ = nodes.agg(F.sum("own"), F.count_if((F.col("own") > 1) | passing)).first()
+        if not open_:
+            scratch.drop(links)
+            return nodes.select("node", F.coalesce("m", "node").alias("component"))
+        ups = nodes.where(passing).select(F.col("node").alias("v"), "m", (F.col("n") - F.col("own")).alias("n"))
+        jumped = meet(links, ups, ["v"], "n", total, "left").select("u", F.coalesce("m", "v").alias("v"))
+        after = scratch.stage(_contract(jumped.repartition("u").sortWithinPartitions("u"), True), "links")
+        scratch.drop(links, nodes)
+        links = after

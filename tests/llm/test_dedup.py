@@ -250,3 +250,35 @@ def test_components(spark, seed):
     got = common.components(common.Scratch(spark, "parts"), spark.createDataFrame(links, "a long, b long")).collect()
     touched = {x for a, b in links if a != b for x in (a, b)}
     assert sorted((r.node, r.component) for r in got) == [(x, want[x]) for x in sorted(touched)]
+
+
+def stages_of(spark, name, links):
+    """What components() gives for links, and how many stages ran for it."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        got = common.components(common.Scratch(spark, "parts"), spark.createDataFrame(links, "a long, b long")).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup(name)]
+    infos = [context.statusTracker().getStageInfo(s) for j in jobs for s in j.stageIds]
+    return {r.node: r.component for r in got}, sum(1 for i in infos if i and i.numCompletedTasks)
+
+
+def test_components_take_few_shuffles(spark):
+    stars = [(k * 1000, k * 1000 + i) for k in range(4) for i in range(1, 60)]
+    got, plain = stages_of(spark, "stars", stars)
+    assert got == {x: x // 1000 * 1000 for link in stars for x in link}
+    assert plain <= 8  # nothing is left to join: no round, and none that finds it so
+    path = [(i, i + 1) for i in range(500)]
+    random.Random(4).shuffle(path)
+    got, long = stages_of(spark, "path", path)
+    assert got == dict.fromkeys(range(501), 0)
+    assert long <= 60
+
+
+def test_contracted_slices_keep_whole_nodes(spark, monkeypatch):
+    monkeypatch.setattr(common, "CONTRACTED", 7)
+    links = [(i, i + 1) for i in range(120)] + [(500, i) for i in range(200, 300)]
+    got = common.components(common.Scratch(spark, "parts"), spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == dict.fromkeys(range(121), 0) | dict.fromkeys([500, *range(200, 300)], 200)
