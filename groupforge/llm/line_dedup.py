@@ -19,12 +19,12 @@ others can't clash. An empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groupforge.plans.storage import ordered_buckets
+
 from .common import ROW, SPACES, Scratch, by_row, documents, meet
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
@@ -52,20 +52,6 @@ def _hashed(text: Column, least_chars: int) -> Column:
     return F.filter(F.transform(F.transform(lines(text), key), one), lambda x: x["chars"] >= least_chars)
 
 
-@contextmanager
-def ordered_buckets(spark: SparkSession) -> Iterator[None]:
-    """Within it, plans may rely on the order of buckets that are one sorted file each (Spark checks the number of files)."""
-    settings = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
-
 class Runs:
     """Sorted runs of disjoint keys, by level; each is a table of hash buckets."""
 

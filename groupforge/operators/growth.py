@@ -2,8 +2,8 @@
 
 All state is keyed by group, so the number of jobs depends on the rounds of the slowest group and not on how many there are; a group
 that stops growing has no frontier and costs nothing more. Evidence is kept as running counts. A round looks up only what its new
-companies touch: their links, their directors' other seats, their addresses (storage.Keyed, which reads the buckets of those keys),
-and judges only the candidates whose counts that changed, since all others would be judged as before.
+companies touch: their links and their directors' other seats (storage.Sorted, which joins read in order without a shuffle), their addresses
+(storage.Keyed, which reads the buckets of those keys), and judges only the candidates whose counts that changed, since all others would be judged as before.
 
 Every count that matters grows: links from inside, directors met, directors who sit twice, companies alike at an address. So an address
 that is the group's once stays so. The rules themselves aren't monotone (a medium mandate refuses what a brand would let in), which is
@@ -28,7 +28,7 @@ from groupforge.functions import names
 from groupforge.operators import rules
 from groupforge.operators.rules import DIRECTING, MAX_ROUNDS, MEDIUM, STRONG, WEAK, Settings
 from groupforge.operators.tree import open_links
-from groupforge.plans.storage import Keyed, Shelf, shuffled
+from groupforge.plans.storage import Keyed, Shelf, Sorted, buckets_here, ordered_buckets, shuffled
 
 COUNTS = ("strong", "medium", "weak", "inside_members", "common")
 FLAGS = ("linked", "directing", "manager", "at_group")
@@ -39,7 +39,7 @@ class Register:
     """What stays the same for all groups and rounds, each table written once by the key it is looked up by."""
 
     def __init__(self, offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, buckets: int = 16):
-        with shuffled(offices.sparkSession):
+        with shuffled(offices.sparkSession), ordered_buckets(offices.sparkSession):
             self._written(offices, companies, links, persons, buckets)
 
     def _written(self, offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, buckets: int) -> None:
@@ -49,16 +49,18 @@ class Register:
         known = known.join(companies.groupBy("siren").agg(F.max("staff").alias("staff")), "siren", "left")
         roles = {"strong": list(STRONG), "medium": list(MEDIUM), "weak": list(WEAK), "member": ["11"]}
         edges = open_links(links).select("parent", "child", *[F.col("role").isin(r).cast("int").alias(k) for k, r in roles.items()])
-        self.links = Keyed(edges, "parent", buckets)
+        self.links = Sorted(edges, "parent")
         totals = self.links.all().groupBy(F.col("child").alias("siren")).agg(F.sum("strong").alias("all_strong"), F.sum("member").alias("members"))
-        seats = persons.where("closed is null").groupBy("siren", "person").agg(F.bool_or(F.col("role").isin(DIRECTING)).alias("directs"))
+        # dealt by company before they are grouped, so that the table's buckets need no second shuffle
+        seats = persons.where("closed is null").select("siren", "person", F.col("role").isin(DIRECTING).alias("directs")).repartition(buckets_here(offices.sparkSession), "siren")
+        seats = seats.groupBy("siren", "person").agg(F.bool_or("directs").alias("directs"))
         self.spark = offices.sparkSession
         self.offices = Keyed(known.join(totals, "siren", "left").fillna(0, ["all_strong", "members"]), "siren", buckets)
         placed = self.offices.all().where("address is not null")
         self.at_address = Keyed(placed.select("address", "siren"), "address", buckets)
         self.members_at = Keyed(placed.groupBy("address").agg(F.count_if(~F.col("association")).alias("all")), "address", buckets)
-        self.seats = Keyed(seats.withColumn("family", F.substring_index("person", "|", 1)), "siren", buckets)
-        self.seats_of = Keyed(self.seats.all().select("person", "siren", "directs"), "person", buckets)
+        self.seats = Sorted(seats.withColumn("family", F.substring_index("person", "|", 1)), "siren", dealt=True)
+        self.seats_of = Sorted(self.seats.all().select("person", "siren", "directs"), "person")
 
     def drop(self) -> None:
         for t in (self.offices, self.at_address, self.members_at, self.links, self.seats, self.seats_of):
@@ -160,7 +162,7 @@ def grow(
 
     brands: grp, siren, brand (normalised), kind. listed: grp, siren, controlled. decisions: grp, siren, decision. settings: as setting_rows.
     """
-    with shuffled(register.spark):
+    with shuffled(register.spark), ordered_buckets(register.spark):
         return _grown(register, offices, heads, brands, listed, decisions, settings, in_turn, max_rounds)
 
 

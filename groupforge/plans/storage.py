@@ -55,6 +55,20 @@ def shuffled(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
+@contextmanager
+def ordered_buckets(spark: SparkSession) -> Iterator[None]:
+    """Within it, plans may rely on the order of buckets that are one sorted file each (Spark checks the number of files)."""
+    settings = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def compact(spark: SparkSession, pattern: str, path: str, files: int) -> int:
     """Writes what many part files hold as a few, and gives the number of rows."""
     spark.read.parquet(pattern).repartition(files).write.parquet(path)
@@ -127,6 +141,33 @@ class Keyed:
         deleted(self.spark, self.path)
 
 
+class Sorted:
+    """A table written once in sorted hash buckets of a key, one file each: joins by that key read it in order, and neither shuffle nor sort it
+    (within ordered_buckets). There are as many buckets as shuffle partitions. dealt: df is dealt by the key into as many already."""
+
+    def __init__(self, df: DataFrame, key: str, dealt: bool = False):
+        self.spark, self.key, self.buckets = df.sparkSession, key, buckets_here(df.sparkSession)
+        name = f"groupforge_sorted_{uuid.uuid4().hex}"
+        self.table, self.path = name, f"{shared_folder(self.spark)}/groupforge/{name}"
+        rows = (df if dealt else df.repartition(self.buckets, key)).sortWithinPartitions(key)
+        rows.write.bucketBy(self.buckets, key).sortBy(key).option("path", self.path).saveAsTable(name)
+
+    def all(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def of(self, keys: DataFrame) -> DataFrame:
+        """As Keyed.of: rows of other keys are among them, so join."""
+        return self.all()
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.table}")
+        deleted(self.spark, self.path)
+
+
+def buckets_here(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 _SHIPPED: set[str] = set()
 
 

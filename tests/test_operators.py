@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from groupforge.functions import names
 from groupforge.operators import assign, changes, closure, growth, legal, maps, match, rules, serve, tree
-from groupforge.plans.storage import Conflict, Keyed, Release, Versions, carried_over, compact
-from groupforge.sources import exports, html, lists, records, tables
+from groupforge.plans.storage import Conflict, Keyed, Release, Versions, carried_over, compact, ordered_buckets, shuffled
+from groupforge.sources import exports, html, lists, records, register, tables
 
 LINK = "parent string, child string, role string, opened date, closed date"
 
@@ -854,3 +854,21 @@ def test_rows_of_exports(spark):
     assert as_dict(serve.brand_entities(["l'or", "zinc"], heads)) == {"B1": ("l'or", "1"), "B2": ("zinc", None)}
     kinds = [r[0] for r in spark.sql("select * from values ('H', 'x'), ('a', 'Société civile ou SCI'), ('b', 'GIE de moyens'), ('c', null) t(siren, reason)").select(serve.entity_type(F.col("siren"), F.lit("H"), F.col("reason"))).collect()]
     assert kinds == ["holding_operating_group", "sci", "shared_service", "operating_company"]
+
+
+def test_lookups_of_links_and_seats_shuffle_no_table(spark, sf_dir):
+    views = register.load(spark, sf_dir, ("offices", "companies", "links", "persons"))
+    persons = views["persons"]
+    kept = growth.Register(*views.values())
+    with shuffled(spark), ordered_buckets(spark):
+        for table in (kept.links, kept.seats, kept.seats_of):
+            key, keys = table.key, table.all().select(table.key).distinct().limit(20)
+            keys = spark.createDataFrame(keys.collect(), f"{table.key} string")
+            plan = table.of(keys).join(keys.hint("merge"), key)
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            assert text.count("Exchange") == 1 and text.count("Sort [") == 1, text  # those of the keys
+            want = {r[0] for r in keys.collect()}
+            assert plan.count() == sum(r[0] in want for r in table.all().select(key).collect()) > 0
+    assert kept.seats.all().groupBy("siren", "person").count().where("count > 1").isEmpty()
+    assert kept.seats.all().count() == persons.where("closed is null").select("siren", "person").distinct().count()
+    kept.drop()
