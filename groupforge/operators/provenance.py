@@ -11,7 +11,8 @@ counted and never named, and neither is a mother that is a sole trader or unknow
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from groupforge.functions import names
 from groupforge.operators import maps, rules
 from groupforge.operators.rules import LABELS, MEDIUM, STRONG, Settings, label
 from groupforge.operators.tree import open_links
-from groupforge.plans.storage import cut
+from groupforge.plans.storage import cut, settled
 
 #: Methods of consolidation in words.
 METHODS = {"IG": "intégration globale", "MEE": "mise en équivalence", "NC": "non consolidée", "inconnue": "méthode non publiée", "autre": "autre méthode"}
@@ -207,14 +208,26 @@ def indications(found: DataFrame, offices: DataFrame, links: DataFrame, persons:
     return out.select("grp", "siren", "side", "text")
 
 
-@dataclass(frozen=True)
 class Explained:
-    """evidence, cases and indications of one group, and kept (grp, siren, reason, round)."""
+    """evidence, cases and indications of one group, and kept (grp, siren, reason, round). Each is worked out when it is first asked for,
+    where no join broadcasts a table that grows with the register, and written."""
 
-    kept: DataFrame
-    evidence: DataFrame
-    cases: DataFrame
-    indications: DataFrame
+    def __init__(self, kept: DataFrame, evidence: Callable[[], DataFrame], cases: Callable[[DataFrame], DataFrame], indications: Callable[[DataFrame, DataFrame], DataFrame]):
+        self.kept, self._evidence, self._cases, self._indications = kept, evidence, cases, indications
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return settled(self.kept.sparkSession, self._evidence)
+
+    @cached_property
+    def cases(self) -> DataFrame:
+        found = self.evidence
+        return settled(self.kept.sparkSession, lambda: self._cases(found))
+
+    @cached_property
+    def indications(self) -> DataFrame:
+        found, doubts = self.evidence, self.cases
+        return settled(self.kept.sparkSession, lambda: self._indications(found, doubts))
 
 
 def explain(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, head: str, brands: DataFrame, listed: DataFrame, decisions: DataFrame, settings: Settings = rules.PLAIN) -> Explained:
@@ -222,16 +235,21 @@ def explain(offices: DataFrame, companies: DataFrame, links: DataFrame, persons:
 
     brands: siren, brand, kind. listed: siren, controlled, method, rate, source, text. decisions: siren, decision, those in force.
     """
-    of = F.lit(head).alias("grp")
+    spark, of = offices.sparkSession, F.lit(head).alias("grp")
     lines = listed.groupBy("siren").agg(F.max("controlled").alias("controlled"))
     grown = rules.grown(offices, companies, links, persons, head, brands, lines, decisions, settings=settings)
-    kept, overruled = grown.kept, grown.lost
+    overruled = grown.lost.select(of, "siren", "rule")
     seats = grown.seats.withColumn("closed", F.lit(None).cast("date"))
-    charted = rules.charted(offices, settings)
-    own = grown.wide.join(kept.select("siren"), "siren", "left_semi")
-    chosen = cut(maps.mothers(links, kept, own, brands, maps.house_heads(kept, brands, offices, companies), head, settings.priority).select(of, "siren", "proof", "confidence"))
-    kept, listed = cut(kept.select(of, "*")), listed.select(of, "*")
-    out = apart(offices, settings, decisions).select(of, "siren")
-    found = cut(evidence(offices, links, seats, kept, brands.select(of, "siren", "brand", "kind"), listed, None if charted is None else charted.select(of, "siren"), out))
-    doubts = cut(cases(offices, links, kept, chosen, found, listed, decisions.select(of, "siren", "decision"), overruled.select(of, "siren", "rule"), apart(offices, settings).select(of, "siren")))
-    return Explained(kept, found, doubts, indications(doubts, offices, links, seats, kept, found, listed))
+    kept, listed = settled(spark, lambda: grown.kept.select(of, "*")), listed.select(of, "*")
+
+    def told() -> DataFrame:
+        charted = rules.charted(offices, settings)
+        out = apart(offices, settings, decisions).select(of, "siren")
+        return evidence(offices, links, seats, kept, brands.select(of, "siren", "brand", "kind"), listed, None if charted is None else charted.select(of, "siren"), out)
+
+    def doubts(found: DataFrame) -> DataFrame:
+        own = grown.wide.join(grown.kept.select("siren"), "siren", "left_semi")
+        chosen = cut(maps.mothers(links, grown.kept, own, brands, maps.house_heads(grown.kept, brands, offices, companies), head, settings.priority).select(of, "siren", "proof", "confidence"))
+        return cases(offices, links, kept, chosen, found, listed, decisions.select(of, "siren", "decision"), overruled, apart(offices, settings).select(of, "siren"))
+
+    return Explained(kept, told, doubts, lambda found, doubts: indications(doubts, offices, links, seats, kept, found, listed))

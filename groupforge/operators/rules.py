@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from groupforge.functions import names
 from groupforge.operators.tree import open_links
-from groupforge.plans.storage import Shelf, cut
+from groupforge.plans.storage import Shelf, cut, shuffled
 
 #: Role codes and their labels.
 STRONG = {
@@ -275,8 +275,14 @@ def grown(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: D
     """What expand gives, and what it was judged by.
 
     Mandates and directors are running counts: a round adds what its new companies hold, and meets the seats of those persons only who
-    were met for the first time or now sit in a second company, so seats are shuffled once and not in every round.
+    were met for the first time or now sit in a second company, so seats are shuffled once and not in every round. No join broadcasts a table
+    that grows with the register.
     """
+    with shuffled(offices.sparkSession):
+        return _grown(offices, companies, links, persons, head, brands, listed, decisions, max_rounds, settings)
+
+
+def _grown(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: DataFrame, head: str, brands: DataFrame, listed: DataFrame, decisions: DataFrame | None, max_rounds: int, settings: Settings) -> Grown:
     spark = offices.sparkSession
     shelf = Shelf(spark, "expand")
     put = shelf.put
@@ -306,7 +312,7 @@ def grown(offices: DataFrame, companies: DataFrame, links: DataFrame, persons: D
         people = summed(people, met, "siren", ("directing", "manager"))
         wide = put(_evidence(known, _outside(totals, held), people, kept, settings, refused))
         if n > max_rounds:
-            warnings.warn(f"the group of {head} still grew in round {max_rounds}", stacklevel=4)
+            warnings.warn(f"the group of {head} still grew in round {max_rounds}", stacklevel=5)
             break
         ready = wide.join(kept.select("siren"), "siren", "left_anti").withColumn("rule", entry_reason(F.col("normed")))
         ready = ready.withColumn("decision", F.lit(None).cast("string")) if decisions is None else ready.join(decisions, "siren", "left")

@@ -9,13 +9,15 @@ from groupforge.functions import names
 from groupforge.operators import assign, changes, closure, legal, maps, match, provenance, rules, serve, tree
 from groupforge.plans import map_sql as sql
 from groupforge.plans.register_queries import HEAD, LOW_DEGREE, _hits, _listed, query
-from groupforge.plans.storage import cut
+from groupforge.plans.storage import cut, settled, shuffled
 from groupforge.sources import tables
 
 
 def _map(t) -> maps.GroupMap:
     offices, companies, links, persons = t("offices", "companies", "links", "persons")
-    return maps.group_map(offices, companies, links, persons, HEAD, cut(_hits(t)), _listed(t), cut(rules.in_force(t("decisions"))), sql.MAP_SETTINGS)
+    with shuffled(offices.sparkSession):
+        hits, decided = cut(_hits(t)), cut(rules.in_force(t("decisions")))
+    return maps.group_map(offices, companies, links, persons, HEAD, hits, _listed(t), decided, sql.MAP_SETTINGS)
 
 
 @query(sql.MAP_COMPANIES)
@@ -42,7 +44,9 @@ def _explained(t) -> provenance.Explained:
     offices, companies, links, persons = t("offices", "companies", "links", "persons")
     lines = t("doc_lines").where(F.col("doc") == HEAD)
     listed = lines.select(F.lpad((F.col("line") * 3).cast("string"), 9, "0").alias("siren"), match.controlled().alias("controlled"), "method", "rate", F.col("doc").alias("source"), F.col("name").alias("text"))
-    return provenance.explain(offices, companies, links, persons, HEAD, cut(_hits(t)), cut(listed), cut(rules.in_force(t("decisions"))), sql.MAP_SETTINGS)
+    with shuffled(offices.sparkSession):
+        hits, listed, decided = cut(_hits(t)), cut(listed), cut(rules.in_force(t("decisions")))
+    return provenance.explain(offices, companies, links, persons, HEAD, hits, listed, decided, sql.MAP_SETTINGS)
 
 
 @query(sql.EVIDENCE)
@@ -54,8 +58,8 @@ def group_evidence(spark, t):
 def group_cases_explained(spark, t):
     """Each case with its rule, one row for each indication for and against it."""
     found = _explained(t)
-    met = found.cases.join(found.indications, ["grp", "siren"], "left")
-    return met.select("siren", "name", "kinds", "rule", "kept", "decision", "side", "text")
+    cases, texts = found.cases, found.indications
+    return settled(spark, lambda: cases.join(texts, ["grp", "siren"], "left").select("siren", "name", "kinds", "rule", "kept", "decision", "side", "text"))
 
 
 def _country(t) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
@@ -55,6 +55,12 @@ def shuffled(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives, worked out within shuffled and written: whoever reads it runs none of its joins, so none is broadcast then either."""
+    with shuffled(spark):
+        return cut(make())
+
+
 @contextmanager
 def ordered_buckets(spark: SparkSession) -> Iterator[None]:
     """Within it, plans may rely on the order of buckets that are one sorted file each (Spark checks the number of files)."""

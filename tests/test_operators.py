@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groupforge.functions import names
-from groupforge.operators import assign, changes, closure, growth, legal, maps, match, rules, serve, tree
+from groupforge.operators import assign, changes, closure, growth, legal, maps, match, provenance, rules, serve, tree
 from groupforge.plans.storage import Conflict, Keyed, Release, Versions, carried_over, compact, ordered_buckets, shuffled
 from groupforge.sources import exports, html, lists, records, register, tables
 
@@ -473,6 +473,40 @@ def test_map_of_a_group(spark):
     assert [r.siren for r in empty.companies.collect()] == ["H"] and empty.links.isEmpty() and empty.foreign.isEmpty()
 
 
+def limits_seen(spark, monkeypatch, *steps):
+    """A dictionary that takes, of each step (module, name) that runs, the size up to which joins broadcast by then."""
+    seen = {}
+
+    def watched(name, step):
+        def run(*args, **more):
+            seen[name] = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+            return step(*args, **more)
+
+        return run
+
+    for module, name in steps:
+        monkeypatch.setattr(module, name, watched(name, getattr(module, name)))
+    return seen
+
+
+def explained(spark):
+    o, c, l, p, head, b, _ = small_register(spark, [(x, i) for i, x in enumerate("HABCX")], [("H", "A", "73"), ("A", "B", "73"), ("C", "X", "65"), ("B", "X", "65")], [("C", "NAME", "sure")])
+    listed = spark.createDataFrame([("X", False, "MEE", 40.0, "doc", "X")], "siren string, controlled boolean, method string, rate double, source string, text string")
+    return provenance.explain(o, c, l, p, head, b, listed, spark.createDataFrame([("C", "ecarter")], "siren string, decision string"))
+
+
+def test_explaining_a_group_broadcasts_no_table_that_grows_with_the_data(spark, monkeypatch):
+    """Growth, evidence, cases and indications run where joins broadcast 256 KB at most, and what they give is written: reading it joins nothing."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    seen = limits_seen(spark, monkeypatch, (rules, "_evidence"), (maps, "mothers"), *[(provenance, n) for n in ("evidence", "cases", "indications")])
+    found = explained(spark)
+    tables = found.indications, found.cases, found.evidence, found.kept
+    assert set(seen) == {"_evidence", "mothers", "evidence", "cases", "indications"} and set(seen.values()) == {str(256 * 1024)}
+    assert all("Join" not in t._jdf.queryExecution().executedPlan().toString() for t in tables)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert {r.siren for r in found.kept.collect()} == {"H", "A", "B"} and as_dict(found.cases.select("siren", "kinds")) == {"C": ("decision",), "X": ("participation",)}
+
+
 def test_loops_open_where_the_first_meets_them(spark):
     """Loop A-B-C; Z entered first and hangs below B, so B is met first. Loop P-Q alone: its first company."""
     chosen = spark.createDataFrame([("A", "B", 2), ("B", "C", 2), ("C", "A", 2), ("Z", "B", 1), ("P", "Q", 3), ("Q", "P", 2), ("E", "H", 1)], "siren string, mother string, round int")
