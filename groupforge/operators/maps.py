@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cache, cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupforge.functions import names
 from groupforge.operators import closure, growth, rules, tree
 from groupforge.operators.assign import levels_within
 from groupforge.operators.rules import LABELS, MEDIUM, STRONG, WEAK, Settings, label
-from groupforge.plans.storage import cut
+from groupforge.plans.storage import cut, settled, shuffled
 
 LOOP_CUT, BELOW_HEAD = "Déduit : boucle de mandats coupée", "Déduit : rattachée à la tête du groupe"
 
 
-@dataclass(frozen=True)
 class GroupMap:
-    """companies, links, participations (not controlled, but with a mandate), foreign, cases: the tables of one group."""
+    """companies, links, participations (not controlled, but with a mandate), foreign, cases: the tables of one group. Each is worked out when it
+    is first asked for, where no join broadcasts a table that grows with the register, and written."""
 
-    companies: DataFrame
-    links: DataFrame
-    participations: DataFrame
-    foreign: DataFrame
-    cases: DataFrame
+    def __init__(self, spark: SparkSession, **made: Callable[[], DataFrame]):
+        self._spark, self._made = spark, made
+
+    def _settled(self, name: str) -> DataFrame:
+        return settled(self._spark, self._made[name])
+
+    companies = cached_property(lambda self: self._settled("companies"))
+    links = cached_property(lambda self: self._settled("links"))
+    participations = cached_property(lambda self: self._settled("participations"))
+    foreign = cached_property(lambda self: self._settled("foreign"))
+    cases = cached_property(lambda self: self._settled("cases"))
 
 
 def house_heads(kept: DataFrame, brands: DataFrame, offices: DataFrame, companies: DataFrame) -> DataFrame:
@@ -89,38 +96,53 @@ def group_map(offices: DataFrame, companies: DataFrame, links: DataFrame, person
     companies: siren, reason, round, mother, proof, confidence, level, targetable, account (the nearest company above, or itself, that can
     be targeted). in_turn: candidates of a round see those that entered before them.
     """
+    spark = offices.sparkSession
     if in_turn:
         kept = growth.expand_in_turn(offices, companies, links, persons, head, brands, listed, decisions, settings=settings)
         refused = None if decisions is None else decisions.where("decision = 'ecarter'")
         seats = rules.without_families(persons, settings.families)
-        wide = cut(rules.evidence(offices, companies, links, seats, kept, brands, listed, settings, rules.charted(offices, settings), refused))
+        with shuffled(spark):
+            wide = cut(rules.evidence(offices, companies, links, seats, kept, brands, listed, settings, rules.charted(offices, settings), refused))
     else:
         found = rules.grown(offices, companies, links, persons, head, brands, listed, decisions, settings=settings)
         kept, wide = found.kept, found.wide
-    own = wide.join(kept.select("siren"), "siren", "left_semi")
-    chosen = cut(mothers(links, kept, own, brands, house_heads(kept, brands, offices, companies), head, settings.priority))
-    level = tree.roots(chosen.select(F.col("siren").alias("child"), "mother")).select(F.col("child").alias("siren"), F.col("depth").alias("level"))
-    target = cut(rules.targetable(offices, companies).join(kept.select("siren"), "siren", "left_semi"))
-    up = cut(kept.select("siren").join(chosen, "siren", "left").select(F.col("siren").alias("node"), F.col("mother").alias("parent")))
-    account = closure.nearest(up, target.where("targetable").select(F.col("siren").alias("node"))).select(F.col("node").alias("siren"), F.col("found").alias("account"))
-    rows = kept.join(chosen, "siren", "left").join(level, "siren", "left").join(target.select("siren", "targetable"), "siren", "left").join(account, "siren", "left")
-    rows = rows.select(
-        "siren", "reason", F.col("round").cast("long").alias("round"), "mother", F.coalesce("proof", F.lit("Tête du groupe")).alias("proof"), F.coalesce("confidence", F.lit("A")).alias("confidence"),
-        F.coalesce("level", F.lit(0)).cast("long").alias("level"), F.coalesce("targetable", F.lit(False)).alias("targetable"), "account",
-    )
+
+    @cache
+    def chosen() -> DataFrame:
+        own = wide.join(kept.select("siren"), "siren", "left_semi")
+        return cut(mothers(links, kept, own, brands, house_heads(kept, brands, offices, companies), head, settings.priority))
+
+    def rows() -> DataFrame:
+        level = tree.roots(chosen().select(F.col("siren").alias("child"), "mother")).select(F.col("child").alias("siren"), F.col("depth").alias("level"))
+        target = cut(rules.targetable(offices, companies).join(kept.select("siren"), "siren", "left_semi"))
+        up = cut(kept.select("siren").join(chosen(), "siren", "left").select(F.col("siren").alias("node"), F.col("mother").alias("parent")))
+        account = closure.nearest(up, target.where("targetable").select(F.col("siren").alias("node"))).select(F.col("node").alias("siren"), F.col("found").alias("account"))
+        met = kept.join(chosen(), "siren", "left").join(level, "siren", "left").join(target.select("siren", "targetable"), "siren", "left").join(account, "siren", "left")
+        return met.select(
+            "siren", "reason", F.col("round").cast("long").alias("round"), "mother", F.coalesce("proof", F.lit("Tête du groupe")).alias("proof"), F.coalesce("confidence", F.lit("A")).alias("confidence"),
+            F.coalesce("level", F.lit(0)).cast("long").alias("level"), F.coalesce("targetable", F.lit(False)).alias("targetable"), "account",
+        )
+
     from_kept = tree.open_links(links).join(kept.select(F.col("siren").alias("parent")), "parent", "left_semi").select("parent", "child", "role").distinct()
-    inside = from_kept.join(kept.select(F.col("siren").alias("child")), "child", "left_semi").where(F.col("role").isin(list(LABELS)))
-    inside = inside.select("parent", "child", label(F.col("role")).alias("role"), F.concat(F.lit("Mandat au registre : "), label(F.col("role"))).alias("proof"))
     apart = wide.join(kept.select("siren"), "siren", "left_anti").select("siren", "controlled", "cj", "sure", "barred")
-    stated = F.coalesce(~F.col("controlled"), F.lit(False))
-    shares = apart.join(from_kept.select(F.col("child").alias("siren"), "parent", "role"), "siren", "left").groupBy("siren", stated.alias("stated")).agg(
-        F.sort_array(F.collect_list(F.when(F.col("role").isin(list(MEDIUM)) | (F.col("role").isin(list(STRONG)) & stated), F.concat("parent", F.lit(" "), label(F.col("role")))))).alias("mandates"),
-        F.count_if(F.col("role").isin(list(MEDIUM))).alias("medium"),
-    )
-    shares = shares.where("medium > 0 or stated").select("siren", F.array_join("mandates", "; ").alias("mandates"))
-    foreign = apart.where(F.col("cj").cast("string").startswith("3") & ~F.col("barred") & (F.col("sure") | F.coalesce("controlled", F.lit(False)))).select("siren")
-    foreign = foreign.join(offices.select("siren", "name"), "siren")
-    return GroupMap(rows, inside, shares, foreign, rules.doubtful(links, kept, chosen))
+
+    def inside() -> DataFrame:
+        held = from_kept.join(kept.select(F.col("siren").alias("child")), "child", "left_semi").where(F.col("role").isin(list(LABELS)))
+        return held.select("parent", "child", label(F.col("role")).alias("role"), F.concat(F.lit("Mandat au registre : "), label(F.col("role"))).alias("proof"))
+
+    def shares() -> DataFrame:
+        stated = F.coalesce(~F.col("controlled"), F.lit(False))
+        held = apart.join(from_kept.select(F.col("child").alias("siren"), "parent", "role"), "siren", "left").groupBy("siren", stated.alias("stated")).agg(
+            F.sort_array(F.collect_list(F.when(F.col("role").isin(list(MEDIUM)) | (F.col("role").isin(list(STRONG)) & stated), F.concat("parent", F.lit(" "), label(F.col("role")))))).alias("mandates"),
+            F.count_if(F.col("role").isin(list(MEDIUM))).alias("medium"),
+        )
+        return held.where("medium > 0 or stated").select("siren", F.array_join("mandates", "; ").alias("mandates"))
+
+    def foreign() -> DataFrame:
+        met = apart.where(F.col("cj").cast("string").startswith("3") & ~F.col("barred") & (F.col("sure") | F.coalesce("controlled", F.lit(False)))).select("siren")
+        return met.join(offices.select("siren", "name"), "siren")
+
+    return GroupMap(spark, companies=rows, links=inside, participations=shares, foreign=foreign, cases=lambda: rules.doubtful(links, kept, chosen()))
 
 
 def warnings_of(companies: DataFrame, data_day: DataFrame, today: str, most: int = 7) -> DataFrame:
