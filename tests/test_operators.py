@@ -507,6 +507,25 @@ def test_explaining_a_group_broadcasts_no_table_that_grows_with_the_data(spark,
     assert {r.siren for r in found.kept.collect()} == {"H", "A", "B"} and as_dict(found.cases.select("siren", "kinds")) == {"C": ("decision",), "X": ("participation",)}
 
 
+def grown_by_hand(spark, monkeypatch):
+    """A register and its group H, A, B, which no growth has to find."""
+    given = o, c, l, p, _, b, listed = small_register(spark, [(x, i) for i, x in enumerate("HABX")], [("H", "A", "73"), ("A", "B", "73"), ("B", "X", "65")], [])
+    kept = spark.createDataFrame([(x, "mandat fort au registre", i) for i, x in enumerate("HAB")], "siren string, reason string, round int")
+    lost, seats = spark.createDataFrame([], "siren string, rule string"), spark.createDataFrame([], "siren string, person string, directs boolean")
+    found = rules.Grown(kept, lost, rules.evidence(o, c, l, p, kept, b, listed), seats)
+    monkeypatch.setattr(rules, "grown", lambda *_, **__: found)
+    return given
+
+
+def test_evidence_alone_needs_no_mothers_and_no_cases(spark, monkeypatch):
+    o, c, l, p, head, b, _ = grown_by_hand(spark, monkeypatch)
+    seen = limits_seen(spark, monkeypatch, (maps, "mothers"), *[(provenance, n) for n in ("evidence", "cases", "indications")])
+    listed = spark.createDataFrame([], "siren string, controlled boolean, method string, rate double, source string, text string")
+    found = provenance.explain(o, c, l, p, head, b, listed, spark.createDataFrame([], "siren string, decision string")).evidence
+    assert seen == {"evidence": str(256 * 1024)} and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.siren, r.kind, r.other, r.round) for r in found.collect()} == {("A", "registre", "H", 1), ("B", "registre", "A", 2), ("X", "registre", "B", 3)}
+
+
 def test_loops_open_where_the_first_meets_them(spark):
     """Loop A-B-C; Z entered first and hangs below B, so B is met first. Loop P-Q alone: its first company."""
     chosen = spark.createDataFrame([("A", "B", 2), ("B", "C", 2), ("C", "A", 2), ("Z", "B", 1), ("P", "Q", 3), ("Q", "P", 2), ("E", "H", 1)], "siren string, mother string, round int")
