@@ -526,6 +526,18 @@ def test_evidence_alone_needs_no_mothers_and_no_cases(spark, monkeypatch):
     assert {(r.siren, r.kind, r.other, r.round) for r in found.collect()} == {("A", "registre", "H", 1), ("B", "registre", "A", 2), ("X", "registre", "B", 3)}
 
 
+def test_tables_of_a_map_are_made_one_by_one_and_broadcast_nothing_that_grows(spark, monkeypatch):
+    o, c, l, p, head, b, listed = grown_by_hand(spark, monkeypatch)
+    seen = limits_seen(spark, monkeypatch, (maps, "mothers"), (maps, "house_heads"), (tree, "roots"), (closure, "nearest"))
+    found = maps.group_map(o, c, l, p, head, b, listed)
+    assert {(r.parent, r.child) for r in found.links.collect()} == {("H", "A"), ("A", "B")}
+    assert as_dict(found.participations) == {"X": ("B Administrateur",)} and found.foreign.isEmpty() and not seen
+    assert as_dict(found.companies.select("siren", "mother", "level")) == {"H": (None, 0), "A": ("H", 1), "B": ("A", 2)}
+    assert set(seen) == {"mothers", "house_heads", "roots", "nearest"} and set(seen.values()) == {str(256 * 1024)}
+    for table in (found.companies, found.links, found.participations, found.foreign):
+        assert "Join" not in table._jdf.queryExecution().executedPlan().toString()
+
+
 def test_loops_open_where_the_first_meets_them(spark):
     """Loop A-B-C; Z entered first and hangs below B, so B is met first. Loop P-Q alone: its first company."""
     chosen = spark.createDataFrame([("A", "B", 2), ("B", "C", 2), ("C", "A", 2), ("Z", "B", 1), ("P", "Q", 3), ("Q", "P", 2), ("E", "H", 1)], "siren string, mother string, round int")
